@@ -25,4 +25,98 @@ VIEWS = {
     "boxes": """select frame, area_m2, lon-half as min_lon, lon+half as max_lon, lat-half as min_lat,
         lat+half as max_lat from dets""",
     "thr": "select unnest([0.5e0, 1.0e0, 1.5e0, 2.0e0]) as threshold",
+
 }
+
+
+def components(name: str, mask: str, conn: int = 8, keys: str = "frame") -> dict[str, str]:
+    """CTEs labelling the regions of ``mask`` (keys, y, x): (keys, y, x, region)."""
+    ks = [k.strip() for k in keys.split(",")]
+    on = " and ".join(f"m.{k} = r.{k}" for k in ks)
+    rk = ", ".join(f"r.{k}" for k in ks)
+    near = "greatest(abs(m.y - r.y), abs(m.x - r.x)) <= 1" if conn == 8 else "abs(m.y - r.y) + abs(m.x - r.x) <= 1"
+    return {
+        f"{name}_m": f"select distinct {keys}, y, x from ({mask})",
+        f"{name}_r": f"""select {keys}, y, x, y*8+x as root from {name}_m union
+            select {rk}, m.y, m.x, r.root from {name}_r r join {name}_m m on {on} and {near}""",
+        name: f"select {keys}, y, x, min(root) as region from {name}_r group by {keys}, y, x",
+    }
+
+
+def offsets(r: int) -> str:
+    cells = [(a, b) for a in range(-r, r + 1) for b in range(-r, r + 1) if a * a + b * b <= r * r]
+    return "(values " + ", ".join(f"({a},{b})" for a, b in cells) + ") o(dy, dx)"
+
+
+def dilated(mask: str, r: int) -> str:
+    return (
+        f"select distinct frame, y + dy as y, x + dx as x from ({mask}), {offsets(r)} "
+        "where y + dy between 0 and 7 and x + dx between 0 and 7"
+    )
+
+
+def eroded(mask: str, r: int) -> str:
+    """Outside counts as false."""
+    n = offsets(r).count("(") - 2
+    return (
+        f"select frame, y + dy as y, x + dx as x from ({mask}), {offsets(r)} "
+        f"where y + dy between 0 and 7 and x + dx between 0 and 7 group by all having count(*) = {n}"
+    )
+
+
+def eroded_open_border(mask: str, r: int) -> str:
+    """Outside counts as true."""
+    outside = f"select frame, y, x from px except select frame, y, x from ({mask})"
+    return f"select frame, y, x from ({mask}) except {dilated(outside, r)}"
+
+
+PXALL = "select frame, y, x from px"
+OCEAN = "select frame, y, x from px where ocean"
+LAND = "select frame, y, x from px where land"
+WAVES = "select frame, y, x from px where waves"
+COLD = "select frame, y, x from cold"
+
+VIEWS["shore"] = f"(select * from ({dilated(LAND, 2)}) intersect {OCEAN}) union {WAVES}"
+VIEWS["dist"] = """select p.frame, p.y, p.x, sqrt(min((p.y-s.y)*(p.y-s.y) + (p.x-s.x)*(p.x-s.x))) as d
+    from px p join shore s using (frame) group by all"""
+VIEWS.update(components("ocean8", OCEAN))
+VIEWS.update(components("cold8", COLD))
+VIEWS.update(components("land4", LAND, 4))
+
+PROPS = """area, cy, cx, min_y, min_x, max_y, max_x,
+  sqrt(greatest(1 - (vx+vy-sqrt((vx-vy)*(vx-vy)+4*vxy*vxy))/(vx+vy+sqrt((vx-vy)*(vx-vy)+4*vxy*vxy)), 0)) as eccentricity"""
+MOMENTS = """count(*) as area, avg(y) as cy, avg(x) as cx, min(y) as min_y, min(x) as min_x, max(y)+1 as max_y, max(x)+1 as max_x,
+  sum(y*y)::double/count(*) - pow(sum(y)::double/count(*),2) + 1/12e0 as vy, sum(x*x)::double/count(*) - pow(sum(x)::double/count(*),2) + 1/12e0 as vx,
+  sum(x*y)::double/count(*) - sum(x)::double/count(*)*(sum(y)::double/count(*)) as vxy"""
+
+
+def plumes(cold: str, name: str, keys: str = "frame") -> dict[str, str]:
+    """CTEs measuring the regions of ``cold`` (keys, y, x, raw, m): one row per region."""
+    ks = ", ".join(f"c.{k.strip()}" for k in keys.split(","))
+    using = keys + ", y, x"
+    return {
+        f"{name}_c": cold,
+        **components(f"{name}_l", f"select {keys}, y, x from {name}_c", 8, keys),
+        name: f"""select *, {PROPS.split(',', 7)[7]}, mean_raw/10 - 273.15 as mean_temp, (mean_raw - base)/10 as anomaly from (
+            select {ks}, l.region, {MOMENTS.replace('(y', '(c.y').replace('(x', '(c.x').replace('*y', '*c.y').replace('*x', '*c.x')},
+              avg(c.raw) as mean_raw, min(c.raw)/10-273.15 as min_temp, max(c.raw)/10-273.15 as max_temp, any_value(c.m) as base, min(d.d) as min_shore, avg(d.d) as mean_shore,
+              max(c.y = 0) as t_top, max(c.y = 7) as t_bottom, max(c.x = 0) as t_left, max(c.x = 7) as t_right
+            from {name}_c c join {name}_l l using ({using}) join dist d on d.frame = c.frame and d.y = c.y and d.x = c.x
+            group by {ks}, l.region)""",
+    }
+
+
+VIEWS.update(plumes("select frame, y, x, raw, m from cold", "plume"))
+VIEWS["moving"] = """select f.media, f.frame, quantile_cont(h.raw, 0.5) as m
+    from ocean_frames f join ocean_frames g on g.media = f.media and g.idx between f.idx - 4 and f.idx
+    join px h on h.frame = g.frame and h.ocean group by all"""
+VIEWS.update(
+    plumes("select p.frame, p.y, p.x, p.raw, v.m from px p join moving v using (frame) where p.ocean and p.raw < v.m - 5", "plume_mv")
+)
+VIEWS.update(
+    plumes(
+        "select threshold, p.frame, p.y, p.x, p.raw, v.m from px p join med v using (frame), thr where p.ocean and p.raw < v.m - 10*threshold",
+        "plume_t",
+        "threshold, frame",
+    )
+)

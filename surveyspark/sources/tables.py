@@ -9,7 +9,9 @@ from ..config import Camera, DetectConfig
 
 # The stored rasters are 8 x 8; radii and areas shrink with them.
 W = H = 8
-SMALL = DetectConfig(threshold=0.5, min_area=2, max_shore=3.0, edge_shore=5.0, edge_buffer=1, camera=Camera())
+SMALL = DetectConfig(
+    threshold=0.5, min_area=2, max_area=20, max_shore=1.0, edge_shore=2.0, edge_buffer=1, camera=Camera(width=8, height=8)
+)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
