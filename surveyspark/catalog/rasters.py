@@ -198,7 +198,7 @@ def largest_plume(spark, sf):
 def region_outline(spark, sf):
     """Boundary sides counted relationally against every ring's closure."""
     lab = regions.label_regions(cold(spark, sf), K, W)
-    ring = regions.outline(lab, K).select("frame", "region", (C("ring")[0] == F.element_at("ring", -1)).alias("closed"))
+    ring = regions.outline(lab, K, W).select("frame", "region", (C("ring")[0] == F.element_at("ring", -1)).alias("closed"))
     k = ["frame", "region"]
     four = F.array(*[F.struct((C("y") + a).alias("y"), (C("x") + b).alias("x")) for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1))])
     inner = lab.select(*k, F.inline(four)).join(lab, [*k, "y", "x"], "left_semi").groupBy(*k).agg(F.count(F.lit(1)).alias("i"))
@@ -237,14 +237,15 @@ def box_filter_shrink(spark, sf):
 
 @query(
     "local_variance",
-    f"""select frame, y, x, round(variance,8) as variance, round((variance-min(variance) over w)/(max(variance) over w-min(variance) over w),8) as variance_norm
+    f"""select frame, y, x, round(variance,8) as variance, round((variance-min(variance) over w)/(max(variance) over w-min(variance) over w),10) as variance_norm
       from ({_box_sql(2, 'var_pop(q.raw-2950e0) as variance')}) window w as (partition by frame)""",
 )
 def local_variance(spark, sf):
     from ..plans.segment import normalised
 
     d = raster.local_stats(dense(spark, sf), "raw", K, 2, W, H, shift=2950.0).drop("mean")
-    return rounded(normalised(d, "variance", K), 8)
+    d = normalised(d, "variance", K)
+    return d.select(*PX, F.round("variance", 8).alias("variance"), F.round("variance_norm", 10).alias("variance_norm"))
 
 
 SOBEL = """select p.frame, p.y, p.x, sum(q.raw * sign(q.xx-p.x) * (2-abs(q.yy-p.y)))::bigint as gx,
@@ -263,7 +264,7 @@ _GW = raster.gaussian_weights(1.0)
 
 @query(
     "gaussian_smooth",
-    f"""select p.frame, p.y, p.x, round(sum(q.raw * {_GW}[(q.yy-p.y+5)::int] * {_GW}[(q.xx-p.x+5)::int]),5) as raw from px p join {_mirror_sql(4)} q
+    f"""select p.frame, p.y, p.x, round(sum(q.raw * ({_GW}::double[])[(q.yy-p.y+5)::int] * ({_GW}::double[])[(q.xx-p.x+5)::int]),5) as raw from px p join {_mirror_sql(4)} q
       on q.frame = p.frame and abs(q.yy - p.y) <= 4 and abs(q.xx - p.x) <= 4 group by p.frame, p.y, p.x""",
 )
 def gaussian_smooth(spark, sf):

@@ -212,63 +212,62 @@ def edges_touched() -> Column:
     )
 
 
-def outline(labelled: DataFrame, keys: list[str]) -> DataFrame:
-    """Ordered outer ring of each region through the midpoints between inside and outside pixels.
+def outline(labelled: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Outer ring of each region through the midpoints between inside and outside pixels: (keys, region, ring).
 
-    Boundary steps are found relationally; only the ring order of one region, bounded by its frame's
-    perimeter, is walked in a task.
+    Boundary sides are found relationally; only the ring order of one region, bounded by the perimeter a
+    frame allows, is walked inside a task.
     """
     k = [*keys, "region"]
     sides = [(-1, 0), (0, 1), (1, 0), (0, -1)]
-    step = labelled.select(
-        *k,
-        "y",
-        "x",
-        F.inline(
-            F.array(
-                *[
-                    F.struct((F.col("y") + a).alias("ny"), (F.col("x") + b).alias("nx"), F.lit(i).alias("side"))
-                    for i, (a, b) in enumerate(sides)
-                ]
-            )
-        ),
-    )
+    near = [
+        F.struct((F.col("y") + a).alias("ny"), (F.col("x") + b).alias("nx"), F.lit(i).alias("side"))
+        for i, (a, b) in enumerate(sides)
+    ]
+    step = labelled.select(*k, "y", "x", F.inline(F.array(*near)))
     inner = labelled.select(*k, F.col("y").alias("ny"), F.col("x").alias("nx"))
-    border = step.join(inner, [*k, "ny", "nx"], "left_anti").select(*k, "y", "x", "side")
-    schema = T.StructType(
-        [f for f in border.schema if f.name in k]
-        + [T.StructField("ring", T.ArrayType(T.StructType([T.StructField("y", T.DoubleType()), T.StructField("x", T.DoubleType())])))]
+    code = (F.col("y").cast("long") * width + F.col("x")) * 4 + F.col("side")
+    border = step.join(inner, [*k, "ny", "nx"], "left_anti").groupBy(*k).agg(F.collect_set(code).alias("_sides"))
+    flat = border.withColumn("_f", _rings(width)("_sides"))
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.size("_f") - 2, F.lit(2)),
+        lambda i: F.struct(F.get("_f", i).alias("y"), F.get("_f", i + 1).alias("x")),
     )
-    return border.groupBy(*k).applyInPandas(lambda pdf: _walk(pdf, k), schema)
-
-
-def _walk(pdf: pd.DataFrame, k: list[str]) -> pd.DataFrame:
-    """Chain the unit sides of the region's pixels into rings and keep the one enclosing most."""
-    # Corner where the side begins and ends with the pixel on the right hand.
-    begin = {0: (0, 0), 1: (0, 1), 2: (1, 1), 3: (1, 0)}
-    turn = {0: 1, 1: 2, 2: 3, 3: 0}
-    pending: dict[tuple, list] = {}
-    for y, x, s in zip(pdf["y"].tolist(), pdf["x"].tolist(), pdf["side"].tolist()):
-        a, b = begin[s], begin[turn[s]]
-        pending.setdefault((y + a[0], x + a[1]), []).append(((y + b[0], x + b[1]), (y, x, s)))
-    mid = {0: (-0.5, 0.0), 1: (0.0, 0.5), 2: (0.5, 0.0), 3: (0.0, -0.5)}
-    best, best_area = [], -1.0
-    while pending:
-        at = min(pending)
-        ring, came = [], None
-        while at in pending:
-            options = pending[at]
-            # At a touching corner stay on the same region side: sharpest left turn first (8-connected).
-            pick = 0 if came is None else max(range(len(options)), key=lambda i: (came - options[i][1][2]) % 4 == 1)
-            at2, (y, x, s) = options.pop(pick)
-            if not options:
-                del pending[at]
-            ring.append((y + mid[s][0], x + mid[s][1]))
-            at, came = at2, s
-        pts = np.array([*ring, ring[0]])
-        area = abs(np.dot(pts[:-1, 0], pts[1:, 1]) - np.dot(pts[1:, 0], pts[:-1, 1])) / 2
-        if area > best_area:
-            best, best_area = pts.tolist(), area
-    row = {c: pdf[c].iloc[0] for c in k}
-    row["ring"] = [{"y": float(a), "x": float(b)} for a, b in best]
-    return pd.DataFrame([row])
+    return flat.select(*k, pairs.alias("ring"))
+
+
+def _rings(width: int):
+    """Chain the unit sides of one region into rings; the one enclosing most, flattened to y0, x0, y1, x1, ..."""
+    # Sides 0 top, 1 right, 2 bottom, 3 left, walked clockwise: corner where each begins, and its midpoint.
+    corner = [(0, 0), (0, 1), (1, 1), (1, 0)]
+    middle = [(-0.5, 0.0), (0.0, 0.5), (0.5, 0.0), (0.0, -0.5)]
+
+    def ring_of(codes) -> list[float]:
+        pending: dict[tuple, list] = {}
+        for c in sorted(int(v) for v in codes):
+            p, s = c // 4, c % 4
+            y, x = p // width, p % width
+            pending.setdefault((y + corner[s][0], x + corner[s][1]), []).append((y, x, s))
+        best, best_area = [], -1.0
+        while pending:
+            at, ring, came = min(pending), [], None
+            while at in pending:
+                options = pending[at]
+                # Where two pixels touch by a corner, turning left keeps both on the same ring.
+                left = [i for i, o in enumerate(options) if came is not None and (came - o[2]) % 4 == 1]
+                y, x, s = options.pop(left[0] if left else 0)
+                if not options:
+                    del pending[at]
+                ring.append((y + middle[s][0], x + middle[s][1]))
+                n = corner[(s + 1) % 4]
+                at, came = (y + n[0], x + n[1]), s
+            pts = np.array([*ring, ring[0]])
+            area = abs(np.dot(pts[:-1, 0], pts[1:, 1]) - np.dot(pts[1:, 0], pts[:-1, 1])) / 2
+            if area > best_area:
+                best, best_area = pts.ravel().tolist(), area
+        return best
+
+    def rings(sides: pd.Series) -> pd.Series:
+        return sides.map(ring_of)
+
+    return F.pandas_udf(rings, T.ArrayType(T.DoubleType()))
