@@ -237,7 +237,7 @@ def box_filter_shrink(spark, sf):
 
 @query(
     "local_variance",
-    f"""select frame, y, x, round(variance,8) as variance, round((variance-min(variance) over w)/(max(variance) over w-min(variance) over w),10) as variance_norm
+    f"""select frame, y, x, round(variance,8) as variance, round((variance-min(variance) over w)/(max(variance) over w-min(variance) over w),12) as variance_norm
       from ({_box_sql(2, 'var_pop(q.raw-2950e0) as variance')}) window w as (partition by frame)""",
 )
 def local_variance(spark, sf):
@@ -245,7 +245,7 @@ def local_variance(spark, sf):
 
     d = raster.local_stats(dense(spark, sf), "raw", K, 2, W, H, shift=2950.0).drop("mean")
     d = normalised(d, "variance", K)
-    return d.select(*PX, F.round("variance", 8).alias("variance"), F.round("variance_norm", 10).alias("variance_norm"))
+    return d.select(*PX, F.round("variance", 8).alias("variance"), F.round("variance_norm", 12).alias("variance_norm"))
 
 
 SOBEL = """select p.frame, p.y, p.x, sum(q.raw * sign(q.xx-p.x) * (2-abs(q.yy-p.y)))::bigint as gx,

@@ -1,7 +1,7 @@
 """The same survey views for the SQL side."""
 
 VIEWS = {
-    "px": """select *, (m < 7) as ocean, (m >= 9) as land, (m >= 7 and m < 9) as waves from (
+    "px": """select * exclude (m), (m < 7) as ocean, (m >= 9) as land, (m >= 7 and m < 9) as waves from (
         select frame, label, y, x, raw, cast(100 + frame % 8 as int) as media,
           (raw*7 + x*13) % 256 as r, (raw*11 + y*17) % 256 as g, (raw*3 + x*y*5) % 256 as b,
           (frame*31 + y*7 + x*3) % 10 as m

@@ -178,7 +178,7 @@ def gaussian(px: DataFrame, value: str, keys: list[str], sigma: float, width: in
     for axis, size in (("x", width), ("y", height)):
         w = _line(keys, axis)
         d = _pad(d, axis, size, r)
-        taps = [F.lag("v", -k).over(w) if k < 0 else F.lag("v", k).over(w) for k in range(-r, r + 1)]
+        taps = [F.lag("v", -k).over(w) if k < 0 else F.lead("v", k).over(w) for k in range(-r, r + 1)]
         total = taps[0] * weights[0]
         for t, g in zip(taps[1:], weights[1:]):
             total = total + t * g

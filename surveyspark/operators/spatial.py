@@ -194,45 +194,46 @@ def _holds_cell(ring: Column, cy: Column, cx: Column, size: float) -> Column:
     return inside[0] & inside[1] & inside[2] & inside[3]
 
 
-def in_any_polygon(points: DataFrame, polygons: DataFrame, size_deg: float = 0.0005, levels: int = 3, shrink: int = 8) -> DataFrame:
+def in_any_polygon(points: DataFrame, polygons: DataFrame, size_deg: float = 0.0005, levels: int = 2, shrink: int = 8) -> DataFrame:
     """Adds ``found``: is the point (lat, lon) strictly inside any convex ring of ``polygons(ring)``?
 
     Cells wholly inside some ring answer for all their points by a key lookup, however many rings overlap
-    there.  Only points in cells that rings merely cross go on, at a finer grid against only the rings
-    crossing such cells; what is left at the finest grid is tested ring by ring in a semi-join.
+    there.  Only cells that rings merely cross are cut into smaller ones, and only where points lie; what is
+    left at the finest grid is tested ring by ring in a semi-join, which stops at the first hit.
     """
-    points = points.withColumn("_id", F.monotonically_increasing_id()) if "_id" not in points.columns else points
-    spots = points.select("lat", "lon").distinct()
-    shapes = polygons.select("ring").distinct()
-    open_, crossing, found = cut_lineage(spots), cut_lineage(shapes), None
     size = size_deg
+
+    def at(c: str, s: float) -> Column:
+        return F.floor(C(c) / s)
+
+    open_ = points.select("lat", "lon").distinct()
+    open_ = cut_lineage(open_.select("lat", "lon", at("lat", size).alias("cy"), at("lon", size).alias("cx")))
+    pairs = polygons.select("ring").distinct().select("ring", F.inline(_cells_of(rings.bbox(C("ring")), size)))
+    pairs = pairs.join(open_.select("cy", "cx").distinct(), ["cy", "cx"], "left_semi")
+    found = None
     for level in range(levels):
-        here = open_.select("lat", "lon", F.floor(C("lat") / size).alias("cy"), F.floor(C("lon") / size).alias("cx"))
-        wanted = here.select("cy", "cx").distinct()
-        touched = crossing.select("ring", F.inline(_cells_of(rings.bbox(C("ring")), size)))
-        touched = touched.join(wanted, ["cy", "cx"], "left_semi").withColumn("full", _holds_cell(C("ring"), C("cy"), C("cx"), size))
-        full = touched.filter("full").select("cy", "cx").distinct()
-        full = cut_lineage(full)
-        hit = here.join(full, ["cy", "cx"], "left_semi").select("lat", "lon")
+        pairs = cut_lineage(pairs.withColumn("full", _holds_cell(C("ring"), C("cy"), C("cx"), size)))
+        full = pairs.filter("full").select("cy", "cx").distinct()
+        hit = open_.join(full, ["cy", "cx"], "left_semi").select("lat", "lon")
         found = hit if found is None else found.union(hit)
-        rest = here.join(full, ["cy", "cx"], "left_anti")
-        open_ = cut_lineage(rest.select("lat", "lon"))
-        if open_.isEmpty():
-            break
-        partial = touched.filter("not full").join(full, ["cy", "cx"], "left_anti")
+        open_ = open_.join(full, ["cy", "cx"], "left_anti")
+        pairs = pairs.filter("not full").join(full, ["cy", "cx"], "left_anti").drop("full")
         if level == levels - 1:
-            p = partial.select("cy", "cx", "ring")
-            r = rest.alias("r").join(
-                p.alias("p"),
-                (C("r.cy") == C("p.cy")) & (C("r.cx") == C("p.cx")) & rings.contains(C("p.ring"), C("r.lon"), C("r.lat")),
-                "left_semi",
-            )
-            found = found.union(r.select("lat", "lon"))
-        else:
-            crossing = cut_lineage(partial.select("ring").distinct())
-            size = size / shrink
-    hits = found.distinct().withColumn("found", F.lit(True))
-    return points.join(hits, ["lat", "lon"], "left").withColumn("found", F.coalesce("found", F.lit(False))).drop("_id")
+            break
+        fine = size / shrink
+        child = [at("lat", fine).alias("ny"), at("lon", fine).alias("nx")]
+        open_ = cut_lineage(open_.select("lat", "lon", "cy", "cx", *child))
+        pairs = pairs.join(open_.select("cy", "cx", "ny", "nx").distinct(), ["cy", "cx"]).select("ring", C("ny").alias("cy"), C("nx").alias("cx"))
+        box = rings.bbox(C("ring"))
+        y, x = C("cy") * fine, C("cx") * fine
+        pairs = pairs.filter((y <= box["max_lat"]) & (y + fine >= box["min_lat"]) & (x <= box["max_lon"]) & (x + fine >= box["min_lon"]))
+        open_ = open_.select("lat", "lon", C("ny").alias("cy"), C("nx").alias("cx"))
+        size = fine
+    r, p = open_.alias("r"), pairs.alias("p")
+    same = (C("r.cy") == C("p.cy")) & (C("r.cx") == C("p.cx"))
+    last = r.join(p, same & rings.contains(C("p.ring"), C("r.lon"), C("r.lat")), "left_semi")
+    hits = found.union(last.select("lat", "lon")).distinct().withColumn("found", F.lit(True))
+    return points.join(hits, ["lat", "lon"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 # ---- boxes -------------------------------------------------------------------------------------
