@@ -472,13 +472,13 @@ def apply_mask_stats(spark, sf):
 
 
 _Z = "select p.frame, p.y, p.x from px p join (select frame, avg(raw) as m, stddev_pop(raw-2950e0) as s from px where ocean group by frame) using (frame) where ocean and (raw-m)/(s+1e-7) < -1.5"
-_ZM = eroded(dilated(dilated(eroded(_Z, 1), 1), 1), 1)
+_ZM = eroded(dilated(dilated(eroded(_Z.replace('-1.5', '0.5'), 1), 1), 1), 1)
 _ZC = ", ".join(f"{k} AS ({v})" for k, v in components("zz", _ZM, 4).items())
 
 
 @query("zscore_detect", f"WITH {_ZC} select frame, region, count(*) as area from zz group by frame, region having count(*) >= 1")
 def zscore_detect(spark, sf):
-    return D.zscore_detect(dense(spark, sf), SMALL, 1, ["frame"]).select("frame", "region", "area")
+    return D.zscore_detect(dense(spark, sf), SMALL, 1, ["frame"], 0.5).select("frame", "region", "area")
 
 
 @query("zscore_cold", _Z)

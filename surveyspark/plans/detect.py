@@ -140,10 +140,10 @@ def zscore_cold(px: DataFrame, keys: list[str] = KEYS, z: float = -1.5) -> DataF
     return o.join(s, keys).filter((C("raw") - C("_m")) / (C("_s") + F.lit(1e-7)) < z).select(*keys, "y", "x")
 
 
-def zscore_detect(px: DataFrame, cfg: DetectConfig, min_size: int = 20, keys: list[str] = KEYS) -> DataFrame:
+def zscore_detect(px: DataFrame, cfg: DetectConfig, min_size: int = 20, keys: list[str] = KEYS, z: float = -1.5) -> DataFrame:
     """Cold by z-score, opened and closed by a cross, 4-connected regions."""
     w, h = cfg.camera.width, cfg.camera.height
-    m = raster.close(raster.open_(zscore_cold(px, keys, -1.5), keys, 1, w, h), keys, 1, w, h)
+    m = raster.close(raster.open_(zscore_cold(px, keys, z), keys, 1, w, h), keys, 1, w, h)
     lab = regions.label_regions(m, keys, w, 4)
     return regions.region_sizes(lab, keys).filter(C("area") >= min_size)
 
