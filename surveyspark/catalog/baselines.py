@@ -165,7 +165,7 @@ def hist_equalise(spark, sf):
 
     w = Window.partitionBy("frame")
     below = F.coalesce(F.sum("n").over(w.orderBy("raw").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return B.temp_hist(pixels(spark, sf, colocate=True), ["frame"]).select(
+    return B.temp_hist(pixels(spark, sf, colocate=["frame"]), ["frame"]).select(
         "frame", "raw", R(below / F.sum("n").over(w), 6).alias("cdf")
     )
 

@@ -16,7 +16,7 @@ from ..plans import segment as S
 from ..sources.tables import SMALL, H, W, captures, pixels
 from .base import query
 from .baselines import _CONT, _MODAL, _TRIM, KEYS, hist, lagged, rounded
-from .rasters import LUM, SOBEL, _box_sql, dense
+from .rasters import SOBEL, _box_sql, dense
 from .scalars import LABX, PXC
 from .views import VIEWS, components, dilated, eroded, plumes
 
@@ -30,13 +30,17 @@ VIEWS["found"] = f"select * from plume where {_ACCM}"
 _OUT = "frame, region, area, round(cy,6) as cy, round(cx,6) as cx, round(mean_temp,6) as mean_temp, round(min_temp,6) as min_temp, round(max_temp,6) as max_temp, round(anomaly,6) as anomaly, round(min_shore,6) as min_shore, round(eccentricity,5) as eccentricity"
 
 
+def by_directory(spark, sf):
+    return pixels(spark, sf, colocate=KEYS)
+
+
 def shown(d, *extra):
     six = ("cy", "cx", "mean_temp", "min_temp", "max_temp", "anomaly", "min_shore")
     return d.select(*extra, "frame", "region", "area", *[F.round(c, 6).alias(c) for c in six], F.round("eccentricity", 5).alias("eccentricity"))
 
 
 def found(spark, sf):
-    return D.detect(dense(spark, sf), SMALL)
+    return D.detect(by_directory(spark, sf), SMALL)
 
 
 @query("detect_plumes", f"select {_OUT} from found")
@@ -46,34 +50,34 @@ def detect_plumes(spark, sf):
 
 @query("detect_plumes_moving", f"select {_OUT} from plume_mv where {_ACCM}")
 def detect_plumes_moving(spark, sf):
-    return shown(D.detect_moving(dense(spark, sf), SMALL))
+    return shown(D.detect_moving(by_directory(spark, sf), SMALL))
 
 
 @query("detect_plumes_edge", f"select {_OUT}, {_EDGE} as is_edge from plume_mv where {_ACCE}")
 def detect_plumes_edge(spark, sf):
-    return shown(D.detect_edge(dense(spark, sf), SMALL), "is_edge")
+    return shown(D.detect_edge(by_directory(spark, sf), SMALL), "is_edge")
 
 
 @query("multi_threshold", f"select threshold, {_OUT} from plume_t where {_ACCM}")
 def multi_threshold(spark, sf):
     """All thresholds from one read of the pixels."""
-    return shown(D.detect_thresholds(dense(spark, sf), SMALL, THRESHOLDS), "threshold")
+    return shown(D.detect_thresholds(by_directory(spark, sf), SMALL, THRESHOLDS), "threshold")
 
 
 @query("plume_accept", f"select frame, region, area from plume where {_ACCM}")
 def plume_accept(spark, sf):
-    return D.accept(D.regions_of(dense(spark, sf), replace(SMALL, window=0)), SMALL).select("frame", "region", "area")
+    return D.accept(D.regions_of(by_directory(spark, sf), replace(SMALL, window=0)), SMALL).select("frame", "region", "area")
 
 
 @query("plume_accept_edge", f"select frame, region, area from plume where {_ACCE}")
 def plume_accept_edge(spark, sf):
-    return D.accept_edge(D.regions_of(dense(spark, sf), replace(SMALL, window=0)), SMALL).select("frame", "region", "area")
+    return D.accept_edge(D.regions_of(by_directory(spark, sf), replace(SMALL, window=0)), SMALL).select("frame", "region", "area")
 
 
 @query("plume_accept_mean_distance", f"select frame, region, area from plume where {_ACC} and mean_shore < 0.5")
 def plume_accept_mean(spark, sf):
     cfg = replace(SMALL, window=0, max_area=None)
-    return D.accept(D.regions_of(dense(spark, sf), cfg), cfg).filter("mean_shore < 0.5").select("frame", "region", "area")
+    return D.accept(D.regions_of(by_directory(spark, sf), cfg), cfg).filter("mean_shore < 0.5").select("frame", "region", "area")
 
 
 @query("no_ocean_filter", "select frame, round(avg(ocean::int),6) as ocean_fraction, avg(ocean::int) < 0.7 as skipped from px group by frame")
@@ -182,10 +186,10 @@ _BC = ", ".join(
 )
 def baseline_comparison(spark, sf):
     """Regions one degree below each baseline, all methods labelled together."""
-    p = dense(spark, sf)
+    p = by_directory(spark, sf)
     b = all_baselines(B.temp_hist(p, KEYS))
     c = p.filter("ocean").join(b, KEYS).filter(C("raw") < D.raw_level(C("baseline")) - 10)
-    lab = regions.label_regions(c, ["method", "frame"], W)
+    lab = regions.label_regions(c, ["method", *KEYS], W)
     return lab.groupBy("method", "frame").agg(F.countDistinct("region").alias("n_regions"), F.count(F.lit(1)).alias("area_px"))
 
 
@@ -213,7 +217,7 @@ _TH = """select frame, coalesce(px,0)/n as pf, cf, case when coalesce(px,0)/n >
 
 @query("glint_thermal", f"select frame, round(pf,6) as plume_fraction, round(cf,6) as cold_fraction, why as thermal_reason, why is not null as thermal_glint from ({_TH})")
 def glint_thermal(spark, sf):
-    p = dense(spark, sf)
+    p = by_directory(spark, sf)
     d = GL.thermal_evidence(B.temp_hist(p, KEYS), D.detect(p, SMALL), KEYS, round_area=5)
     return rounded(d.drop("media"))
 
@@ -226,7 +230,7 @@ _CONF = f"""select frame, (case when {_RGBF} then 4 else 0 end + case when why i
 
 
 def verdict(spark, sf):
-    p = dense(spark, sf)
+    p = by_directory(spark, sf)
     h = B.temp_hist(p, KEYS)
     med = B.percentile_baseline(h, KEYS, 0.5, out="median")
     cont = B.continuity(med, ["media"])
@@ -260,7 +264,7 @@ _TS = f"select threshold, count(*) as detections, sum(area) as total_area, count
 
 
 def threshold_stats(spark, sf):
-    d = D.detect_thresholds(dense(spark, sf), SMALL, THRESHOLDS)
+    d = D.detect_thresholds(by_directory(spark, sf), SMALL, THRESHOLDS)
     return d.groupBy("threshold").agg(
         F.count(F.lit(1)).alias("detections"), F.sum("area").alias("total_area"), F.countDistinct("frame").alias("frames")
     )
@@ -292,7 +296,7 @@ def nesting_check(spark, sf):
     f"select f.media, count(*) as total, sum({_EDGE}::int)::bigint as edge_plumes, round(avg({_EDGE}::int)*100,6) as edge_pct from plume p join ocean_frames f using (frame) where {_ACCE} group by f.media",
 )
 def edge_continuity(spark, sf):
-    d = D.accept_edge(D.regions_of(dense(spark, sf), replace(SMALL, window=0)), SMALL)
+    d = D.accept_edge(D.regions_of(by_directory(spark, sf), replace(SMALL, window=0)), SMALL)
     e = C("is_edge").cast("int")
     return d.groupBy("media").agg(F.count(F.lit(1)).alias("total"), F.sum(e).alias("edge_plumes"), F.round(F.avg(e) * 100, 6).alias("edge_pct"))
 
@@ -310,7 +314,7 @@ VIEWS["sided"] = _ONE
 )
 def plume_continuity(spark, sf):
     """Plumes cut by one side against those of the next frame cut by the opposite side."""
-    p = dense(spark, sf)
+    p = by_directory(spark, sf)
     f = D.detect(p, SMALL)
     sides = F.array_compact(F.array(*[F.when(C(f"touch_{a}"), F.struct(F.lit(a).alias("side"), F.lit(b).alias("opposite"))) for a, b in _SIDES]))
     s = f.select(*KEYS, "region", "anomaly", F.inline(sides))
@@ -487,7 +491,7 @@ def zscore_cold(spark, sf):
 
 
 def confidence(spark, sf):
-    return D.confidence(dense(spark, sf), SMALL, sigma=1.0)
+    return D.confidence(by_directory(spark, sf), SMALL, sigma=1.0)
 
 
 from .rasters import _GW, _mirror_sql  # noqa: E402
@@ -510,7 +514,7 @@ def confidence_map(spark, sf):
       join (select media, count(distinct frame)::double as nf from px group by media) using (media) group by media, y, x""",
 )
 def composite_map(spark, sf):
-    p = dense(spark, sf)
+    p = by_directory(spark, sf)
     cold = D.cold_pixels(p, D.baselines(p, replace(SMALL, window=0)), [0.5]).select(*KEYS, "y", "x", F.lit(True).alias("hit"))
     flags = confidence(spark, sf).join(cold, [*KEYS, "y", "x"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
     n = pixels(spark, sf).select(*KEYS).distinct().groupBy("media").agg(F.count(F.lit(1)).alias("n_frames"))

@@ -61,7 +61,7 @@ def scan_path_parts(spark, sf):
 @query("scan_thermal_raw", "select frame, y, x, raw from px")
 def scan_thermal_raw(spark, sf):
     """Rasters written out as headed 16-bit files and read back."""
-    px = pixels(spark, sf, colocate=True)
+    px = pixels(spark, sf, colocate=["frame"])
     word = lambda v: F.concat(F.lpad(F.hex(v % 256), 2, "0"), F.lpad(F.hex(F.shiftright(v, 8)), 2, "0"))
     cells = F.array_sort(F.collect_set(F.struct((C("y") * 8 + C("x")).alias("p"), C("raw").cast("bigint").alias("raw"))))
     f = px.groupBy("frame").agg(cells.alias("c"))
@@ -73,7 +73,7 @@ def scan_thermal_raw(spark, sf):
 @query("scan_rgb", "select frame, y, x, r, g, b from px")
 def scan_rgb(spark, sf):
     """Interleaved blue-green-red bytes, as the image source delivers them, to channel columns."""
-    px = pixels(spark, sf, colocate=True)
+    px = pixels(spark, sf, colocate=["frame"])
     two = lambda c: F.lpad(F.hex(C(c).cast("bigint")), 2, "0")
     cell = F.struct((C("y") * 8 + C("x")).alias("p"), F.concat(two("b"), two("g"), two("r")).alias("h"))
     d = px.groupBy("frame").agg(F.array_sort(F.collect_set(cell)).alias("c"))

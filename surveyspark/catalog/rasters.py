@@ -21,7 +21,7 @@ PX = ["frame", "y", "x"]
 
 
 def dense(spark, sf):
-    return pixels(spark, sf, colocate=True)
+    return pixels(spark, sf, colocate=["frame"])
 
 
 def mask(spark, sf, name):

@@ -431,7 +431,7 @@ def interpret_effect(spark, sf):
       select *, min(raw) over (partition by frame) as lo, max(raw) over (partition by frame) as hi from px)""",
 )
 def minmax_norm(spark, sf):
-    p = pixels(spark, sf, colocate=True)
+    p = pixels(spark, sf, colocate=["frame"])
     return rounded(
         p.select(
             "frame",

@@ -128,7 +128,7 @@ def detections_vs_known(spark, sf):
 
 def _split(spark, sf):
     p = points(spark, sf)
-    cut = F.lit("2024-01-16").cast("timestamp")
+    cut = F.lit("2024-01-16").cast("timestamp_ntz")
     return p.filter(C("ts") < cut), p.filter(C("ts") >= cut)
 
 

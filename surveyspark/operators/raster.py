@@ -1,6 +1,6 @@
 """Neighbourhood operators on pixel rows.
 
-Dense operators expect the pixel table hash-partitioned by its frame (``pixels(colocate=True)``); their
+Dense operators expect the pixel table hash-partitioned by its frame (``pixels(colocate=keys)``); their
 windows over (frame, y) and (frame, x) then need no exchange.  Masks are sparse: a missing row is false.
 """
 

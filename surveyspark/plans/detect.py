@@ -1,6 +1,6 @@
 """Cold-plume detection from dense pixel tables.
 
-``px`` carries (keys, y, x, raw, ocean, land, waves) and is hash-partitioned by its frame, so the whole
+``px`` carries (keys, y, x, raw, ocean, land, waves) and is hash-partitioned by its keys, so the whole
 chain below - baseline, shoreline, distance, labelling, measuring - runs without another exchange
 (a moving baseline adds one of histogram size).
 """

@@ -108,8 +108,8 @@ def kml_documents(d: DataFrame, order: str, group: list[str] = (), styles: Colum
 
 
 def write_kml(documents: DataFrame, path: str, group: list[str] = ()) -> None:
-    w = documents.select(*group, "value").write.mode("overwrite")
-    (w.partitionBy(*group) if group else w).text(path)
+    """One file per document."""
+    documents.select(*group, "part", "value").write.mode("overwrite").partitionBy(*group, "part").text(path)
 
 
 def write_frame_products(px: DataFrame, path: str) -> None:

@@ -48,8 +48,8 @@ def decode_thermal(files: DataFrame, keys: list[str], width: int = 640, height:
 
 
 def to_pixels(frames: DataFrame, keys: list[str], width: int = 640) -> DataFrame:
-    """Arrays to pixel rows, hash-partitioned by frame while still compact."""
-    p = frames.repartition("frame").select(*keys, F.posexplode("raw").alias("pos", "raw"))
+    """Arrays to pixel rows, hash-partitioned by the frame's keys while still compact."""
+    p = frames.repartition(*keys).select(*keys, F.posexplode("raw").alias("pos", "raw"))
     return p.select(*keys, F.expr(f"cast(pos div {width} as int)").alias("y"), F.expr(f"cast(pos % {width} as int)").alias("x"), "raw")
 
 

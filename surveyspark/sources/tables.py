@@ -18,27 +18,28 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def pixels(spark: SparkSession, sf: str, colocate: bool = False) -> DataFrame:
+def pixels(spark: SparkSession, sf: str, colocate: list[str] | None = None) -> DataFrame:
     """One row per pixel.
 
-    ``colocate`` hash-partitions the compact one-row-per-frame arrays before they are exploded, so every
-    later groupBy or window that includes the frame runs without another exchange.
+    ``colocate`` hash-partitions the compact one-row-per-frame arrays by the given keys before they are
+    exploded, so every later groupBy, window or join on these keys runs without another exchange.
     """
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("frame"), "label", "embedding")
+    e = e.withColumn("media", (F.lit(100) + F.col("frame") % 8).cast("int"))
     if colocate:
-        e = e.repartition("frame")
-    p = e.select("frame", "label", F.posexplode("embedding").alias("pos", "v"))
+        e = e.repartition(*colocate)
+    p = e.select("frame", "media", "label", F.posexplode("embedding").alias("pos", "v"))
     p = p.select(
         "frame",
         "label",
         F.expr("cast(pos div 8 as int)").alias("y"),
         F.expr("cast(pos % 8 as int)").alias("x"),
         (F.lit(2950) + F.floor(F.col("v").cast("double") * 100)).cast("int").alias("raw"),
+        "media",
     )
     m = (F.col("frame") * 31 + F.col("y") * 7 + F.col("x") * 3) % 10
     return p.select(
         "*",
-        (F.lit(100) + F.col("frame") % 8).cast("int").alias("media"),
         ((F.col("raw") * 7 + F.col("x") * 13) % 256).cast("int").alias("r"),
         ((F.col("raw") * 11 + F.col("y") * 17) % 256).cast("int").alias("g"),
         ((F.col("raw") * 3 + F.col("x") * F.col("y") * 5) % 256).cast("int").alias("b"),
