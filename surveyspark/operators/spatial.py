@@ -194,11 +194,35 @@ def _holds_cell(ring: Column, cy: Column, cx: Column, size: float) -> Column:
     return inside[0] & inside[1] & inside[2] & inside[3]
 
 
+def _with_inner_circle(shapes: DataFrame) -> DataFrame:
+    """Adds the centre of a convex closed ring and its distance to the nearest edge, in degrees."""
+    d = shapes.withColumn("_c", rings.centroid(C("ring")))
+    lon, lat = C("_c.lon"), C("_c.lat")
+    gap = F.zip_with(
+        F.slice("ring", F.lit(1), F.size("ring") - 1),
+        F.slice("ring", F.lit(2), F.size("ring") - 1),
+        lambda p, q: F.abs((q["lon"] - p["lon"]) * (p["lat"] - lat) - (p["lon"] - lon) * (q["lat"] - p["lat"]))
+        / F.hypot(q["lon"] - p["lon"], q["lat"] - p["lat"]),
+    )
+    return d.select("ring", lon.alias("mid_lon"), lat.alias("mid_lat"), F.array_min(gap).alias("r"))
+
+
+def _circle_cells(shapes: DataFrame, size: float) -> DataFrame:
+    """Cells wholly inside the inner circle of some ring; plain arithmetic per cell, repeats combine early."""
+    m, r = (lambda c: C(f"mid_{c}")), C("r")
+    span = lambda c: F.sequence(F.floor((m(c) - r) / size), F.floor((m(c) + r) / size))
+    d = shapes.select("mid_lon", "mid_lat", "r", F.explode(span("lat")).alias("cy"))
+    d = d.select("mid_lon", "mid_lat", "r", "cy", F.explode(span("lon")).alias("cx"))
+    far = lambda cell, mid: F.greatest(F.abs(C(cell) * size - mid), F.abs((C(cell) + 1) * size - mid))
+    dy, dx = far("cy", m("lat")), far("cx", m("lon"))
+    return d.filter(dy * dy + dx * dx < r * r * 0.999).select("cy", "cx").distinct()
+
+
 def in_any_polygon(points: DataFrame, polygons: DataFrame, size_deg: float = 0.0005, levels: int = 2, shrink: int = 8) -> DataFrame:
     """Adds ``found``: is the point (lat, lon) strictly inside any convex ring of ``polygons(ring)``?
 
-    Cells wholly inside some ring answer for all their points by a key lookup, however many rings overlap
-    there.  Only cells that rings merely cross are cut into smaller ones, and only where points lie; what is
+    Cells wholly inside some ring (first by its inner circle, then exactly) answer for all their points by a
+    key lookup, however many rings overlap there.  Only cells that rings merely cross are cut into smaller ones, and only where points lie; what is
     left at the finest grid is tested ring by ring in a semi-join, which stops at the first hit.
     """
     size = size_deg
@@ -208,14 +232,16 @@ def in_any_polygon(points: DataFrame, polygons: DataFrame, size_deg: float = 0.0
 
     open_ = points.select("lat", "lon").distinct()
     open_ = cut_lineage(open_.select("lat", "lon", at("lat", size).alias("cy"), at("lon", size).alias("cx")))
-    pairs = polygons.select("ring").distinct().select("ring", F.inline(_cells_of(rings.bbox(C("ring")), size)))
+    shapes = cut_lineage(_with_inner_circle(polygons.select("ring").distinct()))
+    sure = cut_lineage(_circle_cells(shapes, size))
+    found = open_.join(sure, ["cy", "cx"], "left_semi").select("lat", "lon")
+    open_ = cut_lineage(open_.join(sure, ["cy", "cx"], "left_anti"))
+    pairs = shapes.select("ring", F.inline(_cells_of(rings.bbox(C("ring")), size)))
     pairs = pairs.join(open_.select("cy", "cx").distinct(), ["cy", "cx"], "left_semi")
-    found = None
     for level in range(levels):
         pairs = cut_lineage(pairs.withColumn("full", _holds_cell(C("ring"), C("cy"), C("cx"), size)))
         full = pairs.filter("full").select("cy", "cx").distinct()
-        hit = open_.join(full, ["cy", "cx"], "left_semi").select("lat", "lon")
-        found = hit if found is None else found.union(hit)
+        found = found.union(open_.join(full, ["cy", "cx"], "left_semi").select("lat", "lon"))
         open_ = open_.join(full, ["cy", "cx"], "left_anti")
         pairs = pairs.filter("not full").join(full, ["cy", "cx"], "left_anti").drop("full")
         if level == levels - 1:
