@@ -192,6 +192,7 @@ G0, G = 3.3e-7, 2e-5
 
 def grid_cells(shapes, group, size=G, origin=G0):
     """Grid cells whose centre lies in a ring; repeats combine before the exchange."""
+    shapes = shapes.select(*group, "ring").distinct()
     box = rings.bbox(C("ring"))
     lo = lambda v: F.ceil((v - origin) / size - 0.5)
     hi = lambda v: F.floor((v - origin) / size - 0.5)

@@ -18,7 +18,7 @@ from .graph import connected_components
 
 
 def _join_runs(width: int, reach: int):
-    """Series of sorted position arrays -> series of arrays holding the smallest position of each pixel's region."""
+    """Series of sorted position arrays -> per array the smallest position of each pixel's region, then its size."""
 
     def label(arrays: pd.Series) -> pd.Series:
         sizes = np.array([len(a) for a in arrays], dtype=np.int64)
@@ -47,11 +47,32 @@ def _join_runs(width: int, reach: int):
             np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
             while not np.array_equal(root, root[root]):
                 root = root[root]
-        return pd.Series(np.split(pos[first][root][run], np.cumsum(sizes)[:-1]))
+        of = root[run]
+        size = np.bincount(of, minlength=len(first))[of]
+        cuts = np.cumsum(sizes)[:-1]
+        both = zip(np.split(pos[first][of], cuts), np.split(size, cuts))
+        return pd.Series([np.r_[a, b] for a, b in both])
 
     return F.pandas_udf(label, T.ArrayType(T.LongType()))
 
 
+def _labelled_arrays(mask: DataFrame, keys: list[str], width: int, connectivity: int, carry: list[str] = ()) -> DataFrame:
+    """(keys, _s): one row per frame, its pixels with region and area."""
+    pos = F.col("y").cast("long") * width + F.col("x")
+    g = mask.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct(pos.alias("pos"), *carry))).alias("_p"))
+    lab = _join_runs(width, 1 if connectivity == 8 else 0)
+    g = g.select(*keys, "_p", lab(F.transform("_p", lambda s: s["pos"])).alias("_l"))
+    n = F.size("_p")
+    g = g.select(*keys, "_p", F.slice("_l", F.lit(1), n).alias("region"), F.slice("_l", n + 1, n).alias("area"))
+    return g.select(*keys, F.arrays_zip("_p", "region", "area").alias("_s"))
+
+
+def _pixels_of(arrays: DataFrame, keys: list[str], width: int, columns: list[str]) -> DataFrame:
+    d = arrays.select(*keys, F.inline("_s"))
+    pixel = [F.expr(f"cast(_p.pos div {width} as int)").alias("y"), F.expr(f"cast(_p.pos % {width} as int)").alias("x")]
+    return d.select(*keys, *pixel, *[F.col(c) if c in ("region", "area") else F.col("_p")[c].alias(c) for c in columns])
+
+
 def label_regions(
     mask: DataFrame, keys: list[str], width: int, connectivity: int = 8, carry: list[str] = ()
 ) -> DataFrame:
@@ -59,19 +80,7 @@ def label_regions(
 
     Input already partitioned by (part of) the keys is grouped without an exchange.
     """
-    pos = F.col("y").cast("long") * width + F.col("x")
-    item = F.struct(pos.alias("pos"), *carry)
-    g = mask.groupBy(*keys).agg(F.array_sort(F.collect_set(item)).alias("_s"))
-    lab = _join_runs(width, 1 if connectivity == 8 else 0)
-    g = g.select(*keys, "_s", lab(F.transform("_s", lambda s: s["pos"])).alias("region"))
-    d = g.select(*keys, F.inline(F.arrays_zip("_s", "region")))
-    return d.select(
-        *keys,
-        F.expr(f"cast(_s.pos div {width} as int)").alias("y"),
-        F.expr(f"cast(_s.pos % {width} as int)").alias("x"),
-        "region",
-        *[F.col("_s")[c].alias(c) for c in carry],
-    )
+    return _pixels_of(_labelled_arrays(mask, keys, width, connectivity, carry), keys, width, ["region", *carry])
 
 
 def label_grid(cells: DataFrame, group: list[str], tile: int = 512, connectivity: int = 8) -> DataFrame:
@@ -113,9 +122,8 @@ def region_sizes(labelled: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def remove_small_objects(mask: DataFrame, keys: list[str], width: int, min_size: int, connectivity: int = 4) -> DataFrame:
-    lab = label_regions(mask, keys, width, connectivity)
-    keep = region_sizes(lab, keys).filter(F.col("area") >= min_size)
-    return lab.join(keep, [*keys, "region"], "left_semi").drop("region")
+    lab = _pixels_of(_labelled_arrays(mask, keys, width, connectivity), keys, width, ["area"])
+    return lab.filter(F.col("area") >= min_size).drop("area")
 
 
 def complement(mask: DataFrame, frames: DataFrame, keys: list[str], width: int, height: int) -> DataFrame:
@@ -130,20 +138,18 @@ def remove_small_holes(
     mask: DataFrame, frames: DataFrame, keys: list[str], width: int, height: int, area: int
 ) -> DataFrame:
     """Fill 4-connected background regions smaller than ``area``."""
-    back = label_regions(complement(mask, frames, keys, width, height), keys, width, 4)
-    small = region_sizes(back, keys).filter(F.col("area") < area)
-    holes = back.join(small, [*keys, "region"], "left_semi").drop("region")
+    back = _labelled_arrays(complement(mask, frames, keys, width, height), keys, width, 4)
+    holes = _pixels_of(back, keys, width, ["area"]).filter(F.col("area") < area).drop("area")
     return mask.select(*keys, "y", "x").unionByName(holes)
 
 
 def largest_component(mask: DataFrame, keys: list[str], width: int, height: int, fraction: float = 0.05) -> DataFrame:
     """Pixels of the largest region if it covers more than ``fraction`` of the frame, else none."""
-    lab = label_regions(mask, keys, width, 8)
-    best = region_sizes(lab, keys).groupBy(*keys).agg(
-        F.max_by(F.struct("region", "area"), F.struct("area", -F.col("region"))).alias("_t")
-    )
-    best = best.filter(F.col("_t.area") > fraction * width * height).select(*keys, F.col("_t.region").alias("region"))
-    return lab.join(best, [*keys, "region"], "left_semi").drop("region")
+    lab = _labelled_arrays(mask, keys, width, 8)
+    top = F.array_max(F.transform("_s", lambda e: F.struct(e["area"].alias("area"), (-e["region"]).alias("r"))))
+    kept = lab.withColumn("_t", top).filter(F.col("_t.area") > fraction * width * height)
+    kept = kept.select(*keys, F.filter("_s", lambda e: e["region"] == -F.col("_t.r")).alias("_s"))
+    return _pixels_of(kept, keys, width, [])
 
 
 def region_props(labelled: DataFrame, keys: list[str], extra: list[Column] = ()) -> DataFrame:
