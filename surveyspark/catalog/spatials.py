@@ -192,13 +192,13 @@ G0, G = 3.3e-7, 2e-5
 
 def grid_cells(shapes, group, size=G, origin=G0):
     """Grid cells whose centre lies in a ring; repeats combine before the exchange."""
-    shapes = shapes.select(*group, "ring").distinct()
-    box = rings.bbox(C("ring"))
+    shapes = shapes.select(*group, "ring").distinct().withColumn("box", rings.bbox(C("ring")))
+    box = C("box")
     lo = lambda v: F.ceil((v - origin) / size - 0.5)
     hi = lambda v: F.floor((v - origin) / size - 0.5)
     xs, ys = F.sequence(lo(box["min_lon"]), hi(box["max_lon"])), F.sequence(lo(box["min_lat"]), hi(box["max_lat"]))
     some = (lo(box["min_lon"]) <= hi(box["max_lon"])) & (lo(box["min_lat"]) <= hi(box["max_lat"]))
-    d = shapes.filter(some).select(*group, "ring", F.explode(xs).alias("gx")).select(*group, "ring", "gx", F.explode(ys).alias("gy"))
+    d = shapes.filter(some).select(*group, "ring", "box", F.explode(xs).alias("gx")).select(*group, "ring", "gx", F.explode(ys).alias("gy"))
     centre = lambda g: (C(g) + 0.5) * size + origin
     return d.filter(rings.contains(C("ring"), centre("gx"), centre("gy"))).select(*group, "gx", "gy").distinct()
 

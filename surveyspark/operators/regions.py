@@ -147,9 +147,11 @@ def largest_component(mask: DataFrame, keys: list[str], width: int, height: int,
     """Pixels of the largest region if it covers more than ``fraction`` of the frame, else none."""
     lab = _labelled_arrays(mask, keys, width, 8)
     top = F.array_max(F.transform("_s", lambda e: F.struct(e["area"].alias("area"), (-e["region"]).alias("r"))))
-    kept = lab.withColumn("_t", top).filter(F.col("_t.area") > fraction * width * height)
-    kept = kept.select(*keys, F.filter("_s", lambda e: e["region"] == -F.col("_t.r")).alias("_s"))
-    return _pixels_of(kept, keys, width, [])
+    # The winner is a plain column below the explode: inside a lambda it would be worked out again per pixel.
+    kept = lab.select(*keys, "_s", top.alias("_t")).filter(F.col("_t.area") > fraction * width * height)
+    d = kept.select(*keys, "_s", (-F.col("_t.r")).alias("_best"))
+    d = _pixels_of(d, [*keys, "_best"], width, ["region"])
+    return d.filter(F.col("region") == F.col("_best")).drop("_best", "region")
 
 
 def region_props(labelled: DataFrame, keys: list[str], extra: list[Column] = ()) -> DataFrame:

@@ -195,7 +195,7 @@ def _holds_cell(ring: Column, cy: Column, cx: Column, size: float) -> Column:
 
 
 def _with_inner_circle(shapes: DataFrame) -> DataFrame:
-    """Adds the centre of a convex closed ring and its distance to the nearest edge, in degrees."""
+    """Adds the box of a convex closed ring, its centre and the distance to the nearest edge, in degrees."""
     d = shapes.withColumn("_c", rings.centroid(C("ring")))
     lon, lat = C("_c.lon"), C("_c.lat")
     gap = F.zip_with(
@@ -204,7 +204,7 @@ def _with_inner_circle(shapes: DataFrame) -> DataFrame:
         lambda p, q: F.abs((q["lon"] - p["lon"]) * (p["lat"] - lat) - (p["lon"] - lon) * (q["lat"] - p["lat"]))
         / F.hypot(q["lon"] - p["lon"], q["lat"] - p["lat"]),
     )
-    return d.select("ring", lon.alias("mid_lon"), lat.alias("mid_lat"), F.array_min(gap).alias("r"))
+    return d.select("ring", rings.bbox(C("ring")).alias("box"), lon.alias("mid_lon"), lat.alias("mid_lat"), F.array_min(gap).alias("r"))
 
 
 def _circle_cells(shapes: DataFrame, size: float) -> DataFrame:
@@ -236,7 +236,7 @@ def in_any_polygon(points: DataFrame, polygons: DataFrame, size_deg: float = 0.0
     sure = cut_lineage(_circle_cells(shapes, size))
     found = open_.join(sure, ["cy", "cx"], "left_semi").select("lat", "lon")
     open_ = cut_lineage(open_.join(sure, ["cy", "cx"], "left_anti"))
-    pairs = shapes.select("ring", F.inline(_cells_of(rings.bbox(C("ring")), size)))
+    pairs = shapes.select("ring", F.inline(_cells_of(C("box"), size)))
     pairs = pairs.join(open_.select("cy", "cx").distinct(), ["cy", "cx"], "left_semi")
     for level in range(levels):
         pairs = cut_lineage(pairs.withColumn("full", _holds_cell(C("ring"), C("cy"), C("cx"), size)))
