@@ -53,7 +53,7 @@ def test_only_a_significant_ocean_is_kept(spark, rects, regions_left):
 
 def test_area_names(spark):
     want = {
-        "/v/Flight 3 - Vaihu - West": "3_vaihu_west",
+        "/v/Flight 3 - Bay - West": "3_bay_west",
         "/v/Flight 1 - Test/100MEDIA": "1_test",
         "/v/flight_2-North Bay!/": "2_north_bay",
         "/v/---": "___",
