@@ -11,7 +11,11 @@ from .bands import compression_bands
 from .common import documents, lower_ascii, new_folder
 from .counts import token_counts
 from .exact import exact_dedup
+from .license import oracle_sql as license_sql, scan_licenses
+from .merges import decode_pieces, encode_pieces
+from .ordinal import classify, ratings_of, train
 from .packing import pack
+from .wavelet import read_token_files, write_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,6 +36,21 @@ def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands(documents(spark, sf_dir), carry=["doc_id"])
 
 
+@query
+def op5_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = train(docs, ratings_of(spark.read.parquet(f"{sf_dir}/labels.parquet")), grades=3)
+    return classify(docs, model, at_least=2, carry=["doc_id"])
+
+
+@query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(documents(spark, sf_dir))
+
+
+ORACLE["op6_license_scan"] = license_sql()
+
+
 @query
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", lower_ascii(F.coalesce("text", F.lit(""))).alias("text"))
@@ -46,8 +65,26 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 """
 
 
+@query
+def op8_wavelet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "token-files")
+    write_token_files(documents(spark, sf_dir), path)
+    return read_token_files(spark, path)
+
+
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).withColumn("n_bytes", F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))
     counted = token_counts(docs, new_folder(spark, "token-cache"), carry=["doc_id", "n_bytes"])
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+@query
+def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and checksum of the sampled ids of every text, and whether they decode to it."""
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = decode_pieces(encode_pieces(docs, dropout=0.1, seed=1, carry=["doc_id", "text"]))
+    return rows.select(
+        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"), (F.col("decoded") == F.translate("text", "\u2581", " ")).alias("lossless"),
+    )
