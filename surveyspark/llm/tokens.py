@@ -1,8 +1,9 @@
-"""Whole texts to token ids, with the ids of frequent words remembered.
+"""Whole texts to token ids, with the ids of words remembered.
 
 Both vocabularies cut a text into stretches that never interact: the word vocabulary drops white space, the byte-level
-one may only join a space to what follows it. Each distinct stretch goes through the tokenizers library once and its
-ids are kept in a bounded table of the Python worker, which makes natural text several times cheaper to encode.
+one joins one space to what follows it. Each distinct stretch goes through the tokenizers library once (new ones many
+at a time, as one text whose ids are then parted by their lengths) and its ids are kept in a bounded table of the
+Python worker, so text made of known words costs a lookup a word.
 """
 
 from __future__ import annotations
@@ -12,20 +13,24 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 
 from .bytesets import slices
 
-#: White space before a space, in UTF-8: there a run of white space must stay in one stretch.
-_ASCII_RUNS = [bytes([c]) + b" " for c in (*range(9, 14), *range(28, 32), 32)]
-_WIDE_RUNS = [(chr(c) + " ").encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+#: White space before a space, in UTF-8: there a run of white space must stay whole.
+_ASCII_RUNS = [bytes([c]) + b" " for c in (*range(9, 14), 32)]
+_WIDE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_WIDE_RUNS = [w + b" " for w in _WIDE]
 _BOUNDARY = re.compile(r"(?<=\S)(?= \S)")
+#: Stretches that keep their length in bytes and may stand side by side: printable ASCII and Latin letters.
+_PLAIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u012f\u0132-\u017f]+(?:\n[!-~]+)*")
 
 
 class CachedEncoder:
     """``encode(utf8) -> little-endian unsigned 32-bit ids``, equal to the library's on the whole text."""
 
-    def __init__(self, name: str, limit: int = 400_000):
+    def __init__(self, name: str, limit: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
@@ -34,26 +39,52 @@ class CachedEncoder:
         self.spaced = name.startswith("byte")
         self.limit = limit
         self.known: dict[bytes, bytes] = {}
-
-    def stretches(self, text: bytes) -> list[bytes]:
-        if not self.spaced:
-            return text.split()
-        if any(r in text for r in _ASCII_RUNS) or not text.isascii() and any(r in text for r in _WIDE_RUNS):
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes that a token stands for
+        for token, i in vocabulary.items():
+            self.sizes[i] = len(token.removesuffix("" if self.spaced else "</w>"))
+
+    def _cut(self, text: bytes) -> list[bytes]:
+        ascii_ = text.isascii()
+        if not self.spaced:  # this vocabulary folds case
+            return (text.lower() if ascii_ and b"<|" not in text else text).split()
+        if any(r in text for r in _ASCII_RUNS) or not ascii_ and any(r in text for r in _WIDE_RUNS):
             return [x.encode() for x in _BOUNDARY.split(text.decode())]
         return text.replace(b" ", b"\xff ").split(b"\xff")
 
+    def _together(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of plain stretches, encoded as one text; empty if the lengths do not part it as expected."""
+        (found,) = self.tokenizer.encode_batch_fast([(b"" if self.spaced else b" ").join(words).decode()], add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        ends = np.cumsum(self.sizes[ids])
+        wanted = np.cumsum([len(w) for w in words])
+        at = np.searchsorted(ends, wanted)
+        if not len(ends) or at[-1] >= len(ends) or not np.array_equal(ends[at], wanted):
+            return {}
+        raw, cuts = ids.tobytes(), (4 * at + 4).tolist()
+        return {w: raw[a:b] for w, a, b in zip(words, [0, *cuts[:-1]], cuts)}
+
     def _learn(self, seen: set[bytes]) -> None:
         new = [w for w in seen if w not in self.known]
         if len(self.known) + len(new) > self.limit:
             self.known = {w: self.known[w] for w in seen if w in self.known}
-        for i in range(0, len(new), 5000):
-            part = new[i:i + 5000]
+        plain, other, first = [], [], 1 if self.spaced else 0
+        for w in new:
+            fits = b"<|" not in w and (not first or w[:1] == b" ") and _PLAIN.fullmatch(w.decode(), first)
+            (plain if fits else other).append(w)
+        for i in range(0, len(plain), 400):
+            part = plain[i:i + 400]
+            got = self._together(part)
+            self.known.update(got)
+            other += [] if got else part
+        for i in range(0, len(other), 5000):
+            part = other[i:i + 5000]
             found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
             self.known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, found))
 
     def encode(self, texts: Iterable[bytes]) -> list[bytes]:
         """Ids of some megabytes of text; the caller bounds what it hands over at once."""
-        cut = [self.stretches(t) for t in texts]
+        cut = [self._cut(t) for t in texts]
         self._learn(set().union(*cut))
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in cut]
