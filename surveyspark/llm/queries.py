@@ -11,6 +11,7 @@ from .bands import compression_bands
 from .common import documents, lower_ascii, new_folder
 from .counts import token_counts
 from .exact import exact_dedup
+from .forest import near_duplicates
 from .license import oracle_sql as license_sql, scan_licenses
 from .merges import decode_pieces, encode_pieces
 from .ordinal import classify, ratings_of, train
@@ -31,6 +32,26 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+@query
+def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), width=2, percent=80)
+
+
+ORACLE["op3_lsh_forest"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(words[p:p + 1], ' ') AS shingle FROM (SELECT doc_id, words, unnest(range(1, greatest(2, len(words)))) AS p FROM w WHERE len(words) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+e AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  WHERE 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+  GROUP BY 1, 2, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM w UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id WHERE r.c < e.b)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, m.c AS component_id, w.doc_id = m.c AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY 1) m USING (doc_id)
+"""
+
+
 @query
 def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands(documents(spark, sf_dir), carry=["doc_id"])
