@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from .bands import compression_bands
 from .common import documents, lower_ascii, new_folder
 from .counts import token_counts
@@ -16,6 +18,7 @@ from .license import oracle_sql as license_sql, scan_licenses
 from .merges import decode_pieces, encode_pieces
 from .ordinal import classify, ratings_of, train
 from .packing import pack
+from .suffixes import remove_repeats
 from .wavelet import read_token_files, write_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +30,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir))
+
+
 @query
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
@@ -109,3 +117,8 @@ def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"),
         F.crc32("ids").alias("ids_crc32"), (F.col("decoded") == F.translate("text", "\u2581", " ")).alias("lossless"),
     )
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
