@@ -8,7 +8,7 @@ from ..functions import colour
 from ..operators import aggregates as A
 from ..operators import raster, regions
 from ..operators.graph import connected_components
-from ..sources.tables import H, W, pixels
+from ..sources.tables import H, W, pixels, wide_pixels
 from .base import query
 from .baselines import KEYS as MF
 from .baselines import hist, rounded
@@ -93,6 +93,31 @@ def shore_distance(spark, sf):
     return with_shore(dense(spark, sf), K).filter("ocean").select(*PX, F.round("distance", 6).alias("distance"))
 
 
+@query("shore_distance_wide", "select frame, y, x, round(d, 6) as distance from wide_dist where not land")
+def shore_distance_wide(spark, sf):
+    """Distances far beyond any neighbourhood: one shore in the corner of each raster."""
+    from ..plans.detect import with_shore
+
+    return with_shore(wide_pixels(spark, sf), K).filter("ocean").select(*PX, F.round("distance", 6).alias("distance"))
+
+
+@query(
+    "cold_by_shore_band",
+    """select frame, cast(floor(d / 10) as int) as band, count(*) as n, round(avg(d), 6) as mean_distance, round(sum(exp(-d / 20)), 6) as weight
+    from wide_dist join wide_med using (frame) where not land and raw < m - 5 and d is not null group by all""",
+)
+def cold_by_shore_band(spark, sf):
+    """Cold ocean pixels by ten-pixel bands of shore distance, with the weight that confidence gives them."""
+    from ..plans.detect import with_shore
+
+    p = with_shore(wide_pixels(spark, sf), K).filter("ocean")
+    m = p.groupBy("frame").agg(F.percentile("raw", F.lit(0.5)).alias("m"))
+    d = p.join(m, "frame").filter((C("raw") < C("m") - 5) & C("distance").isNotNull())
+    return d.groupBy("frame", F.floor(C("distance") / 10).cast("int").alias("band")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("distance"), 6).alias("mean_distance"), F.round(F.sum(F.exp(-C("distance") / 20)), 6).alias("weight")
+    )
+
+
 # ---- regions -----------------------------------------------------------------------------------
 
 

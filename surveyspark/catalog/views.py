@@ -24,8 +24,12 @@ VIEWS = {
         from captures where event_type = 'purchase'""",
     "boxes": """select frame, area_m2, lon-half as min_lon, lon+half as max_lon, lat-half as min_lat,
         lat+half as max_lat from dets""",
-    "thr": "select unnest([0.5e0, 1.0e0, 1.5e0, 2.0e0]) as threshold",
-
+    "thr": "select unnest([0.5e0, 1.0e0, 1.5e0, 2.0e0]) as threshold",    "wide": """select frame // 64 as frame, (frame % 64) // 8 * 8 + y as y, frame % 8 * 8 + x as x, raw, frame % 64 = 0 and land as land from px""",
+    "wide_shore": """select distinct o.frame, o.y, o.x from wide o join wide l on l.frame = o.frame and l.land and not o.land
+        and (o.y-l.y)*(o.y-l.y) + (o.x-l.x)*(o.x-l.x) <= 4""",
+    "wide_dist": """select p.frame, p.y, p.x, p.raw, p.land, sqrt(min((p.y-s.y)*(p.y-s.y) + (p.x-s.x)*(p.x-s.x))) as d
+        from wide p left join wide_shore s using (frame) group by all""",
+    "wide_med": "select frame, quantile_cont(raw, 0.5) as m from wide where not land group by frame",
 }
 
 

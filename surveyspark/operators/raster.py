@@ -6,8 +6,11 @@ windows over (frame, y) and (frame, x) then need no exchange.  Masks are sparse:
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .regions import complement
 
@@ -71,28 +74,71 @@ def shoreline(ocean: DataFrame, land: DataFrame, waves: DataFrame, keys: list[st
     return near.select(*c).union(waves.select(*c)).distinct()
 
 
-def distance_to(px: DataFrame, target: str, keys: list[str], radius: int) -> DataFrame:
-    """Euclidean pixel distance to the nearest pixel where ``target`` holds; NULL beyond ``radius``.
+def squared_distance(mask: np.ndarray) -> np.ndarray:
+    """Squared Euclidean distance of every cell to the nearest true one, exact at any range; -1 without one.
 
-    Separable and exact: nearest target in the column first, then the best combination along the row
-    over at most 2 * radius + 1 neighbours.  ``px`` must hold every pixel of the frame.
+    Nearest true cell in the column first; then, along the rows, the least sum over ever farther columns until none
+    farther can be nearer. All cells of the frame take each step together.
     """
-    col = Window.partitionBy(*keys, "x").orderBy("y")
-    up = F.last(F.when(F.col(target), F.col("y")), ignorenulls=True).over(col.rowsBetween(Window.unboundedPreceding, 0))
-    down = F.first(F.when(F.col(target), F.col("y")), ignorenulls=True).over(col.rowsBetween(0, Window.unboundedFollowing))
-    g = F.least(F.col("y") - up, down - F.col("y"))
-    d = px.withColumn("_g", g)
-    near = F.struct(F.col("x").alias("x"), F.when(F.col("_g") <= radius, F.col("_g")).alias("g"))
-    row = Window.partitionBy(*keys, "y").orderBy("x").rangeBetween(-radius, radius)
-    d = d.withColumn("_near", F.collect_list(near).over(row))
-    sq = F.array_min(
-        F.transform(
-            F.filter("_near", lambda e: e["g"].isNotNull()),
-            lambda e: (e["x"] - F.col("x")) * (e["x"] - F.col("x")) + e["g"] * e["g"],
-        )
-    )
-    d = d.withColumn("_sq", sq)
-    return d.withColumn("distance", F.when(F.col("_sq") <= radius * radius, F.sqrt(F.col("_sq").cast("double")))).drop("_g", "_near", "_sq")
+    height, width = mask.shape
+    if not mask.any():
+        return np.full(mask.shape, -1, np.int64)
+    far = height + width
+    rows = np.arange(height, dtype=np.int64)[:, None]
+    up = rows - np.maximum.accumulate(np.where(mask, rows, -far), 0)
+    down = np.minimum.accumulate(np.where(mask, rows, height + far)[::-1], 0)[::-1] - rows
+    column = np.minimum(np.minimum(up, down), far) ** 2
+    best, k = column.copy(), 1
+    while k < width and k * k < best.max():
+        np.minimum(best[:, k:], column[:, :-k] + k * k, out=best[:, k:])
+        np.minimum(best[:, :-k], column[:, k:] + k * k, out=best[:, :-k])
+        k += 1
+    return best
+
+
+def _per_frame(px: DataFrame, keys: list[str], more: str, make) -> DataFrame:
+    """Adds columns that ``make(grid)`` derives from whole frames; ``grid(name)`` is a boolean column as an array.
+
+    A group is one frame, so its size is the sensor's; rows already partitioned by ``keys`` need no exchange.
+    """
+    added = T._parse_datatype_string(f"struct<{more}>")
+
+    def whole(t: pa.Table) -> pa.Table:
+        y, x = t.column("y").to_numpy(), t.column("x").to_numpy()
+
+        def grid(name: str) -> np.ndarray:
+            m = np.zeros((int(y.max()) + 1, int(x.max()) + 1), bool)
+            m[y, x] = t.column(name).fill_null(False).to_numpy()
+            return m
+
+        for name, values in make(grid).items():
+            if values.dtype == bool:
+                t = t.append_column(name, pa.array(values[y, x]))
+            else:
+                v = values[y, x]
+                t = t.append_column(name, pa.array(np.sqrt(np.maximum(v, 0).astype(float)), mask=v < 0))
+        return t
+
+    return px.groupBy(*keys).applyInArrow(whole, T.StructType([*px.schema.fields, *added.fields]))
+
+
+def distance_to(px: DataFrame, target: str, keys: list[str]) -> DataFrame:
+    """Adds ``distance``, Euclidean and exact, to the nearest pixel where ``target`` holds; NULL in frames without one."""
+    return _per_frame(px, keys, "distance: double", lambda grid: {"distance": squared_distance(grid(target))})
+
+
+def shore_and_distance(px: DataFrame, keys: list[str], r: int = 2) -> DataFrame:
+    """Adds ``shore`` (ocean within ``r`` of land, and all waves) and ``distance`` to it."""
+
+    def make(grid) -> dict[str, np.ndarray]:
+        land = grid("land")
+        padded, near = np.pad(land, r), np.zeros(land.shape, bool)
+        for a, b in disk(r):
+            near |= padded[r + a:r + a + land.shape[0], r + b:r + b + land.shape[1]]
+        shore = near & grid("ocean") | grid("waves")
+        return {"shore": shore, "distance": squared_distance(shore)}
+
+    return _per_frame(px, keys, "shore: boolean, distance: double", make)
 
 
 def _mirrored(axis: str, size: int, r: int) -> Column:

@@ -35,11 +35,9 @@ def guard(px: DataFrame, cfg: DetectConfig, keys: list[str] = KEYS) -> DataFrame
     return px.join(seen.select(*keys), keys, "left_semi")
 
 
-def with_shore(px: DataFrame, keys: list[str] = KEYS, radius: int = 20) -> DataFrame:
-    """Adds ``shore`` and the pixel distance to it (NULL beyond ``radius``)."""
-    d = raster.dilate_dense(px, "land", keys, 2, "_near")
-    d = d.withColumn("shore", (C("_near") & C("ocean")) | C("waves")).drop("_near")
-    return raster.distance_to(d, "shore", keys, radius)
+def with_shore(px: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Adds ``shore`` and the pixel distance to it, without a limit (NULL only in frames that have no shore)."""
+    return raster.shore_and_distance(px, keys)
 
 
 def baselines(px: DataFrame, cfg: DetectConfig, keys: list[str] = KEYS) -> DataFrame:
@@ -97,9 +95,9 @@ def accept_edge(p: DataFrame, cfg: DetectConfig) -> DataFrame:
     return p.withColumn("is_edge", is_edge()).filter(F.when(C("is_edge"), edge).otherwise(inner))
 
 
-def regions_of(px: DataFrame, cfg: DetectConfig, thresholds: list[float] | None = None, keys: list[str] = KEYS, radius: int = 20) -> DataFrame:
+def regions_of(px: DataFrame, cfg: DetectConfig, thresholds: list[float] | None = None, keys: list[str] = KEYS) -> DataFrame:
     p = guard(with_waves(px, cfg), cfg, keys)
-    cold = cold_pixels(with_shore(p, keys, radius), baselines(p, cfg, keys), thresholds or [cfg.threshold], keys)
+    cold = cold_pixels(with_shore(p, keys), baselines(p, cfg, keys), thresholds or [cfg.threshold], keys)
     return measure(cold, cfg, keys)
 
 

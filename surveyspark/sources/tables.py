@@ -49,6 +49,18 @@ def pixels(spark: SparkSession, sf: str, colocate: list[str] | None = None) -> D
     )
 
 
+def wide_pixels(spark: SparkSession, sf: str) -> DataFrame:
+    """Rasters of 64 x 64: 64 stored ones side by side; land lies in one corner tile only, so the shore is far from most pixels."""
+    p = pixels(spark, sf)
+    tile = F.col("frame") % 64
+    corner = (tile == 0) & F.col("land")
+    return p.select(
+        F.expr("frame div 64").alias("frame"), "media",
+        F.expr("cast((frame % 64) div 8 * 8 + y as int)").alias("y"), F.expr("cast(frame % 8 * 8 + x as int)").alias("x"),
+        "raw", (~corner).alias("ocean"), corner.alias("land"), F.lit(False).alias("waves"),
+    ).drop("media")
+
+
 def captures(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("event_id")
     return table(spark, sf, "events").select(

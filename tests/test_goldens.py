@@ -85,7 +85,7 @@ def test_glint_scene(spark, bright, tenths):
     px, k = scene(spark, bright), detect.KEYS
     h = baseline.temp_hist(px, k)
     cfg = DetectConfig(threshold=1.0, min_area=50, max_shore=200.0, window=0)
-    p = detect.accept(detect.regions_of(px, cfg, radius=60), cfg)
+    p = detect.accept(detect.regions_of(px, cfg), cfg)
     cont = baseline.continuity(baseline.percentile_baseline(h, k, 0.5, out="median"), ["media"])
     v = glint.confidence(glint.rgb_evidence(px, k), glint.thermal_evidence(h, p, k), cont, None, k).first()
     assert (v.tenths, v.has_glint) == (tenths, bright)
@@ -94,7 +94,7 @@ def test_glint_scene(spark, bright, tenths):
 def test_full_size_plume(spark):
     px = scene(spark, False)
     cfg = DetectConfig(threshold=1.0, min_area=50, max_shore=200.0, window=0, camera=Camera())
-    r = detect.accept(detect.regions_of(px, cfg, radius=60), cfg).collect()
+    r = detect.accept(detect.regions_of(px, cfg), cfg).collect()
     assert len(r) == 1 and r[0].area == 90000 and (r[0].min_y, r[0].min_x, r[0].max_y, r[0].max_x) == (100, 200, 400, 500)
     assert r[0].cy == pytest.approx(249.5) and r[0].anomaly == pytest.approx(-4.8, abs=0.1)
     assert r[0].min_shore == pytest.approx(100 - 51)  # shoreline is the two ocean rows next to land
