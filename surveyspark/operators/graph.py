@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,22 +26,20 @@ def _star(e: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
     """(node, component) for every node of ``edges(src, dst)``; component is the smallest node.
 
     Alternating large-star and small-star contraction: O(log n) rounds, each a few shuffles of the edge
-    table, the lineage cut by a checkpoint in the shared folder.
+    table, each round's result kept in the shared folder (by a checkpoint unless ``keep`` does it otherwise).
     """
-    e = cut_lineage(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("u <> v").distinct())
+    e = keep(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("u <> v").distinct())
     mark = None
-    for _ in range(max_rounds):
-        e = cut_lineage(_star(_star(e, True), False))
+    while True:  # ends: each contraction lowers the sum of labels or leaves the table as it is
+        e = keep(_star(_star(e, True), False))
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
         mark = now
-    else:
-        raise RuntimeError("connected components did not settle")
     roots = e.select(F.col("v").alias("u")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         roots.select(F.col("u").alias("node"), F.col("u").alias("component"))

@@ -6,10 +6,12 @@ its nominal size.  Longitudes are taken as given (no wrap at 180 degrees).
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EARTH_RADIUS_M, METRES_PER_DEGREE
@@ -89,33 +91,68 @@ def distance_join(points: DataFrame, places: DataFrame, radius_m: float, metric:
     return d.select(*points.columns, F.inline(F.filter(pairs, lambda p: p["distance_m"] < radius_m)))
 
 
-def leaders(points: DataFrame, radius_m: float, metric: Metric = geo.haversine_m, stretch: float = 1.0, max_rounds: int = 10000) -> DataFrame:
+#: Cells along one side of a tile, and the open points that may stand for a cell in a round.
+TILE, FRONT = 256, 4
+
+
+def _settle_tile(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Front points of a tile that the first-come fold is sure to keep, in arrival order.
+
+    Rows: front point, another in reach, whether that is earlier, whether it covers, whether it ends its cell's front
+    (points behind it are unknown). One waits for whatever earlier point may yet be kept: an undecided or foreign one,
+    or the unknown ones behind a covered end.
+    """
+    state: dict[int, str] = {}
+    pdf = pdf.sort_values("ord", kind="stable")
+    rows = zip(pdf["ord"].tolist(), pdf["other"].tolist(), pdf["earlier"].tolist(), pdf["hit"].tolist(), pdf["ends"].tolist())
+    for ord_, group in itertools.groupby(rows, lambda r: r[0]):
+        verdict = "kept"
+        for _, other, earlier, hit, ends in group:
+            if not earlier:
+                continue
+            was = state.get(other)
+            if was == "kept" and hit:
+                verdict = "covered"
+                break
+            if not (was == "kept" or was == "covered" and not ends):
+                verdict = "open"
+        state[ord_] = verdict
+    return pd.DataFrame({"ord": [o for o, v in state.items() if v == "kept"]}, dtype="int64")
+
+
+def leaders(points: DataFrame, radius_m: float, metric: Metric = geo.haversine_m, stretch: float = 1.0) -> DataFrame:
     """The locations a first-come fold would keep: (ord, lat, lon), ``ord`` a unique arrival number.
 
     A point is kept exactly when no kept earlier point lies within the radius.  Cells are small enough that
     any two points of a cell are within the radius, so at most one point per cell survives and a cell is
-    represented by its earliest open point (a partial minimum, whatever the cell holds).  Each round keeps
-    the representatives that precede everything open in reach and retires all points they cover, until
-    none are open; rounds follow the longest chain of mutually close arrivals, not the number of points.
+    represented by its few earliest open points (limited before the exchange, whatever the cell holds).  Each round folds
+    these fronts of a tile in arrival order as far as they depend on nothing outside, then retires all points the
+    kept ones cover, until none are open.  The earliest open point is always kept, so every round makes progress;
+    rounds follow the number of tiles that a chain of mutually close arrivals runs through, not its points.
     """
     size = radius_m / math.sqrt(2) * 0.99 / stretch
     open_ = cut_lineage(points.select("ord", "lat", "lon", *cell(C("lat"), C("lon"), size)))
     kept = None
-    for _ in range(max_rounds):
-        reps = open_.groupBy("cy", "cx").agg(F.min_by(F.struct("ord", "lat", "lon"), "ord").alias("p"))
-        reps = cut_lineage(reps.select("cy", "cx", "p.ord", "p.lat", "p.lon"))
+    while True:
+        rank = F.row_number().over(Window.partitionBy("cy", "cx").orderBy("ord"))
+        reps = open_.withColumn("k", rank).filter(C("k") <= FRONT + 1)
+        more = F.max("k").over(Window.partitionBy("cy", "cx")) > FRONT
+        reps = cut_lineage(reps.withColumn("ends", more & (C("k") == FRONT)).filter(C("k") <= FRONT).drop("k"))
         if reps.isEmpty():
             break
-        look = reps.select("ord", F.inline(reach(C("lat"), C("lon"), radius_m, size, stretch)))
-        ahead = look.join(reps.select("cy", "cx", C("ord").alias("other")), ["cy", "cx"]).groupBy("ord").agg(F.min("other").alias("first"))
-        new = cut_lineage(reps.join(ahead.filter("first = ord").select("ord"), "ord", "left_semi").select("ord", "lat", "lon"))
+        tile = [F.floor(C("cy") / TILE).alias("ty"), F.floor(C("cx") / TILE).alias("tx")]
+        look = reps.select(*tile, "ord", "lat", "lon", F.inline(reach(C("lat"), C("lon"), radius_m, size, stretch)))
+        other = reps.select("cy", "cx", C("ord").alias("other"), C("lat").alias("lat0"), C("lon").alias("lon0"), "ends")
+        hit = metric(C("lat"), C("lon"), C("lat0"), C("lon0")) < radius_m
+        pairs = look.join(other, ["cy", "cx"]).select("ty", "tx", "ord", "other", (C("other") < C("ord")).alias("earlier"), hit.alias("hit"), "ends")
+        pairs = pairs.filter("earlier or other = ord")  # one's own row keeps those without an earlier one
+        sure = pairs.groupBy("ty", "tx").applyInPandas(_settle_tile, "ord long")
+        new = cut_lineage(reps.join(sure, "ord", "left_semi").select("ord", "lat", "lon"))
         kept = new if kept is None else kept.union(new)
         near = near_lists(new, radius_m, size, ["ord", "lat", "lon"], stretch)
         j = open_.join(near, ["cy", "cx"], "left")
         covered = F.exists("near", lambda p: (p["ord"] == C("ord")) | (metric(C("lat"), C("lon"), p["lat"], p["lon"]) < radius_m))
         open_ = cut_lineage(j.filter(~F.coalesce(covered, F.lit(False))).select("ord", "lat", "lon", "cy", "cx"))
-    else:
-        raise RuntimeError("locations did not settle")
     return kept if kept is not None else points.select("ord", "lat", "lon").limit(0)
 
 

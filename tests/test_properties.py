@@ -121,6 +121,18 @@ def test_fold_equals_sequential(spark, seed, radius):
     assert got == sequential(pts, radius)
 
 
+def test_a_long_line_settles_in_few_rounds(spark, monkeypatch):
+    """A flight line of 2,000 sightings 6 m apart, which a round of single steps would need 1,000 rounds for."""
+    pts = [(i, -27.16 + i * 6 / 111195.0, -109.44) for i in range(2000)]
+    d = spark.createDataFrame(pts, "ord long, lat double, lon double")
+    rounds = []
+    cut = spatial.cut_lineage
+    monkeypatch.setattr(spatial, "cut_lineage", lambda x: rounds.append(1) or cut(x))
+    got = {r.ord for r in spatial.leaders(d, 10.0).collect()}
+    assert got == set(sequential(pts, 10.0).values())
+    assert (len(rounds) - 2) // 3 <= 10
+
+
 def test_negative_radius_switches_folding_off(spark):
     d = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 0.0)], "ord long, lat double, lon double")
     assert rows(spatial.assign(d, -1.0), "ord", "location") == [(1, 1), (2, 2)]
