@@ -31,7 +31,7 @@ class MergeEncoder:
     hash, so frequent ones are computed once and kept in a bounded table.
     """
 
-    def __init__(self, name: str, dropout: float, seed: int, variants: int = 4, limit: int = 800_000, wide: int = 40):
+    def __init__(self, name: str, dropout: float, seed: int, variants: int = 4, limit: int = 400_000, wide: int = 40):
         import public_tokenizers
         import sentencepiece
 
@@ -223,24 +223,30 @@ def encoder(name: str, dropout: float, seed: int) -> MergeEncoder:
     return kept[name, dropout, seed]
 
 
-def _encode(batches: Iterator[pa.RecordBatch], keep: list[str], id_col: str, text: str, name: str, dropout: float, seed: int) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, text):
+def _encode(batches: Iterator[pa.RecordBatch], keep: list[str], id_col: str, text: str, name: str, dropout: float, seed: int, verify: bool) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches, text, 1 << 20):
         keys = [hash(k) if isinstance(k, int) else zlib.crc32(str(k).encode()) for k in b.column(id_col).to_pylist()]
-        ids = encoder(name, dropout, seed).encode([t or "" for t in b.column(text).to_pylist()], keys)
-        yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(ids, pa.binary())], [*keep, "ids"])
+        coder, texts = encoder(name, dropout, seed), [t or "" for t in b.column(text).to_pylist()]
+        ids = coder.encode(texts, keys)
+        out = [b.column(c) for c in keep] + [pa.array(ids, pa.binary())]
+        if verify:
+            out.append(pa.array([a == t.replace("▁", " ") for a, t in zip(coder.decode(ids), texts)], pa.bool_()))
+        yield pa.RecordBatch.from_arrays(out, [*keep, "ids"] + ["lossless"] * verify)
 
 
-def encode_pieces(docs: DataFrame, name: str = "piece_bpe_32k.model", dropout: float = 0.1, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def encode_pieces(docs: DataFrame, name: str = "piece_bpe_32k.model", dropout: float = 0.1, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, verify: bool = False) -> DataFrame:
     """Columns ``carry`` of every row (all but the text by default) with ``ids``, little-endian unsigned 32-bit binary.
 
+    ``verify`` decodes the ids in the same pass and adds ``lossless``, whether they give the text again.
+
     One pass, no shuffle; the same seed gives the same ids wherever and however often a task runs, another seed other
     segmentations. Null and empty texts have no ids. U+2581, by which the vocabulary writes the space, is encoded as a
     space. Rows repeating an id and text get equal ids. No rows give no rows.
     """
     keep = [c for c in docs.columns if c != text_col] if carry is None else carry
-    kind = schema_of(docs, keep, "ids binary")
+    kind = schema_of(docs, keep, "ids binary" + ", lossless boolean" * verify)
     read = list(dict.fromkeys([*keep, id_col, text_col]))
-    return docs.select(*read).mapInArrow(lambda it: _encode(it, keep, id_col, text_col, name, dropout, seed), kind)
+    return docs.select(*read).mapInArrow(lambda it: _encode(it, keep, id_col, text_col, name, dropout, seed, verify), kind)
 
 
 def decode_pieces(rows: DataFrame, name: str = "piece_bpe_32k.model", ids_col: str = "ids", into: str = "decoded") -> DataFrame:

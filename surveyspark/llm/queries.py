@@ -15,7 +15,7 @@ from .counts import token_counts
 from .exact import exact_dedup
 from .forest import near_duplicates
 from .license import oracle_sql as license_sql, scan_licenses
-from .merges import decode_pieces, encode_pieces
+from .merges import encode_pieces
 from .ordinal import classify, ratings_of, train
 from .packing import pack
 from .suffixes import remove_repeats
@@ -111,12 +111,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes and checksum of the sampled ids of every text, and whether they decode to it."""
-    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = decode_pieces(encode_pieces(docs, dropout=0.1, seed=1, carry=["doc_id", "text"]))
-    return rows.select(
-        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"),
-        F.crc32("ids").alias("ids_crc32"), (F.col("decoded") == F.translate("text", "\u2581", " ")).alias("lossless"),
-    )
+    docs = documents(spark, sf_dir).withColumn("n_bytes", F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))
+    rows = encode_pieces(docs, dropout=0.1, seed=1, carry=["doc_id", "n_bytes"], verify=True)
+    return rows.select("doc_id", "n_bytes", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), "lossless")
 
 
 QUERIES["pipeline"] = corpus_pipeline.run
