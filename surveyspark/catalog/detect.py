@@ -13,9 +13,9 @@ from ..operators import regions
 from ..operators.ordered import neighbours, with_index
 from ..plans import detect as D
 from ..plans import segment as S
-from ..sources.tables import SMALL, H, W, captures, pixels
+from ..sources.tables import SMALL, H, W, captures, named_frames, pixels
 from .base import query
-from .baselines import _CONT, _MODAL, _TRIM, KEYS, hist, lagged, rounded
+from .baselines import _CONT, _MODAL, _TRIM, KEYS, hav_sql, hist, lagged, rounded
 from .rasters import SOBEL, _box_sql, dense
 from .scalars import LABX, PXC
 from .views import VIEWS, components, dilated, eroded, plumes
@@ -39,6 +39,11 @@ def shown(d, *extra):
     return d.select(*extra, "frame", "region", "area", *[F.round(c, 6).alias(c) for c in six], F.round("eccentricity", 5).alias("eccentricity"))
 
 
+def directories(captures_):
+    """The capture log with the directory of each frame."""
+    return captures_.withColumn("media", (F.lit(100) + C("frame") % 8).cast("int"))
+
+
 def found(spark, sf):
     return D.detect(by_directory(spark, sf), SMALL)
 
@@ -235,7 +240,7 @@ def verdict(spark, sf):
     med = B.percentile_baseline(h, KEYS, 0.5, out="median")
     cont = B.continuity(med, ["media"])
     # Headings come from the capture log; the turn is taken between successive frames of a directory.
-    hd = cont.select(*KEYS, "idx").join(captures(spark, sf).select("frame", "heading"), "frame")
+    hd = cont.select(*KEYS, "idx").join(directories(captures(spark, sf)).select(*KEYS, "heading"), KEYS)
     turns = neighbours(hd, ["media"], {"ph": lambda w: F.lag("heading").over(w)})
     turns = turns.withColumn("rapid", F.abs(geo.turn_deg(C("heading"), C("ph"))) > 15)
     th = GL.thermal_evidence(h, D.detect(p, SMALL), KEYS, round_area=5)
@@ -249,8 +254,8 @@ def glint_confidence(spark, sf):
 
 @query("glint_filter", f"select frame from px where frame not in (select frame from ({_CONF}) where tenths >= 5) group by frame")
 def glint_filter(spark, sf):
-    flagged = verdict(spark, sf).filter("has_glint").select("frame")
-    return pixels(spark, sf).select("frame").distinct().join(flagged, "frame", "left_anti")
+    flagged = verdict(spark, sf).filter("has_glint").select(*KEYS)
+    return pixels(spark, sf).select(*KEYS).distinct().join(flagged, KEYS, "left_anti").select("frame")
 
 
 @query("detect_with_glint", f"select {_OUT} from found where frame not in (select frame from ({_CONF}) where tenths > 7)")
@@ -320,8 +325,8 @@ def plume_continuity(spark, sf):
     s = f.select(*KEYS, "region", "anomaly", F.inline(sides))
     order = with_index(p.filter("ocean").select(*KEYS).distinct(), ["media"], "frame")
     nxt = neighbours(order, ["media"], {"nxt": lambda w: F.lead("frame").over(w)}, before=0, after=1).select(*KEYS, "nxt").filter("nxt is not null")
-    b = s.select(C("frame").alias("nxt"), C("side").alias("opposite"), C("anomaly").alias("other"))
-    j = s.join(nxt, KEYS).join(b, ["nxt", "opposite"])
+    b = s.select("media", C("frame").alias("nxt"), C("side").alias("opposite"), C("anomaly").alias("other"))
+    j = s.join(nxt, KEYS).join(b, ["media", "nxt", "opposite"])
     return j.groupBy("frame", "region", "side").agg(
         F.count(F.lit(1)).alias("candidates"), F.round(F.min(F.abs(C("anomaly") - C("other"))), 6).alias("best_difference")
     )
@@ -337,7 +342,7 @@ def plume_continuity(spark, sf):
 def georeference_plumes(spark, sf):
     from ..plans.survey import georeference
 
-    d = georeference(found(spark, sf), captures(spark, sf), SMALL)
+    d = georeference(found(spark, sf), directories(captures(spark, sf)), SMALL)
     return d.select(
         "frame", "region", "area", F.round("plat", 8).alias("plat"), F.round("plon", 8).alias("plon"),
         F.round("area_m2", 4).alias("area_m2"), F.round("area_px001_m2", 4).alias("area_px001_m2"),
@@ -519,3 +524,47 @@ def composite_map(spark, sf):
     flags = confidence(spark, sf).join(cold, [*KEYS, "y", "x"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
     n = pixels(spark, sf).select(*KEYS).distinct().groupBy("media").agg(F.count(F.lit(1)).alias("n_frames"))
     return rounded(D.composite(flags, n, ["media"]))
+
+
+# ---- whole surveys -----------------------------------------------------------------------------
+
+_NAMED = """case when f.frame % 16 < 8 then 'north' else 'south' end as survey, concat(100 + f.frame % 8, 'MEDIA') as media, f.frame // 16 as frame"""
+VIEWS["flown"] = f"""select *, row_number() over (order by survey, media, frame, region) - 1 as ord from (
+  select {_NAMED}, f.region, f.area, f.anomaly, lat + (e*sin(radians(-heading)) + n*cos(radians(-heading)))/111320 as plat,
+    lon + (e*cos(radians(-heading)) - n*sin(radians(-heading)))/(111320*cos(radians(lat))) as plon, f.area*gsd*gsd as area_m2
+  from (select f.*, c.lat, c.lon, c.heading, 2*c.altitude*tan(radians(22.5))/8 as gsd, (cx-4)*2*c.altitude*tan(radians(22.5))/8 as e, -(cy-4)*2*c.altitude*tan(radians(22.5))/8 as n
+    from found f join captures c using (frame)) f)"""
+
+
+def survey(spark, sf, **more):
+    from ..plans.survey import FRAME_KEY, run_survey
+
+    px = named_frames(pixels(spark, sf)).repartition(*FRAME_KEY)
+    return run_survey(px, named_frames(captures(spark, sf)), replace(SMALL, window=0, dedup_m=60.0), **more)
+
+
+@query(
+    "run_survey",
+    "select survey, media, frame, region, ord, area, round(plat,8) as plat, round(plon,8) as plon, round(area_m2,4) as area_m2 from flown",
+)
+def run_survey_detections(spark, sf):
+    """Both surveys in one call; frame numbers repeat in every directory."""
+    det, _ = survey(spark, sf)
+    return det.select("survey", "media", "frame", "region", "ord", "area", F.round("plat", 8).alias("plat"), F.round("plon", 8).alias("plon"), F.round("area_m2", 4).alias("area_m2"))
+
+
+VIEWS["flown_r"] = """select 1::bigint as k, [{'ord': ord, 'lat': plat, 'lon': plon, 'cnt': 1, 'area': area_m2}] as ls from flown where ord = 0 union all
+  select r.k + 1, case when r.hit is null then list_append(r.ls, {'ord': s.ord, 'lat': s.plat, 'lon': s.plon, 'cnt': 1, 'area': s.area_m2})
+    else list_transform(r.ls, lambda l, i: case when i = r.hit then {'ord': l.ord, 'lat': l.lat, 'lon': l.lon, 'cnt': l.cnt + 1, 'area': greatest(l.area, s.area_m2)} else l end) end
+  from (select r.k, r.ls, list_min(list_filter(range(1, len(r.ls) + 1), lambda j: HAV < 60)) as hit
+    from flown_r r join flown s on s.ord = r.k) r join flown s on s.ord = r.k""".replace("HAV", hav_sql("s.plat", "s.plon", "r.ls[j].lat", "r.ls[j].lon"))
+
+
+@query(
+    "run_campaign",
+    "select u.ord as location, round(u.lat,8) as lat, round(u.lon,8) as lon, u.cnt as detection_count, round(u.area,4) as area_m2 from (select unnest(ls) as u from (select ls from flown_r order by k desc limit 1))",
+)
+def run_campaign(spark, sf):
+    """Unique locations over all surveys, in the order of survey, directory, frame and region."""
+    _, places = survey(spark, sf)
+    return places.select("location", F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"), "detection_count", F.round("area_m2", 4).alias("area_m2"))

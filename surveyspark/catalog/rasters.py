@@ -466,8 +466,8 @@ def frame_difference(spark, sf):
     nxt = neighbours(
         with_index(p.select("media", "frame").distinct(), ["media"], "frame"), ["media"], {"next": lambda w: F.lead("frame").over(w)}, before=0, after=1
     ).filter("next is not null").select("media", "frame", "next")
-    b = p.select(C("frame").alias("next"), "y", "x", C("raw").alias("raw2"))
-    j = p.join(nxt, ["media", "frame"]).join(b, ["next", "y", "x"])
+    b = p.select("media", C("frame").alias("next"), "y", "x", C("raw").alias("raw2"))
+    j = p.join(nxt, ["media", "frame"]).join(b, ["media", "next", "y", "x"])
     d = C("raw2") - C("raw")
     return j.groupBy("media", "frame").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg(d), 6).alias("mean_diff"), F.max(F.abs(d)).alias("max_abs")

@@ -140,7 +140,8 @@ def leaders(points: DataFrame, radius_m: float, metric: Metric = geo.haversine_m
         reps = cut_lineage(reps.withColumn("ends", more & (C("k") == FRONT)).filter(C("k") <= FRONT).drop("k"))
         if reps.isEmpty():
             break
-        tile = [F.floor(C("cy") / TILE).alias("ty"), F.floor(C("cx") / TILE).alias("tx")]
+        ty = F.floor(C("cy") / TILE)  # one longitude step a row of tiles: columns of cells drift from row to row
+        tile = [ty.alias("ty"), F.floor(C("lon") / (_lon_step(ty * TILE, size) * TILE)).alias("tx")]
         look = reps.select(*tile, "ord", "lat", "lon", F.inline(reach(C("lat"), C("lon"), radius_m, size, stretch)))
         other = reps.select("cy", "cx", C("ord").alias("other"), C("lat").alias("lat0"), C("lon").alias("lon0"), "ends")
         hit = metric(C("lat"), C("lon"), C("lat0"), C("lon0")) < radius_m

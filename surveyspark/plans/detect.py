@@ -95,6 +95,13 @@ def accept_edge(p: DataFrame, cfg: DetectConfig) -> DataFrame:
     return p.withColumn("is_edge", is_edge()).filter(F.when(C("is_edge"), edge).otherwise(inner))
 
 
+def labelled(px: DataFrame, cfg: DetectConfig, keys: list[str] = KEYS, connectivity: int = 8) -> DataFrame:
+    """Pixels of the cold regions with their region number, for outlines."""
+    p = guard(with_waves(px, cfg), cfg, keys)
+    cold = cold_pixels(p, baselines(p, cfg if cfg.window > 1 else replace(cfg, window=0), keys), [cfg.threshold], keys)
+    return regions.label_regions(cold, [*keys, "threshold"], cfg.camera.width, connectivity)
+
+
 def regions_of(px: DataFrame, cfg: DetectConfig, thresholds: list[float] | None = None, keys: list[str] = KEYS) -> DataFrame:
     p = guard(with_waves(px, cfg), cfg, keys)
     cold = cold_pixels(with_shore(p, keys), baselines(p, cfg, keys), thresholds or [cfg.threshold], keys)

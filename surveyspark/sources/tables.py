@@ -61,6 +61,14 @@ def wide_pixels(spark: SparkSession, sf: str) -> DataFrame:
     ).drop("media")
 
 
+def named_frames(d: DataFrame) -> DataFrame:
+    """Frames of two surveys with eight directories each, numbered from 0 in every directory, as cameras do."""
+    f = F.col("frame")
+    return d.withColumns({
+        "survey": F.when(f % 16 < 8, "north").otherwise("south"), "media": F.concat(F.lit(100) + f % 8, F.lit("MEDIA")), "frame": F.expr("frame div 16"),
+    })
+
+
 def captures(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("event_id")
     return table(spark, sf, "events").select(
