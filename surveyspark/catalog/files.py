@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import colour, geo, rings, text
 from ..operators import spatial, state
 from ..operators.ordered import with_index
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_folder
 from ..sinks import exports as X
 from ..sources import files as S
 from ..sources.tables import H, W, boxes, captures, detections, pixels, table
@@ -140,8 +140,8 @@ def scan_detection_json(spark, sf):
 def scan_location_json(spark, sf):
     """Both document layouts, one location each."""
     rec = F.array(F.struct("frame", "lat", "lon", "area_m2"))
-    doc = F.when(C("frame") % 2 == 0, F.to_json(F.struct(rec.alias("sgd_locations")))).otherwise(F.to_json(rec))
-    d = detections(spark, sf).select(doc.alias("doc")).select(F.inline(S.location_records(C("doc"))))
+    doc = F.when(C("frame") % 2 == 0, F.to_json(F.struct(rec.alias("locations")))).otherwise(F.to_json(rec))
+    d = detections(spark, sf).select(doc.alias("doc")).select(F.inline(S.location_records(C("doc"), "locations")))
     return rounded(d.select("frame", F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"), "area_m2"), 8)
 
 
@@ -165,8 +165,7 @@ def _state_folder(spark) -> str:
     """A fresh folder in the shared checkpoint area."""
     import uuid
 
-    cut_lineage(spark.range(1))
-    return f"{spark.sparkContext.getCheckpointDir()}/state-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/state-{uuid.uuid4().hex}"
 
 
 @query("scan_survey_state", "select location, round(lat,8) as lat, round(lon,8) as lon, first_frame, last_frame, detection_count, area_m2, geometry_frame from fold")

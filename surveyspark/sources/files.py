@@ -35,14 +35,19 @@ def pairs(spark: SparkSession, root: str, rgb: str = "MAX_*.JPG", thermal: str =
 
 
 def decode_thermal(files: DataFrame, keys: list[str], width: int = 640, height: int = 512) -> DataFrame:
-    """Raw files (keys, content) to (keys, raw array<int>): little-endian 16-bit body after any header."""
-    schema = ", ".join(f"{n} {t}" for n, t in files.select(*keys).dtypes) + ", raw array<int>"
+    """Raw files (keys, content) to (keys, raw array<int>, error): little-endian 16-bit body after any header.
+
+    A file shorter than one raster has no raster, and says so in ``error``.
+    """
+    schema = ", ".join(f"{n} {t}" for n, t in files.select(*keys).dtypes) + ", raw array<int>, error string"
     body = width * height * 2
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["raw"] = [np.frombuffer(c[max(len(c) - body, 0):][:body], dtype="<u2").astype(np.int32) for c in b["content"]]
-            yield b[[*keys, "raw"]]
+            whole = [len(c) >= body for c in b["content"]]
+            b["raw"] = [np.frombuffer(c[len(c) - body:], dtype="<u2").astype(np.int32) if w else None for c, w in zip(b["content"], whole)]
+            b["error"] = [None if w else f"{len(c)} of {body} bytes" for c, w in zip(b["content"], whole)]
+            yield b[[*keys, "raw", "error"]]
 
     return files.select(*keys, "content").mapInPandas(decode, schema)
 
@@ -60,15 +65,22 @@ def read_thermal(spark: SparkSession, root: str, width: int = 640, height: int =
 
 
 def read_rgb(spark: SparkSession, root: str) -> DataFrame:
-    """Decoded images as (path, y, x, r, g, b); bytes come as blue, green, red."""
-    d = spark.read.format("image").option("recursiveFileLookup", "true").load(root).select("image.*")
-    i = C("p") * 3 + 1
-    px = d.select("origin", "width", "data", F.explode(F.sequence(F.lit(0), C("width") * C("height") - 1)).alias("p"))
-    byte = lambda k: F.conv(F.hex(F.substring("data", i + k, F.lit(1))), 16, 10).cast("int")
-    return px.select(
-        C("origin").alias("path"), F.expr("cast(p div width as int)").alias("y"), F.expr("cast(p % width as int)").alias("x"),
-        byte(2).alias("r"), byte(1).alias("g"), byte(0).alias("b"),
-    )
+    """Decoded images as (path, y, x, r, g, b), with one, three or four channels (grey, colour, colour and alpha).
+
+    Bytes come as blue, green, red; they become one array a line in a vectorised step and are exploded last.
+    """
+    d = spark.read.format("image").option("recursiveFileLookup", "true").load(root)
+    d = d.select(C("image.origin").alias("path"), "image.height", "image.width", "image.nChannels", "image.data")
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, height, width, channels, data in batch.itertuples(index=False):
+                image = np.frombuffer(data, np.uint8).reshape(height, width, channels).astype(np.int32)
+                r, g, b = (image[:, :, k if channels >= 3 else 0] for k in (2, 1, 0))
+                yield pd.DataFrame({"path": path, "y": np.arange(height, dtype=np.int32), "r": list(r), "g": list(g), "b": list(b)})
+
+    rows = d.mapInPandas(lines, "path string, y int, r array<int>, g array<int>, b array<int>")
+    return rows.select("path", "y", F.posexplode(F.arrays_zip("r", "g", "b")).alias("x", "p")).select("path", "y", "x", "p.r", "p.g", "p.b")
 
 
 # ---- capture metadata --------------------------------------------------------------------------
@@ -123,16 +135,28 @@ def _metadata(b: bytes) -> dict:
     return row
 
 
-def metadata(files: DataFrame, keys: list[str], head: int = 131072) -> DataFrame:
-    """Position, heading and time of (keys, content); only the head of each file is shipped to Python."""
+def _head(b: bytes) -> bytes:
+    """The segments of a JPEG file before its image data, found by their lengths; any other file whole."""
+    at = 2
+    if b[:2] != b"\xff\xd8":
+        return b
+    while at + 4 <= len(b) and b[at] == 0xFF:
+        if b[at + 1] == 0xDA:
+            return b[:at]
+        at += 2 + int.from_bytes(b[at + 2:at + 4], "big")
+    return b  # no well-formed segments
+
+
+def metadata(files: DataFrame, keys: list[str]) -> DataFrame:
+    """Position, heading and time of (keys, content), from all segments before the image data."""
     schema = ", ".join(f"{n} {t}" for n, t in files.select(*keys).dtypes) + ", " + META
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            tags = pd.DataFrame([_metadata(bytes(c)) for c in b["content"]], index=b.index, dtype=object)
+            tags = pd.DataFrame([_metadata(_head(bytes(c))) for c in b["content"]], index=b.index, dtype=object)
             yield pd.concat([b[keys], tags], axis=1)
 
-    d = files.select(*keys, F.substring("content", 1, head).alias("content")).mapInPandas(parse, schema)
+    d = files.select(*keys, "content").mapInPandas(parse, schema)
     dms = lambda c, ref: geo.dms_to_decimal(C(c)[0], C(c)[1], C(c)[2], C(ref))
     return d.select(
         *keys,
@@ -156,7 +180,7 @@ def detection_records(doc: Column, schema: str = "struct<detections:array<struct
     return F.from_json(doc, schema)["detections"]
 
 
-def location_records(doc: Column, key: str = "sgd_locations", item: str = LOCATION) -> Column:
+def location_records(doc: Column, key: str, item: str = LOCATION) -> Column:
     """Locations of a summary document: under the key, or the document itself when it is a list.
 
     A document cut off in the middle yields what the parser could still read.
@@ -166,7 +190,7 @@ def location_records(doc: Column, key: str = "sgd_locations", item: str = LOCATI
     return F.when(F.ltrim(doc).startswith("["), listed).otherwise(keyed)
 
 
-def read_locations(spark: SparkSession, path: str, key: str = "sgd_locations") -> DataFrame:
+def read_locations(spark: SparkSession, path: str, key: str) -> DataFrame:
     docs = spark.read.text(path, wholetext=True)
     return docs.select(F.inline(location_records(C("value"), key)))
 

@@ -39,6 +39,24 @@ def run_to_parquet(stream: DataFrame, folder: str, mode: str = "append") -> Data
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+def drain(build: Callable[[DataFrame], DataFrame], frames: DataFrame, folder: str, time: str = "ts") -> DataFrame:
+    """``build(frames)`` drained into parquet, then closed: windows that were still open at the end are delivered too.
+
+    The stream also listens to a folder of closing marks. When everything has arrived, one mark far ahead of the last
+    event moves the watermark past all open windows; its own window never closes, so it leaves no row.
+    """
+    spark = frames.sparkSession
+    marks = f"{folder}/marks"
+    spark.createDataFrame([], frames.schema).write.parquet(f"{marks}/none")
+    read = spark.readStream.schema(frames.schema).option("recursiveFileLookup", "true").parquet(marks)
+    stream = build(frames.unionByName(read))
+    run_to_parquet(stream, folder)
+    far = F.to_timestamp(F.lit("2200-01-01 00:00:00"))
+    row = [far.alias(f.name) if f.name == time else F.lit(None).cast(f.dataType).alias(f.name) for f in frames.schema]
+    spark.range(1).select(*row).write.parquet(f"{marks}/end")
+    return run_to_parquet(stream, folder)
+
+
 def hourly_rate(frames: DataFrame, width: str = "30 minutes", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Captures and detections per event-time window; rows later than the watermark are dropped."""
     w = F.window("ts", width, slide) if slide else F.window("ts", width)

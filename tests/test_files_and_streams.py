@@ -2,6 +2,8 @@
 
 import datetime as dt
 import os
+import struct
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -34,6 +36,49 @@ def test_thermal_files_and_pairing(spark, tmp_path):
     assert str(a.ts) == "2023-07-01 16:23:58" and b.lat is None and b.heading == 269.5 and b.heading_source == "xmp"
 
 
+def png(pixels: np.ndarray) -> bytes:
+    """Grey, colour or colour-and-alpha image of 8-bit samples."""
+    h, w, c = pixels.shape
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    head = struct.pack(">IIBBBBB", w, h, 8, {1: 0, 3: 2, 4: 6}[c], 0, 0, 0)
+    rows = b"".join(b"\0" + r.tobytes() for r in pixels.astype(np.uint8))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def test_images_of_any_channels(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    want = {}
+    for c in (1, 3, 4):
+        p = rng.integers(0, 256, (5, 7, c))
+        p[:, :, 3:] = 255
+        (tmp_path / f"{c}.png").write_bytes(png(p))
+        want |= {(f"{c}.png", y, x): tuple(int(p[y, x, min(k, c - 1)]) for k in range(3)) for y in range(5) for x in range(7)}
+    got = {(os.path.basename(r.path), r.y, r.x): (r.r, r.g, r.b) for r in files.read_rgb(spark, str(tmp_path)).collect()}
+    assert {k: v for k, v in got.items() if k[0] != "1.png"} == {k: v for k, v in want.items() if k[0] != "1.png"}
+    grey = [v for k, v in got.items() if k[0] == "1.png"]
+    assert len(grey) == 35 and all(r == g == b for r, g, b in grey)
+
+
+def test_short_and_late_headed_files(spark, tmp_path):
+    (tmp_path / "IRX_0001.irg").write_bytes(b"\1" * 100)
+    f = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content")
+    r = files.decode_thermal(f, ["path"]).first()
+    assert r.raw is None and r.error == "100 of 655360 bytes"
+    exif = exif_blob(-27.161, -109.443, 414.24, 37.0, "2023:07:01 16:23:58")
+    assert exif[:2] == b"\xff\xd8"
+    padding = b"".join(b"\xff\xe2\xff\xff" + b"\0" * 65533 for _ in range(4))  # segments that push the position behind 128 KiB
+    spark.createDataFrame([("a", exif[:2] + padding + exif[2:])], "path string, content binary").createOrReplaceTempView("late")
+    assert abs(files.metadata(spark.table("late"), ["path"]).first().lat + 27.161) < 1e-8
+
+
+def test_listing_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        (tmp_path / "in" / f"MAX_{i:04d}.JPG").write_bytes(b"x" * (i + 1))
+    d = streams.run_to_parquet(streams.read_listing(spark, str(tmp_path / "in"), files_per_trigger=1), str(tmp_path / "work"))
+    assert sorted(r.length for r in d.collect()) == [1, 2, 3]
+
+
 def test_exports_read_back(spark, sf, tmp_path):
     d = export_rows(spark, sf)
     n = d.count()
@@ -48,9 +93,9 @@ def test_exports_read_back(spark, sf, tmp_path):
 
 
 def test_truncated_location_document(spark, tmp_path):
-    (tmp_path / "a.json").write_text('{"metadata": {}, "sgd_locations": [{"frame": 1, "lat": -27.1, "lon": -109.4, "area_m2": 55.7}]}')
+    (tmp_path / "a.json").write_text('{"metadata": {}, "sites": [{"frame": 1, "lat": -27.1, "lon": -109.4, "area_m2": 55.7}]}')
     (tmp_path / "b.json").write_text('[{"frame": 2, "lat": -27.2, "lon": -109.5, "area_m2": 3.0}]')
-    assert sorted(r.frame for r in files.read_locations(spark, str(tmp_path)).collect()) == [1, 2]
+    assert sorted(r.frame for r in files.read_locations(spark, str(tmp_path), "sites").collect()) == [1, 2]
 
 
 def test_state_versions(spark, tmp_path):
