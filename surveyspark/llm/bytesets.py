@@ -88,8 +88,20 @@ def runs(data: np.ndarray, off: np.ndarray, word: np.ndarray) -> tuple[np.ndarra
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte range: a polynomial from prefix sums, then mixed with the length."""
-    n = len(data)
+    """64-bit hash of each byte range: a polynomial from prefix sums, then mixed with the length.
+
+    Long buffers are taken in parts, since the sums need some 40 bytes for each; ranges must then start in order.
+    """
+    n, part = len(data), 1 << 21
+    if n > part and len(starts) > 1:
+        out, i = np.empty(len(starts), np.uint64), 0
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(starts, starts[i] + part // 2, "right")))
+            a, e = int(starts[i]), int(ends[i:j].max())
+            out[i:j] = hashes(data[a:e], starts[i:j] - a, ends[i:j] - a) if e - a <= part or j == i + 1 else np.concatenate(
+                [hashes(data[x:y], np.zeros(1, np.int64), np.array([y - x])) for x, y in zip(starts[i:j].tolist(), ends[i:j].tolist())])
+            i = j
+        return out
     size = 1 << max(21, int(n).bit_length())
     up, down = _powers(size)
     sums = np.zeros(n + 1, np.uint64)

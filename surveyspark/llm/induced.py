@@ -56,8 +56,9 @@ class InducedSorter:
         self.share = memory // 256
         n, t = self.n, self.text
         # S where the next different byte is larger
-        differs = np.flatnonzero(t[:-1] != t[1:])
-        at = np.searchsorted(differs, np.arange(n))
+        changes = t[:-1] != t[1:]
+        differs = np.flatnonzero(changes)
+        at = np.cumsum(changes)[:n] - changes[:n]
         self.small = t[differs[at]] < t[differs[at] + 1]
         wide = np.lib.stride_tricks.sliding_window_view(self.text, _WORD)
         self.words = np.ascontiguousarray(wide).view(">u8").ravel().astype(np.uint64)
@@ -78,35 +79,67 @@ class InducedSorter:
     def _starts(self) -> tuple[np.ndarray, np.ndarray]:
         """LMS suffixes in order and their prefixes with the one before."""
         pos = np.flatnonzero(self.small[1:] & ~self.small[:-1]) + 1
-        keys = [self.words[pos + s] for s in range(self.depth // _WORD * _WORD, -1, -_WORD)]
-        pos = pos[np.lexsort(keys)]
+        pos = pos[np.argsort(self.words[pos])]
+        group = np.cumsum(np.append(False, self.words[pos[1:]] != self.words[pos[:-1]])[:len(pos)])
+        tied = np.arange(len(pos))
+        for step in range(_WORD, self.depth + _WORD, _WORD):  # only what is still tied is told apart by its next bytes
+            g = group[tied]
+            same = g[1:] == g[:-1]
+            if not same.any():
+                break
+            twin = np.append(False, same) | np.append(same, False)
+            tied, g = tied[twin], g[twin]
+            word = self.words[pos[tied] + step]
+            order = np.argsort(word)
+            order = order[np.argsort(g[order], kind="stable")]
+            pos[tied], word = pos[tied][order], word[order]
+            fresh = np.append(False, (g[1:] == g[:-1]) & (word[1:] != word[:-1]))
+            bump = np.zeros(len(pos), np.int64)
+            bump[tied] = fresh
+            group = group + np.cumsum(bump)
         lcp = np.zeros(len(pos), np.uint8)
         lcp[1:] = self.prefix(pos[:-1], pos[1:])
         return pos, lcp
 
     def _induce(self, pos: np.ndarray, lcp: np.ndarray, want_small: bool, low: np.ndarray, queues: list[DiskQueue]) -> None:
         """Pushes the suffixes one byte longer; their prefixes are one more than the least between their sources."""
-        upto = np.minimum.accumulate(lcp)
         use = np.flatnonzero((pos > 0) & (self.small[pos - 1] == want_small))
         byte = self.text[pos[use] - 1]
         order = np.argsort(byte, kind="stable")
         use, byte = use[order], byte[order]
-        cut = np.flatnonzero(np.append(True, byte[1:] != byte[:-1])) if len(use) else []
+        upto, after = np.minimum.accumulate(lcp), np.minimum.accumulate(lcp[::-1])[::-1]
         seen = np.zeros(256, bool)
-        for a, b in zip(cut, [*cut[1:], len(use)]):
-            i, c = use[a:b], int(byte[a])
-            least = np.empty(len(i), np.int64)
-            least[0] = min(low[c], upto[i[0]])
-            if len(i) > 1:
-                least[1:] = np.minimum.reduceat(lcp[:i[-1] + 1], i[:-1] + 1)
+        if len(use):
+            first = np.append(True, byte[1:] != byte[:-1])
+            least = np.minimum(low[byte], upto[use])
+            rest = np.flatnonzero(~first)
+            least[rest] = self._least(lcp, use[rest - 1] + 1, use[rest])
             new = np.minimum(least + 1, self.depth).astype(np.uint8)
-            if not queues[c].pushed:
-                new[0] = 0
-            queues[c].push(pos[i] - 1, new)
-            low[c] = lcp[i[-1] + 1:].min(initial=255)
-            seen[c] = True
+            cut = np.flatnonzero(first)
+            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(use)]):
+                c, end = int(byte[a]), int(use[b - 1]) + 1
+                if not queues[c].pushed:
+                    new[a] = 0
+                queues[c].push(pos[use[a:b]] - 1, new[a:b])
+                low[c] = after[end] if end < len(lcp) else 255
+                seen[c] = True
         low[~seen] = np.minimum(low[~seen], upto[-1])
 
+    @staticmethod
+    def _least(lcp: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Minimum of each closed range, from minima over runs of doubling length."""
+        if not len(lo):
+            return np.empty(0, np.int64)
+        length = hi - lo + 1
+        level = np.frexp(length.astype(float))[1] - 1
+        out, row, w = np.empty(len(lo), np.int64), lcp, 1
+        for k in range(int(level.max()) + 1):
+            at = np.flatnonzero(level == k)
+            out[at] = np.minimum(row[lo[at]], row[hi[at] - w + 1])
+            if 2 * w <= len(lcp):
+                row, w = np.minimum(row[:-w], row[w:]), 2 * w
+        return out
+
     def order(self) -> tuple[np.ndarray, np.ndarray]:
         """All suffixes in order, each with its prefix in common with the one before (up to the depth)."""
         start, start_lcp = self._starts()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,18 +18,15 @@ from .induced import classes
 
 #: Bytes of the grams whose least hash stands for a window.
 GRAM = 16
-_HELD = 1_500_000
+_HELD = 1_000_000
 
 
-def _wrap(f):
-    """Unsigned arithmetic modulo 2^64 on scalars without warnings."""
-    with np.errstate(over="ignore"):
-        return f()
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """Hash of the GRAM bytes from each position on, by doubling."""
-    a, width, power = mix(data.astype(np.uint64) + np.uint64(1)), 1, _P
+    a, width, power = _BYTE[data], 1, _P
     while width < GRAM:
         a = a[:-width] * np.uint64(power) + a[width:]
         power, width = power * power % 2**64, 2 * width
@@ -48,17 +47,24 @@ def routed(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
         m, w = np.minimum(m[:-w], m[w:]), 2 * w
     if span > w:
         m = np.minimum(m[:w - span], m[span - w:])
-    ends = np.zeros(len(data) + 1, np.int64)  # windows that would cross a document's end are none
-    last = np.maximum(off[1:-1] - length + 1, 0)
-    np.add.at(ends, last, 1)
-    np.add.at(ends, off[1:-1], -1)
-    s = np.flatnonzero(np.cumsum(ends)[:len(m)] == 0)
-    if not len(s):
+    valid = np.ones(len(m), bool)  # windows that would cross a document's end are none
+    if len(off) < 2000:
+        for e in off[1:-1].tolist():
+            valid[max(0, e - length + 1):e] = False
+    else:
+        ends = np.zeros(len(data) + 1, np.int32)
+        np.add.at(ends, np.maximum(off[1:-1] - length + 1, 0), 1)
+        np.add.at(ends, off[1:-1], -1)
+        valid = np.cumsum(ends)[:len(m)] == 0
+    new = np.empty(len(m), bool)
+    new[0] = True
+    np.not_equal(m[1:], m[:-1], out=new[1:])
+    new[1:] |= ~valid[:-1]
+    new[off[:-1][off[:-1] < len(m)]] = True
+    lo = np.flatnonzero(new & valid)
+    if not len(lo):
         return none, none, none, np.empty(0, np.uint64)
-    new = np.append(True, (m[s[1:]] != m[s[:-1]]) | (s[1:] != s[:-1] + 1) | np.isin(s[1:], off))
-    at = np.flatnonzero(new)
-    lo = s[at]
-    return lo, np.diff(np.append(at, len(s))), np.searchsorted(off, lo, "right") - 1, m[lo]
+    return lo, np.add.reduceat(valid, lo, dtype=np.int64), np.searchsorted(off, lo, "right") - 1, m[lo]
 
 
 def spark_hash(d: np.ndarray) -> np.ndarray:
@@ -128,19 +134,17 @@ def _grams(batches: Iterator[pa.RecordBatch], length: int, shards: int, groups:
     def flush() -> Iterator[pa.RecordBatch]:
         h, d = (np.concatenate(x) for x in zip(*held))
         held.clear()
-        order = np.lexsort((d, h))
+        order = np.argsort(h)
         h, d = h[order], d[order]
-        new = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))
-        h, d = h[new], d[new]
-        first = np.append(True, h[1:] != h[:-1])
-        many = first[:-1] & ~first[1:] if len(h) > 1 else np.zeros(0, bool)
-        many = np.append(many, False)
-        shared = np.repeat(many[first], np.diff(np.append(np.flatnonzero(first), len(h))))
+        at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        least = np.minimum.reduceat(d, at)
+        many = least != np.maximum.reduceat(d, at)
+        shared = np.repeat(many, np.diff(np.append(at, len(h))))
         rows = []
         for g, i in _split(_group(d[shared], groups)):
             found = np.unique(h[shared][i])
             rows.append((int(found[0] % np.uint64(shards)), g, _pack(found.view(np.int64))))
-        h, d, many = h[first], d[first], many[first]
+        h, d = h[at], least
         for shard, i in _split((h % np.uint64(shards)).astype(np.int64)):
             by = i[np.lexsort((h[i], d[i]))]
             rows.append((shard, -1, _pack(d[by], (h[by] // np.uint64(shards)).view(np.uint8).reshape(-1, 8)[:, :6].ravel(), many[by].astype(np.uint8))))
@@ -183,7 +187,7 @@ def _shared(batches: Iterator[pa.RecordBatch], shards: int, groups: int) -> Iter
             wide = np.zeros((len(d), 8), np.uint8)
             wide[:, :6] = low.reshape(-1, 6)
             h = wide.view(np.uint64).ravel()
-            order = np.argsort(h, kind="stable")
+            order = np.argsort(h)
             h, d, many = h[order], d[order], many[order]
             at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
             common = (np.minimum.reduceat(d, at) < np.maximum.reduceat(d, at)) | (np.maximum.reduceat(many, at) > 0)
@@ -350,10 +354,13 @@ def _cut(docs: pa.Table, info: pa.Table, length: int, keep: list[str], as_text:
 
 def _free(spark) -> None:
     """Lets the driver's JVM notice finished shuffles, whose files Spark then deletes on the executors."""
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first pass finds unreachable is handed to the cleaner, the second finds what hung on it
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, as_text: str | None = None, shard_bytes: int = 8 << 20, group_bytes: int = 4 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, as_text: str | None = None, shard_bytes: int = 4 << 20, group_bytes: int = 4 << 20) -> DataFrame:
     """Columns ``carry`` of every row (the id by default), n_bytes, n_removed, n_spans, kept_sha256 and, named by ``as_text``, the rest.
 
     Every byte goes that lies in a ``length``-byte string which also starts in a document with a smaller id; strings are
