@@ -28,7 +28,7 @@ class Bands:
 
     bounds: tuple[int, ...] = (256, 1024, 4096, 16384, 65536)
     lowest: tuple[float, ...] = (0.36, 0.34, 0.32, 0.29, 0.27)
-    highest: tuple[float, ...] = (0.95, 0.85, 0.80, 0.75, 0.72)
+    highest: tuple[float, ...] = (0.92, 0.72, 0.70, 0.68, 0.66)
     chunk: int = 4096
     #: Share of chunks outside their band at which the document goes.
     bad_chunks: float = 0.5
