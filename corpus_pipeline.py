@@ -34,8 +34,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the byte strings of 50 or more that a smaller id holds; those that had nothing else go."""
-    cut = remove_repeats(docs, carry=docs.columns, as_text="_rest").filter("n_removed = 0 or length(_rest) > 0")
-    cut = cut.withColumns({"text": F.col("_rest"), "n_chars": F.char_length("_rest").cast(docs.schema["n_chars"].dataType)})
+    others = [c for c in docs.columns if c != "text"]
+    cut = remove_repeats(docs, carry=others, as_text="text").filter("n_removed = 0 or length(text) > 0")
+    cut = cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return cut.select(*docs.columns)
 
 
