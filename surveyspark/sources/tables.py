@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Camera, DetectConfig
@@ -61,6 +61,22 @@ def wide_pixels(spark: SparkSession, sf: str) -> DataFrame:
     ).drop("media")
 
 
+def full_size_pixels(spark: SparkSession, sf: str, frames: int, width: int = 640, height: int = 512) -> DataFrame:
+    """Frames of a real sensor's size tiled from the stored rasters; land along the top, a few rows of waves below it."""
+    across = width // W
+    n = table(spark, sf, "embeddings").count()
+    tiles = spark.range(frames * across * (height // H)).select(
+        F.expr(f"id div {across * (height // H)}").alias("frame"), (F.col("id") % (across * (height // H))).alias("tile"),
+    )
+    tiles = tiles.withColumn("vec_id", (F.col("tile") * 37 + F.col("frame") * 101) % n)
+    e = table(spark, sf, "embeddings").withColumn("vec_id", F.row_number().over(Window.orderBy("vec_id")) - 1).select("vec_id", "embedding")
+    p = tiles.join(e, "vec_id").repartition("frame").select("frame", "tile", F.posexplode("embedding").alias("pos", "v"))
+    y, x = F.expr(f"cast(tile div {across} * {H} + pos div {W} as int)"), F.expr(f"cast(tile % {across} * {W} + pos % {W} as int)")
+    return p.select(
+        "frame", F.lit(100).alias("media"), y.alias("y"), x.alias("x"), (F.lit(2950) + F.floor(F.col("v").cast("double") * 100)).cast("int").alias("raw"),
+    ).select("*", (F.col("y") >= 50).alias("ocean"), (F.col("y") < 46).alias("land"), F.col("y").between(46, 49).alias("waves"))
+
+
 def named_frames(d: DataFrame) -> DataFrame:
     """Frames of two surveys with eight directories each, numbered from 0 in every directory, as cameras do."""
     f = F.col("frame")
