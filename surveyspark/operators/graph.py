@@ -23,7 +23,8 @@ def _star(e: DataFrame, large: bool) -> DataFrame:
     out = j.select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:
         out = out.union(low.select("u", F.col("m").alias("v")))
-    return out.filter("u <> v").distinct()
+    out = out.filter("u <> v")
+    return out if large else out.distinct()  # the small star follows and sorts repeats out
 
 
 def connected_components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
@@ -33,13 +34,16 @@ def connected_components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame
     table, each round's result kept in the shared folder (by a checkpoint unless ``keep`` does it otherwise).
     """
     e = keep(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("u <> v").distinct())
-    mark = None
+    def mark(d: DataFrame):
+        return d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+    was = mark(e)
     while True:  # ends: each contraction lowers the sum of labels or leaves the table as it is
         e = keep(_star(_star(e, True), False))
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
+        now = mark(e)
+        if now == was:
             break
-        mark = now
+        was = now
     roots = e.select(F.col("v").alias("u")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         roots.select(F.col("u").alias("node"), F.col("u").alias("component"))
