@@ -128,15 +128,17 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = 8 * TREES * VALUES // 16
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(n, size)
         end = np.repeat(cut[1:], np.diff(cut))
-        held, src, dst, i = _Union(n), [], [], np.arange(n)
+        held, i = _Union(n), np.arange(n)
         for step in range(1, int(np.diff(cut).max(initial=0))):
             i = i[i + step < end[i]]
             close = i[same[sketch[i] ^ sketch[i + step]].sum(1, dtype=np.int64) >= least]
             for x in close.tolist():
-                if held.join(x, x + step):
-                    src.append(int(node[x]))
-                    dst.append(int(node[x + step]))
-        yield _edges(src, dst)
+                held.join(x, x + step)
+        root = np.array([held.find(x) for x in range(n)], np.int64)
+        least_id = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(least_id, root, node)  # stars, so that few rounds find the components
+        src = least_id[root]
+        yield _edges(src[src != node], node[src != node])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], width: int, percent: int, among: bool) -> Iterator[pa.RecordBatch]:
@@ -149,14 +151,14 @@ def _confirm(batches: Iterator[pa.RecordBatch], width: int, percent: int, among:
         parts = [shingles(b.column("text"), width) for b in slices(iter(t.combine_chunks().to_batches()), "text")]
         sets, counts = (np.concatenate(x) for x in zip(*parts))
         first = np.append(0, np.cumsum(counts))
-        nodes, guests, known = t.column("node").to_numpy(), t.column("guest").to_numpy(), t.column("known").to_numpy()
-        src, dst = [], []
+        nodes, guests, known, chunks = (t.column(c).to_numpy() for c in ("node", "guest", "known", "chunks"))
+        src, dst, whole = [], [], []
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
             if b - a < 2:
                 continue
             names, local = np.unique(sets[first[a]:first[b]], return_inverse=True)
             at, size, m = first[a:b] - first[a], counts[a:b], b - a
-            held, seen = _Union(m), {}
+            held, seen, joined = _Union(m), {}, False
             for i in range(m):
                 for key in (("n", nodes[a + i]), ("k", known[a + i])):
                     held.join(seen.setdefault(key, i), i)
@@ -174,9 +176,16 @@ def _confirm(batches: Iterator[pa.RecordBatch], width: int, percent: int, among:
                 linked = (100 * both >= percent * (size[i] + size - both)) & (root != root[i])
                 for j in np.flatnonzero(linked).tolist():
                     if held.join(i, j):
-                        src.append(int(nodes[a + i]))
-                        dst.append(int(nodes[a + j]))
-        yield _edges(src, dst)
+                        joined = True
+            if joined:
+                root = np.array([held.find(j) for j in range(m)], np.int64)
+                least_id = np.full(m, np.iinfo(np.int64).max)
+                np.minimum.at(least_id, root, nodes[a:b])
+                star = least_id[root]
+                src += star[star != nodes[a:b]].tolist()
+                dst += nodes[a:b][star != nodes[a:b]].tolist()
+                whole += [bool(chunks[a] == 1)] * (len(src) - len(whole))
+        yield _edges(src, dst).append_column("whole", pa.array(whole, pa.bool_()))
 
 
 def _candidates(reps: DataFrame) -> DataFrame:
@@ -208,6 +217,10 @@ def _candidates(reps: DataFrame) -> DataFrame:
     return placed.select("block", "rep", "sketch").mapInArrow(_neighbours, "src long, dst long").distinct()
 
 
+def _components(edges: DataFrame) -> DataFrame:
+    return connected_components(edges, lambda e: written(e, "edges"))
+
+
 def _members_in_chunks(clusters: DataFrame) -> DataFrame:
     """Members of candidate clusters, dealt evenly into chunks."""
     size = clusters.groupBy("component").agg(
@@ -223,7 +236,8 @@ def _members_in_chunks(clusters: DataFrame) -> DataFrame:
 
 def _links(rows: DataFrame, texts: DataFrame, width: int, percent: int, among: bool) -> DataFrame:
     rows = rows.join(texts, "node").repartition("cluster", "chunk").sortWithinPartitions("cluster", "chunk", F.col("guest").desc(), "node")
-    return rows.select("cluster", "chunk", "node", "guest", "known", "text").mapInArrow(lambda it: _confirm(it, width, percent, among), "src long, dst long")
+    rows = rows.select("cluster", "chunk", "chunks", "node", "guest", "known", "text")
+    return rows.mapInArrow(lambda it: _confirm(it, width, percent, among), "src long, dst long, whole boolean")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -250,24 +264,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     known = signed.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     reps = written(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")), "classes")
 
-    clusters = written(connected_components(_candidates(reps.select("rep", "sig", "sketch"))), "clusters")
+    clusters = written(_components(_candidates(reps.select("rep", "sig", "sketch"))), "clusters")
     members = _members_in_chunks(clusters)
     texts = named.select(F.col("doc_id").alias("node"), "text").join(clusters.select("node"), "node")
     texts = written(texts, "candidates")
-    own = members.select("cluster", "chunk", "node", F.lit(False).alias("guest"), F.col("node").alias("known"))
+    own = members.select("cluster", "chunk", "chunks", "node", F.lit(False).alias("guest"), F.col("node").alias("known"))
     every = lambda rows: rows.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    guests = every(members.filter("pivot and chunks > 1").drop("chunk")).select("cluster", "chunk", "node", F.lit(True).alias("guest"), F.col("node").alias("known"))
+    guests = every(members.filter("pivot and chunks > 1").drop("chunk")).select("cluster", "chunk", "chunks", "node", F.lit(True).alias("guest"), F.col("node").alias("known"))
     links = written(_links(own.union(guests), texts, width, percent, True), "links")
-    found = connected_components(links)
-    if not members.filter("chunks > 1").isEmpty():
-        found = written(found, "components")
-        large = members.filter("chunks > 1").join(found, "node", "left").select("cluster", "chunk", "chunks", "node", F.coalesce("component", "node").alias("known"))
+    # a cluster of one chunk was seen whole: its links point from the smallest id; the root needs no row
+    found = links.filter("whole").select(F.col("dst").alias("node"), F.col("src").alias("component")).distinct()
+    parted = members.filter("chunks > 1")
+    if not parted.isEmpty():
+        part = links.filter("not whole").select("src", "dst")
+        labels = written(_components(part), "components")
+        large = parted.join(labels, "node", "left").select("cluster", "chunk", "chunks", "node", F.coalesce("component", "node").alias("known"))
         most = large.groupBy("cluster", "known").count().groupBy("cluster").agg(F.max(F.struct("count", "known")).getField("known").alias("main"))
-        outside = every(large.join(most, "cluster").filter("known <> main").drop("chunk")).select("cluster", "chunk", "node", F.lit(True).alias("guest"), "known")
-        own = large.select("cluster", "chunk", "node", F.lit(False).alias("guest"), "known")
+        outside = every(large.join(most, "cluster").filter("known <> main").drop("chunk")).select("cluster", "chunk", "chunks", "node", F.lit(True).alias("guest"), "known")
+        own = large.select("cluster", "chunk", "chunks", "node", F.lit(False).alias("guest"), "known")
         if not outside.isEmpty():
-            more = _links(own.union(outside), texts, width, percent, False)
-            found = connected_components(links.union(more))
+            more = written(_links(own.union(outside), texts, width, percent, False), "links")
+            if not more.isEmpty():
+                labels = _components(part.union(more.select("src", "dst")))
+        found = found.union(labels)
     of_class = reps.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     of_class = of_class.select("digest", F.coalesce("component", "rep").alias("_component"))
     return signed.join(of_class, "digest", "left").select(
