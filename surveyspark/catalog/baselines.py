@@ -208,7 +208,7 @@ def sample_increment(spark, sf):
     return FR.sample_increment(frames(spark, sf), 7, 6, ["flight"]).select("flight", "frame")
 
 
-@query("sample_random")
+@query("sample_random", "select flight, frame from (select flight, frame, ((frame % 1000003) * 7919 + 42 * 104729) % 1000003 as h from captures) order by (h*h + 12345) % 1000003, frame limit 50")
 def sample_random(spark, sf):
     return FR.sample_random(frames(spark, sf), 50)
 

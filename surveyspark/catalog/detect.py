@@ -440,7 +440,7 @@ query("segment_thermal", "select frame, y, x, raw/10-273.15 > 22 as land_mask fr
 query("segment_thermal_variance", f"select frame, y, x, vn >= 0.3 as land_mask from ({_V5})")(
     lambda spark, sf: _land("variance")(spark, sf).select("frame", "y", "x", "land_mask")
 )
-query("segment_thermal_combined", f"select frame, y, x, raw/10-273.15 > 22 or vn > 0.3 as land_mask from ({_V5}) join px using (frame, y, x)")(
+query("segment_thermal_combined", f"WITH v5 AS MATERIALIZED ({_V5}) select frame, y, x, raw/10-273.15 > 22 or vn > 0.3 as land_mask from v5 join px using (frame, y, x)")(
     lambda spark, sf: _land("combined")(spark, sf).select("frame", "y", "x", "land_mask")
 )
 

@@ -273,9 +273,10 @@ def local_variance(spark, sf):
     return d.select(*PX, F.round("variance", 8).alias("variance"), F.round("variance_norm", 12).alias("variance_norm"))
 
 
-SOBEL = """select p.frame, p.y, p.x, sum(q.raw * sign(q.xx-p.x) * (2-abs(q.yy-p.y)))::bigint as gx,
-  sum(q.raw * sign(q.yy-p.y) * (2-abs(q.xx-p.x)))::bigint as gy from px p join {m} q
-  on q.frame = p.frame and abs(q.yy - p.y) <= 1 and abs(q.xx - p.x) <= 1 group by p.frame, p.y, p.x""".format(m=_mirror_sql(1))
+SOBEL = """select frame, y, x, (coalesce(lag(dx) over cy, dx) + 2*dx + coalesce(lead(dx) over cy, dx))::bigint as gx,
+  (coalesce(lead(sx) over cy, sx) - coalesce(lag(sx) over cy, sx))::bigint as gy from (
+    select frame, y, x, coalesce(lead(raw) over cx, raw) - coalesce(lag(raw) over cx, raw) as dx, coalesce(lead(raw) over cx, raw) + coalesce(lag(raw) over cx, raw) + 2*raw as sx
+    from px window cx as (partition by frame, y order by x)) window cy as (partition by frame, x order by y)"""
 
 
 @query("sobel_gradient", f"select frame, y, x, gx, gy, round(sqrt(gx*gx+gy*gy),6) as magnitude from ({SOBEL}) join px using (frame, y, x) where ocean")

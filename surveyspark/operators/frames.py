@@ -39,7 +39,9 @@ def sample_increment(frames: DataFrame, step: int, cap: int, group: list[str], o
 
 
 def sample_random(frames: DataFrame, k: int, seed: int = 42, order: str = "frame") -> DataFrame:
-    return frames.orderBy(F.xxhash64(F.col(order), F.lit(seed)), order).limit(k)
+    """The ``k`` frames whose number hashes lowest; the hash is plain arithmetic, so any engine draws the same ones."""
+    h = ((F.col(order) % 1000003) * 7919 + seed * 104729) % 1000003
+    return frames.orderBy((h * h + 12345) % 1000003, order).limit(k)
 
 
 def gaps(frames: DataFrame, group: list[str], order: str = "frame") -> DataFrame:
