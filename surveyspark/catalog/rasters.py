@@ -408,9 +408,27 @@ def poly_fit(spark, sf):
     return d
 
 
-@query("poly_fit_quadratic")
+_POWERS = ", ".join(f"sum(pow(t, {i}))::double as s{i}" for i in range(5)) + ", " + ", ".join(f"sum(pow(t, {i}) * w) as y{i}" for i in range(3))
+_DET = "({0}*({4}*{8}-{5}*{7}) - {1}*({3}*{8}-{5}*{6}) + {2}*({3}*{7}-{4}*{6}))".format
+_Q = (  # determinants of the normal equations about raw = 2950
+    _DET("s0", "s1", "s2", "s1", "s2", "s3", "s2", "s3", "s4"),
+    _DET("y0", "s1", "s2", "y1", "s2", "s3", "y2", "s3", "s4"),
+    _DET("s0", "y0", "s2", "s1", "y1", "s3", "s2", "y2", "s4"),
+    _DET("s0", "s1", "y0", "s1", "s2", "y1", "s2", "s3", "y2"),
+)
+
+
+@query(
+    "poly_fit_quadratic",
+    f"""select media, round(q,6) as quadratic, round(c - 20*b + 400*q,3) as at_2930, round(c,3) as at_2950, round(c + 20*b + 400*q,3) as at_2970 from (
+      select media, {_Q[1]}/d as c, {_Q[2]}/d as b, {_Q[3]}/d as q from (select *, {_Q[0]} as d from (
+        select media, {_POWERS} from (select media, raw - 2950 as t, {LUM} as w from px) group by media)))""",
+)
 def poly_fit2(spark, sf):
-    return A.poly_fit2(with_lum(spark, sf), ["media"], "raw", "lum")
+    """The curve by its bend and three of its points."""
+    d = A.poly_fit2(with_lum(spark, sf), ["media"], "raw", "lum")
+    at = lambda x: F.round(C("quadratic") * x * x + C("linear") * x + C("constant"), 3).alias(f"at_{x}")
+    return d.select("media", F.round("quadratic", 6).alias("quadratic"), at(2930), at(2950), at(2970))
 
 
 _EXT = f"""select p.*, lum < lo as dark, lum > hi as light from (select *, {LUM} as lum from px) p
