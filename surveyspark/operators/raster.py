@@ -7,10 +7,9 @@ windows over (frame, y) and (frame, x) then need no exchange.  Masks are sparse:
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .regions import complement
 
@@ -96,49 +95,51 @@ def squared_distance(mask: np.ndarray) -> np.ndarray:
     return best
 
 
-def _per_frame(px: DataFrame, keys: list[str], more: str, make) -> DataFrame:
-    """Adds columns that ``make(grid)`` derives from whole frames; ``grid(name)`` is a boolean column as an array.
+def _per_frame(px: DataFrame, keys: list[str], flags: list[str], made: list[str], make) -> DataFrame:
+    """Adds boolean and distance columns that ``make(flag grids)`` derives from whole frames.
 
-    A group is one frame, so its size is the sensor's; rows already partitioned by ``keys`` need no exchange.
+    A frame is gathered into one array, which its sensor bounds; only coordinates and flags go to Python, in one
+    vectorised call a frame. Rows already partitioned by ``keys`` stay where they are, before and after.
     """
-    added = T._parse_datatype_string(f"struct<{more}>")
-
-    def whole(t: pa.Table) -> pa.Table:
-        y, x = t.column("y").to_numpy(), t.column("x").to_numpy()
-
-        def grid(name: str) -> np.ndarray:
-            m = np.zeros((int(y.max()) + 1, int(x.max()) + 1), bool)
-            m[y, x] = t.column(name).fill_null(False).to_numpy()
-            return m
-
-        for name, values in make(grid).items():
-            if values.dtype == bool:
-                t = t.append_column(name, pa.array(values[y, x]))
-            else:
-                v = values[y, x]
-                t = t.append_column(name, pa.array(np.sqrt(np.maximum(v, 0).astype(float)), mask=v < 0))
-        return t
-
-    return px.groupBy(*keys).applyInArrow(whole, T.StructType([*px.schema.fields, *added.fields]))
+    kinds = {n: "double" if n == "distance" else "boolean" for n in made}
+    others = [c for c in px.columns if c not in keys]
+
+    @F.pandas_udf("struct<" + ", ".join(f"{n}: array<{k}>" for n, k in kinds.items()) + ">")
+    def whole(y: pd.Series, x: pd.Series, *columns: pd.Series) -> pd.DataFrame:
+        rows = []
+        for y_, x_, *values in zip(y, x, *columns):
+            grids = []
+            for v in values:
+                g = np.zeros((int(y_.max()) + 1, int(x_.max()) + 1), bool)
+                g[y_, x_] = np.equal(v, True)
+                grids.append(g)
+            out = make(*grids)
+            rows.append({n: v[y_, x_] if v.dtype == bool else np.where(v < 0, np.nan, np.sqrt(np.maximum(v, 0)))[y_, x_] for n, v in out.items()})
+        return pd.DataFrame(rows, columns=made)
+
+    d = px.groupBy(*keys).agg(F.collect_list(F.struct(*others)).alias("_p"))
+    d = d.withColumn("_d", whole("_p.y", "_p.x", *[f"_p.{f}" for f in flags]))
+    d = d.select(*keys, F.explode(F.arrays_zip(F.col("_p").alias("p"), *[F.col(f"_d.{n}").alias(n) for n in made])).alias("_e"))
+    value = {n: F.nullif(F.col(f"_e.{n}"), F.lit(float("nan"))) if n == "distance" else F.col(f"_e.{n}") for n in made}
+    return d.select(*[F.col(c) if c in keys else F.col(f"_e.p.{c}").alias(c) for c in px.columns], *[v.alias(n) for n, v in value.items()])
 
 
 def distance_to(px: DataFrame, target: str, keys: list[str]) -> DataFrame:
     """Adds ``distance``, Euclidean and exact, to the nearest pixel where ``target`` holds; NULL in frames without one."""
-    return _per_frame(px, keys, "distance: double", lambda grid: {"distance": squared_distance(grid(target))})
+    return _per_frame(px, keys, [target], ["distance"], lambda t: {"distance": squared_distance(t)})
 
 
 def shore_and_distance(px: DataFrame, keys: list[str], r: int = 2) -> DataFrame:
     """Adds ``shore`` (ocean within ``r`` of land, and all waves) and ``distance`` to it."""
 
-    def make(grid) -> dict[str, np.ndarray]:
-        land = grid("land")
+    def make(land: np.ndarray, ocean: np.ndarray, waves: np.ndarray) -> dict[str, np.ndarray]:
         padded, near = np.pad(land, r), np.zeros(land.shape, bool)
         for a, b in disk(r):
             near |= padded[r + a:r + a + land.shape[0], r + b:r + b + land.shape[1]]
-        shore = near & grid("ocean") | grid("waves")
+        shore = near & ocean | waves
         return {"shore": shore, "distance": squared_distance(shore)}
 
-    return _per_frame(px, keys, "shore: boolean, distance: double", make)
+    return _per_frame(px, keys, ["land", "ocean", "waves"], ["shore", "distance"], make)
 
 
 def _mirrored(axis: str, size: int, r: int) -> Column:

@@ -52,9 +52,13 @@ def raw_level(celsius_col: Column) -> Column:
     return F.round((celsius_col + 273.15) * 10, 6)
 
 
-def cold_pixels(px: DataFrame, base: DataFrame, thresholds: list[float], keys: list[str] = KEYS) -> DataFrame:
-    """Ocean pixels below baseline - threshold; one row per threshold they pass, pixels read once."""
-    j = px.filter("ocean").join(base, keys)
+def cold_pixels(px: DataFrame, base: DataFrame | None, thresholds: list[float], keys: list[str] = KEYS) -> DataFrame:
+    """Ocean pixels below baseline - threshold; one row per threshold they pass, pixels read once.
+
+    Without ``base`` the pixels carry their ``baseline`` already.
+    """
+    j = px.filter("ocean")
+    j = j if base is None else j.join(base, keys)
     level = raw_level(C("baseline"))
     passed = F.filter(F.array(*[F.lit(float(t)) for t in thresholds]), lambda t: C("raw") < level - t * 10)
     return j.withColumn("threshold", F.explode(passed))
@@ -104,7 +108,9 @@ def labelled(px: DataFrame, cfg: DetectConfig, keys: list[str] = KEYS, connectiv
 
 def regions_of(px: DataFrame, cfg: DetectConfig, thresholds: list[float] | None = None, keys: list[str] = KEYS) -> DataFrame:
     p = guard(with_waves(px, cfg), cfg, keys)
-    cold = cold_pixels(with_shore(p, keys), baselines(p, cfg, keys), thresholds or [cfg.threshold], keys)
+    # the baseline joins while the pixels lie by frame; after the transform only cold pixels move
+    p = p.select(*keys, "y", "x", "raw", "ocean", "land", "waves").join(baselines(p, cfg, keys), keys)
+    cold = cold_pixels(with_shore(p, keys), None, thresholds or [cfg.threshold], keys)
     return measure(cold, cfg, keys)
 
 
