@@ -158,30 +158,30 @@ def _confirm(batches: Iterator[pa.RecordBatch], width: int, percent: int, among:
                 continue
             names, local = np.unique(sets[first[a]:first[b]], return_inverse=True)
             at, size, m = first[a:b] - first[a], counts[a:b], b - a
-            held, seen, joined = _Union(m), {}, False
-            for i in range(m):
-                for key in (("n", nodes[a + i]), ("k", known[a + i])):
-                    held.join(seen.setdefault(key, i), i)
-            mark = np.zeros(len(names), np.int64)
+            # a label for each position; equal ids and known components start alike
+            label = np.unique(known[a:b], return_inverse=True)[1]
+            _, same_id = np.unique(nodes[a:b], return_inverse=True)
+            least_label = np.full(same_id.max() + 1, m)
+            np.minimum.at(least_label, same_id, label)
+            label = least_label[same_id]
+            mark, joined, sizes = np.zeros(len(names), np.int64), False, size
             for i in range(m):
                 if not guests[a + i] and not among:
                     break
-                root = np.array([held.find(j) for j in range(m)])
-                if (root == root[0]).all():
+                if (label == label[0]).all():
                     break
                 mine = local[at[i]:at[i] + size[i]]
                 mark[mine] = 1
                 both = np.add.reduceat(mark[local], at)
                 mark[mine] = 0
-                linked = (100 * both >= percent * (size[i] + size - both)) & (root != root[i])
-                for j in np.flatnonzero(linked).tolist():
-                    if held.join(i, j):
-                        joined = True
+                linked = (100 * both >= percent * (size[i] + sizes - both)) & (label != label[i])
+                if linked.any():
+                    label[np.isin(label, label[linked])] = label[i]
+                    joined = True
             if joined:
-                root = np.array([held.find(j) for j in range(m)], np.int64)
                 least_id = np.full(m, np.iinfo(np.int64).max)
-                np.minimum.at(least_id, root, nodes[a:b])
-                star = least_id[root]
+                np.minimum.at(least_id, label, nodes[a:b])
+                star = least_id[label]
                 src += star[star != nodes[a:b]].tolist()
                 dst += nodes[a:b][star != nodes[a:b]].tolist()
                 whole += [bool(chunks[a] == 1)] * (len(src) - len(whole))
