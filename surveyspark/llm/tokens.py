@@ -24,7 +24,7 @@ _WIDE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0
 _WIDE_RUNS = [w + b" " for w in _WIDE]
 _BOUNDARY = re.compile(r"(?<=\S)(?= \S)")
 #: Stretches that keep their length in bytes and may stand side by side: printable ASCII and Latin letters.
-_PLAIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u012f\u0132-\u017f]+(?:\n[!-~]+)*")
+_PLAIN = re.compile("(?: [!-~\u00a1-\u00ac\u00ae-\u012f\u0132-\u017f]+(?:\n[!-~]+)*)+")
 
 
 class CachedEncoder:
@@ -64,17 +64,24 @@ class CachedEncoder:
         raw, cuts = ids.tobytes(), (4 * at + 4).tolist()
         return {w: raw[a:b] for w, a, b in zip(words, [0, *cuts[:-1]], cuts)}
 
+    def _are_plain(self, words: list[bytes]) -> bool:
+        text = (b"" if self.spaced else b" ").join(words).decode()
+        return "<|" not in text and _PLAIN.fullmatch(text if self.spaced else " " + text) is not None
+
     def _learn(self, seen: set[bytes]) -> None:
         new = [w for w in seen if w not in self.known]
         if len(self.known) + len(new) > self.limit:
             self.known = {w: self.known[w] for w in seen if w in self.known}
-        plain, other, first = [], [], 1 if self.spaced else 0
-        for w in new:
-            fits = b"<|" not in w and (not first or w[:1] == b" ") and _PLAIN.fullmatch(w.decode(), first)
-            (plain if fits else other).append(w)
-        for i in range(0, len(plain), 400):
-            part = plain[i:i + 400]
-            got = self._together(part)
+        other: list[bytes] = []
+        if self.spaced:
+            other, new = [w for w in new if w[:1] != b" "], [w for w in new if w[:1] == b" "]
+        for i in range(0, len(new), 400):
+            part = new[i:i + 400]
+            if not self._are_plain(part):
+                plain = [w for w in part if self._are_plain([w])]
+                other += set(part).difference(plain)
+                part = plain
+            got = self._together(part) if part else {}
             self.known.update(got)
             other += [] if got else part
         for i in range(0, len(other), 5000):

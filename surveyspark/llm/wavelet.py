@@ -39,7 +39,7 @@ class WaveletMatrix:
         for b in range(bits - 1, -1, -1):
             one = (row & row.dtype.type(1 << b)) != 0
             planes.append(np.packbits(one, bitorder="little"))
-            row = np.concatenate([row[~one], row[one]])
+            row = np.concatenate([np.compress(~one, row), np.compress(one, row)])
         return cls(planes, n, np.asarray(doc_ids, np.int64), np.asarray(starts, np.int64))
 
     def to_bytes(self) -> bytes:
@@ -135,8 +135,8 @@ class WaveletMatrix:
         for k in range(len(self.planes) - 1, -1, -1):
             one = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
             z, up = self.zeros[k], np.empty_like(row)
-            up[~one] = row[:z]
-            up[one] = row[z:] | row.dtype.type(1 << (len(self.planes) - 1 - k))
+            up[np.flatnonzero(~one)] = row[:z]  # places, not masks: several times faster on random bits
+            up[np.flatnonzero(one)] = row[z:] | row.dtype.type(1 << (len(self.planes) - 1 - k))
             row = up
         return row.astype(np.uint32)
 
