@@ -20,6 +20,8 @@ TREES, VALUES, DEPTHS = 16, 8, (3, 5, 8)
 BLOCK, CHUNK = 64, 256
 #: Estimated similarity from which two documents are candidates: five standard errors below 0.8.
 CANDIDATE = 0.62
+#: Counters of shingles by hash; their sums order shingles from rare to frequent.
+COUNTERS = 1 << 18
 _ODD = np.random.default_rng(20240229).integers(0, 2**63, (2, TREES * VALUES), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -188,8 +190,11 @@ def _confirm(batches: Iterator[pa.RecordBatch], width: int, percent: int, among:
         yield _edges(src, dst).append_column("whole", pa.array(whole, pa.bool_()))
 
 
-def _candidates(reps: DataFrame) -> DataFrame:
-    """Candidate links (src, dst) between class representatives: all sorted orders, each to the depth its regions need."""
+def _candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidate links (src, dst) between class representatives: all sorted orders, each to the depth its regions need.
+
+    Also the representatives (node) of regions too crowded at the first depth, whose deeper blocks do not hold all pairs.
+    """
     bytes_ = 4 * VALUES
     rows = reps.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     prefix = lambda d: F.xxhash64("tree", F.expr(f"substring(sig, tree * {bytes_} + 1, {4 * d})"))
@@ -202,6 +207,8 @@ def _candidates(reps: DataFrame) -> DataFrame:
         rest = rest.filter(F.col("n") > BLOCK)
         if d != DEPTHS[-1]:
             rest = written(rest.drop("n", "p0", "p1"), "crowded")  # small: what shares the prefix with many
+        if d == DEPTHS[0]:
+            crowded = rest.select(F.col("rep").alias("node")).distinct()
     # still crowded at full depth: dealt into blocks, each with two members that all blocks of the region share
     last = f"r{DEPTHS[-1]}"
     blocks = F.ceil(F.col("n") / BLOCK)
@@ -214,7 +221,72 @@ def _candidates(reps: DataFrame) -> DataFrame:
         placed = placed.union(t)
     placed = placed.join(reps, "rep").select("rep", "block", F.expr(f"substring(sig, tree * {bytes_} + 1, {bytes_})").alias("key"), "sketch")
     placed = placed.repartition("block").sortWithinPartitions("block", "key", "rep")
-    return placed.select("block", "rep", "sketch").mapInArrow(_neighbours, "src long, dst long").distinct()
+    return placed.select("block", "rep", "sketch").mapInArrow(_neighbours, "src long, dst long").distinct(), crowded
+
+
+def _counted(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Shingles of the texts by counter."""
+    total = np.zeros(COUNTERS, np.int64)
+    for b in slices(batches, "text"):
+        sets, _ = shingles(b.column("text"), width)
+        total += np.bincount((sets % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["counter", "n"])
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], width: int, percent: int, often: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rarest shingles of each text, of which two texts at ``percent`` share at least one, with their places."""
+    for b in slices(batches, "text"):
+        sets, counts = shingles(b.column("text"), width)
+        doc = np.repeat(np.arange(len(counts)), counts)
+        sets = sets[np.lexsort((sets, often[(sets % np.uint64(COUNTERS)).astype(np.int64)], doc))]
+        size, place = counts[doc], np.arange(len(sets)) - (np.cumsum(counts) - counts)[doc]
+        use = 100 * (size - place) >= percent * size
+        yield pa.RecordBatch.from_arrays(
+            [b.column(c).take(pa.array(doc[use])) for c in ("node", "comp", "many")] + [pa.array(x[use]) for x in (sets.view(np.int64), size, place)],
+            ["node", "comp", "many", "shingle", "size", "place"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches, "text"):
+        sets, counts = shingles(b.column("text"), width)
+        off = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
+        yield pa.RecordBatch.from_arrays([b.column("node"), pa.ListArray.from_arrays(off, pa.array(sets.view(np.int64)))], ["node", "shingles"])
+
+
+def _across(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """All links (src, dst) at ``percent`` between texts (node, comp, many, text) of different components: an exact join.
+
+    Shingles are put in one order, rare ones first. If x is no larger than y and they are linked, the first shingle they
+    share stands early in both: what begins there holds 2p / (1 + p) of x and p of y at least, and bounds what both can
+    share. ``many`` is the size of the component: members of the largest that meet in a shingle need no comparison with
+    one another. Pairs that pass are compared on their full sets.
+    """
+    counts = texts.mapInArrow(lambda it: _counted(it, width), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(COUNTERS, np.int64)  # of fixed size, whatever the input
+    often[counts.column("counter").to_numpy()] = counts.column("n").to_numpy()
+    rare = texts.mapInArrow(lambda it: _prefixes(it, width, percent, often), "node long, comp long, many long, shingle long, size long, place long")
+    rare = written(rare, "prefixes")
+    early = (100 + percent) * (F.col("size") - F.col("place")) >= 2 * percent * F.col("size")
+    met = rare.groupBy("shingle").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("many", "comp")).getField("comp").alias("lead"), F.max(early).alias("any"))
+    met = met.filter("lo <> hi and any").select("shingle", "lead")
+    shared = rare.join(met, "shingle").select("node", "comp", "shingle", "size", "place", early.alias("early"), (F.col("comp") == F.col("lead")).alias("led"))
+    shared = written(shared, "shared")
+    y = shared.select("shingle", *[F.col(c).alias(f"y_{c}") for c in ("node", "comp", "size", "place", "led")])
+    least = F.least(F.col("size") - F.col("place"), F.col("y_size") - F.col("y_place"))
+    fits = (F.col("comp") != F.col("y_comp")) & ((F.col("size") < F.col("y_size")) | (F.col("size") == F.col("y_size")) & (F.col("node") < F.col("y_node")))
+    fits &= (100 * F.col("size") >= percent * F.col("y_size")) & ((100 + percent) * least >= percent * (F.col("size") + F.col("y_size")))
+    x = shared.filter("early").withColumnRenamed("shingle", "s")
+    pairs = [a.join(b, (F.col("s") == F.col("shingle")) & fits) for a, b in ((x.filter("not led"), y), (x.filter("led"), y.filter("not y_led")))]
+    pairs = pairs[0].union(pairs[1]).select(F.least("node", "y_node").alias("src"), F.greatest("node", "y_node").alias("dst")).distinct()
+    pairs = written(pairs, "pairs")
+    nodes = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
+    sets = written(texts.select("node", "text").join(nodes, "node").mapInArrow(lambda it: _sets(it, width), "node long, shingles array<long>"), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("src"), F.col("shingles").alias("a")), "src")
+    both = both.join(sets.select(F.col("node").alias("dst"), F.col("shingles").alias("b")), "dst")
+    both = both.withColumn("n", F.size(F.array_intersect("a", "b")))
+    return both.filter(100 * F.col("n") >= percent * (F.size("a") + F.size("b") - F.col("n"))).select("src", "dst")
 
 
 def _components(edges: DataFrame) -> DataFrame:
@@ -240,6 +312,25 @@ def _links(rows: DataFrame, texts: DataFrame, width: int, percent: int, among: b
     return rows.mapInArrow(lambda it: _confirm(it, width, percent, among), "src long, dst long, whole boolean")
 
 
+def _completed(found: DataFrame, open_: DataFrame, named: DataFrame, width: int, percent: int) -> DataFrame:
+    """``found`` (node, component) with all links between the ``open_`` nodes, of which only some are found."""
+    if open_.isEmpty():
+        return found
+    found = written(found, "found")
+    labels = open_.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("comp"))
+    labels = labels.join(labels.groupBy("comp").agg(F.count(F.lit(1)).alias("many")), "comp")
+    texts = named.select(F.col("doc_id").alias("node"), "text").join(labels, "node").select("node", "comp", "many", "text")
+    more = written(_across(written(texts, "open"), width, percent), "across")
+    if more.isEmpty():
+        return found
+    of = written(labels.select("node", "comp"), "labels")
+    more = more.join(of.select(F.col("node").alias("src"), F.col("comp").alias("a")), "src").join(of.select(F.col("node").alias("dst"), F.col("comp").alias("b")), "dst")
+    joined = written(_components(more.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()), "joined")
+    found = found.union(joined.select("node", F.col("node").alias("component"))).distinct()  # some stood alone
+    joined = joined.select(F.col("node").alias("component"), F.col("component").alias("least"))
+    return found.join(joined, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; texts are linked at ``percent`` similarity of their shingle sets.
 
@@ -247,11 +338,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
        copies of any size is one node.
     2. An LSH forest proposes candidates: in each sorted signature order, documents that share a prefix form a region;
        crowded regions deepen their prefix, and what is still crowded at full depth is dealt into blocks that share two
-       members. In a block all are compared by sketch. Depth 3 of 16 orders loses a pair at 0.8 with a chance of 1e-5.
+       members. In a block all are compared by sketch. Depth 3 of 16 orders loses a pair at 0.8 with a chance of 1e-5;
+       pairs that deeper blocks part are found in step 4.
     3. Components of the candidates are clusters. Each is confirmed on full sets made anew from the texts: chunks of
        bounded size compare all their members, a large cluster's chunks also its pivots, and members that then still
        stand outside its largest component are compared with every chunk, so no link inside a cluster is lost.
-    4. Components of the confirmed links give ``component_id``, the smallest id reachable.
+    4. All members of regions crowded at depth 3 are joined by their rarest shingles with those of other components, and
+       compared on full sets: no pair of theirs is lost, however crowded the region.
+    5. Components of the confirmed links give ``component_id``, the smallest id reachable.
 
     Tables between the steps are written to the shared folder; no group is gathered whole and nothing goes to the driver
     but counts. Null, empty and white-space texts have no shingles and are linked with nothing, equal ones included.
@@ -264,7 +358,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     known = signed.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     reps = written(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")), "classes")
 
-    clusters = written(_components(_candidates(reps.select("rep", "sig", "sketch"))), "clusters")
+    candidates, crowded = _candidates(reps.select("rep", "sig", "sketch"))
+    clusters = written(_components(candidates), "clusters")
     members = _members_in_chunks(clusters)
     texts = named.select(F.col("doc_id").alias("node"), "text").join(clusters.select("node"), "node")
     texts = written(texts, "candidates")
@@ -287,6 +382,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
             if not more.isEmpty():
                 labels = _components(part.union(more.select("src", "dst")))
         found = found.union(labels)
+    found = _completed(found, crowded, named, width, percent)
     of_class = reps.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     of_class = of_class.select("digest", F.coalesce("component", "rep").alias("_component"))
     return signed.join(of_class, "digest", "left").select(

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from surveyspark.llm import forest
 from surveyspark.llm.bytesets import hashes, runs, NOT_SPACE
 from surveyspark.llm.common import lower_ascii
 from surveyspark.llm.exact import exact_dedup
@@ -101,6 +102,21 @@ def test_near(spark):
     ])
 
 
+def test_near_in_crowds(spark, monkeypatch):
+    monkeypatch.setattr(forest, "BLOCK", 2)  # nearly all regions are crowded, as in a large input
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    base, rows, want = [word() for _ in range(200)], [], {}
+    for _ in range(600):  # any two share about 0.38, far too little for a link
+        rows.append((len(rows), " ".join(rng.sample(base, 110))))
+    for i in range(600):  # one near copy of each, at 98 of 122 words
+        words = rng.sample(rows[i][1].split(), 98)
+        want[len(rows)] = i
+        rows.append((len(rows), " ".join(words + rng.sample(sorted(set(base) - set(rows[i][1].split())), 12))))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), width=1).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: want.get(i, i) for i, _ in rows}
+
+
 def test_induced_sorting():
     rng = random.Random(3)
     for _ in range(400):
