@@ -143,33 +143,22 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _edges(src[src != node], node[src != node])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch], width: int, percent: int, among: bool) -> Iterator[pa.RecordBatch]:
-    """Links of full sets inside each chunk, as few as hold its components together; guests come first in a chunk.
-
-    ``among``: members are compared with one another too, else guests with members only. Documents of one ``known``
-    component need no comparison.
-    """
+def _confirm(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Links of full sets inside each chunk, as few as hold its components together; guests come first in a chunk."""
     for t, cut in _runs_of(batches, ["cluster", "chunk"]):
         parts = [shingles(b.column("text"), width) for b in slices(iter(t.combine_chunks().to_batches()), "text")]
         sets, counts = (np.concatenate(x) for x in zip(*parts))
         first = np.append(0, np.cumsum(counts))
-        nodes, guests, known, chunks = (t.column(c).to_numpy() for c in ("node", "guest", "known", "chunks"))
+        nodes, chunks = (t.column(c).to_numpy() for c in ("node", "chunks"))
         src, dst, whole = [], [], []
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
             if b - a < 2:
                 continue
             names, local = np.unique(sets[first[a]:first[b]], return_inverse=True)
             at, size, m = first[a:b] - first[a], counts[a:b], b - a
-            # a label for each position; equal ids and known components start alike
-            label = np.unique(known[a:b], return_inverse=True)[1]
-            _, same_id = np.unique(nodes[a:b], return_inverse=True)
-            least_label = np.full(same_id.max() + 1, m)
-            np.minimum.at(least_label, same_id, label)
-            label = least_label[same_id]
+            label = np.unique(nodes[a:b], return_inverse=True)[1]  # of each position; equal ids start alike
             mark, joined, sizes = np.zeros(len(names), np.int64), False, size
             for i in range(m):
-                if not guests[a + i] and not among:
-                    break
                 if (label == label[0]).all():
                     break
                 mine = local[at[i]:at[i] + size[i]]
@@ -306,10 +295,10 @@ def _members_in_chunks(clusters: DataFrame) -> DataFrame:
     )
 
 
-def _links(rows: DataFrame, texts: DataFrame, width: int, percent: int, among: bool) -> DataFrame:
+def _links(rows: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     rows = rows.join(texts, "node").repartition("cluster", "chunk").sortWithinPartitions("cluster", "chunk", F.col("guest").desc(), "node")
-    rows = rows.select("cluster", "chunk", "chunks", "node", "guest", "known", "text")
-    return rows.mapInArrow(lambda it: _confirm(it, width, percent, among), "src long, dst long, whole boolean")
+    rows = rows.select("cluster", "chunk", "chunks", "node", "text")
+    return rows.mapInArrow(lambda it: _confirm(it, width, percent), "src long, dst long, whole boolean")
 
 
 def _completed(found: DataFrame, open_: DataFrame, named: DataFrame, width: int, percent: int) -> DataFrame:
@@ -341,10 +330,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
        members. In a block all are compared by sketch. Depth 3 of 16 orders loses a pair at 0.8 with a chance of 1e-5;
        pairs that deeper blocks part are found in step 4.
     3. Components of the candidates are clusters. Each is confirmed on full sets made anew from the texts: chunks of
-       bounded size compare all their members, a large cluster's chunks also its pivots, and members that then still
-       stand outside its largest component are compared with every chunk, so no link inside a cluster is lost.
-    4. All members of regions crowded at depth 3 are joined by their rarest shingles with those of other components, and
-       compared on full sets: no pair of theirs is lost, however crowded the region.
+       bounded size compare all their members, and a large cluster's chunks also its eight pivots.
+    4. All members of regions crowded at depth 3 and of clusters of several chunks are joined by their rarest shingles with
+       those of other components, and compared on full sets: no pair of theirs is lost, however large region or cluster.
     5. Components of the confirmed links give ``component_id``, the smallest id reachable.
 
     Tables between the steps are written to the shared folder; no group is gathered whole and nothing goes to the driver
@@ -363,26 +351,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     members = _members_in_chunks(clusters)
     texts = named.select(F.col("doc_id").alias("node"), "text").join(clusters.select("node"), "node")
     texts = written(texts, "candidates")
-    own = members.select("cluster", "chunk", "chunks", "node", F.lit(False).alias("guest"), F.col("node").alias("known"))
+    own = members.select("cluster", "chunk", "chunks", "node", F.lit(False).alias("guest"))
     every = lambda rows: rows.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    guests = every(members.filter("pivot and chunks > 1").drop("chunk")).select("cluster", "chunk", "chunks", "node", F.lit(True).alias("guest"), F.col("node").alias("known"))
-    links = written(_links(own.union(guests), texts, width, percent, True), "links")
+    guests = every(members.filter("pivot and chunks > 1").drop("chunk")).select("cluster", "chunk", "chunks", "node", F.lit(True).alias("guest"))
+    links = written(_links(own.union(guests), texts, width, percent), "links")
     # a cluster of one chunk was seen whole: its links point from the smallest id; the root needs no row
     found = links.filter("whole").select(F.col("dst").alias("node"), F.col("src").alias("component")).distinct()
     parted = members.filter("chunks > 1")
     if not parted.isEmpty():
-        part = links.filter("not whole").select("src", "dst")
-        labels = written(_components(part), "components")
-        large = parted.join(labels, "node", "left").select("cluster", "chunk", "chunks", "node", F.coalesce("component", "node").alias("known"))
-        most = large.groupBy("cluster", "known").count().groupBy("cluster").agg(F.max(F.struct("count", "known")).getField("known").alias("main"))
-        outside = every(large.join(most, "cluster").filter("known <> main").drop("chunk")).select("cluster", "chunk", "chunks", "node", F.lit(True).alias("guest"), "known")
-        own = large.select("cluster", "chunk", "chunks", "node", F.lit(False).alias("guest"), "known")
-        if not outside.isEmpty():
-            more = written(_links(own.union(outside), texts, width, percent, False), "links")
-            if not more.isEmpty():
-                labels = _components(part.union(more.select("src", "dst")))
-        found = found.union(labels)
-    found = _completed(found, crowded, named, width, percent)
+        found = found.union(_components(links.filter("not whole").select("src", "dst")))
+    found = _completed(found, crowded.union(parted.select("node")).distinct(), named, width, percent)
     of_class = reps.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     of_class = of_class.select("digest", F.coalesce("component", "rep").alias("_component"))
     return signed.join(of_class, "digest", "left").select(

@@ -117,6 +117,24 @@ def test_near_in_crowds(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: want.get(i, i) for i, _ in rows}
 
 
+def test_near_chunks_stay_small(spark, monkeypatch):
+    sizes, links = [], forest._links
+
+    def seen(rows, *more):
+        sizes.append(rows.groupBy("cluster", "chunk").count().agg(F.max("count")).first()[0])
+        return links(rows, *more)
+
+    monkeypatch.setattr(forest, "CHUNK", 16)
+    monkeypatch.setattr(forest, "_links", seen)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    base = [word() for _ in range(120)]
+    rows = [(i, " ".join(word() if rng.random() < 0.15 else w for w in base)) for i in range(300)]  # about 0.74: candidates, seldom links
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), width=1).collect()
+    assert sorted(map(tuple, got)) == jaccard_groups(rows, 1, 80)
+    assert max(sizes) < 64  # 16 on average and 8 pivots
+
+
 def test_induced_sorting():
     rng = random.Random(3)
     for _ in range(400):
