@@ -27,9 +27,12 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 0.8 similarity of their 5-word shingles, the one with the smallest id."""
-    kept = near_duplicates(docs, width=5, percent=80).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Of documents linked by 0.8 similarity of their 5-word shingles, the one with the smallest id.
+
+    Rows are judged one by one: a null id stays unless its shingles are those of a document with an id, and of rows that
+    repeat an id each goes whose own shingles lead to a smaller id.
+    """
+    return near_duplicates(docs, width=5, percent=80, carry=docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,7 +68,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], id_col: str, text: str, width
             for i, (c, e) in enumerate(zip(counts.tolist(), ends.tolist()))
         ]
         cols = list(zip(*rows))
-        yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(counts, pa.int64()), *(pa.array(c, pa.binary()) for c in cols)], ["doc_id", "n_shingles", "digest", "sig", "sketch"])
+        yield pa.RecordBatch.from_arrays([b.column(id_col), b.column("text_md5"), pa.array(counts, pa.int64()), *(pa.array(c, pa.binary()) for c in cols)], ["doc_id", "text_md5", "n_shingles", "digest", "sig", "sketch"])
 
 
 def _runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -320,8 +320,8 @@ def _completed(found: DataFrame, open_: DataFrame, named: DataFrame, width: int,
     return found.join(joined, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row; texts are linked at ``percent`` similarity of their shingle sets.
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row, or columns ``carry`` of the kept rows; texts are linked at ``percent`` similarity of their shingle sets.
 
     1. Rows of one shingle set form a class by the set's 128-bit digest; only its smallest id goes on, so a group of
        copies of any size is one node.
@@ -340,8 +340,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     Rows that repeat an id are one node. A null id stays alone (component null, not kept unless alone by itself).
     No rows give no rows.
     """
-    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    signed = named.mapInArrow(lambda it: _signatures(it, "doc_id", "text", width), "doc_id long, n_shingles long, digest binary, sig binary, sketch binary")
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.unhex(F.md5(text_col)).alias("text_md5"))
+    signed = named.mapInArrow(lambda it: _signatures(it, "doc_id", "text", width), "doc_id long, text_md5 binary, n_shingles long, digest binary, sig binary, sketch binary")
     signed = written(signed, "signatures")
     known = signed.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     reps = written(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")), "classes")
@@ -363,6 +363,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     found = _completed(found, crowded.union(parted.select("node")).distinct(), named, width, percent)
     of_class = reps.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     of_class = of_class.select("digest", F.coalesce("component", "rep").alias("_component"))
-    return signed.join(of_class, "digest", "left").select(
-        "doc_id", "n_shingles", F.coalesce("_component", "doc_id").alias("component_id"),
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    if carry is None:
+        return signed.join(of_class, "digest", "left").select(
+            "doc_id", "n_shingles", F.coalesce("_component", "doc_id").alias("component_id"),
+        ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # a row goes by its id and text; repeated and null ids are told apart by the text
+    gone = signed.join(of_class, "digest").filter(~F.col("doc_id").eqNullSafe(F.col("_component")))
+    gone = gone.select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.unhex(F.md5(text_col)) == F.col("_md5"))
+    return docs.join(gone, same, "left_anti").select(*carry)

@@ -135,6 +135,17 @@ def test_near_chunks_stay_small(spark, monkeypatch):
     assert max(sizes) < 64  # 16 on average and 8 pivots
 
 
+def test_near_copies_by_row(spark):
+    import corpus_pipeline
+
+    t = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcd"]
+    rows = [(1, t[0], 9), (2, t[0] + " more", 9), (3, t[1], 9), (3, t[0], 9), (None, t[2], 9), (None, t[0], 9), (None, None, 9), (4, None, 9), (5, "", 9), (6, t[3], 9), (6, t[3], 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(3)
+    got = corpus_pipeline.near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    assert Counter(map(tuple, got.collect())) == Counter(r for r in rows if r not in {(2, t[0] + " more", 9), (3, t[0], 9), (None, t[0], 9)})
+
+
 def test_induced_sorting():
     rng = random.Random(3)
     for _ in range(400):
