@@ -24,19 +24,20 @@ class MergeEncoder:
 
     A stretch starts as single characters. Its agenda holds every pair of neighbours that forms a piece; the best piece
     (highest score, leftmost first) is merged until none is left. A candidate is skipped when the hash of (seed,
-    variant, stretch, place, piece) falls below ``dropout``: it leaves the agenda, and only another merge beside it can
-    bring a new candidate. Characters without a piece become their bytes, so decoding loses nothing.
+    document, number of the stretch, place, piece) falls below ``dropout``: it leaves the agenda, and only another merge
+    beside it can bring a new candidate. Characters without a piece become their bytes, so decoding loses nothing.
 
-    Equal stretches are segmented alike within one of ``variants`` variants, and an occurrence draws its variant by
-    hash, so frequent ones are computed once and kept in a bounded table.
+    Every occurrence draws for itself. Its segmentation depends on nothing but the stretch and which of all its possible
+    candidates are skipped, so what was computed for the same stretch and skips is used again, from a bounded table.
+    ``keep_mark``: U+2581 of a text becomes its bytes; by default it is a space, as the library has it.
     """
 
-    def __init__(self, name: str, dropout: float, seed: int, variants: int = 4, limit: int = 400_000, wide: int = 40):
+    def __init__(self, name: str, dropout: float, seed: int, limit: int = 400_000, wide: int = 40, keep_mark: bool = False):
         import public_tokenizers
         import sentencepiece
 
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name))
-        self.seed, self.variants, self.limit, self.wide = seed, variants if dropout > 0 else 1, limit, wide
+        self.seed, self.limit, self.wide, self.keep_mark = seed, limit, wide, keep_mark
         self.skip_below = np.uint64(min(int(dropout * 2.0**64), 2**64 - 1))
         size = sp.get_piece_size()
         normal = [i for i in range(size) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
@@ -53,11 +54,17 @@ class MergeEncoder:
                 if a is not None and b is not None:
                     pairs[a << 32 | b] = i
         self._index(pairs)
+        made = set(pairs.values())
+        self.merged, self.longest = {p: i for p, i in self.ids.items() if i in made}, max(map(len, self.ids))
         self.of_char = np.full(0x110000, size, np.int64)
         for piece, i in self.ids.items():
             if len(piece) == 1:
                 self.of_char[ord(piece)] = i
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.of_char[ord(" ")] = self.of_char[0x2581]
+        if keep_mark:
+            self.of_char[0x2581] = size
+        self.known: dict[tuple[str, int], bytes] = {}
+        self.places: dict[str, np.ndarray | None] = {}
 
     def _index(self, pairs: dict[int, int]) -> None:
         """Open-addressed table of the pairs that form a piece, for whole arrays of lookups."""
@@ -95,13 +102,20 @@ class MergeEncoder:
             ok &= mix(key ^ mix((at << 20 | piece).astype(np.uint64))) >= self.skip_below
         return piece, np.where(ok, self.rank[piece] << 32 | at, _NEVER)
 
-    def _stretch_keys(self, words: list[str], variant: int) -> np.ndarray:
-        raw = [w.encode() for w in words]
-        ends = np.cumsum([len(x) for x in raw])
-        own = hashes(np.frombuffer(b"".join(raw), np.uint8), np.append(0, ends[:-1]), ends)
-        return mix(own ^ np.uint64((self.seed * 0x9E3779B97F4A7C15 + variant * 0xC2B2AE3D27D4EB4F) & 2**64 - 1))
-
-    def _together(self, words: list[str], variant: int) -> list[bytes]:
+    def _possible(self, word: str) -> np.ndarray | None:
+        """All candidates (place and piece) that any order of merges can bring, or None if they are too many for a mask."""
+        if len(word) > self.wide:
+            return None
+        text = word.replace("▁", "\0") if self.keep_mark else word
+        text, n, out = text.replace(" ", "▁"), len(word), []
+        for a in range(n - 1):
+            for e in range(a + 2, min(n, a + self.longest) + 1):
+                piece = self.merged.get(text[a:e])
+                if piece is not None:
+                    out.append(a << 20 | piece)
+        return mix(np.array(out, np.uint64)) if len(out) <= 64 else None
+
+    def _together(self, words: list[str], keys: np.ndarray | int) -> list[bytes]:
         """Agendas of many short stretches side by side: each round takes the best candidate of every stretch.
 
         One row a stretch, one column a character; a merged symbol stays in its first column, ``after`` and ``before``
@@ -114,7 +128,7 @@ class MergeEncoder:
         cols = np.broadcast_to(np.arange(wide + 1, dtype=np.int64), (n, wide + 1))
         after, before = cols + 1, cols - 1
         alive = cols < length[:, None]
-        key = self._stretch_keys(words, variant)
+        key = np.broadcast_to(np.asarray(keys, np.uint64), n)
         piece, order = self._candidates(sym[:, :-1], sym[:, 1:], cols[:, :-1], key[:, None])
         rows = np.arange(n)
         while len(rows):
@@ -144,10 +158,10 @@ class MergeEncoder:
             out[i] = self._bytes(sym[i, at].tolist(), at.tolist(), words[i])
         return out
 
-    def _alone(self, word: str, variant: int) -> bytes:
+    def _alone(self, word: str, key: int) -> bytes:
         """The agenda of one stretch as a heap over linked symbols, for long ones."""
-        sym = [self.ids.get(c, self.none) for c in word]
-        n, key, heap = len(sym), self._stretch_keys([word], variant), []
+        sym = [int(self.of_char[ord(c)]) for c in word]
+        n, key, heap = len(sym), np.array([key], np.uint64), []
         right, left, alive = [*range(1, n + 1)], [*range(-1, n - 1)], [True] * n
 
         def push(at: np.ndarray, after: np.ndarray) -> None:
@@ -178,36 +192,73 @@ class MergeEncoder:
             symbols = out
         return np.array(symbols, "<u4").tobytes()
 
-    def _learn(self, variant: int, seen: set[str]) -> None:
-        known = self.known[variant]
-        new = sorted(w for w in seen if w not in known)
-        if len(known) + len(new) > self.limit // self.variants:
-            known = self.known[variant] = {w: known[w] for w in seen if w in known}
-        short: dict[int, list[str]] = {}
-        for w in new:
+    def _segment(self, words: list[str], keys: np.ndarray) -> list[bytes]:
+        """Segmentation of each stretch with the skips of its key."""
+        out: list[bytes] = [b""] * len(words)
+        short: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
             if len(w) > self.wide:
-                known[w] = self._alone(w.replace(" ", "▁"), variant)
+                out[i] = self._alone(w, int(keys[i]))
             else:
-                short.setdefault(-(-len(w) // 4), []).append(w)
-        for words in short.values():
-            for i in range(0, len(words), 4000):
-                part = words[i:i + 4000]
-                known.update(zip(part, self._together([w.replace(" ", "▁") for w in part], variant)))
+                short.setdefault(-(-len(w) // 4), []).append(i)
+        for places in short.values():
+            for i in range(0, len(places), 4000):
+                part = places[i:i + 4000]
+                for j, ids in zip(part, self._together([words[j] for j in part], keys[part])):
+                    out[j] = ids
+        return out
 
     def encode(self, texts: Iterable[str], keys: Iterable[int]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; its key decides which variants its stretches draw."""
-        cut, drawn = [], []
-        seen: list[set[str]] = [set() for _ in self.known]
+        """Little-endian unsigned 32-bit ids of each text; its key and the stretch's number decide the skips of each stretch."""
+        words: list[str] = []
+        counts, own = [], []
         for text, key in zip(texts, keys):
-            words = _STRETCH.findall(" " + text.replace("▁", " ")) if text else []
-            own = mix(np.arange(len(words), dtype=np.uint64) + mix(np.array([key & 2**64 - 1], np.uint64))) % np.uint64(self.variants)
-            for v, s in enumerate(seen):
-                s.update(words if self.variants == 1 else [words[i] for i in np.flatnonzero(own == v).tolist()])
-            cut.append(words)
-            drawn.append(own.tolist())
-        for v, s in enumerate(seen):
-            self._learn(v, s)
-        return [b"".join([self.known[v][w] for v, w in zip(d, c)]) for c, d in zip(cut, drawn)]
+            found = _STRETCH.findall(" " + (text if self.keep_mark else text.replace("▁", " "))) if text else []
+            words += found
+            counts.append(len(found))
+            own.append(mix(np.arange(len(found), dtype=np.uint64) + mix(np.array([(key ^ self.seed * 0x9E3779B97F4A7C15) & 2**64 - 1], np.uint64))))
+        if not words:
+            return [b""] * len(counts)
+        draw = mix(np.concatenate(own))
+        masks: list[int] = [0] * len(words)
+        free: list[int] = []  # stretches that are computed for themselves
+        if self.skip_below:
+            number: dict[str, int] = {}
+            of = np.array([number.setdefault(w, len(number)) for w in words])
+            if len(self.places) > self.limit:
+                self.places = {}
+            for w in number:
+                if w not in self.places:
+                    self.places[w] = self._possible(w)
+            lists = [self.places[w] for w in number]
+            n = np.array([-1 if x is None else len(x) for x in lists])
+            free = np.flatnonzero(n[of] < 0).tolist()
+            flat = np.concatenate([np.empty(0, np.uint64)] + [x for x in lists if x is not None])
+            n = np.maximum(n, 0)
+            start = np.cumsum(n) - n
+            size = n[of]
+            for a in range(0, len(words), 20_000):
+                part = slice(a, a + 20_000)
+                rows = np.repeat(np.arange(len(of[part])), size[part])
+                bit = np.arange(len(rows)) - np.repeat(np.cumsum(size[part]) - size[part], size[part])
+                hit = np.flatnonzero(mix(draw[part][rows] ^ flat[start[of[part]][rows] + bit]) < self.skip_below)
+                if len(hit):
+                    row = rows[hit]
+                    first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+                    bits = np.bitwise_or.reduceat(np.uint64(1) << bit[hit].astype(np.uint64), first)
+                    for i, m in zip((row[first] + a).tolist(), bits.tolist()):
+                        masks[i] = m
+        pairs: list[tuple[str, int]] = list(zip(words, masks))
+        for i in free:
+            pairs[i] = (words[i], -1 - i)  # no other has these
+        new = {p: i for i, p in enumerate(pairs) if p not in self.known}
+        found = dict(zip(new, self._segment([p[0] for p in new], draw[list(new.values())]))) if new else {}
+        out = [found[p] if p in found else self.known[p] for p in pairs]
+        if len(self.known) + len(found) > self.limit:
+            self.known = {}
+        self.known.update((p, x) for p, x in found.items() if p[1] >= 0)
+        ends = np.cumsum(counts).tolist()
+        return [b"".join(out[e - c:e]) for e, c in zip(ends, counts)]
 
     def decode(self, ids: list[bytes]) -> list[str]:
         return self.sp.decode([np.frombuffer(x, "<u4").tolist() for x in ids], num_threads=1) if ids else []
@@ -219,7 +270,7 @@ def encoder(name: str, dropout: float, seed: int) -> MergeEncoder:
 
     kept = sentencepiece.__dict__.setdefault("_kept_mergers", {})
     if (name, dropout, seed) not in kept:
-        kept[name, dropout, seed] = MergeEncoder(name, dropout, seed)
+        kept[name, dropout, seed] = MergeEncoder(name, dropout, seed, keep_mark=True)
     return kept[name, dropout, seed]
 
 
@@ -230,7 +281,7 @@ def _encode(batches: Iterator[pa.RecordBatch], keep: list[str], id_col: str, tex
         ids = coder.encode(texts, keys)
         out = [b.column(c) for c in keep] + [pa.array(ids, pa.binary())]
         if verify:
-            out.append(pa.array([a == t.replace("▁", " ") for a, t in zip(coder.decode(ids), texts)], pa.bool_()))
+            out.append(pa.array([a == t for a, t in zip(coder.decode(ids), texts)], pa.bool_()))
         yield pa.RecordBatch.from_arrays(out, [*keep, "ids"] + ["lossless"] * verify)
 
 
@@ -240,8 +291,8 @@ def encode_pieces(docs: DataFrame, name: str = "piece_bpe_32k.model", dropout: f
     ``verify`` decodes the ids in the same pass and adds ``lossless``, whether they give the text again.
 
     One pass, no shuffle; the same seed gives the same ids wherever and however often a task runs, another seed other
-    segmentations. Null and empty texts have no ids. U+2581, by which the vocabulary writes the space, is encoded as a
-    space. Rows repeating an id and text get equal ids. No rows give no rows.
+    segmentations. Null and empty texts have no ids. U+2581, by which the vocabulary writes the space, is encoded by its
+    bytes. Rows repeating an id and text get equal ids. No rows give no rows.
     """
     keep = [c for c in docs.columns if c != text_col] if carry is None else carry
     kind = schema_of(docs, keep, "ids binary" + ", lossless boolean" * verify)

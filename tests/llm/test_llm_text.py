@@ -12,6 +12,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from surveyspark.llm.bands import Bands, base_counts, compression_bands
+from surveyspark.llm.bytesets import mix
 from surveyspark.llm.common import new_folder
 from surveyspark.llm.counts import CACHE, token_counts
 from surveyspark.llm.merges import MergeEncoder, decode_pieces, encode_pieces
@@ -69,6 +70,21 @@ def test_merges(dropout):
     assert coder._together(words, 0) == [coder._alone(w, 0) for w in words]
 
 
+def test_each_occurrence_draws():
+    coder = MergeEncoder("piece_bpe_32k.model", 0.1, 5, keep_mark=True)
+    text = "wonderful " * 3000
+    ids = coder.encode([text, text, "▁x ▁"], [1, 2, 3])
+    assert ids[0] != ids[1] and coder.decode(ids) == [text, text, "▁x ▁"]
+    words = ["wonderful"] * 3000
+    got = {coder._alone(" " + w, key) for key, w in enumerate(words)}
+    assert len({x for w, x in coder.known.items() if w[0] == " wonderful"} & got) > 4
+    again = MergeEncoder("piece_bpe_32k.model", 0.1, 5, limit=3, keep_mark=True)  # nothing kept: the same ids
+    assert again.encode([text[:500]], [2]) + again.encode([text], [1]) == coder.encode([text[:500]], [2]) + [ids[0]]
+    keys = mix(mix(np.arange(500, dtype=np.uint64)))  # skips and segmentation agree with the agenda of each key alone
+    pieces = coder._segment([" wonderful"] * 500, keys)
+    assert pieces == [coder._alone(" wonderful", int(k)) for k in keys]
+
+
 def test_merge_rows(spark, odd):
     rows = decode_pieces(encode_pieces(odd, dropout=0.2, seed=3, carry=["doc_id", "text", "kept"])).collect()
     assert Counter((r["doc_id"], r["text"], r["kept"]) for r in rows) == Counter(ROWS)
