@@ -11,15 +11,18 @@ import corpus_pipeline
 
 from .bands import compression_bands
 from .common import documents, lower_ascii, new_folder
+from .conversations import conversation_trie, oracle_sql as trie_sql
 from .counts import token_counts
 from .exact import exact_dedup
 from .forest import near_duplicates
+from .hilbert import nearest_neighbours
 from .license import oracle_sql as license_sql, scan_licenses
 from .merges import encode_pieces
 from .ordinal import classify, ratings_of, train
 from .packing import pack
 from .suffixes import remove_repeats
 from .wavelet import read_token_files, write_token_files
+from .whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -116,6 +119,24 @@ def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), "lossless")
 
 
+@query
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+ORACLE["op11_conversation_trie"] = trie_sql()
+
+
+@query
+def op12_spectrum_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), carry=["vec_id"])
+
+
+@query
+def op13_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
