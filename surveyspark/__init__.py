@@ -1,4 +1,4 @@
-"""Thermal-survey analytics expressed as Spark DataFrames."""
+"""Infrared-survey analytics expressed as Spark DataFrames."""
 
 import sys
 

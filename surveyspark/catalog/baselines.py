@@ -8,7 +8,7 @@ from ..operators import baseline as B
 from ..operators import frames as FR
 from ..operators.ordered import neighbours, with_index
 from ..functions import geo
-from ..functions.thermal import celsius
+from ..functions.infrared import celsius
 from ..sources.tables import captures, pixels
 from .base import query
 

@@ -14,11 +14,11 @@ from ..operators.ordered import neighbours, with_index
 from ..plans import detect as D
 from ..plans import segment as S
 from ..sources.tables import SMALL, H, W, captures, named_frames, pixels
-from .base import query
+from .base import ORACLE, query, with_views
 from .baselines import _CONT, _MODAL, _TRIM, KEYS, hav_sql, hist, lagged, rounded
-from .rasters import SOBEL, _box_sql, dense
+from .rasters import SOBEL, _box_sql, _mirror_sql, dense
 from .scalars import LABX, PXC
-from .views import VIEWS, components, dilated, eroded, plumes
+from .views import VIEWS, components, dilated, eroded, eroded_open_border, filled, large, masks_of, plumes, smoothed
 
 C = F.col
 THRESHOLDS = [0.5, 1.0, 1.5, 2.0]
@@ -220,10 +220,10 @@ _TH = """select frame, coalesce(px,0)/n as pf, cf, case when coalesce(px,0)/n >
   left join (select frame, sum(area) as px, arg_max(eccentricity, area*1000-region) as ecc, max(area) as big from found group by frame) using (frame)"""
 
 
-@query("glint_thermal", f"select frame, round(pf,6) as plume_fraction, round(cf,6) as cold_fraction, why as thermal_reason, why is not null as thermal_glint from ({_TH})")
-def glint_thermal(spark, sf):
+@query("glint_infrared", f"select frame, round(pf,6) as plume_fraction, round(cf,6) as cold_fraction, why as infrared_reason, why is not null as infrared_glint from ({_TH})")
+def glint_infrared(spark, sf):
     p = by_directory(spark, sf)
-    d = GL.thermal_evidence(B.temp_hist(p, KEYS), D.detect(p, SMALL), KEYS, round_area=5)
+    d = GL.infrared_evidence(B.temp_hist(p, KEYS), D.detect(p, SMALL), KEYS, round_area=5)
     return rounded(d.drop("media"))
 
 
@@ -243,7 +243,7 @@ def verdict(spark, sf):
     hd = cont.select(*KEYS, "idx").join(directories(captures(spark, sf)).select(*KEYS, "heading"), KEYS)
     turns = neighbours(hd, ["media"], {"ph": lambda w: F.lag("heading").over(w)})
     turns = turns.withColumn("rapid", F.abs(geo.turn_deg(C("heading"), C("ph"))) > 15)
-    th = GL.thermal_evidence(h, D.detect(p, SMALL), KEYS, round_area=5)
+    th = GL.infrared_evidence(h, D.detect(p, SMALL), KEYS, round_area=5)
     return GL.confidence(GL.rgb_evidence(p, KEYS), th, cont, turns, KEYS)
 
 
@@ -356,8 +356,8 @@ _OC1 = "((h between 180 and 250 and s >= 30 and v between 40 and 200) or (v < 82
 _SEG = f"select *, case when s < 25 and v > 150 then 'waves' when {_OC1} and not {_DARKROCK} then 'ocean' else 'land' end as surface from {PXC}"
 
 
-@query("segment_rules", f"select frame, y, x, surface from ({_SEG})")
-def segment_rules(spark, sf):
+@query("segment_rule_pixels", f"select frame, y, x, surface from ({_SEG})")
+def segment_rule_pixels(spark, sf):
     return S.by_rules(pixels(spark, sf)).select("frame", "y", "x", "surface")
 
 
@@ -390,13 +390,13 @@ def _res(o, l_, w):
     return f"case when {w} then 'waves' when {l_} then 'land' when {o} then 'ocean' end"
 
 
-@query("segment_hsv", f"select frame, y, x, {_res(_HO, _HL, _HW)} as surface from {PXC}")
-def segment_hsv(spark, sf):
+@query("segment_hsv_pixels", f"select frame, y, x, {_res(_HO, _HL, _HW)} as surface from {PXC}")
+def segment_hsv_pixels(spark, sf):
     return S.by_hsv(pixels(spark, sf)).select("frame", "y", "x", "surface")
 
 
-@query("segment_lab", f"select frame, y, x, {_res(_LO, _LL, _LW)} as surface from {LABX}")
-def segment_lab(spark, sf):
+@query("segment_lab_pixels", f"select frame, y, x, {_res(_LO, _LL, _LW)} as surface from {LABX}")
+def segment_lab_pixels(spark, sf):
     return S.by_lab(pixels(spark, sf)).select("frame", "y", "x", "surface")
 
 
@@ -404,8 +404,8 @@ _VO = f"(({_HO} and not {_HL} and not {_HW}) or ({_LO} and not {_LL} and not {_L
 _VL = f"(({_HL} and not {_HW}) or ({_LL} and not {_LW}) or (g > r*1.1 and g > b*1.1 and g > 30))"
 
 
-@query("segment_vote", f"select frame, y, x, {_res(_VO, _VL, f'({_HW} and {_LW})')} as surface from {LABX}")
-def segment_vote(spark, sf):
+@query("segment_vote_pixels", f"select frame, y, x, {_res(_VO, _VL, f'({_HW} and {_LW})')} as surface from {LABX}")
+def segment_vote_pixels(spark, sf):
     return S.by_vote(pixels(spark, sf)).select("frame", "y", "x", "surface")
 
 
@@ -434,28 +434,115 @@ def _land(method):
     return lambda spark, sf: S.by_temperature(dense(spark, sf), ["frame"], method, 22.0, W, H)
 
 
-query("segment_thermal", "select frame, y, x, raw/10-273.15 > 22 as land_mask from px")(
+query("segment_infrared_pixels", "select frame, y, x, raw/10-273.15 > 22 as land_mask from px")(
     lambda spark, sf: _land("temperature")(spark, sf).select("frame", "y", "x", "land_mask")
 )
-query("segment_thermal_variance", f"select frame, y, x, vn >= 0.3 as land_mask from ({_V5})")(
+query("segment_infrared_variance_pixels", f"select frame, y, x, vn >= 0.3 as land_mask from ({_V5})")(
     lambda spark, sf: _land("variance")(spark, sf).select("frame", "y", "x", "land_mask")
 )
-query("segment_thermal_combined", f"WITH v5 AS MATERIALIZED ({_V5}) select frame, y, x, raw/10-273.15 > 22 or vn > 0.3 as land_mask from v5 join px using (frame, y, x)")(
-    lambda spark, sf: _land("combined")(spark, sf).select("frame", "y", "x", "land_mask")
-)
-
-
 @query(
-    "segment_thermal_adaptive",
+    "segment_infrared_adaptive",
     f"""select frame, y, x, round((1-(raw-min(raw) over w)/(max(raw) over w-min(raw) over w)::double)*0.4 + (1-(va-min(va) over w)/(max(va) over w-min(va) over w+1e-10))*0.3
       + (1-(gm-min(gm) over w)/(max(gm) over w-min(gm) over w+1e-10))*0.3, 5) as score
       from (select frame, y, x, raw, va, sqrt(gx*gx+gy*gy) as gm from px join ({SOBEL}) using (frame, y, x)
         join ({_box_sql(7, 'var_pop(q.raw-2950e0)/100 as va')}) using (frame, y, x)) window w as (partition by frame)""",
 )
-def segment_thermal_adaptive(spark, sf):
+def segment_infrared_adaptive(spark, sf):
     return _land("adaptive")(spark, sf).select("frame", "y", "x", F.round("score", 5).alias("score"))
 
 
+# Cleaned masks; the sizes shrink with the rasters.
+_SURFACE = lambda kind: f"select frame, y, x from ({_SEG}) where surface = '{kind}'"
+_RULES = {
+    **large("ro", _SURFACE("ocean"), 3), **large("rl", _SURFACE("land"), 3), **large("rw", _SURFACE("waves"), 2), **components("r8", "select * from ro"),
+    "rb": """select frame, y, x from r8 join (select frame, region from (select frame, region, count(*) as c, row_number() over (partition by frame order by count(*) desc, region) as rk
+      from r8 group by frame, region) where rk = 1 and c > 0.2*64) using (frame, region)""",
+    # Frames without any ocean keep their land without specks; in all others the rest is land.
+    "rr": "select frame, y, x from px where frame in (select frame from ro) except (select * from rb union select * from rw) union select * from rl where frame not in (select frame from ro)",
+    **filled("rof", "select * from rb", 3), **filled("rlf", "select * from rr", 3),
+}
+
+
+@query("segment_rules", masks_of(_RULES, "select * from rof", "select * from rlf", "select * from rw"))
+def segment_rules(spark, sf):
+    return S.rule_masks(dense(spark, sf), ["frame"], W, H, 3, 2, 3, 0.2)
+
+
+def _ranked(o, l_, w):
+    """Waves beat land, land beats ocean."""
+    return f"select * from {o} except select * from {w} except select * from {l_}", f"select * from {l_} except select * from {w}", f"select * from {w}"
+
+
+def _range_ctes(p, table, o, l_, w):
+    return {f"{p}x": f"select * from {table}", **{k: v for m, c, n in ((f"{p}o", o, 3), (f"{p}l", l_, 3), (f"{p}w", w, 2)) for k, v in smoothed(m, f"select frame, y, x from {p}x where {c}", n).items()}}
+
+
+_HSV = _range_ctes("hs", PXC, _HO, _HL, _HW)
+_LAB = _range_ctes("la", LABX, _LO, _LL, _LW)
+
+
+@query("segment_hsv", masks_of(_HSV, *_ranked("hso", "hsl", "hsw")))
+def segment_hsv(spark, sf):
+    return S.hsv_masks(dense(spark, sf), ["frame"], W, H, 3, 2)
+
+
+@query("segment_lab", masks_of(_LAB, *_ranked("lao", "lal", "law")))
+def segment_lab(spark, sf):
+    return S.lab_masks(dense(spark, sf), ["frame"], W, H, 3, 2)
+
+
+_HSR, _LAR = _ranked("hso", "hsl", "hsw"), _ranked("lao", "lal", "law")
+_VOTE = {
+    **_HSV, **_LAB,
+    **smoothed("vo", f"({_HSR[0]}) union ({_LAR[0]}) union select frame, y, x from px where b > r*1.2 and b > g*1.1 and b > 50", 3),
+    **smoothed("vl", f"({_HSR[1]}) union ({_LAR[1]}) union select frame, y, x from px where g > r*1.1 and g > b*1.1 and g > 30", 3),
+    **smoothed("vw", f"({_HSR[2]}) intersect ({_LAR[2]})", 2),
+    "v1": _ranked("vo", "vl", "vw")[0], "v2": _ranked("vo", "vl", "vw")[1],
+    "vn": "select frame, y, x from px except select * from v1 except select * from v2 except select * from vw",
+    "vd": dilated("select * from v1", 2), "ve": dilated("select * from v2", 2),
+}
+
+
+@query("segment_vote", masks_of(
+    _VOTE, "select * from v1 union (select * from vn intersect select * from vd except select * from ve)",
+    "select * from v2 union (select * from vn intersect select * from ve except select * from vd)", "select * from vw",
+))
+def segment_vote(spark, sf):
+    return S.vote_masks(dense(spark, sf), ["frame"], W, H, size=3, specks=2, last_size=3, last_specks=2, reach=2)
+
+
+#: Local variance from window sums along both axes; the border is mirrored.
+_V5W = _VN.format(v="""select frame, yy as y, xx as x, greatest(s2/25e0 - (s1/25e0)*(s1/25e0), 0) as variance from (
+    select frame, yy, xx, sum(a1) over v as s1, sum(a2) over v as s2 from (
+      select frame, yy, xx, sum(raw - 2950e0) over h as a1, sum((raw - 2950e0)*(raw - 2950e0)) over h as a2 from MIRRORED
+      window h as (partition by frame, yy order by xx range between 2 preceding and 2 following)) where xx between 0 and 7
+    window v as (partition by frame, xx order by yy range between 2 preceding and 2 following)) where yy between 0 and 7""".replace("MIRRORED", _mirror_sql(2)))
+
+
+def _cleaned_land(name, mask):
+    ctes = {f"{name}_d": dilated(mask, 2), f"{name}_c": eroded_open_border(f"select * from {name}_d", 2), **large(name, f"select * from {name}_c", 3)}
+    return "WITH " + ", ".join(f"{k} AS ({v})" for k, v in ctes.items()) + f" select frame, y, x, (frame, y, x) in (select (frame, y, x) from {name}) as land_mask from px"
+
+
+def _clean(method):
+    return lambda spark, sf: S.temperature_mask(dense(spark, sf), ["frame"], method, 22.0, W, H, 3, 5, 3)
+
+
+query("segment_infrared", _cleaned_land("tl", "select frame, y, x from px where raw/10-273.15 > 22"))(_clean("temperature"))
+query("segment_infrared_variance", _cleaned_land("tv", f"select frame, y, x from ({_V5W}) where vn >= 0.3"))(_clean("variance"))
+query("segment_infrared_combined", _cleaned_land("tc", f"select frame, y, x from ({_V5W}) join px using (frame, y, x) where raw/10-273.15 > 22 or vn > 0.3"))(_clean("combined"))
+
+
+_SCORE = ORACLE["segment_infrared_adaptive"].removeprefix(with_views("px ")[:-3])
+_ADAPT = {
+    "ad": dilated(f"select frame, y, x from ({_SCORE}) where score > 0.5", 3), "ac": eroded_open_border("select * from ad", 3), **large("ak", "select * from ac", 5), **filled("af", "select * from ak", 3),
+    "tad": dilated("select frame, y, x from px except select * from af", 2), "tac": eroded_open_border("select * from tad", 2), **large("ta", "select * from tac", 3),
+}
+
+
+query("segment_infrared_adaptive_mask", "WITH " + ", ".join(f"{k} AS ({v})" for k, v in _ADAPT.items()) + " select frame, y, x, (frame, y, x) in (select (frame, y, x) from ta) as land_mask from px")(_clean("adaptive"))
+
+
 @query(
     "ocean_features",
     f"""select frame, y, x, raw > m + 1.5*s as warm, raw < m - 1.5*s as cold, gm > p as front from (select frame, y, x, raw, sqrt(gx*gx+gy*gy) as gm from px join ({SOBEL}) using (frame, y, x) where ocean)
@@ -499,7 +586,7 @@ def confidence(spark, sf):
     return D.confidence(by_directory(spark, sf), SMALL, sigma=1.0)
 
 
-from .rasters import _GW, _mirror_sql  # noqa: E402
+from .rasters import _GW  # noqa: E402
 
 _CV = """select p.frame, p.y, p.x, case when ocean and raw < m - 5 then (m - raw)/top*exp(-d/20) else 0 end as raw from px p join med using (frame) join dist using (frame, y, x)
   join (select p.frame, max(greatest(m-raw,0)) as top from px p join med using (frame) where ocean group by p.frame) using (frame)"""

@@ -58,8 +58,8 @@ def scan_path_parts(spark, sf):
     )
 
 
-@query("scan_thermal_raw", "select frame, y, x, raw from px")
-def scan_thermal_raw(spark, sf):
+@query("scan_infrared_raw", "select frame, y, x, raw from px")
+def scan_infrared_raw(spark, sf):
     """Rasters written out as headed 16-bit files and read back."""
     px = pixels(spark, sf, colocate=["frame"])
     word = lambda v: F.concat(F.lpad(F.hex(v % 256), 2, "0"), F.lpad(F.hex(F.shiftright(v, 8)), 2, "0"))
@@ -67,7 +67,7 @@ def scan_thermal_raw(spark, sf):
     f = px.groupBy("frame").agg(cells.alias("c"))
     body = F.array_join(F.transform("c", lambda e: word(e["raw"])), "")
     f = f.select("frame", F.unhex(F.concat(F.lit("00FF10"), body)).alias("content"))
-    return S.to_pixels(S.decode_thermal(f, ["frame"], W, H), ["frame"], W)
+    return S.to_pixels(S.decode_infrared(f, ["frame"], W, H), ["frame"], W)
 
 
 @query("scan_rgb", "select frame, y, x, r, g, b from px")

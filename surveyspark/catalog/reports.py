@@ -26,18 +26,18 @@ def _rgb(spark, sf):
     return captures(spark, sf).filter("event_type <> 'error'").select("flight", "frame", F.concat(F.lit("MAX_"), "frame").alias("rgb"))
 
 
-def _thermal(spark, sf):
-    return captures(spark, sf).filter("event_type <> 'signup'").select("flight", "frame", F.concat(F.lit("IRX_"), "frame").alias("thermal"))
+def _infrared(spark, sf):
+    return captures(spark, sf).filter("event_type <> 'signup'").select("flight", "frame", F.concat(F.lit("IRX_"), "frame").alias("infrared"))
 
 
-@query("pair_frames", "select flight, frame, 'MAX_' || frame as rgb, 'IRX_' || frame as thermal from captures where event_type not in ('error','signup')")
+@query("pair_frames", "select flight, frame, 'MAX_' || frame as rgb, 'IRX_' || frame as infrared from captures where event_type not in ('error','signup')")
 def pair_frames(spark, sf):
-    return FR.pair(_rgb(spark, sf), _thermal(spark, sf), ["flight", "frame"])
+    return FR.pair(_rgb(spark, sf), _infrared(spark, sf), ["flight", "frame"])
 
 
 @query("unpaired_frames", "select flight, count(*) as n from captures where event_type = 'signup' group by flight")
 def unpaired_frames(spark, sf):
-    return FR.unpaired(_rgb(spark, sf), _thermal(spark, sf), ["flight", "frame"]).groupBy("flight").agg(F.count(F.lit(1)).alias("n"))
+    return FR.unpaired(_rgb(spark, sf), _infrared(spark, sf), ["flight", "frame"]).groupBy("flight").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -55,7 +55,7 @@ def detections_with_capture(spark, sf):
     "select p.frame, p.y, p.x, p.raw, s.r, s.g, s.b from px p join (select frame, y//2 as y, x//2 as x, avg(r) as r, avg(g) as g, avg(b) as b from px group by frame, y//2, x//2) s on s.frame = p.frame and s.y = p.y//2 and s.x = p.x//2",
 )
 def pixel_align_join(spark, sf):
-    """Thermal pixels with the colour of the coarser image, resampled by nearest block."""
+    """Infrared pixels with the colour of the coarser image, resampled by nearest block."""
     from .rasters import dense
     from ..operators.raster import downsample
 

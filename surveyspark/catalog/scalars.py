@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import Camera
-from ..functions import colour, geo, rings, text, thermal
+from ..functions import colour, geo, rings, text, infrared
 from ..operators import baseline as B
 from ..sources.tables import captures, detections, pixels, table
 from .base import query
@@ -17,7 +17,7 @@ C = F.col
 
 @query("raw_to_celsius", "select frame, y, x, round(raw/10 - 273.15, 6) as temp from px")
 def raw_to_celsius(spark, sf):
-    return rounded(pixels(spark, sf).select("frame", "y", "x", thermal.celsius(C("raw")).alias("temp")))
+    return rounded(pixels(spark, sf).select("frame", "y", "x", infrared.celsius(C("raw")).alias("temp")))
 
 
 _U = """select unit, round(avg(t),4) as mean_celsius, avg(t) between 10 and 40 as plausible from (
@@ -32,7 +32,7 @@ def unit_audit(spark, sf):
     p = pixels(spark, sf).groupBy("raw").agg(F.count(F.lit(1)).alias("n"))
     ends = p.agg(F.struct(F.min("raw").alias("lo"), F.max("raw").alias("hi"))).scalar()
     d = p.withColumn("e", ends).select(
-        "n", F.inline(thermal.unit_hypotheses(C("raw"), C("e.lo").cast("double"), C("e.hi").cast("double")))
+        "n", F.inline(infrared.unit_hypotheses(C("raw"), C("e.lo").cast("double"), C("e.hi").cast("double")))
     )
     m = F.sum(C("celsius") * C("n")) / F.sum("n")
     return d.groupBy("unit").agg(F.round(m, 4).alias("mean_celsius"), m.between(10, 40).alias("plausible"))
@@ -43,7 +43,7 @@ def unit_audit(spark, sf):
     """select frame, y, x, round((1428e0/ln(16384e0/((case when raw=0 then 1 else raw end)+7340e0)+1) - 273.15)*0.95, 6) as temp from px""",
 )
 def planck(spark, sf):
-    return rounded(pixels(spark, sf).select("frame", "y", "x", thermal.celsius_planck(C("raw")).alias("temp")))
+    return rounded(pixels(spark, sf).select("frame", "y", "x", infrared.celsius_planck(C("raw")).alias("temp")))
 
 
 @query(
@@ -122,15 +122,15 @@ _RX, _RY = "(tx/640e0-0.5)*4096*{r}", "(ty/512e0-0.5)*3072*{r}"
 
 
 @query(
-    "thermal_to_rgb_xy",
+    "infrared_to_rgb_xy",
     """select frame, y, x, round(2048 + dx, 4) as rgb_x, round(1536 + dy, 4) as rgb_y, round(2048 + dx*cos(radians(10)) - dy*sin(radians(10)),4) as rot_x,
       round(1536 + dx*sin(radians(10)) + dy*cos(radians(10)),4) as rot_y
       from (select frame, y, x, (x*80/640e0-0.5)*4096*0.7 as dx, (y*64/512e0-0.5)*3072*0.7 as dy from px)""",
 )
-def thermal_to_rgb(spark, sf):
+def infrared_to_rgb(spark, sf):
     tx, ty = C("x") * 80, C("y") * 64
-    a, b = geo.thermal_to_rgb_xy(tx, ty, CAM.crop_ratio)
-    c, d = geo.thermal_to_rgb_xy(tx, ty, CAM.crop_ratio, 10.0)
+    a, b = geo.infrared_to_rgb_xy(tx, ty, CAM.crop_ratio)
+    c, d = geo.infrared_to_rgb_xy(tx, ty, CAM.crop_ratio, 10.0)
     return rounded(
         pixels(spark, sf).select("frame", "y", "x", a.alias("rgb_x"), b.alias("rgb_y"), c.alias("rot_x"), d.alias("rot_y")), 4
     )
@@ -437,8 +437,8 @@ def minmax_norm(spark, sf):
             "frame",
             "y",
             "x",
-            thermal.minmax_norm(C("raw"), ["frame"]).alias("norm"),
-            thermal.minmax_norm(C("raw"), ["frame"], 1e-10).alias("norm_guarded"),
+            infrared.minmax_norm(C("raw"), ["frame"]).alias("norm"),
+            infrared.minmax_norm(C("raw"), ["frame"], 1e-10).alias("norm_guarded"),
         )
     )
 

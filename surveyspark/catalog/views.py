@@ -74,6 +74,36 @@ def eroded_open_border(mask: str, r: int) -> str:
     return f"select frame, y, x from ({mask}) except {dilated(outside, r)}"
 
 
+def large(name: str, mask: str, n: int) -> dict[str, str]:
+    """CTEs keeping the pixels of 4-connected regions of at least ``n``: those that reach as many within n - 1 steps."""
+    four = "(values (0,0), (0,1), (0,-1), (1,0), (-1,0)) o(dy, dx)"
+    ctes = {f"{name}_m": f"select distinct frame, y, x from ({mask})", f"{name}_0": f"select frame, y, x, y as v, x as u from {name}_m"}
+    for i in range(1, n):
+        ctes[f"{name}_{i}"] = f"select distinct s.frame, s.y, s.x, m.y as v, m.x as u from {name}_{i - 1} s cross join {four} join {name}_m m on m.frame = s.frame and m.y = s.v + dy and m.x = s.u + dx"
+    return ctes | {name: f"select frame, y, x from {name}_{n - 1} group by frame, y, x having count(*) >= {n}"}
+
+
+def filled(name: str, mask: str, n: int) -> dict[str, str]:
+    """CTEs adding 4-connected background regions below ``n``."""
+    back = large(f"{name}_b", f"select frame, y, x from px except select frame, y, x from ({mask})", n)
+    return back | {name: f"select frame, y, x from px except select * from {name}_b"}
+
+
+def smoothed(name: str, mask: str, n: int) -> dict[str, str]:
+    """CTEs dropping specks and holes below ``n``, closing by a disk of 2 and opening by a disk of 1."""
+    return {
+        **large(f"{name}_k", mask, n), **filled(f"{name}_f", f"select * from {name}_k", n), f"{name}_d": dilated(f"select * from {name}_f", 2),
+        f"{name}_c": eroded_open_border(f"select * from {name}_d", 2), f"{name}_e": eroded_open_border(f"select * from {name}_c", 1), name: dilated(f"select * from {name}_e", 1),
+    }
+
+
+def masks_of(ctes: dict[str, str], ocean: str, land: str, waves: str) -> str:
+    """The statement that lists every pixel with its membership in three masks."""
+    has = lambda m, n: f"(frame, y, x) in (select (frame, y, x) from ({m})) as {n}"
+    body = f"select frame, y, x, {has(ocean, 'ocean')}, {has(land, 'land')}, {has(waves, 'waves')} from px"
+    return "WITH " + ", ".join(f"{k} AS ({v})" for k, v in ctes.items()) + " " + body
+
+
 PXALL = "select frame, y, x from px"
 OCEAN = "select frame, y, x from px where ocean"
 LAND = "select frame, y, x from px where land"

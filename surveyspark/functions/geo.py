@@ -68,7 +68,7 @@ def offset_latlon(lat: Column, lon: Column, east_m: Column, north_m: Column) ->
 
 
 def pixel_to_latlon(x, y, lat: Column, lon: Column, alt: Column, heading: Column, cam: Camera = Camera()):
-    """(lat, lon) of a thermal pixel; NULL heading means north-up."""
+    """(lat, lon) of a infrared pixel; NULL heading means north-up."""
     g = gsd(alt, cam)
     east = (_c(x) - F.lit(cam.width / 2)) * g
     north = -(_c(y) - F.lit(cam.height / 2)) * g
@@ -101,8 +101,8 @@ def pixel_to_latlon_rgb(x, y, lat, lon, alt, heading, model: str = "fov80", cam:
     return offset_latlon(lat, lon, east, north)
 
 
-def thermal_to_rgb_xy(x, y, ratio: float, rotation_deg: float = 0.0, cam: Camera = Camera()):
-    """Thermal pixel to RGB pixel: centred crop of the given ratio, then a turn about the centre."""
+def infrared_to_rgb_xy(x, y, ratio: float, rotation_deg: float = 0.0, cam: Camera = Camera()):
+    """Infrared pixel to RGB pixel: centred crop of the given ratio, then a turn about the centre."""
     cx, cy = cam.rgb_width / 2, cam.rgb_height / 2
     dx = (_c(x) / F.lit(cam.width) - F.lit(0.5)) * F.lit(cam.rgb_width * ratio)
     dy = (_c(y) / F.lit(cam.height) - F.lit(0.5)) * F.lit(cam.rgb_height * ratio)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.thermal import celsius
+from ..functions.infrared import celsius
 
 
 def surface(ocean: str = "ocean", land: str = "land") -> Column:

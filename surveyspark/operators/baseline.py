@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.thermal import celsius
+from ..functions.infrared import celsius
 from .ordered import neighbours, with_index
 
 ZERO_C = 2731  # shift that keeps the second moment small

@@ -16,12 +16,12 @@ def first_k(frames: DataFrame, k: int, group: list[str], order: str = "frame") -
     return with_index(frames, group, order).filter(F.col("idx") < k)
 
 
-def pair(rgb: DataFrame, thermal: DataFrame, keys: list[str]) -> DataFrame:
-    return rgb.join(thermal, keys, "inner")
+def pair(rgb: DataFrame, infrared: DataFrame, keys: list[str]) -> DataFrame:
+    return rgb.join(infrared, keys, "inner")
 
 
-def unpaired(rgb: DataFrame, thermal: DataFrame, keys: list[str]) -> DataFrame:
-    return rgb.join(thermal, keys, "left_anti")
+def unpaired(rgb: DataFrame, infrared: DataFrame, keys: list[str]) -> DataFrame:
+    return rgb.join(infrared, keys, "left_anti")
 
 
 def sample_distributed(frames: DataFrame, k: int, group: list[str], order: str = "frame") -> DataFrame:

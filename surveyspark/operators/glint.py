@@ -23,7 +23,7 @@ def rgb_evidence(px: DataFrame, keys: list[str], bright: float = 0.8, area: floa
     return d.withColumn("rgb_glint", flag)
 
 
-def thermal_evidence(hist: DataFrame, plumes: DataFrame, keys: list[str], area: float = 0.2, mads: float = 3.0, round_area: int = 1000) -> DataFrame:
+def infrared_evidence(hist: DataFrame, plumes: DataFrame, keys: list[str], area: float = 0.2, mads: float = 3.0, round_area: int = 1000) -> DataFrame:
     """Plume share first, then a large round plume, then the share of pixels far below the median."""
     med = hist.groupBy(*keys).agg(F.percentile("raw", F.lit(0.5), C("n")).alias("_m"), F.sum("n").alias("ocean_px"))
     dev = hist.join(med, keys).withColumn("_d", F.abs(C("raw") - C("_m")))
@@ -41,14 +41,14 @@ def thermal_evidence(hist: DataFrame, plumes: DataFrame, keys: list[str], area:
         .when((C("_big.eccentricity") < 0.5) & (C("_big.area") > round_area), "round_plume")
         .when(C("cold_fraction") > area, "cold_area")
     )
-    return j.select(*keys, "plume_fraction", "cold_fraction", reason.alias("thermal_reason"), reason.isNotNull().alias("thermal_glint"))
+    return j.select(*keys, "plume_fraction", "cold_fraction", reason.alias("infrared_reason"), reason.isNotNull().alias("infrared_glint"))
 
 
-def confidence(rgb: DataFrame, thermal: DataFrame, continuity: DataFrame, turns: DataFrame | None, keys: list[str]) -> DataFrame:
+def confidence(rgb: DataFrame, infrared: DataFrame, continuity: DataFrame, turns: DataFrame | None, keys: list[str]) -> DataFrame:
     """Weighted vote in whole tenths (4 + 3 + 2 + 1): glint from 5, detections vetoed above 7."""
-    d = rgb.join(thermal, keys).join(continuity.select(*keys, "has_discontinuity"), keys)
+    d = rgb.join(infrared, keys).join(continuity.select(*keys, "has_discontinuity"), keys)
     d = d.join(turns.select(*keys, "rapid"), keys, "left") if turns is not None else d.withColumn("rapid", F.lit(False))
-    votes = [("rgb_glint", 4, "rgb"), ("thermal_glint", 3, "thermal"), ("has_discontinuity", 2, "continuity"), ("rapid", 1, "turn")]
+    votes = [("rgb_glint", 4, "rgb"), ("infrared_glint", 3, "infrared"), ("has_discontinuity", 2, "continuity"), ("rapid", 1, "turn")]
     score = sum((F.when(C(c), k).otherwise(0) for c, k, _ in votes), F.lit(0))
     why = F.array_compact(F.array(*[F.when(C(c), n) for c, _, n in votes]))
     return d.select(

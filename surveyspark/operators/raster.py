@@ -11,13 +11,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import grids
+from .grids import disk, squared_distance
 from .regions import complement
 
 
-def disk(r: int) -> list[tuple[int, int]]:
-    return [(a, b) for a in range(-r, r + 1) for b in range(-r, r + 1) if a * a + b * b <= r * r]
-
-
 def _shifted(mask: DataFrame, keys: list[str], offsets, width: int, height: int) -> DataFrame:
     hits = F.array(*[F.struct((F.col("y") + a).alias("y"), (F.col("x") + b).alias("x")) for a, b in offsets])
     d = mask.select(*keys, F.inline(hits))
@@ -73,33 +71,11 @@ def shoreline(ocean: DataFrame, land: DataFrame, waves: DataFrame, keys: list[st
     return near.select(*c).union(waves.select(*c)).distinct()
 
 
-def squared_distance(mask: np.ndarray) -> np.ndarray:
-    """Squared Euclidean distance of every cell to the nearest true one, exact at any range; -1 without one.
-
-    Nearest true cell in the column first; then, along the rows, the least sum over ever farther columns until none
-    farther can be nearer. All cells of the frame take each step together.
-    """
-    height, width = mask.shape
-    if not mask.any():
-        return np.full(mask.shape, -1, np.int64)
-    far = height + width
-    rows = np.arange(height, dtype=np.int64)[:, None]
-    up = rows - np.maximum.accumulate(np.where(mask, rows, -far), 0)
-    down = np.minimum.accumulate(np.where(mask, rows, height + far)[::-1], 0)[::-1] - rows
-    column = np.minimum(np.minimum(up, down), far) ** 2
-    best, k = column.copy(), 1
-    while k < width and k * k < best.max():
-        np.minimum(best[:, k:], column[:, :-k] + k * k, out=best[:, k:])
-        np.minimum(best[:, :-k], column[:, k:] + k * k, out=best[:, :-k])
-        k += 1
-    return best
-
-
-def _per_frame(px: DataFrame, keys: list[str], flags: list[str], made: list[str], make) -> DataFrame:
+def per_frame(px: DataFrame, keys: list[str], flags: list[str], made: list[str], make, shape: tuple[int, int] | None = None) -> DataFrame:
     """Adds boolean and distance columns that ``make(flag grids)`` derives from whole frames.
 
     A frame is gathered into one array, which its sensor bounds; only coordinates and flags go to Python, in one
-    vectorised call a frame. Rows already partitioned by ``keys`` stay where they are, before and after.
+    vectorised call a frame. ``shape`` (height, width) is the frame's; without it, its farthest pixels count. Rows already partitioned by ``keys`` stay where they are, before and after.
     """
     kinds = {n: "double" if n == "distance" else "boolean" for n in made}
     others = [c for c in px.columns if c not in keys]
@@ -110,7 +86,7 @@ def _per_frame(px: DataFrame, keys: list[str], flags: list[str], made: list[str]
         for y_, x_, *values in zip(y, x, *columns):
             grids = []
             for v in values:
-                g = np.zeros((int(y_.max()) + 1, int(x_.max()) + 1), bool)
+                g = np.zeros(shape or (int(y_.max()) + 1, int(x_.max()) + 1), bool)
                 g[y_, x_] = np.equal(v, True)
                 grids.append(g)
             out = make(*grids)
@@ -126,20 +102,17 @@ def _per_frame(px: DataFrame, keys: list[str], flags: list[str], made: list[str]
 
 def distance_to(px: DataFrame, target: str, keys: list[str]) -> DataFrame:
     """Adds ``distance``, Euclidean and exact, to the nearest pixel where ``target`` holds; NULL in frames without one."""
-    return _per_frame(px, keys, [target], ["distance"], lambda t: {"distance": squared_distance(t)})
+    return per_frame(px, keys, [target], ["distance"], lambda t: {"distance": squared_distance(t)})
 
 
 def shore_and_distance(px: DataFrame, keys: list[str], r: int = 2) -> DataFrame:
     """Adds ``shore`` (ocean within ``r`` of land, and all waves) and ``distance`` to it."""
 
     def make(land: np.ndarray, ocean: np.ndarray, waves: np.ndarray) -> dict[str, np.ndarray]:
-        padded, near = np.pad(land, r), np.zeros(land.shape, bool)
-        for a, b in disk(r):
-            near |= padded[r + a:r + a + land.shape[0], r + b:r + b + land.shape[1]]
-        shore = near & ocean | waves
+        shore = grids.shore(land, ocean, waves, r)
         return {"shore": shore, "distance": squared_distance(shore)}
 
-    return _per_frame(px, keys, ["land", "ocean", "waves"], ["shore", "distance"], make)
+    return per_frame(px, keys, ["land", "ocean", "waves"], ["shore", "distance"], make)
 
 
 def _mirrored(axis: str, size: int, r: int) -> Column:

@@ -13,11 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.thermal import celsius
+from ..functions.infrared import celsius
 from .graph import connected_components
+from .grids import joined
 
 
-def _join_runs(width: int, reach: int):
+def _join_runs(width: int, connectivity: int):
     """Series of sorted position arrays -> per array the smallest position of each pixel's region, then its size."""
 
     def label(arrays: pd.Series) -> pd.Series:
@@ -25,33 +26,9 @@ def _join_runs(width: int, reach: int):
         if sizes.sum() == 0:
             return pd.Series([np.empty(0, np.int64) for _ in sizes])
         pos = np.concatenate([np.asarray(a, dtype=np.int64) for a in arrays])
-        frame = np.repeat(np.arange(len(sizes)), sizes)
-        y, x = pos // width, pos % width
-        row = frame * (int(y.max()) + 3) + y
-        start = np.r_[True, (row[1:] != row[:-1]) | (x[1:] != x[:-1] + 1)]
-        run = np.cumsum(start) - 1
-        first = np.flatnonzero(start)
-        last = np.r_[first[1:], len(pos)] - 1
-        span = width + 4
-        lo, hi, below = x[first] - reach, x[last] + reach, (row[first] + 1) * span
-        a = np.searchsorted(row[last] * span + x[last], below + lo, "left")
-        b = np.searchsorted(row[first] * span + x[first], below + hi, "right")
-        n = np.maximum(b - a, 0)
-        src = np.repeat(np.arange(len(first)), n)
-        dst = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
-        root = np.arange(len(first))
-        while True:
-            p, q = root[src], root[dst]
-            if np.array_equal(p, q):
-                break
-            np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
-            while not np.array_equal(root, root[root]):
-                root = root[root]
-        of = root[run]
-        size = np.bincount(of, minlength=len(first))[of]
+        region, area = joined(pos, np.repeat(np.arange(len(sizes)), sizes), width, connectivity)
         cuts = np.cumsum(sizes)[:-1]
-        both = zip(np.split(pos[first][of], cuts), np.split(size, cuts))
-        return pd.Series([np.r_[a, b] for a, b in both])
+        return pd.Series([np.r_[a, b] for a, b in zip(np.split(region, cuts), np.split(area, cuts))])
 
     return F.pandas_udf(label, T.ArrayType(T.LongType()))
 
@@ -60,7 +37,7 @@ def _labelled_arrays(mask: DataFrame, keys: list[str], width: int, connectivity:
     """(keys, _s): one row per frame, its pixels with region and area."""
     pos = F.col("y").cast("long") * width + F.col("x")
     g = mask.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct(pos.alias("pos"), *carry))).alias("_p"))
-    lab = _join_runs(width, 1 if connectivity == 8 else 0)
+    lab = _join_runs(width, connectivity)
     g = g.select(*keys, "_p", lab(F.transform("_p", lambda s: s["pos"])).alias("_l"))
     n = F.size("_p")
     g = g.select(*keys, "_p", F.slice("_l", F.lit(1), n).alias("region"), F.slice("_l", n + 1, n).alias("area"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DetectConfig
-from ..functions.thermal import celsius
+from ..functions.infrared import celsius
 from ..operators import baseline as B
 from ..operators import raster, regions
 

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import colour
-from ..functions.thermal import celsius
-from ..operators import raster, regions
+from ..functions.infrared import celsius
+from ..operators import grids, raster, regions
 
 C = F.col
 
@@ -135,7 +135,7 @@ def by_temperature(px: DataFrame, keys: list[str], method: str = "temperature",
 
 
 def normalised(d: DataFrame, column: str, keys: list[str], eps: float = 0.0) -> DataFrame:
-    from ..functions.thermal import minmax_norm
+    from ..functions.infrared import minmax_norm
 
     return d.withColumn(f"{column}_norm", minmax_norm(C(column), keys, eps))
 
@@ -147,6 +147,55 @@ def local_variance(px: DataFrame, keys: list[str], r: int, width: int, height: i
     return px.join(s, [*keys, "y", "x"])
 
 
+def _masks(px: DataFrame, flags: dict[str, Column], keys: list[str], width: int, height: int, make) -> DataFrame:
+    """(keys, y, x, ocean, land, waves): what ``make`` turns the flags of whole frames into."""
+    d = px.select(*keys, "y", "x", *[c.alias(n) for n, c in flags.items()])
+    made = ["ocean", "land", "waves"]
+    return raster.per_frame(d, keys, list(flags), made, make, (height, width)).select(*keys, "y", "x", *made)
+
+
+def rule_masks(px: DataFrame, keys: list[str], width: int, height: int, size: int = 100, specks: int = 25, holes: int = 200, fraction: float = 0.05) -> DataFrame:
+    """The survey's rules with cleanup: specks dropped, one significant ocean kept, rejected ocean turned into land,
+    holes filled. Filled holes keep their other masks, so masks may overlap."""
+    seg = by_rules(px)
+    flags = {"_o": C("surface") == "ocean", "_w": C("surface") == "waves"}
+    return _masks(seg, flags, keys, width, height, lambda o, w: grids.cleaned_rules(o, w, size, specks, holes, fraction))
+
+
+def _flagged(px: DataFrame, **groups: tuple[Column, ...]) -> dict[str, Column]:
+    return {f"_{g}{i}": m for g, masks in groups.items() for i, m in enumerate(masks)}
+
+
+def hsv_masks(px: DataFrame, keys: list[str], width: int, height: int, size: int = 200, specks: int = 50) -> DataFrame:
+    """Each mask cleaned and smoothed, then waves beat land and land beats ocean."""
+    return _masks(with_hsv(px), _flagged(px, h=_hsv_masks()), keys, width, height, lambda *m: grids.cleaned_ranges(*m, size, specks))
+
+
+def lab_masks(px: DataFrame, keys: list[str], width: int, height: int, size: int = 200, specks: int = 50) -> DataFrame:
+    return _masks(with_lab(px), _flagged(px, l=_lab_masks()), keys, width, height, lambda *m: grids.cleaned_ranges(*m, size, specks))
+
+
+def vote_masks(px: DataFrame, keys: list[str], width: int, height: int, **sizes: int) -> DataFrame:
+    """Both segmentations and strong colours vote; undefined pixels near only one class join it."""
+    r, g, b = C("r"), C("g"), C("b")
+    flags = _flagged(px, h=_hsv_masks(), l=_lab_masks(), s=((b > r * 1.2) & (b > g * 1.1) & (b > 50), (g > r * 1.1) & (g > b * 1.1) & (g > 30)))
+    return _masks(with_lab(with_hsv(px)), flags, keys, width, height, lambda *m: grids.cleaned_vote(m[:3], m[3:6], m[6], m[7], **sizes))
+
+
+def temperature_mask(
+    px: DataFrame, keys: list[str], method: str = "temperature", land_above: float = 19.0, width: int = 640, height: int = 512,
+    size: int = 100, score_size: int = 1000, score_holes: int = 1000,
+) -> DataFrame:
+    """(keys, y, x, land_mask): any of the temperature methods, closed and without specks; the rest is ocean."""
+    d = by_temperature(px, keys, method, land_above, width, height).select(*keys, "y", "x", C("land_mask").alias("_l"))
+
+    def make(land):
+        land = grids.cleaned_score(~land, score_size, score_holes) if method == "adaptive" else land
+        return {"land_mask": grids.cleaned_land(land, size)}
+
+    return raster.per_frame(d, keys, ["_l"], ["land_mask"], make, (height, width)).select(*keys, "y", "x", "land_mask")
+
+
 def cleaned_ocean(seg: DataFrame, keys: list[str], width: int, height: int, min_size: int, hole: int, fraction: float = 0.05) -> DataFrame:
     """Largest ocean region of each frame after dropping specks and filling small holes."""
     mask = seg.filter(C("surface") == "ocean").select(*keys, "y", "x")

@@ -27,14 +27,14 @@ def parse_paths(d: DataFrame) -> DataFrame:
     ).withColumn("frame", text.frame_number(C("path")))
 
 
-def pairs(spark: SparkSession, root: str, rgb: str = "MAX_*.JPG", thermal: str = "IRX_*.irg") -> DataFrame:
+def pairs(spark: SparkSession, root: str, rgb: str = "MAX_*.JPG", infrared: str = "IRX_*.irg") -> DataFrame:
     """Frames that have both files, decided on the listings before anything is decoded."""
     a = inventory(spark, root, rgb).select("survey", "media", "frame", C("path").alias("rgb_path"))
-    b = inventory(spark, root, thermal).select("survey", "media", "frame", C("path").alias("thermal_path"))
+    b = inventory(spark, root, infrared).select("survey", "media", "frame", C("path").alias("infrared_path"))
     return a.join(b, ["survey", "media", "frame"])
 
 
-def decode_thermal(files: DataFrame, keys: list[str], width: int = 640, height: int = 512) -> DataFrame:
+def decode_infrared(files: DataFrame, keys: list[str], width: int = 640, height: int = 512) -> DataFrame:
     """Raw files (keys, content) to (keys, raw array<int>, error): little-endian 16-bit body after any header.
 
     A file shorter than one raster has no raster, and says so in ``error``.
@@ -58,10 +58,10 @@ def to_pixels(frames: DataFrame, keys: list[str], width: int = 640) -> DataFrame
     return p.select(*keys, F.expr(f"cast(pos div {width} as int)").alias("y"), F.expr(f"cast(pos % {width} as int)").alias("x"), "raw")
 
 
-def read_thermal(spark: SparkSession, root: str, width: int = 640, height: int = 512) -> DataFrame:
+def read_infrared(spark: SparkSession, root: str, width: int = 640, height: int = 512) -> DataFrame:
     d = spark.read.format("binaryFile").option("pathGlobFilter", "IRX_*.irg").option("recursiveFileLookup", "true").load(root)
     d = parse_paths(d.select("path", "content"))
-    return to_pixels(decode_thermal(d, ["survey", "media", "frame"], width, height), ["survey", "media", "frame"], width)
+    return to_pixels(decode_infrared(d, ["survey", "media", "frame"], width, height), ["survey", "media", "frame"], width)
 
 
 def read_rgb(spark: SparkSession, root: str) -> DataFrame:

@@ -16,7 +16,7 @@ from surveyspark.sources.tables import captures, detections
 from surveyspark.streaming import streams
 
 
-def test_thermal_files_and_pairing(spark, tmp_path):
+def test_infrared_files_and_pairing(spark, tmp_path):
     rng = np.random.default_rng(0)
     media = tmp_path / "Flight 1 - Bay" / "100MEDIA"
     media.mkdir(parents=True)
@@ -26,7 +26,7 @@ def test_thermal_files_and_pairing(spark, tmp_path):
     (media / "MAX_0004.JPG").write_bytes(b"\xff\xd8" + b'<x Camera:Yaw="-90.5"/>')
     p = files.pairs(spark, str(tmp_path)).collect()
     assert [(r.survey, r.media, r.frame) for r in p] == [("1_bay", "100MEDIA", 3)]
-    px = files.read_thermal(spark, str(tmp_path))
+    px = files.read_infrared(spark, str(tmp_path))
     assert px.count() == 640 * 512
     assert px.filter("y = 511 and x = 639").first().raw == int(raw[511, 639])
     f = spark.read.format("binaryFile").option("pathGlobFilter", "MAX_*.JPG").option("recursiveFileLookup", "true").load(str(tmp_path))
@@ -62,7 +62,7 @@ def test_images_of_any_channels(spark, tmp_path):
 def test_short_and_late_headed_files(spark, tmp_path):
     (tmp_path / "IRX_0001.irg").write_bytes(b"\1" * 100)
     f = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content")
-    r = files.decode_thermal(f, ["path"]).first()
+    r = files.decode_infrared(f, ["path"]).first()
     assert r.raw is None and r.error == "100 of 655360 bytes"
     exif = exif_blob(-27.161, -109.443, 414.24, 37.0, "2023:07:01 16:23:58")
     assert exif[:2] == b"\xff\xd8"

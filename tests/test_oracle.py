@@ -11,8 +11,8 @@ from surveyspark.catalog import ORACLE, QUERIES
 QUICK = """cold_frames ocean_stats baseline_modal_peak moving_baseline running_deviation frame_skip sample_distributed
 consecutive_overlap rgb_to_lab pixel_to_latlon normalise_ring dilate_dense shore_distance label_regions region_props
 sobel_gradient gaussian_smooth detect_plumes detect_plumes_edge multi_threshold glint_confidence dedup_greedy merge_bboxes
-point_in_polygon_join temporal_bias anomaly_distribution campaign_rollup scan_thermal_raw extract_gps to_kml_placemarks
-split_stratified stream_hourly_rate sample_random poly_fit_quadratic ocean_features segment_thermal_combined segment_thermal_adaptive stream_sliding_rate session_flights run_survey run_campaign shore_distance_wide cold_by_shore_band""".split()
+point_in_polygon_join temporal_bias anomaly_distribution campaign_rollup scan_infrared_raw extract_gps to_kml_placemarks
+split_stratified stream_hourly_rate sample_random poly_fit_quadratic ocean_features segment_infrared_combined segment_infrared_adaptive stream_sliding_rate session_flights run_survey run_campaign shore_distance_wide cold_by_shore_band""".split()
 NAMES = sorted(ORACLE) if os.environ.get("ALL_QUERIES") else QUICK
 
 
