@@ -68,7 +68,7 @@ def offset_latlon(lat: Column, lon: Column, east_m: Column, north_m: Column) ->
 
 
 def pixel_to_latlon(x, y, lat: Column, lon: Column, alt: Column, heading: Column, cam: Camera = Camera()):
-    """(lat, lon) of a infrared pixel; NULL heading means north-up."""
+    """(lat, lon) of an infrared pixel; NULL heading means north-up."""
     g = gsd(alt, cam)
     east = (_c(x) - F.lit(cam.width / 2)) * g
     north = -(_c(y) - F.lit(cam.height / 2)) * g

@@ -72,6 +72,25 @@ def regions(mask: np.ndarray, connectivity: int = 8) -> tuple[np.ndarray, np.nda
     return pos, *joined(pos, np.zeros(len(pos), np.int64), mask.shape[1], connectivity)
 
 
+def region_sums(mask: np.ndarray, values: np.ndarray, distance: np.ndarray, connectivity: int = 8) -> dict[str, np.ndarray]:
+    """Moment sums, extent, and sums and extremes of values and distances of each region, in order of first pixels."""
+    pos, region, _ = regions(mask, connectivity)
+    order = np.argsort(region, kind="stable")
+    pos, region = pos[order], region[order]
+    first = np.flatnonzero(np.r_[True, region[1:] != region[:-1]][:len(pos)])
+    y, x = pos // mask.shape[1], pos % mask.shape[1]
+    v, d = values.ravel()[pos].astype(np.int64), distance.ravel()[pos]
+    if not len(pos):
+        return {}
+    add = lambda a: np.add.reduceat(a, first)
+    low, high = (lambda a: np.minimum.reduceat(a, first)), (lambda a: np.maximum.reduceat(a, first))
+    return {
+        "region": region[first], "area": np.diff(np.r_[first, len(pos)]), "_sy": add(y), "_sx": add(x), "_syy": add(y * y), "_sxx": add(x * x), "_sxy": add(x * y),
+        "min_y": low(y), "min_x": low(x), "max_y": high(y) + 1, "max_x": high(x) + 1,
+        "_raw": add(v), "_low": low(v), "_high": high(v), "min_shore": low(d), "mean_shore": add(d) / np.diff(np.r_[first, len(pos)]),
+    }
+
+
 def drop_small(mask: np.ndarray, size: int, connectivity: int = 4) -> np.ndarray:
     pos, _, area = regions(mask, connectivity)
     out = np.zeros(mask.shape, bool)
@@ -144,8 +163,9 @@ def squared_distance(mask: np.ndarray, wanted: np.ndarray | None = None, steps:
     down = np.minimum.accumulate(np.where(mask, rows, np.int32(height + far))[::-1], 0)[::-1] - rows
     column = np.minimum(np.minimum(up, down), np.int32(far)) ** 2
     best, k = column.copy(), 1
-    top = lambda: int(best.max() if wanted is None else best[wanted].max(initial=0))
-    while k < width and k * k < top():
+    least = column.min(1, keepdims=True)  # no column of the row offers less
+    gain = lambda: int((best - least).max() if wanted is None else (best - least)[wanted].max(initial=0))
+    while k < width and k * k < gain():
         if k > steps:
             return _envelope(column)
         np.minimum(best[:, k:], column[:, :-k] + np.int32(k * k), out=best[:, k:])

@@ -147,6 +147,11 @@ def region_props(labelled: DataFrame, keys: list[str], extra: list[Column] = ())
         (F.max("x") + 1).alias("max_x"),
         *extra,
     )
+    return region_shape(s, [*keys, "region"])
+
+
+def region_shape(s: DataFrame, keys: list[str]) -> DataFrame:
+    """Centroid, eccentricity and orientation from the moment sums of each region; other columns stay."""
     n = F.col("area")
     cy, cx = F.col("_sy") / n, F.col("_sx") / n
     # Each pixel is a unit square: its own second moment is 1/12.
@@ -157,7 +162,6 @@ def region_props(labelled: DataFrame, keys: list[str], extra: list[Column] = ())
     ratio = (vx + vy - root) / (vx + vy + root)
     return s.select(
         *keys,
-        "region",
         "area",
         cy.alias("cy"),
         cx.alias("cx"),
@@ -167,7 +171,7 @@ def region_props(labelled: DataFrame, keys: list[str], extra: list[Column] = ())
         "max_x",
         F.sqrt(F.greatest(F.lit(1.0) - ratio, F.lit(0.0))).alias("eccentricity"),
         (F.atan2(vxy * 2, vx - vy) / 2).alias("orientation"),
-        *[c for c in s.columns if c not in {*keys, "region", "area", "min_y", "min_x", "max_y", "max_x"} and not c.startswith("_")],
+        *[c for c in s.columns if c not in {*keys, "area", "min_y", "min_x", "max_y", "max_x"} and not c.startswith("_")],
     )
 
 

@@ -1,21 +1,25 @@
-"""Cold-plume detection from dense pixel tables.
+"""Cold-plume detection.
 
-``px`` carries (keys, y, x, raw, ocean, land, waves) and is hash-partitioned by its keys, so the whole
-chain below - baseline, shoreline, distance, labelling, measuring - runs without another exchange
-(a moving baseline adds one of histogram size).
+Pixel tables ``px`` carry (keys, y, x, raw, ocean, land, waves). Detection itself runs on frame tables: one row a
+frame with its pixels as arrays. Shoreline, distance and labelling are vectorised on the whole frame, and only the sums
+of cold regions (or, for outlines, their pixels) become rows; shapes and limits are expressions on them. Frames partitioned
+by their keys stay where they are; only histograms move.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DetectConfig
 from ..functions.infrared import celsius
 from ..operators import baseline as B
-from ..operators import raster, regions
+from ..operators import grids, raster, regions
 
 C = F.col
 KEYS = ["media", "frame"]
@@ -64,19 +68,108 @@ def cold_pixels(px: DataFrame, base: DataFrame | None, thresholds: list[float],
     return j.withColumn("threshold", F.explode(passed))
 
 
-def measure(cold: DataFrame, cfg: DetectConfig, keys: list[str] = KEYS, connectivity: int = 8) -> DataFrame:
-    """Regions of cold pixels with geometry, temperatures, shore distance and touched edges."""
-    k = [*keys, "threshold"]
-    lab = regions.label_regions(cold, k, cfg.camera.width, connectivity, carry=["raw", "distance", "baseline"])
-    extra = [
-        *regions.temperature_columns(),
-        F.min("distance").alias("min_shore"),
-        F.avg("distance").alias("mean_shore"),
-        F.first("baseline").alias("baseline"),
-        *regions.edge_columns(cfg.camera.width, cfg.camera.height, cfg.edge_buffer),
-    ]
-    p = regions.region_props(lab, k, extra)
-    return p.withColumn("anomaly", C("mean_temp") - C("baseline"))
+def frames_of(px: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """(keys, pos, raw, surface): one row a frame, its pixels' coordinates, counts and surface bits (1 ocean, 2 land,
+    4 waves) as arrays. Pixels already partitioned by the keys are gathered where they are."""
+    bit = lambda c, n: F.when(C(c), n).otherwise(0)
+    surface = (bit("ocean", 1) + bit("land", 2) + bit("waves", 4)).cast("tinyint")
+    p = px.groupBy(*keys).agg(F.collect_list(F.struct("y", "x", "raw", surface.alias("surface"))).alias("_p"))
+    return p.select(*keys, *[C(f"_p.{c}").alias(c) for c in ("y", "x", "raw", "surface")])
+
+
+def _counts(batches: Iterator[pa.RecordBatch], keys: list[str], wanted: int, least: float) -> Iterator[pa.RecordBatch]:
+    """Histogram of each frame's ocean, unless the share of ocean among its pixels is below ``least``."""
+    for b in batches:
+        for i in range(b.num_rows):
+            raw, surface = (b.column(c)[i].values.to_numpy() for c in ("raw", "surface"))
+            seen = raw[(surface & wanted) > 0]
+            if not len(seen) or len(seen) < least * len(raw):
+                continue
+            base = seen.min()
+            if seen.max() - base < 1 << 20:
+                n = np.bincount(seen - base)
+                v = np.flatnonzero(n)
+                v, n = (v + base).astype(np.int32), n[v]
+            else:
+                v, n = np.unique(seen, return_counts=True)
+            same = pa.array(np.full(len(v), i))
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(same) for k in keys), pa.array(v), pa.array(n)], [*keys, "raw", "n"])
+
+
+def histograms(frames: DataFrame, cfg: DetectConfig, keys: list[str] = KEYS) -> DataFrame:
+    """(keys, raw, n) of the frames' ocean; frames with hardly any ocean are left out."""
+    schema = ", ".join(f"{k} {frames.schema[k].dataType.simpleString()}" for k in keys)
+    wanted, least = 5 if cfg.include_waves else 1, cfg.min_ocean_fraction
+    return frames.select(*keys, "raw", "surface").mapInArrow(lambda it: _counts(it, keys, wanted, least), f"{schema}, raw int, n long")
+
+
+def frame_baselines(frames: DataFrame, cfg: DetectConfig, keys: list[str] = KEYS) -> DataFrame:
+    h = histograms(frames, cfg, keys)
+    if cfg.window > 1:
+        return B.moving_baseline(h, [k for k in keys if k != "frame"], cfg.window, cfg.baseline)
+    return B.BASELINES[cfg.baseline](h, keys)
+
+
+#: What a region leaves: moment sums, extent, sums and extremes of counts, least and mean distance to the shore.
+_LONGS = ["region", "area", "_sy", "_sx", "_syy", "_sxx", "_sxy", "min_y", "min_x", "max_y", "max_x", "_raw", "_low", "_high"]
+_SUMS = {**dict.fromkeys(_LONGS, "long"), "min_shore": "double", "mean_shore": "double"}
+_PIXELS = {"y": "int", "x": "int", "raw": "int", "region": "long", "distance": "double"}
+
+
+def _cold(
+    batches: Iterator[pa.RecordBatch], keys: list[str], thresholds: list[float], include_waves: bool, connectivity: int, shape: tuple[int, int], as_pixels: bool
+) -> Iterator[pa.RecordBatch]:
+    """The cold regions of each frame at each threshold, as sums or as their pixels with region (its smallest position)
+    and distance to the shore; distances are NULL in frames without a shore."""
+    columns = _PIXELS if as_pixels else _SUMS
+    for b in batches:
+        for i in range(b.num_rows):
+            y, x, raw, surface = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("y", "x", "raw", "surface"))
+            counts, bits = np.zeros(shape, np.int32), np.zeros(shape, np.int8)
+            counts[y, x], bits[y, x] = raw, surface
+            ocean, land, waves = ((bits & bit) > 0 for bit in (1, 2, 4))
+            ocean = ocean | waves if include_waves else ocean
+            level = b.column("_level")[i].as_py()
+            masks = [ocean & (counts < level - t * 10) for t in thresholds]
+            any_ = np.logical_or.reduce(masks)
+            distance = np.full(shape, np.nan)
+            if any_.any():
+                d2 = grids.squared_distance(grids.shore(land, ocean, waves), any_)[any_]
+                distance[any_] = np.where(d2 < 0, np.nan, np.sqrt(np.maximum(d2, 0)))
+            for t, m in zip(thresholds, masks):
+                if as_pixels:
+                    pos, region, _ = grids.regions(m, connectivity)
+                    found = {"y": pos // shape[1], "x": pos % shape[1], "raw": counts.ravel()[pos], "region": region, "distance": distance.ravel()[pos]}
+                else:
+                    found = grids.region_sums(m, counts, distance, connectivity)
+                if found and (n := len(found["region"])):
+                    same = pa.array(np.full(n, i))
+                    made = [pa.array(found[c].astype({"int": np.int32, "long": np.int64, "double": float}[k]), from_pandas=True) for c, k in columns.items()]
+                    yield pa.RecordBatch.from_arrays([*(b.column(k).take(same) for k in [*keys, "baseline"]), pa.array(np.full(n, float(t))), *made], [*keys, "baseline", "threshold", *columns])
+
+
+def cold_regions(
+    frames: DataFrame, cfg: DetectConfig, thresholds: list[float] | None = None, keys: list[str] = KEYS, connectivity: int = 8, as_pixels: bool = False
+) -> DataFrame:
+    """(keys, baseline, threshold, sums of each cold region), or the pixels of these regions: no others become rows."""
+    thresholds, shape = thresholds or [cfg.threshold], (cfg.camera.height, cfg.camera.width)
+    j = frames.join(frame_baselines(frames, cfg, keys), keys).withColumn("_level", raw_level(C("baseline")))
+    j = j.select(*keys, "baseline", "_level", "y", "x", "raw", "surface")
+    kinds = {k: j.schema[k].dataType.simpleString() for k in keys} | {"baseline": "double", "threshold": "double"} | (_PIXELS if as_pixels else _SUMS)
+    return j.mapInArrow(
+        lambda it: _cold(it, keys, thresholds, cfg.include_waves, connectivity, shape, as_pixels), ", ".join(f"{k} {v}" for k, v in kinds.items())
+    )
+
+
+def measure(sums: DataFrame, cfg: DetectConfig, keys: list[str] = KEYS) -> DataFrame:
+    """Geometry, temperatures, anomaly, shore distance and touched edges of cold regions."""
+    w, h, edge = cfg.camera.width, cfg.camera.height, cfg.edge_buffer
+    touch = {"top": C("min_y") < edge, "bottom": C("max_y") > h - edge, "left": C("min_x") < edge, "right": C("max_x") > w - edge}
+    s = sums.select(
+        "*", celsius(C("_raw") / C("area")).alias("mean_temp"), celsius(C("_low")).alias("min_temp"), celsius(C("_high")).alias("max_temp"),
+        *[c.alias(f"touch_{n}") for n, c in touch.items()],
+    )
+    return regions.region_shape(s, [*keys, "threshold", "region"]).withColumn("anomaly", C("mean_temp") - C("baseline"))
 
 
 def accept(p: DataFrame, cfg: DetectConfig) -> DataFrame:
@@ -101,17 +194,16 @@ def accept_edge(p: DataFrame, cfg: DetectConfig) -> DataFrame:
 
 def labelled(px: DataFrame, cfg: DetectConfig, keys: list[str] = KEYS, connectivity: int = 8) -> DataFrame:
     """Pixels of the cold regions with their region number, for outlines."""
-    p = guard(with_waves(px, cfg), cfg, keys)
-    cold = cold_pixels(p, baselines(p, cfg if cfg.window > 1 else replace(cfg, window=0), keys), [cfg.threshold], keys)
-    return regions.label_regions(cold, [*keys, "threshold"], cfg.camera.width, connectivity)
+    return cold_regions(frames_of(px, keys), cfg if cfg.window > 1 else replace(cfg, window=0), None, keys, connectivity, True)
 
 
 def regions_of(px: DataFrame, cfg: DetectConfig, thresholds: list[float] | None = None, keys: list[str] = KEYS) -> DataFrame:
-    p = guard(with_waves(px, cfg), cfg, keys)
-    # the baseline joins while the pixels lie by frame; after the transform only cold pixels move
-    p = p.select(*keys, "y", "x", "raw", "ocean", "land", "waves").join(baselines(p, cfg, keys), keys)
-    cold = cold_pixels(with_shore(p, keys), None, thresholds or [cfg.threshold], keys)
-    return measure(cold, cfg, keys)
+    return measure(cold_regions(frames_of(px, keys), cfg, thresholds, keys), cfg, keys)
+
+
+def detect_frames(frames: DataFrame, cfg: DetectConfig, thresholds: list[float] | None = None, keys: list[str] = KEYS) -> DataFrame:
+    """Accepted plumes of a frame table, at one or more thresholds."""
+    return accept(measure(cold_regions(frames, cfg, thresholds, keys), cfg, keys), cfg)
 
 
 def detect(px: DataFrame, cfg: DetectConfig, keys: list[str] = KEYS) -> DataFrame:

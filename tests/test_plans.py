@@ -1,5 +1,7 @@
 """What the physical plans must and must not contain."""
 
+from dataclasses import replace
+
 import pytest
 
 from surveyspark.catalog import QUERIES
@@ -22,14 +24,22 @@ def test_no_nested_loops(spark, sf, name):
 
 
 def test_detection_moves_pixels_once(spark, sf):
-    """Only compact frame arrays, cold pixels and region sums are exchanged; pixel rows stay where their frame is."""
+    """Only compact frame arrays are dealt out; what else is exchanged are partial sums of histograms."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
-        p = plan(detect.detect(pixels(spark, sf, colocate=detect.KEYS), SMALL))
+        lines = plan(detect.detect(pixels(spark, sf, colocate=detect.KEYS), SMALL)).splitlines()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    added = [line for line in p.splitlines() if "Exchange" in line and "REPARTITION_BY_COL" not in line]
-    assert all("region" in line or "threshold" in line for line in added) and len(added) <= 2, added
+    added = [below for line, below in zip(lines, lines[1:]) if "Exchange" in line and "REPARTITION_BY_COL" not in line]
+    assert len(added) == 1 and all("partial_" in below for below in added), added
+
+
+def test_only_cold_pixels_become_rows(spark, sf):
+    """Frame tables are not exploded at all; the pixels that leave them are the cold ones."""
+    frames = detect.frames_of(pixels(spark, sf, colocate=detect.KEYS))
+    assert not [line for line in plan(detect.detect_frames(frames, replace(SMALL, window=0))).splitlines() if "Generate" in line and "embedding" not in line]
+    n_cold = sum(r.area for r in detect.cold_regions(frames, SMALL).collect())
+    assert detect.cold_regions(frames, SMALL, as_pixels=True).count() == n_cold < 0.5 * pixels(spark, sf).count()
 
 
 def test_histogram_reads_two_columns(spark, sf):
