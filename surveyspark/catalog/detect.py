@@ -13,7 +13,7 @@ from ..operators import regions
 from ..operators.ordered import neighbours, with_index
 from ..plans import detect as D
 from ..plans import segment as S
-from ..sources.tables import SMALL, H, W, captures, named_frames, pixels
+from ..sources.tables import SMALL, H, W, captures, directories, named_frames, pixels
 from .base import ORACLE, query, with_views
 from .baselines import _CONT, _MODAL, _TRIM, KEYS, hav_sql, hist, lagged, rounded
 from .rasters import SOBEL, _box_sql, _mirror_sql, dense
@@ -39,11 +39,6 @@ def shown(d, *extra):
     return d.select(*extra, "frame", "region", "area", *[F.round(c, 6).alias(c) for c in six], F.round("eccentricity", 5).alias("eccentricity"))
 
 
-def directories(captures_):
-    """The capture log with the directory of each frame."""
-    return captures_.withColumn("media", (F.lit(100) + C("frame") % 8).cast("int"))
-
-
 def found(spark, sf):
     return D.detect(by_directory(spark, sf), SMALL)
 

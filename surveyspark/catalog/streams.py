@@ -28,9 +28,42 @@ def stamps(d):
     return d.select(*[F.date_format(c, fmt).alias(c) if t == "timestamp" else C(c) for c, t in d.dtypes])
 
 
-@query("stream_frames", "select frame, flight from captures")
+def listing(spark, sf, kind, keep="true"):
+    """Paths of a survey's files as they were listed, with the time of each."""
+    name = F.format_string(f"/survey/%s/{kind}", C("media"), C("frame"))
+    d = TB.directories(TB.captures(spark, sf)).filter(keep)
+    return d.select(name.alias("path"), C("ts").cast("timestamp").alias("ts"))
+
+
+def numbered(paths):
+    """Directory and frame number from the path."""
+    media = F.regexp_extract("path", "([^/]+)/[^/]+$", 1)
+    return paths.select(F.nullif(media, F.lit("")).alias("media"), F.nullif(F.regexp_extract("path", r"_(\d+)\.", 1), F.lit("")).cast("long").alias("frame"), "ts", "path")
+
+
+_PATH = "concat('/survey/', 100 + event_id % 8, '/{0}_', lpad(event_id::varchar, greatest(4, length(event_id::varchar))::int, '0'), '.{1}')"
+_RGB, _IRX = _PATH.format("MAX", "JPG"), _PATH.format("IRX", "irg")
+
+
+@query("stream_frames", f"select (100 + event_id % 8)::varchar as media, event_id as frame, {_RGB} as path from events")
 def stream_frames(spark, sf):
-    return S.run_to_parquet(events(spark, sf).select("frame", "flight"), _state_folder(spark))
+    """A listing of RGB files picked up file by file."""
+    f = _state_folder(spark)
+    d = numbered(landed(spark, listing(spark, sf, "MAX_%04d.JPG"), f"{f}/in"))
+    return S.run_to_parquet(d.select("media", "frame", "path"), f)
+
+
+@query(
+    "stream_paired_frames",
+    f"""select (100 + event_id % 8)::varchar as media, event_id as frame, case when event_id % 5 <> 0 then {_RGB} end as rgb_path, case when event_id % 7 <> 0 then {_IRX} end as infrared_path
+      from events where event_id % 5 <> 0 or event_id % 7 <> 0""",
+)
+def stream_paired_frames(spark, sf):
+    """RGB and infrared listings joined as they land in any order; a fifth and a seventh of the files never come."""
+    f = _state_folder(spark)
+    rgb = landed(spark, listing(spark, sf, "MAX_%04d.JPG", "frame % 5 <> 0"), f"{f}/rgb")
+    infrared = landed(spark, listing(spark, sf, "IRX_%04d.irg", "frame % 7 <> 0").withColumn("ts", C("ts") + F.expr("interval 2 seconds")), f"{f}/irx")
+    return S.drain(lambda a, b: S.paired_frames(numbered(a), numbered(b), late=ANY_ORDER), [rgb, infrared], f)
 
 
 def _win(width, slide):
@@ -66,18 +99,29 @@ def stream_skip_processed(spark, sf):
     return S.run_to_parquet(S.skip_processed(e.union(e)), _state_folder(spark)).select("frame")
 
 
+#: The files below land in no order at all, so the watermark waits for as long as a survey lasts.
+ANY_ORDER = "3650 days"
+FILES = 8
+
+
 def landed(spark, d, folder):
-    """A batch table as files for a stream to pick up."""
-    d.write.parquet(folder)
-    return S.read_frames(spark, folder, d.schema, files_per_trigger=1000)
+    """A batch table as unordered files, of which a stream picks up one a trigger."""
+    d.repartition(FILES).write.parquet(folder)
+    return S.read_frames(spark, folder, d.schema, files_per_trigger=1)
+
+
+def timed(d):
+    """Frames a minute apart."""
+    return d.withColumn("ts", F.timestamp_seconds(C("frame") * 60 + 1_700_000_000))
 
 
 @query("stream_moving_baseline", f"select media, frame, round(baseline,6) as baseline from ({_MOVING})")
 def stream_moving_baseline(spark, sf):
     h = hist(spark, sf).groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("raw", "n"))).alias("h"))
-    h = h.select(*KEYS, F.transform("h", lambda e: e["raw"]).alias("raws"), F.transform("h", lambda e: e["n"]).alias("counts"))
+    h = timed(h.select(*KEYS, F.transform("h", lambda e: e["raw"]).alias("raws"), F.transform("h", lambda e: e["n"]).alias("counts")))
     f = _state_folder(spark)
-    d = S.run_to_parquet(S.moving_baseline(landed(spark, h, f"{f}/in"), 5), f)
+    with S.keyed_state(spark):
+        d = S.drain(lambda x: S.moving_baseline(x, 5, 8, ANY_ORDER), landed(spark, h, f"{f}/in"), f)
     return d.withColumn("baseline", F.round("baseline", 6))
 
 
@@ -87,13 +131,14 @@ def stream_moving_baseline(spark, sf):
 )
 def stream_glint_history(spark, sf):
     f = _state_folder(spark)
-    d = S.run_to_parquet(S.glint_history(landed(spark, medians(spark, sf), f"{f}/in")), f)
+    with S.keyed_state(spark):
+        d = S.drain(lambda x: S.glint_history(x, stride=8, late=ANY_ORDER), landed(spark, timed(medians(spark, sf)), f"{f}/in"), f)
     return d.select("media", "frame", F.round("temp_jump", 6).alias("temp_jump"), F.round("deviation", 6).alias("deviation"), "has_discontinuity")
 
 
 @query("stream_dedup_locations", "select location, round(lat,8) as lat, round(lon,8) as lon, first_frame, last_frame, detection_count, area_m2, geometry_frame from fold")
 def stream_dedup_locations(spark, sf):
     f = _state_folder(spark)
-    d = TB.detections(spark, sf).select(C("frame").alias("ord"), "frame", "lat", "lon", "area_m2")
-    v = S.dedup_locations(landed(spark, d, f"{f}/in"), f"{f}/set", R)
+    d = timed(TB.detections(spark, sf).select(C("frame").alias("ord"), "frame", "lat", "lon", "area_m2"))
+    v = S.dedup_locations(landed(spark, d, f"{f}/in"), f"{f}/set", R, ANY_ORDER)
     return shown(state.read_version(spark, f"{f}/set", v))

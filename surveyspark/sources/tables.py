@@ -104,6 +104,11 @@ def captures(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def directories(captures_: DataFrame) -> DataFrame:
+    """The capture log with the directory of each frame."""
+    return captures_.withColumn("media", (F.lit(100) + F.col("frame") % 8).cast("int"))
+
+
 def detections(spark: SparkSession, sf: str) -> DataFrame:
     return (
         captures(spark, sf)

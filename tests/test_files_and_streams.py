@@ -137,17 +137,46 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert {str(r.start): r.captures for r in got} == {"2024-01-01 10:00:00": 1, "2024-01-01 12:00:00": 2}
 
 
-def test_stream_dedup_in_several_batches(spark, sf, tmp_path):
-    d = detections(spark, sf).select(F.col("frame").alias("ord"), "frame", "lat", "lon", "area_m2")
-    top = d.agg(F.max("frame")).first()[0]
-    for i in range(3):
-        d.filter((F.col("frame") > top * i / 3 - (i == 0)) & (F.col("frame") <= top * (i + 1) / 3)).coalesce(1).write.parquet(str(tmp_path / f"d{i}"))
-        f = next((tmp_path / f"d{i}").glob("part-*.parquet"))
-        (tmp_path / "in").mkdir(exist_ok=True)
-        f.rename(tmp_path / "in" / f"f{i}.parquet")
-        os.utime(tmp_path / "in" / f"f{i}.parquet", (1e9 + i, 1e9 + i))
-    s = streams.read_frames(spark, str(tmp_path / "in"), d.schema, "f*.parquet", 1)
-    v = streams.dedup_locations(s, str(tmp_path / "set"), 10.0)
-    assert v == 3
+def land(d, folder, names):
+    """One file each, in the order of the names; returns a stream of one file a trigger."""
+    (folder / "in").mkdir(parents=True, exist_ok=True)
+    for i, (name, condition) in enumerate(names):
+        d.filter(condition).coalesce(1).write.parquet(str(folder / name))
+        f = next((folder / name).glob("part-*.parquet"))
+        f.rename(folder / "in" / f"{name}.parquet")
+        os.utime(folder / "in" / f"{name}.parquet", (1e9 + i, 1e9 + i))
+    return streams.read_frames(d.sparkSession, str(folder / "in"), d.schema, "*.parquet", 1)
+
+
+def test_stream_dedup_in_any_order(spark, sf, tmp_path):
+    d = detections(spark, sf).select(F.col("frame").alias("ord"), "frame", F.timestamp_seconds(F.col("frame") * 60).alias("ts"), "lat", "lon", "area_m2")
+    s = land(d, tmp_path, [("c", "frame % 3 = 2"), ("a", "frame % 3 = 0"), ("b", "frame % 3 = 1")])
+    v = streams.dedup_locations(s, str(tmp_path / "set"), 10.0, "3650 days")
     key = lambda x: sorted(tuple(r) for r in x.select(*state.COLUMNS).collect())
-    assert key(state.read_version(spark, str(tmp_path / "set"), v)) == key(spatial.fold_locations(d, 10.0))
+    assert key(state.read_version(spark, str(tmp_path / "set"), v)) == key(spatial.fold_locations(d.drop("ts"), 10.0))
+
+
+def test_frames_are_stepped_in_order_and_gaps_expire(spark, tmp_path):
+    """Frames arrive backwards; 4 is lost, 9 arrives after the watermark has passed it. Medians differ by frame."""
+    rows = [(7, f, f * 0.5) for f in (0, 1, 2, 3, 5, 6, 7, 8, 10)] + [(8, 0, 9.0), (8, 1, 9.5)]
+    d = spark.createDataFrame(rows + [(7, 200, 1.0), (7, 201, 1.0), (7, 9, 50.0)], "media int, frame long, median double").withColumn("ts", F.timestamp_seconds(F.col("frame") * 60 + 1_700_000_000))
+    files = [("a", "frame between 5 and 10 and frame <> 9"), ("b", "frame between 1 and 3"), ("c", "frame = 0"), ("d", "frame = 200"), ("e", "frame = 201"), ("f", "frame = 9")]
+    with streams.keyed_state(spark):
+        s = land(d, tmp_path, files)
+        got = streams.run_to_parquet(streams.glint_history(s, late="1 hour"), str(tmp_path / "work"))
+    seen = {(r.media, r.frame): r for r in got.collect()}
+    # No closing mark: what follows its predecessor or has been overtaken by the watermark is out, 200 and 201 still wait.
+    assert sorted(seen) == sorted((m, f) for m, f, _ in rows)
+    assert seen[7, 0].temp_jump is None and seen[7, 1].temp_jump == 0.5
+    assert seen[7, 5].temp_jump == 1.0 and seen[7, 10].temp_jump == 1.0  # 4 was lost, 9 came too late
+    assert seen[7, 10].deviation == abs(5.0 - (2.5 + 3.0 + 3.5 + 4.0) / 4)
+    assert seen[8, 1].temp_jump == 0.5
+
+
+def test_pairs_as_they_land(spark, tmp_path):
+    mk = lambda rows, side: spark.createDataFrame([(1, f, f"{side}{f}") for f in rows], "media int, frame long, path string").withColumn("ts", F.timestamp_seconds(F.col("frame") * 600 + 1_700_000_000))
+    a = land(mk([0, 1, 2, 4, 100], "rgb"), tmp_path / "a", [("x", "frame = 2"), ("y", "frame < 2"), ("z", "frame > 2")])
+    b = land(mk([1, 2, 3, 100], "ir"), tmp_path / "b", [("x", "frame = 3"), ("y", "frame < 2"), ("z", "frame in (2, 100)")])
+    got = streams.run_to_parquet(streams.paired_frames(a, b, late="2 hours"), str(tmp_path / "work"))
+    rows = sorted(tuple(r)[1:] for r in got.collect())
+    assert rows == [(0, "rgb0", None), (1, "rgb1", "ir1"), (2, "rgb2", "ir2"), (3, None, "ir3"), (4, "rgb4", None), (100, "rgb100", "ir100")]
