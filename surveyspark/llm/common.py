@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,7 +29,25 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: computed once, safe from lost executors."""
     path = new_folder(df.sparkSession, kind)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def deleted(*tables: DataFrame) -> None:
+    """Removes tables that ``written`` made and nothing reads any more."""
+    spark = tables[0].sparkSession
+    for t in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.kept_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the driver's JVM notice finished shuffles, whose files Spark then deletes on the executors."""
+    for _ in range(2):  # what the first pass finds unreachable is handed to the cleaner, the second finds what hung on it
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def schema_of(df: DataFrame, columns: list[str], more: str) -> T.StructType:

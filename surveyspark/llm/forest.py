@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from .bytesets import LOWER, NOT_SPACE, hashes, mix, runs, slices, text_bytes
-from .common import written
+from .common import deleted, release, written
+from .vectors import fold
 
 #: Sorted signature orders and the MinHash values of each; a region starts at the first depth and deepens while crowded.
 TREES, VALUES, DEPTHS = 16, 8, (3, 5, 8)
@@ -213,14 +214,27 @@ def _candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed.select("block", "rep", "sketch").mapInArrow(_neighbours, "src long, dst long").distinct(), crowded
 
 
-def _counted(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Shingles of the texts by counter."""
-    total = np.zeros(COUNTERS, np.int64)
-    for b in slices(batches, "text"):
-        sets, _ = shingles(b.column("text"), width)
-        total += np.bincount((sets % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["counter", "n"])
+def _counters(texts: DataFrame, width: int) -> np.ndarray:
+    """How often shingles fall on each counter, over all texts: a sparse state a task, merged in a few steps."""
+
+    def merge(a, b):
+        at, n = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+        order = np.argsort(at, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0])
+        return at[order][first], np.add.reduceat(n[order], first)
+
+    def add(state, batch):
+        for b in slices(iter([batch]), "text"):
+            sets, _ = shingles(b.column("text"), width)
+            n = np.bincount((sets % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+            found = (np.flatnonzero(n), n[n > 0])
+            state = found if state is None or not len(state[0]) else merge(state, found) if len(found[0]) else state
+        return state
+
+    out = np.zeros(COUNTERS, np.int64)  # of fixed size, whatever the input
+    at, n = fold(texts.select("text"), add, lambda a, b: merge(a, b) if len(a[0]) and len(b[0]) else a if len(a[0]) else b) or ([], [])
+    out[at] = n
+    return out
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], width: int, percent: int, often: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -243,17 +257,26 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([b.column("node"), pa.ListArray.from_arrays(off, pa.array(sets.view(np.int64)))], ["node", "shingles"])
 
 
-def _across(texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """All links (src, dst) at ``percent`` between texts (node, comp, many, text) of different components: an exact join.
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches agree as often as candidates' must."""
+    same = np.array([[(x >> s & 15) == 0 for s in (0, 4)] for x in range(256)]).sum(1).astype(np.uint8)
+    least = TREES * VALUES * (CANDIDATE + (1 - CANDIDATE) / 16)
+    for b in batches:
+        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("a", "b"))
+        close = pa.array(same[x ^ y].sum(1, dtype=np.int64) >= least)
+        yield pa.RecordBatch.from_arrays([b.column(c).filter(close) for c in ("src", "dst")], ["src", "dst"])
+
+
+def _across(texts: DataFrame, sketches: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (src, dst) at ``percent`` between texts (node, comp, many, text) of different components, by a prefix join.
 
     Shingles are put in one order, rare ones first. If x is no larger than y and they are linked, the first shingle they
     share stands early in both: what begins there holds 2p / (1 + p) of x and p of y at least, and bounds what both can
     share. ``many`` is the size of the component: members of the largest that meet in a shingle need no comparison with
-    one another. Pairs that pass are compared on their full sets.
+    one another. Of the pairs that pass, those whose ``sketches`` (rep, sketch) are as alike as candidates' must be are
+    compared on their full sets; a pair at 0.8 fails that with the chance of five standard errors.
     """
-    counts = texts.mapInArrow(lambda it: _counted(it, width), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
-    often = np.zeros(COUNTERS, np.int64)  # of fixed size, whatever the input
-    often[counts.column("counter").to_numpy()] = counts.column("n").to_numpy()
+    often = _counters(texts, width)
     rare = texts.mapInArrow(lambda it: _prefixes(it, width, percent, often), "node long, comp long, many long, shingle long, size long, place long")
     rare = written(rare, "prefixes")
     early = (100 + percent) * (F.col("size") - F.col("place")) >= 2 * percent * F.col("size")
@@ -269,17 +292,31 @@ def _across(texts: DataFrame, width: int, percent: int) -> DataFrame:
     x = shared.filter("early").withColumnRenamed("shingle", "s")
     pairs = [a.join(b, (F.col("s") == F.col("shingle")) & fits) for a, b in ((x.filter("not led"), y), (x.filter("led"), y.filter("not y_led")))]
     pairs = pairs[0].union(pairs[1]).select(F.least("node", "y_node").alias("src"), F.greatest("node", "y_node").alias("dst")).distinct()
-    pairs = written(pairs, "pairs")
+    seen = [sketches.select(F.col("rep").alias(k), F.col("sketch").alias(c)) for k, c in (("src", "a"), ("dst", "b"))]
+    pairs = written(pairs.join(seen[0], "src").join(seen[1], "dst").mapInArrow(_alike, "src long, dst long"), "pairs")
+    deleted(rare, shared)
+    release(texts.sparkSession)
     nodes = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
     sets = written(texts.select("node", "text").join(nodes, "node").mapInArrow(lambda it: _sets(it, width), "node long, shingles array<long>"), "sets")
     both = pairs.join(sets.select(F.col("node").alias("src"), F.col("shingles").alias("a")), "src")
     both = both.join(sets.select(F.col("node").alias("dst"), F.col("shingles").alias("b")), "dst")
     both = both.withColumn("n", F.size(F.array_intersect("a", "b")))
-    return both.filter(100 * F.col("n") >= percent * (F.size("a") + F.size("b") - F.col("n"))).select("src", "dst")
+    links = written(both.filter(100 * F.col("n") >= percent * (F.size("a") + F.size("b") - F.col("n"))).select("src", "dst"), "across")
+    deleted(pairs, sets)
+    return links
 
 
 def _components(edges: DataFrame) -> DataFrame:
-    return connected_components(edges, lambda e: written(e, "edges"))
+    """Components of the edges; only the last round's table stays."""
+    last: list[DataFrame] = []
+
+    def keep(e: DataFrame) -> DataFrame:
+        last.append(written(e, "edges"))
+        if len(last) > 1:
+            deleted(last.pop(0))
+        return last[-1]
+
+    return connected_components(edges, keep)
 
 
 def _members_in_chunks(clusters: DataFrame) -> DataFrame:
@@ -301,7 +338,7 @@ def _links(rows: DataFrame, texts: DataFrame, width: int, percent: int) -> DataF
     return rows.mapInArrow(lambda it: _confirm(it, width, percent), "src long, dst long, whole boolean")
 
 
-def _completed(found: DataFrame, open_: DataFrame, named: DataFrame, width: int, percent: int) -> DataFrame:
+def _completed(found: DataFrame, open_: DataFrame, named: DataFrame, sketches: DataFrame, width: int, percent: int) -> DataFrame:
     """``found`` (node, component) with all links between the ``open_`` nodes, of which only some are found."""
     if open_.isEmpty():
         return found
@@ -309,7 +346,9 @@ def _completed(found: DataFrame, open_: DataFrame, named: DataFrame, width: int,
     labels = open_.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("comp"))
     labels = labels.join(labels.groupBy("comp").agg(F.count(F.lit(1)).alias("many")), "comp")
     texts = named.select(F.col("doc_id").alias("node"), "text").join(labels, "node").select("node", "comp", "many", "text")
-    more = written(_across(written(texts, "open"), width, percent), "across")
+    texts = written(texts, "open")
+    more = _across(texts, sketches, width, percent)
+    deleted(texts)
     if more.isEmpty():
         return found
     of = written(labels.select("node", "comp"), "labels")
@@ -332,10 +371,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     3. Components of the candidates are clusters. Each is confirmed on full sets made anew from the texts: chunks of
        bounded size compare all their members, and a large cluster's chunks also its eight pivots.
     4. All members of regions crowded at depth 3 and of clusters of several chunks are joined by their rarest shingles with
-       those of other components, and compared on full sets: no pair of theirs is lost, however large region or cluster.
+       those of other components, and pairs with alike sketches are compared on full sets.
     5. Components of the confirmed links give ``component_id``, the smallest id reachable.
 
-    Tables between the steps are written to the shared folder; no group is gathered whole and nothing goes to the driver
+    Tables between the steps are written to the shared folder and deleted when the next stands; no group is gathered whole and nothing goes to the driver
     but counts. Null, empty and white-space texts have no shingles and are linked with nothing, equal ones included.
     Rows that repeat an id are one node. A null id stays alone (component null, not kept unless alone by itself).
     No rows give no rows.
@@ -360,7 +399,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     parted = members.filter("chunks > 1")
     if not parted.isEmpty():
         found = found.union(_components(links.filter("not whole").select("src", "dst")))
-    found = _completed(found, crowded.union(parted.select("node")).distinct(), named, width, percent)
+    found = written(found, "confirmed")
+    open_ = written(crowded.union(parted.select("node")).distinct(), "open-nodes")
+    deleted(texts, links, clusters)
+    release(docs.sparkSession)
+    found = written(_completed(found, open_, named, reps.select("rep", "sketch"), width, percent), "components")
     of_class = reps.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     of_class = of_class.select("digest", F.coalesce("component", "rep").alias("_component"))
     if carry is None:

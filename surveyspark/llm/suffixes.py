@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import _P, hashes, mix, slices, text_bytes
-from .common import schema_of, written
+from .common import release, schema_of, written
 from .induced import classes
 
 #: Bytes of the grams whose least hash stands for a window.
@@ -352,14 +350,6 @@ def _cut(docs: pa.Table, info: pa.Table, length: int, keep: list[str], as_text:
         yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
 
-def _free(spark) -> None:
-    """Lets the driver's JVM notice finished shuffles, whose files Spark then deletes on the executors."""
-    for _ in range(2):  # what the first pass finds unreachable is handed to the cleaner, the second finds what hung on it
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, as_text: str | None = None, shard_bytes: int = 4 << 20, group_bytes: int = 4 << 20) -> DataFrame:
     """Columns ``carry`` of every row (the id by default), n_bytes, n_removed, n_spans, kept_sha256 and, named by ``as_text``, the rest.
 
@@ -395,7 +385,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     contexts = plain.groupBy("grp").cogroup(info.groupBy("grp")).applyInArrow(lambda a, b: _contexts(a, b, length, shards), "shard long, grp long, blob binary")
     contexts = contexts.repartition("shard").sortWithinPartitions("shard")
     decided = written(contexts.mapInArrow(lambda it: _decide(it, length), "grp long, blob binary"), "decided")
-    _free(spark)
+    release(spark)
 
     made = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     names = [f"_{i}" for i in range(len(keep))]
