@@ -219,84 +219,101 @@ def distinct_rounded(points: DataFrame, digits: int = 5) -> DataFrame:
 # ---- containment -------------------------------------------------------------------------------
 
 
-def _cells_of(box: Column, size: float) -> Column:
-    """Cells of a plain degree grid touched by a bounding box."""
-    rows = F.sequence(F.floor(box["min_lat"] / size), F.floor(box["max_lat"] / size))
-    cols = F.sequence(F.floor(box["min_lon"] / size), F.floor(box["max_lon"] / size))
-    return F.flatten(F.transform(rows, lambda r: F.transform(cols, lambda c: F.struct(r.alias("cy"), c.alias("cx")))))
-
-
-def _holds_cell(ring: Column, cy: Column, cx: Column, size: float) -> Column:
-    """All four corners of the cell inside a convex ring."""
-    inside = [rings.contains(ring, (cx + a) * size, (cy + b) * size) for a in (0, 1) for b in (0, 1)]
-    return inside[0] & inside[1] & inside[2] & inside[3]
-
-
-def _with_inner_circle(shapes: DataFrame) -> DataFrame:
-    """Adds the box of a convex closed ring, its centre and the distance to the nearest edge, in degrees."""
-    d = shapes.withColumn("_c", rings.centroid(C("ring")))
-    lon, lat = C("_c.lon"), C("_c.lat")
-    gap = F.zip_with(
-        F.slice("ring", F.lit(1), F.size("ring") - 1),
-        F.slice("ring", F.lit(2), F.size("ring") - 1),
-        lambda p, q: F.abs((q["lon"] - p["lon"]) * (p["lat"] - lat) - (p["lon"] - lon) * (q["lat"] - p["lat"]))
-        / F.hypot(q["lon"] - p["lon"], q["lat"] - p["lat"]),
-    )
-    return d.select("ring", rings.bbox(C("ring")).alias("box"), lon.alias("mid_lon"), lat.alias("mid_lat"), F.array_min(gap).alias("r"))
+#: Cells along the longer side of a ring's box: between this and twice as many.
+CELLS = 8
+
+
+def _power(side: Column) -> Column:
+    return F.floor(F.log2(F.greatest(side, F.lit(1e-9)))).cast("int")
+
+
+def _grid(level: Column) -> Column:
+    return F.pow(F.lit(2.0), level.cast("double"))
+
+
+def _edges_of(ring: Column) -> Column:
+    closed = F.concat(ring, F.slice(ring, 1, 1))
+    n = F.size(ring)
+    pair = lambda p, q: F.struct(p["lon"].alias("x0"), p["lat"].alias("y0"), q["lon"].alias("x1"), q["lat"].alias("y1"))
+    return F.zip_with(F.slice(closed, F.lit(1), n), F.slice(closed, F.lit(2), n), pair)
 
 
-def _circle_cells(shapes: DataFrame, size: float) -> DataFrame:
-    """Cells wholly inside the inner circle of some ring; plain arithmetic per cell, repeats combine early."""
-    m, r = (lambda c: C(f"mid_{c}")), C("r")
-    span = lambda c: F.sequence(F.floor((m(c) - r) / size), F.floor((m(c) + r) / size))
-    d = shapes.select("mid_lon", "mid_lat", "r", F.explode(span("lat")).alias("cy"))
-    d = d.select("mid_lon", "mid_lat", "r", "cy", F.explode(span("lon")).alias("cx"))
-    far = lambda cell, mid: F.greatest(F.abs(C(cell) * size - mid), F.abs((C(cell) + 1) * size - mid))
-    dy, dx = far("cy", m("lat")), far("cx", m("lon"))
-    return d.filter(dy * dy + dx * dx < r * r * 0.999).select("cy", "cx").distinct()
+def _at_height(y: Column) -> Column:
+    """Where the edge has height ``y``."""
+    return C("e.x0") + (y - C("e.y0")) * (C("e.x1") - C("e.x0")) / (C("e.y1") - C("e.y0"))
 
 
-def in_any_polygon(points: DataFrame, polygons: DataFrame, size_deg: float = 0.0005, levels: int = 2, shrink: int = 8) -> DataFrame:
-    """Adds ``found``: is the point (lat, lon) strictly inside any convex ring of ``polygons(ring)``?
+def _crossed_cells(shapes: DataFrame) -> DataFrame:
+    """(id, k, r, c, n, e): the cells that each edge touches, on a grid of the shape's own size class k.
 
-    Cells wholly inside some ring (first by its inner circle, then exactly) answer for all their points by a
-    key lookup, however many rings overlap there.  Only cells that rings merely cross are cut into smaller ones, and only where points lie; what is
-    left at the finest grid is tested ring by ring in a semi-join, which stops at the first hit.
+    ``n`` is 1 in the one cell where the edge crosses the middle line of its row, else 0.
     """
-    size = size_deg
-
-    def at(c: str, s: float) -> Column:
-        return F.floor(C(c) / s)
-
-    open_ = points.select("lat", "lon").distinct()
-    open_ = cut_lineage(open_.select("lat", "lon", at("lat", size).alias("cy"), at("lon", size).alias("cx")))
-    shapes = cut_lineage(_with_inner_circle(polygons.select("ring").distinct()))
-    sure = cut_lineage(_circle_cells(shapes, size))
-    found = open_.join(sure, ["cy", "cx"], "left_semi").select("lat", "lon")
-    open_ = cut_lineage(open_.join(sure, ["cy", "cx"], "left_anti"))
-    pairs = shapes.select("ring", F.inline(_cells_of(C("box"), size)))
-    pairs = pairs.join(open_.select("cy", "cx").distinct(), ["cy", "cx"], "left_semi")
-    for level in range(levels):
-        pairs = cut_lineage(pairs.withColumn("full", _holds_cell(C("ring"), C("cy"), C("cx"), size)))
-        full = pairs.filter("full").select("cy", "cx").distinct()
-        found = found.union(open_.join(full, ["cy", "cx"], "left_semi").select("lat", "lon"))
-        open_ = open_.join(full, ["cy", "cx"], "left_anti")
-        pairs = pairs.filter("not full").join(full, ["cy", "cx"], "left_anti").drop("full")
-        if level == levels - 1:
-            break
-        fine = size / shrink
-        child = [at("lat", fine).alias("ny"), at("lon", fine).alias("nx")]
-        open_ = cut_lineage(open_.select("lat", "lon", "cy", "cx", *child))
-        pairs = pairs.join(open_.select("cy", "cx", "ny", "nx").distinct(), ["cy", "cx"]).select("ring", C("ny").alias("cy"), C("nx").alias("cx"))
-        box = rings.bbox(C("ring"))
-        y, x = C("cy") * fine, C("cx") * fine
-        pairs = pairs.filter((y <= box["max_lat"]) & (y + fine >= box["min_lat"]) & (x <= box["max_lon"]) & (x + fine >= box["min_lon"]))
-        open_ = open_.select("lat", "lon", C("ny").alias("cy"), C("nx").alias("cx"))
-        size = fine
-    r, p = open_.alias("r"), pairs.alias("p")
-    same = (C("r.cy") == C("p.cy")) & (C("r.cx") == C("p.cx"))
-    last = r.join(p, same & rings.contains(C("p.ring"), C("r.lon"), C("r.lat")), "left_semi")
-    hits = found.union(last.select("lat", "lon")).distinct().withColumn("found", F.lit(True))
+    g = _grid(C("k"))
+    lo, hi = F.least("e.y0", "e.y1"), F.greatest("e.y0", "e.y1")
+    d = shapes.select("id", "k", F.explode("edges").alias("e"))
+    d = d.select("id", "k", "e", F.explode(F.sequence(F.floor(lo / g), F.floor(hi / g))).alias("r"))
+    flat = C("e.y0") == C("e.y1")
+    ends = [F.when(flat, C(f"e.x{i}")).otherwise(_at_height(y)) for i, y in enumerate((F.greatest(lo, C("r") * g), F.least(hi, (C("r") + 1) * g)))]
+    middle = (C("r") + 0.5) * g
+    d = d.select("id", "k", "e", "r", *[F.floor(x / g).alias(f"c{i}") for i, x in enumerate(ends)], F.when((lo <= middle) & (middle < hi), F.floor(_at_height(middle) / g)).alias("m"))
+    spots = F.sequence(F.least("c0", "c1", "m"), F.greatest("c0", "c1", "m"))  # both skip nulls
+    return d.select("id", "k", "r", "e", "m", F.explode(spots).alias("c")).select("id", "k", "r", "c", F.coalesce(C("c") == C("m"), F.lit(False)).cast("int").alias("n"), "e")
+
+
+def _leads_inside(lon: Column, lat: Column) -> Column:
+    """Parity of a point in a crossed cell: that of the middle of the cell's left side, changed by each edge passed on the
+    way up or down that side to the point's height and from there to the right. The way starts a hair left of the side, as
+    the counts of the row do."""
+    left, middle = C("left"), C("middle")
+    low, high = F.least(lat, middle), F.greatest(lat, middle)
+
+    def passes(e: Column) -> Column:
+        y = e["y0"] + (left - e["x0"]) * (e["y1"] - e["y0"]) / (e["x1"] - e["x0"])
+        side = (F.least(e["x0"], e["x1"]) < left) & (left <= F.greatest(e["x0"], e["x1"])) & (low <= y) & (y < high)
+        x = e["x0"] + (lat - e["y0"]) * (e["x1"] - e["x0"]) / (e["y1"] - e["y0"])
+        across = (F.least(e["y0"], e["y1"]) <= lat) & (lat < F.greatest(e["y0"], e["y1"])) & (left <= x) & (x < lon)
+        return F.when(side, 1).otherwise(0) + F.when(across, 1).otherwise(0)
+
+    return F.aggregate("edges", C("before"), lambda n, e: n + passes(e)) % 2 == 1
+
+
+def in_any_polygon(points: DataFrame, polygons: DataFrame) -> DataFrame:
+    """Adds ``found``: is the point (lat, lon) inside any shape of ``polygons(ring)``, by the even-odd rule?
+
+    Rings may be concave or cross themselves; an optional column ``holes`` holds further rings of the same shape. Each
+    shape lies on a grid of its own size class, so it touches a few dozen cells whatever its size. Along a row of
+    cells, the number of edges that cross the row's middle line tells whether the next stretch of untouched cells is
+    inside. Such cells answer for their points by a key lookup, however many shapes overlap there; only points in no
+    such cell are tested, against the edges within their own cell alone. A point without a position is not found.
+    """
+    holes = [C("holes")] if "holes" in polygons.columns else []
+    parts = F.concat(F.array(C("ring")), *[F.coalesce(h, F.array().cast(polygons.schema["holes"].dataType)) for h in holes])
+    d = polygons.select("ring", *holes).distinct().select(F.flatten(F.transform(F.filter(parts, lambda r: r.isNotNull()), _edges_of)).alias("edges"), rings.bbox(C("ring")).alias("b"))
+    side = F.greatest(C("b.max_lon") - C("b.min_lon"), C("b.max_lat") - C("b.min_lat"))
+    shapes = cut_lineage(d.filter(F.size("edges") > 0).select(F.monotonically_increasing_id().alias("id"), _power(side / CELLS).alias("k"), "edges"))
+    levels = shapes.agg(F.array_sort(F.collect_set("k"))).scalar()
+    cell = lambda c: F.floor(C(c) / _grid(C("k")))
+    spots = points.select("lat", "lon").filter("lat is not null and lon is not null").distinct().withColumn("k", F.explode(levels))
+    spots = cut_lineage(spots.select("lat", "lon", "k", cell("lat").alias("r"), cell("lon").alias("c")))
+
+    key = ["k", "r", "c"]
+    touched = _crossed_cells(shapes.repartition("id"))  # grouping and window below stay where their shape is
+    row = Window.partitionBy("id", "k", "r").orderBy("c")
+    counted = touched.groupBy("id", *key).agg(F.sum("n").alias("n"))
+    counted = counted.select("id", *key, "n", F.coalesce(F.sum("n").over(row.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.lead("c").over(row).alias("next"))
+    gaps = counted.filter(((C("before") + C("n")) % 2 == 1) & (C("next") > C("c") + 1))
+    full = gaps.select("k", "r", F.explode(F.sequence(C("c") + 1, C("next") - 1)).alias("c")).distinct()
+    sure = spots.join(full, key, "left_semi").select("lat", "lon").distinct()
+    open_ = cut_lineage(spots.join(sure, ["lat", "lon"], "left_anti"))
+
+    near = open_.select(*key).distinct()
+    local = touched.join(near, key, "left_semi").groupBy("id", *key).agg(F.collect_list("e").alias("edges"))
+    g = _grid(C("k"))
+    local = local.join(counted.join(near, key, "left_semi").select("id", *key, "before"), ["id", *key])
+    local = local.select(*key, "edges", C("before").cast("int").alias("before"), (C("c") * g).alias("left"), ((C("r") + 0.5) * g).alias("middle"))
+    same = (C("o.k") == C("l.k")) & (C("o.r") == C("l.r")) & (C("o.c") == C("l.c"))
+    last = open_.alias("o").join(local.alias("l"), same & _leads_inside(C("lon"), C("lat")), "left_semi")
+    hits = sure.union(last.select("lat", "lon")).distinct().withColumn("found", F.lit(True))
     return points.join(hits, ["lat", "lon"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
@@ -315,14 +332,6 @@ def _union_of(d: DataFrame, keys: list) -> DataFrame:
     )
 
 
-def _power(side: Column) -> Column:
-    return F.floor(F.log2(F.greatest(side, F.lit(1e-9)))).cast("int")
-
-
-def _grid(level: Column) -> Column:
-    return F.pow(F.lit(2.0), level.cast("double"))
-
-
 def merge_boxes(boxes: DataFrame, max_rounds: int = 200) -> DataFrame:
     """Unions of overlapping boxes until none overlap: disjoint boxes with the number of inputs in each.
 

@@ -192,6 +192,40 @@ def test_containment_equals_brute_force(spark):
     assert got == {(la, lo): any(inside(r, la, lo) for r in polys) for la, lo in pts}
 
 
+def test_concave_rings_and_holes(spark):
+    """Stars, rings within rings, open rings, equal rings, sides on cell borders, and shapes of very different sizes."""
+    rng = random.Random(4)
+
+    def star(cx, cy, r, n):
+        a = sorted(rng.random() * 2 * math.pi for _ in range(n))
+        p = [(cx + math.cos(t) * r * rng.uniform(0.2, 1), cy + math.sin(t) * r * rng.uniform(0.2, 1)) for t in a]
+        return [*p, p[0]]
+
+    def inside(shape, x, y):
+        n = 0
+        for r in shape:
+            for (x0, y0), (x1, y1) in zip(r, [*r[1:], r[0]]):
+                n += min(y0, y1) <= y < max(y0, y1) and x0 + (y - y0) * (x1 - x0) / (y1 - y0) < x
+        return n % 2 == 1
+
+    shapes = []
+    for i in range(40):
+        r, cx, cy = 10 ** rng.uniform(-4, -1.5), rng.uniform(-1, 1) * 0.05 - 109, rng.uniform(-1, 1) * 0.05 - 27
+        ring = star(cx, cy, r, rng.randrange(3, 30))
+        shapes.append((ring[:-1] if i % 5 == 0 else ring, [star(cx, cy, r * 0.3, 5)] if i % 3 == 0 else None))
+    shapes += 2 * [([(-109.0, -27.0), (-108.99, -27.0), (-108.99, -26.99), (-109.0, -26.99), (-109.0, -27.0)], None)]
+    pts = [(rng.uniform(-1, 1) * 0.08 - 27, rng.uniform(-1, 1) * 0.08 - 109) for _ in range(2000)]
+    pts += [(y + rng.gauss(0, 1e-4), x + rng.gauss(0, 1e-4)) for ring, _ in shapes for x, y in rng.choices(ring, k=30)]
+    point = "struct<lon: double, lat: double>"
+    named = lambda ring: [{"lon": x, "lat": y} for x, y in ring]
+    rows = [(named(r), h and [named(q) for q in h]) for r, h in shapes] + [(None, None), ([], None)]
+    polygons = spark.createDataFrame(rows, f"ring array<{point}>, holes array<array<{point}>>")
+    got = spatial.in_any_polygon(spark.createDataFrame([*pts, (None, 1.0)], "lat double, lon double"), polygons).collect()
+    assert len(got) == len(pts) + 1 and not any(r.found for r in got if r.lat is None)
+    assert 500 < sum(r.found for r in got) < len(pts) - 500
+    assert all(r.found == any(inside([a, *(h or [])], r.lon, r.lat) for a, h in shapes) for r in got if r.lat is not None)
+
+
 def test_distance_and_morphology(spark):
     rng = np.random.default_rng(2)
     m = rng.random((14, 19)) < 0.08
