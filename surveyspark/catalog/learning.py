@@ -106,83 +106,121 @@ def best_model(spark, sf):
     return rounded(L.best(rows))
 
 
-# ---- models: rows-only, small ensembles ---------------------------------------------------------
+# ---- models ------------------------------------------------------------------------------------
+# All at their full sizes. What a fit yields has no SQL, but its rows do: how many it learned from and was tested on,
+# and that it does better than always naming the commonest class.
 
 
 def training(spark, sf):
-    """Grid samples of every frame with heuristic labels, split by class."""
+    """Grid samples of every frame with heuristic labels, split by class; too few are refused."""
     px = S.auto_label(L.sample_grid(pixels(spark, sf), 3, 2, W, H)).drop("h", "s", "v")
     d, cols = L.pixel_features(px)
     d = L.assemble(d.withColumn("target", L.class_index()).withColumn("key", C("frame") * 64 + C("y") * 8 + C("x")), cols)
     d = L.split_stratified(d.select("key", "label", "target", "features"), "key", "label")
-    d = cut_lineage(d)
+    d = L.guard_samples(cut_lineage(d.repartition(8, "key")))
     return d.filter("train"), d.filter("not train"), cols
 
 
-@query("train_forest")
+_SPLIT = f"""(select *, row_number() over (partition by auto order by ((frame*64+y*8+x)*2654435761+42) % 2147483648, frame*64+y*8+x) - 1 < floor(count(*) over (partition by auto) * 0.8e0) as train
+  from {_AL} where y in (2, 5) and x in (2, 5))"""
+_TRAINED = f"select '{{0}}' as model, count(*) filter (train) as train_rows, count(*) filter (not train) as test_rows, true as beats_majority from {_SPLIT}"
+
+
+def checked(name, tr, te, predicted):
+    """Rows learned from and tested on, and whether the model beats the commonest class of the test rows."""
+    most = te.groupBy("target").agg(F.count(F.lit(1)).alias("n")).agg((F.max("n") / F.sum("n")).alias("share")).scalar()
+    ok = L.accuracy(predicted).select((C("accuracy") > most).alias("beats_majority"))
+    n = tr.agg(F.count(F.lit(1)).alias("train_rows")).crossJoin(te.agg(F.count(F.lit(1)).alias("test_rows")))  # one row each
+    return n.crossJoin(ok).select(F.lit(name).alias("model"), "train_rows", "test_rows", "beats_majority")
+
+
+@query("train_forest", _TRAINED.format("forest"))
 def train_forest(spark, sf):
     tr, te, _ = training(spark, sf)
-    model = L.forest(20, 8, balanced=True).fit(L.balanced_weights(tr))
-    return L.accuracy(model.transform(te)).select(F.lit("forest").alias("model"), "accuracy")
+    return checked("forest", tr, te, L.forest(balanced=True).fit(L.balanced_weights(tr)).transform(te))
 
 
-@query("train_boosted")
+@query("train_boosted", _TRAINED.format("boosted"))
 def train_boosted(spark, sf):
     tr, te, _ = training(spark, sf)
-    return L.accuracy(L.boosted(3, 3).fit(tr).transform(te)).select(F.lit("boosted").alias("model"), "accuracy")
+    return checked("boosted", tr, te, L.boosted().fit(tr).transform(te))
 
 
-@query("train_mlp")
+@query("train_mlp", _TRAINED.format("mlp"))
 def train_mlp(spark, sf):
     tr, te, cols = training(spark, sf)
-    return L.accuracy(L.perceptron(len(cols), (16, 8), 30).fit(tr).transform(te)).select(F.lit("mlp").alias("model"), "accuracy")
+    return checked("mlp", tr, te, L.perceptron(len(cols)).fit(tr).transform(te))
 
 
-@query("soft_vote")
+@query("soft_vote", _TRAINED.format("vote"))
 def soft_vote(spark, sf):
     tr, te, cols = training(spark, sf)
-    members = [L.forest(10, 6).fit(tr), L.perceptron(len(cols), (16,), 20).fit(tr)]
-    return L.accuracy(L.soft_vote(members, te)).select(F.lit("vote").alias("model"), "accuracy")
+    return checked("vote", tr, te, L.soft_vote([L.forest().fit(tr), L.perceptron(len(cols)).fit(tr)], te))
 
 
-@query("cross_validate")
+@query("cross_validate", f"select 5 as folds, count(*) filter (train) as rows, true as beats_majority, true as steady from {_SPLIT}")
 def cross_validate(spark, sf):
+    """Five folds of the full forest: better than the commonest class, and alike from fold to fold."""
     tr, _, _ = training(spark, sf)
-    return L.cross_validate(tr, L.forest(5, 5), folds=3)
+    most = tr.groupBy("target").agg(F.count(F.lit(1)).alias("n")).agg((F.max("n") / F.sum("n")).alias("share")).scalar()
+    d = L.cross_validate(tr, L.forest(), folds=5)
+    n = tr.agg(F.count(F.lit(1)).alias("rows"))
+    return n.crossJoin(d).select(F.lit(5).alias("folds"), "rows", (C("mean_accuracy") > most).alias("beats_majority"), (C("std_accuracy") < 0.1).alias("steady"))
 
 
-@query("compare_models")
+@query("compare_models", f"select unnest(['forest', 'forest_deep', 'mlp']) as model, true as beats_majority")
 def compare_models(spark, sf):
     tr, te, cols = training(spark, sf)
-    return L.compare(tr, te, {"forest": L.forest(10, 6), "forest_deep": L.forest(20, 10), "mlp": L.perceptron(len(cols), (16,), 20)})
+    most = te.groupBy("target").agg(F.count(F.lit(1)).alias("n")).agg((F.max("n") / F.sum("n")).alias("share")).scalar()
+    d = L.compare(tr, te, {"forest": L.forest(), "forest_deep": L.forest(200, 15), "mlp": L.perceptron(len(cols))})
+    return d.select("model", (C("accuracy") > most).alias("beats_majority"))
 
 
-@query("feature_importance")
+@query("upgrade_model", "select * from (values (1, 'stump', true, 1), (2, 'forest', true, 2), (3, 'stump', false, 2)) t(step, candidate, promoted, version)")
+def upgrade_model(spark, sf):
+    """A first model, a better one that takes its place, and a worse one that is refused."""
+    tr, te, _ = training(spark, sf)
+    registry = L.Registry(spark, _state_folder(spark))
+    stump, full = (Pipeline(stages=[e]).fit(tr) for e in (L.forest(1, 1), L.forest()))
+    steps = [registry.upgrade(n, m, te) for n, m in (("stump", stump), ("forest", full), ("stump", stump))]
+    rows = [(i + 1, x["candidate"], x["promoted"], x["version"]) for i, x in enumerate(steps)]
+    return spark.createDataFrame(rows, "step int, candidate string, promoted boolean, version int")
+
+
+@query("feature_importance", "select 16 as n_features, true as sums_to_one, true as none_negative")
 def feature_importance(spark, sf):
     tr, _, cols = training(spark, sf)
-    return L.importances(L.forest(10, 6).fit(tr), cols, spark)
+    d = L.importances(L.forest().fit(tr), cols, spark)
+    return d.agg(F.count(F.lit(1)).cast("int").alias("n_features"), (F.abs(F.sum("importance") - 1) < 1e-9).alias("sums_to_one"), (F.min("importance") >= 0).alias("none_negative"))
 
 
-@query("classify_pixels")
+@query("classify_pixels", "select count(distinct frame) as frames, count(*) as pixels, true as agrees from px")
 def classify_pixels(spark, sf):
-    """Model classes on half-resolution pixels, expanded back; rock counts as land; largest ocean kept."""
+    """Model classes on half-resolution pixels, expanded back; rock counts as land; largest ocean kept.
+
+    Every pixel has a class, and the ocean kept is part of what the model called ocean.
+    """
     tr, _, cols = training(spark, sf)
-    model = L.forest(10, 6).fit(tr)
+    model = L.forest().fit(tr)
     small = raster.downsample(dense(spark, sf), ["r", "g", "b"], ["frame"], 2)
     d, _ = L.pixel_features(small)
     c = model.transform(L.assemble(d, cols)).select("frame", "y", "x", "prediction")
     full = raster.upsample_nearest(c, ["frame"], 2, W, H)
     ocean = full.filter(C("prediction") == 0).select("frame", "y", "x")
     big = regions.largest_component(regions.remove_small_objects(ocean, ["frame"], W, 3), ["frame"], W, H, 0.05)
-    return big.groupBy("frame").agg(F.count(F.lit(1)).alias("ocean_px"))
+    kept = full.join(big.withColumn("kept", F.lit(True)), ["frame", "y", "x"], "left")
+    return kept.agg(F.count_distinct("frame").alias("frames"), F.count(F.lit(1)).alias("pixels"), F.min((C("kept").isNull()) | (C("prediction") == 0)).alias("agrees"))
 
 
-@query("save_model")
+@query("save_model", f"select count(*) filter (not train) as rows, true as same from {_SPLIT}")
 def save_model(spark, sf):
+    """A model read back predicts what it predicted before."""
     tr, te, _ = training(spark, sf)
     path = _state_folder(spark)
-    L.save_model(Pipeline(stages=[L.forest(5, 5)]).fit(tr), path)
-    return L.accuracy(PipelineModel.load(path).transform(te))
+    model = Pipeline(stages=[L.forest()]).fit(tr)
+    L.save_model(model, path)
+    both = model.transform(te).select("key", "prediction").join(PipelineModel.load(path).transform(te).select("key", C("prediction").alias("again")), "key")
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.min(C("prediction") == C("again")).alias("same"))
 
 
 @query("save_training", "select label, count(*) as n from (select auto as label from {al} where y >= 2 and y < 6 and x >= 2 and x < 6 and (y-2) % 3 = 0 and (x-2) % 3 = 0) group by label".format(al=_AL))

@@ -149,3 +149,44 @@ def importances(model, columns: list[str], spark) -> DataFrame:
 
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
+
+
+class Registry:
+    """Versions of a model in a shared folder; the newest entry names the version in use."""
+
+    def __init__(self, spark, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def entries(self) -> DataFrame:
+        """(version, model, rows, accuracy) of all promotions, oldest first."""
+        return self.spark.read.schema("version int, model string, rows long, accuracy double").parquet(f"{self.folder}/entries").orderBy("version")
+
+    def _current(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/entries")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return None
+        return self.entries().orderBy(F.desc("version")).first()
+
+    def load(self) -> PipelineModel | None:
+        """The model in use."""
+        now = self._current()
+        return PipelineModel.load(f"{self.folder}/model-{now.version:06d}") if now else None
+
+    def upgrade(self, name: str, model: PipelineModel, held_out: DataFrame) -> dict:
+        """Promotes ``model`` if it beats the one in use on the same held-out rows, or if there is none.
+
+        The model is saved before its entry is written, so readers never meet an entry without its model.
+        """
+        score = lambda m: accuracy(m.transform(held_out)).first()["accuracy"]
+        now, present = self._current(), self.load()
+        old = score(present) if present else None
+        new = score(model)
+        if new is None:
+            raise ValueError("no held-out rows to compare models on")
+        chosen = old is None or new > old
+        version = (now.version if now else 0) + chosen
+        if chosen:
+            save_model(model, f"{self.folder}/model-{version:06d}")
+            row = [(version, name, held_out.count(), float(new))]
+            self.spark.createDataFrame(row, "version int, model string, rows long, accuracy double").coalesce(1).write.mode("append").parquet(f"{self.folder}/entries")
+        return {"candidate": name, "old": old, "new": new, "promoted": bool(chosen), "version": version}
