@@ -65,6 +65,25 @@ def pixel_align_join(spark, sf):
     return t.join(small, ["frame", "by", "bx"]).drop("by", "bx")
 
 
+_TAPS = "(select i, greatest(least(lo + k, 5), 0) as s, case k when 0 then 1 - (mid - lo) else mid - lo end as w from (select i, mid, floor(mid) as lo from (select i, (i + 0.5e0)*6/8 - 0.5 as mid from (select unnest(range(8)) as i))), (select unnest(range(2)) as k))"
+
+
+@query(
+    "pixel_align_bilinear",
+    f"""select p.frame, p.y, p.x, any_value(p.raw) as raw, round(sum(q.r*ty.w*tx.w),6) as r, round(sum(q.g*ty.w*tx.w),6) as g, round(sum(q.b*ty.w*tx.w),6) as b
+      from px p join {_TAPS} ty on ty.i = p.y join {_TAPS} tx on tx.i = p.x join px q on q.frame = p.frame and q.y - 1 = ty.s and q.x - 1 = tx.s group by p.frame, p.y, p.x""",
+)
+def pixel_align_bilinear(spark, sf):
+    """Infrared pixels with the colour of the centre crop of 6 x 6 pixels, enlarged to 8 x 8."""
+    from .rasters import dense
+    from ..operators.raster import resample
+
+    p = dense(spark, sf)
+    crop = p.filter("y between 1 and 6 and x between 1 and 6").select("frame", (C("y") - 1).alias("y"), (C("x") - 1).alias("x"), "r", "g", "b")
+    rgb = resample(crop, ["r", "g", "b"], ["frame"], (6, 6), (8, 8))
+    return p.select("frame", "y", "x", "raw").join(rgb, ["frame", "y", "x"]).select("frame", "y", "x", "raw", *[F.round(c, 6).alias(c) for c in ("r", "g", "b")])
+
+
 @query(
     "altitude_consistency",
     """select flight, count(*) as n, count(*) filter (abs(d) >= 1) as mismatches, round(avg(d),6) as mean_diff, round(stddev_pop(d),6) as std_diff

@@ -200,6 +200,24 @@ def footprint_corners(spark, sf):
     return d.select("frame", "corner", F.round("p.lon", 8).alias("clon"), F.round("p.lat", 8).alias("clat"))
 
 
+@query("sql_functions", f"""select c.frame, round({hav_sql('lat','lon','-27.145e0','-109.435e0')}, 4) as great_circle,
+  round(sqrt(pow((-27.145e0-lat)*111320,2) + pow((-109.435e0-lon)*111320*cos(radians((lat-27.145e0)/2)),2)),4) as planar, p.plat, p.plon, n.north
+  from captures c join (select frame, {_latlon_sql(f'(frame % 640 - 320)*{_G}', f'-(frame % 512 - 256)*{_G}', '-')} from captures) p using (frame) join (select frame, max(clat) as north from ({" union all ".join(_corner_sql(i, *s) for i, s in enumerate([(-1, -1), (1, -1), (1, 1), (-1, 1)]))}) group by frame) n using (frame)""")
+def sql_functions(spark, sf):
+    """A statement that uses nothing but SQL and the session's registered functions."""
+    from ..functions.sql import register
+
+    register(spark)
+    return spark.sql(
+        """SELECT frame, round(d, 4) AS great_circle, round(p, 4) AS planar, round(place.lat, 8) AS plat, round(place.lon, 8) AS plon, round(north, 8) AS north FROM (
+             SELECT frame, d, p, place, max(f.lat) AS north
+             FROM (SELECT *, haversine_m(lat, lon, -27.145D, -109.435D) AS d, equirect_m(lat, lon, -27.145D, -109.435D) AS p,
+                     pixel_to_latlon(frame % 640, frame % 512, lat, lon, altitude, heading) AS place FROM {captures}) c, LATERAL footprint_corners(c.lat, c.lon, altitude, heading) f
+             GROUP BY frame, d, p, place)""",
+        captures=captures(spark, sf),
+    )
+
+
 def squares(spark, sf):
     return detections(spark, sf).withColumn("ring", rings.square(C("lon"), C("lat"), C("half")))
 

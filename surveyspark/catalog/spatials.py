@@ -143,6 +143,19 @@ def state_upsert(spark, sf):
     return shown(seeded(spark, sf))
 
 
+@query("state_two_writers", f"select {_LOC} from fold")
+def state_two_writers(spark, sf):
+    """Two writers start from the same empty version; the later one meets a conflict and replays. Nothing is lost."""
+    from .files import _state_folder
+
+    old, new = _split(spark, sf)
+    versions = state.Versions(spark, f"{_state_folder(spark)}/set")
+    empty = versions.commit(spatial.fold_locations(old.limit(0), R).select(*state.COLUMNS), 0)
+    for part in (old, new):
+        last = versions.change(lambda now, part=part: state.upsert(now, part, R), empty)
+    return shown(versions.read(last))
+
+
 @query(
     "state_retract_frame",
     f"select {_LOC} from fold, (select max(frame) as f from dets) where geometry_frame <> f and first_frame <> f",

@@ -219,6 +219,34 @@ def upsample_nearest(small: DataFrame, keys: list[str], k: int, width: int, heig
     return small.select(*keys, ys, "x", *rest).select(*keys, "y", xs, *rest)
 
 
+def _taps(size: int, wanted: int) -> list[tuple[int, int, float]]:
+    """(target, source, weight): the two source pixels next to each target pixel's centre; the border repeats."""
+    out = []
+    for i in range(wanted):
+        at = (i + 0.5) * size / wanted - 0.5
+        low = int(np.floor(at))
+        for source, weight in ((low, 1 - (at - low)), (low + 1, at - low)):
+            if weight:
+                out.append((i, min(max(source, 0), size - 1), weight))
+    return out
+
+
+def resample(px: DataFrame, values: list[str], keys: list[str], size: tuple[int, int], wanted: tuple[int, int]) -> DataFrame:
+    """(keys, y, x, values) on another raster of (height, width), each pixel the bilinear mean of its four neighbours.
+
+    One axis after the other, so a pixel has two taps at a time. The tap table has two rows a target line, whatever the
+    number of frames; the sums stay where their frame is. Null values make the pixels that need them null.
+    """
+    d = px.select(*keys, "y", "x", *[F.col(v).cast("double").alias(v) for v in values])
+    for axis, n, m in (("x", size[1], wanted[1]), ("y", size[0], wanted[0])):
+        other = "y" if axis == "x" else "x"
+        taps = px.sparkSession.createDataFrame(_taps(n, m), f"_t int, {axis} int, _w double")
+        near = d.join(F.broadcast(taps), axis)  # bounded by the sensor
+        sums = [F.when(F.count(v) == F.count(F.lit(1)), F.sum(F.col(v) * F.col("_w"))).alias(v) for v in values]
+        d = near.groupBy(*keys, other, F.col("_t").alias(axis)).agg(*sums)
+    return d.select(*keys, "y", "x", *values)
+
+
 def patch_features(px: DataFrame, channels: dict[str, Column], keys: list[str], radius: int, margin: int, step: int, width: int, height: int) -> DataFrame:
     """mean, std, min, max of every channel in the window around each grid point.
 

@@ -12,7 +12,7 @@ QUICK = """cold_frames ocean_stats baseline_modal_peak moving_baseline running_d
 consecutive_overlap rgb_to_lab pixel_to_latlon normalise_ring dilate_dense shore_distance label_regions region_props
 sobel_gradient gaussian_smooth detect_plumes detect_plumes_edge multi_threshold glint_confidence dedup_greedy merge_bboxes
 point_in_polygon_join temporal_bias anomaly_distribution campaign_rollup scan_infrared_raw extract_gps to_kml_placemarks
-split_stratified stream_hourly_rate sample_random poly_fit_quadratic ocean_features segment_infrared_combined segment_infrared_adaptive stream_sliding_rate session_flights run_survey run_campaign shore_distance_wide cold_by_shore_band segment_rules segment_hsv segment_lab segment_vote segment_infrared segment_infrared_variance segment_infrared_adaptive_mask stream_frames stream_paired_frames stream_moving_baseline stream_glint_history stream_dedup_locations""".split()
+split_stratified stream_hourly_rate sample_random poly_fit_quadratic ocean_features segment_infrared_combined segment_infrared_adaptive stream_sliding_rate session_flights run_survey run_campaign shore_distance_wide cold_by_shore_band segment_rules segment_hsv segment_lab segment_vote segment_infrared segment_infrared_variance segment_infrared_adaptive_mask stream_frames stream_paired_frames stream_moving_baseline stream_glint_history stream_dedup_locations pixel_align_bilinear sql_functions state_two_writers upgrade_model feature_importance save_model""".split()
 NAMES = sorted(ORACLE) if os.environ.get("ALL_QUERIES") else QUICK
 
 

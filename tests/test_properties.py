@@ -253,3 +253,53 @@ def test_rotation_and_area_invariants(spark):
     turned = F.concat(F.slice(ring, 2, 4), F.slice(ring, 2, 1))
     a, b = spark.range(1).select(rings.area_m2(ring), rings.area_m2(turned)).first()
     assert a == pytest.approx(b, rel=1e-5)
+
+
+def test_resampling_against_arrays(spark):
+    """Non-integer ratios, both ways, against interpolation on whole arrays; a null needs all that touches it to be null."""
+    rng = np.random.default_rng(6)
+    for (h, w), (hh, ww) in (((5, 7), (8, 8)), ((8, 9), (3, 5)), ((1, 1), (2, 3))):
+        a = rng.random((h, w)) * 100
+        rows = [(0, y, x, float(a[y, x])) for y in range(h) for x in range(w)]
+        got = raster.resample(spark.createDataFrame(rows, "frame int, y int, x int, v double"), ["v"], ["frame"], (h, w), (hh, ww)).collect()
+        at = lambda n, m: np.clip((np.arange(m) + 0.5) * n / m - 0.5, 0, n - 1)
+        wide = np.stack([np.interp(at(w, ww), np.arange(w), r) for r in a])
+        want = np.stack([np.interp(at(h, hh), np.arange(h), c) for c in wide.T], axis=1)
+        assert len(got) == hh * ww and all(abs(r.v - want[r.y, r.x]) < 1e-9 for r in got)
+    holed = spark.createDataFrame([(0, 0, 0, 1.0), (0, 0, 1, None), (0, 0, 2, 3.0), (0, 0, 3, 5.0)], "frame int, y int, x int, v double")
+    got = raster.resample(holed, ["v"], ["frame"], (1, 4), (1, 2)).orderBy("x").collect()
+    assert [r.v for r in got] == [None, 4.0]
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    """A writer that prepared its change on a version since replaced replays it; a failed commit leaves no data."""
+    v = state.Versions(spark, str(tmp_path / "set"))
+    d = lambda *rows: spark.createDataFrame(list(rows), "k int")
+    assert v.latest() == -1
+    assert v.commit(d((0,)), 0) == 0
+    assert v.change(lambda now: now.union(d((1,))), 0) == 1
+    tried = []
+    assert v.change(lambda now: tried.append(now.count()) or now.union(d((2,))), 0) == 2
+    assert tried == [1, 2]
+    assert sorted(r.k for r in v.read(2).collect()) == [0, 1, 2] and v.latest() == 2
+    with pytest.raises(state.Conflict):
+        v.commit(d((9,)), 1)
+    assert sorted(r.k for r in v.read(1).collect()) == [0, 1]
+    assert len(list((tmp_path / "set" / "data").iterdir())) == 3
+
+
+def test_a_worse_model_is_refused(spark, tmp_path):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import array_to_vector
+    from surveyspark.operators import learn
+
+    d = spark.range(200).select(F.col("id").alias("key"), (F.col("id") % 4).cast("double").alias("target"), array_to_vector(F.array(F.col("id") % 4, F.col("id") * 0).cast("array<double>")).alias("features"))
+    fits = [Pipeline(stages=[learn.forest(t, k)]).fit(d) for t, k in ((1, 1), (10, 4))]
+    r = learn.Registry(spark, str(tmp_path))
+    assert r.load() is None
+    got = [r.upgrade(n, m, d)["promoted"] for n, m in (("small", fits[0]), ("large", fits[1]), ("small", fits[0]), ("large", fits[1]))]
+    assert got == [True, True, False, False]
+    assert [(e.version, e.model, e.rows) for e in r.entries().collect()] == [(1, "small", 200), (2, "large", 200)]
+    assert learn.accuracy(r.load().transform(d)).first().accuracy == 1.0
+    with pytest.raises(ValueError):
+        learn.guard_samples(d.limit(39))
