@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bytesets import slices
-from .common import schema_of
+from .common import carried, named, schema_of
 
 _WORD = re.compile(r"[^ \t-\r]+")
 _SYMBOLS = "#*$%&|<>"
@@ -98,9 +98,10 @@ def compression_bands(docs: DataFrame, text_col: str = "text", carry: list[str]
     """Columns ``carry`` of every row (all but the text by default) with base counts, ratios and the verdict ``kept``.
 
     One pass without a shuffle; each text is read whole, a slice of two megabytes (or one longer document) at a time.
-    Null text counts as empty: no words, ratio 1, base failed. Clashing names are the caller's to rename, since the
-    carried columns come first. No rows give no rows.
+    Null text counts as empty: no words, ratio 1, base failed. Of a carried column named like a new one,
+    the new one stays. No rows give no rows.
     """
-    keep = [c for c in docs.columns if c != text_col] if carry is None else carry
+    new = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed ratio n_chunks bad_chunks kept".split()
+    keep = carried([c for c in docs.columns if c != text_col] if carry is None else carry, new)
     out = schema_of(docs, keep, "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, ratio double, n_chunks long, bad_chunks long, kept boolean")
-    return docs.select(*keep, text_col).mapInArrow(lambda it: _judge(it, text_col, keep, bands), out)
+    return docs.select(*named(list(dict.fromkeys([*keep, text_col])))).mapInArrow(lambda it: _judge(it, text_col, keep, bands), out)

@@ -55,5 +55,24 @@ def schema_of(df: DataFrame, columns: list[str], more: str) -> T.StructType:
     return T.StructType([df.schema[c] for c in columns] + T._parse_datatype_string(f"struct<{more}>").fields)
 
 
+def carried(columns: list[str], new: list[str]) -> list[str]:
+    """The carried columns whose names no new column takes: of two of one name, the new one stays."""
+    return [c for c in columns if c not in new]
+
+
+def named(columns: list[str]) -> list[Column]:
+    """Columns by name, dots and all."""
+    return [F.col(f"`{c}`") for c in columns]
+
+
+def bundled(columns: list[str], name: str = "_row") -> Column:
+    """Columns as one struct, so that their names meet no others on the way."""
+    return F.struct(*named(columns), F.lit(None).cast("boolean").alias("_")).alias(name)
+
+
+def unbundled(columns: list[str], name: str = "_row") -> list[Column]:
+    return [F.col(name).getField(c).alias(c) for c in columns]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

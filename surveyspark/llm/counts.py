@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import bundled, carried, lower_ascii, unbundled
 from .tokens import encoded
 
 CACHE = "digest binary, version binary, n_tokens long"
@@ -49,7 +49,8 @@ def token_counts(docs: DataFrame, cache: str, name: str = "word_bpe_49k.json", t
     adaptive execution splits a hot digest. A job that is run again finds the first run's appended counts; if two jobs
     append the same digest, readers take one.
 
-    Null text counts as empty (0 tokens, cached like any other). No rows give no rows and an untouched cache.
+    Null text counts as empty (0 tokens, cached like any other). Extra columns may have any names; a carried ``n_tokens``
+    gives way to the new one. No rows give no rows and an untouched cache.
     """
     spark: SparkSession = docs.sparkSession
     version = tokenizer_version(name)
@@ -59,9 +60,9 @@ def token_counts(docs: DataFrame, cache: str, name: str = "word_bpe_49k.json", t
         found = spark.read.schema(CACHE).parquet(cache).filter(F.col("version") == F.lit(version))
         return found.groupBy(F.col("digest").alias("_digest")).agg(F.max("n_tokens").alias("n_tokens"))
 
-    rows = docs.withColumn("_text", normalised(F.col(text_col), name)).withColumn("_digest", F.unhex(F.sha2("_text", 256)))
+    keep = carried(docs.columns if carry is None else carry, ["n_tokens"])
+    rows = docs.select(bundled(keep), normalised(F.col(text_col), name).alias("_text")).withColumn("_digest", F.unhex(F.sha2("_text", 256)))
     distinct = rows.groupBy("_digest").agg(F.first("_text").alias("_text"))
     misses = distinct.join(stored(), "_digest", "left_anti").select("_digest", "_text")
     misses.mapInArrow(lambda it: _count(it, name, version), CACHE).write.mode("append").parquet(cache)
-    keep = docs.columns if carry is None else carry
-    return rows.select(*keep, "_digest").join(stored(), "_digest", "left").select(*keep, "n_tokens")
+    return rows.select("_row", "_digest").join(stored(), "_digest", "left").select(*unbundled(keep), "n_tokens")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from .bytesets import LOWER, NOT_SPACE, hashes, mix, runs, slices, text_bytes
-from .common import deleted, release, written
+from .common import bundled, deleted, release, unbundled, written
 from .vectors import fold
 
 #: Sorted signature orders and the MinHash values of each; a region starts at the first depth and deepens while crowded.
@@ -376,7 +376,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     Tables between the steps are written to the shared folder and deleted when the next stands; no group is gathered whole and nothing goes to the driver
     but counts. Null, empty and white-space texts have no shingles and are linked with nothing, equal ones included.
-    Rows that repeat an id are one node. A null id stays alone (component null, not kept unless alone by itself).
+    Rows that repeat an id are one node. Other columns are not read, or carried under any names. A null id stays alone (component null, not kept unless alone by itself).
     No rows give no rows.
     """
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.unhex(F.md5(text_col)).alias("text_md5"))
@@ -412,6 +412,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     # a row goes by its id and text; repeated and null ids are told apart by the text
     gone = signed.join(of_class, "digest").filter(~F.col("doc_id").eqNullSafe(F.col("_component")))
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.unhex(F.md5(text_col)) == F.col("_md5"))
-    return docs.join(gone, same, "left_anti").select(*carry)
+    gone = gone.select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5")).distinct().alias("gone")
+    rows = docs.select(F.col(id_col).alias("_id"), F.unhex(F.md5(text_col)).alias("_md5"), bundled(carry)).alias("rows")
+    same = F.col("rows._id").eqNullSafe(F.col("gone._id")) & (F.col("rows._md5") == F.col("gone._md5"))
+    return rows.join(gone, same, "left_anti").select(*unbundled(carry))

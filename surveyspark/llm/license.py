@@ -58,8 +58,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     a phrase, COVERAGE for a notice within half as much room again. Only hits and one row a document are shuffled.
 
     ``score`` is the best such share (0 without any hit). Null or empty text gives zero words, null positions and empty labels.
-    Rows that repeat id and text are one document; rows that repeat an id with another text are documents of their
-    own. No rows give no rows.
+    Rows that repeat id and text are scanned once and give as many rows; rows that repeat an id with another text are
+    documents of their own. Other columns are not read. No rows give no rows.
     """
     spark: SparkSession = docs.sparkSession
     grams = spark.createDataFrame(templates(), "template int, label string, phrase boolean, k int, grams int, at int, gram array<string>")
@@ -89,12 +89,12 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     by = ["_id", "_text", "n_words", "template", "label", "phrase", "k", "grams"]
     votes = hits.groupBy(*by, (F.col("pos") - F.col("at")).alias("diagonal")).agg(
-        F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"), F.min("pos").alias("lo"), F.max("pos").alias("hi"),
+        F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.count(F.lit(1)).alias("hits"),
     )
     along = Window.partitionBy("_id", "_text", "n_words", "template").orderBy("diagonal")
     apart = F.col("diagonal") - F.lag("diagonal").over(along) > F.when(F.col("phrase"), 0).otherwise(SLACK)
     votes = votes.withColumn("new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("span", F.sum("new").over(along))
-    spans = votes.groupBy(*by, "span").agg(F.bit_or("mask").alias("mask"), F.min("lo").alias("lo"), (F.max("hi") + F.col("k")).alias("end"))
+    spans = votes.groupBy(*by, "span").agg(F.bit_or("mask").alias("mask"), F.min("lo").alias("lo"), (F.max("hi") + F.col("k")).alias("end"), F.max("hits").alias("hits"))
     share = F.bit_count("mask") / F.col("grams")
     room = F.col("end") - F.col("lo") <= 1.5 * (F.col("grams") + F.col("k") - 1)
     real = F.col("template") >= 0
@@ -106,7 +106,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.min(F.when(base, F.col("lo"))).cast("long").alias("first_word"),
         F.max(F.when(base, F.col("lo"))).cast("long").alias("last_word"),
         labels(base).alias("base_labels"), labels(F.col("ok")).alias("labels"), F.max("share").alias("score"),
-    ).select(F.col("_id").alias(id_col), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+        F.max(F.when(~real, F.col("hits"))).cast("int").alias("rows"),  # header rows: one for each row that repeats id and text
+    ).withColumn("_", F.explode(F.sequence(F.lit(1), F.col("rows")))).select(F.col("_id").alias(id_col), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
 def oracle_sql() -> str:

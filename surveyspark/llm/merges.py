@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bytesets import hashes, mix, slices
-from .common import schema_of
+from .common import carried, named, schema_of
 
 #: Merges never cross into the next of these stretches: no piece has a space behind another character or a line feed.
 _STRETCH = re.compile(r" *[^ \n]+| +|\n")
@@ -292,12 +292,13 @@ def encode_pieces(docs: DataFrame, name: str = "piece_bpe_32k.model", dropout: f
 
     One pass, no shuffle; the same seed gives the same ids wherever and however often a task runs, another seed other
     segmentations. Null and empty texts have no ids. U+2581, by which the vocabulary writes the space, is encoded by its
-    bytes. Rows repeating an id and text get equal ids. No rows give no rows.
+    bytes. Rows repeating an id and text get equal ids. Of a carried column named ids or lossless, the new one stays. No
+    rows give no rows.
     """
-    keep = [c for c in docs.columns if c != text_col] if carry is None else carry
+    keep = carried([c for c in docs.columns if c != text_col] if carry is None else carry, ["ids", "lossless"])
     kind = schema_of(docs, keep, "ids binary" + ", lossless boolean" * verify)
     read = list(dict.fromkeys([*keep, id_col, text_col]))
-    return docs.select(*read).mapInArrow(lambda it: _encode(it, keep, id_col, text_col, name, dropout, seed, verify), kind)
+    return docs.select(*named(read)).mapInArrow(lambda it: _encode(it, keep, id_col, text_col, name, dropout, seed, verify), kind)
 
 
 def decode_pieces(rows: DataFrame, name: str = "piece_bpe_32k.model", ids_col: str = "ids", into: str = "decoded") -> DataFrame:

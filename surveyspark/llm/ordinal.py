@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import LOWER, hashes, mix, runs, slices, text_bytes
-from .common import schema_of
+from .common import carried, named, schema_of
 
 #: Letters, digits and every byte above ASCII.
 _WORD = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
@@ -147,9 +147,11 @@ def classify(docs: DataFrame, model: OrdinalModel, at_least: int, tail: float =
 
     ``tail_probability`` is P(grade >= at_least); a document is kept from ``tail`` on. One pass, no shuffle; the model
     (its size is bounded by the sample it was fitted on) travels as a broadcast variable. Null text counts as empty and
-    is judged by the thresholds and its length alone. No rows give no rows.
+    is judged by the thresholds and its length alone. Of a carried column named like a new one, the new one stays. No rows
+    give no rows.
     """
-    keep = docs.columns if carry is None else carry
+    new = ["score", "expected_grade", "tail_probability", "kept"]
+    keep = carried(docs.columns if carry is None else carry, new)
     shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.weights, model.thresholds))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,11 +161,11 @@ def classify(docs: DataFrame, model: OrdinalModel, at_least: int, tail: float =
             p = m.tails(s)
             top = p[:, at_least - 1]
             yield pa.RecordBatch.from_arrays(
-                [b.column(c) for c in keep] + [pa.array(s), pa.array(p.sum(1)), pa.array(top), pa.array(top >= tail)], [*keep, "score", "expected_grade", "tail_probability", "kept"],
+                [b.column(c) for c in keep] + [pa.array(s), pa.array(p.sum(1)), pa.array(top), pa.array(top >= tail)], [*keep, *new],
             )
 
     kind = schema_of(docs, keep, "score double, expected_grade double, tail_probability double, kept boolean")
-    return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(judge, kind)
+    return docs.select(*named(list(dict.fromkeys([*keep, text_col])))).mapInArrow(judge, kind)
 
 
 def ratings_of(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import _P, hashes, mix, slices, text_bytes
-from .common import release, schema_of, written
+from .common import carried, named, release, schema_of, written
 from .induced import classes
 
 #: Bytes of the grams whose least hash stands for a window.
@@ -367,15 +367,16 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     Work and tables grow with the bytes; groups, shards and batches are bounded, and no document but the longest sets a
     task's memory. Hashes of contexts have 64 bits: two different contexts of one hash would be taken for equal.
     Null text counts as empty (its rest stays null). Rows that repeat an id never count as smaller than one another; a
-    null id counts as larger than all. In ``as_text`` a character that lost part of its bytes is dropped. No rows give
-    no rows.
+    null id counts as larger than all. In ``as_text`` a character that lost part of its bytes is dropped. Of a
+    carried column named like a new one, the new one stays. No rows give no rows.
     """
     spark = docs.sparkSession
-    keep = [id_col] if carry is None else carry
+    new = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *([as_text] if as_text is not None else [])]
+    keep = carried([id_col] if carry is None else carry, new)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     shards, groups = size // shard_bytes + 1, size // group_bytes + 1
     d = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
-    extra = [F.col(c).alias(f"_{i}") for i, c in enumerate(keep)]
+    extra = [c.alias(f"_{i}") for i, c in enumerate(named(keep))]
     rows = docs.select(d.alias("d"), F.pmod(F.xxhash64(d), F.lit(groups)).alias("grp"), F.col(text_col).alias("text"), *extra)
     plain = rows.select("d", "grp", "text")
 
