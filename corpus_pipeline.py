@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyspark.llm.common import documents, lower_ascii, new_folder
+from surveyspark.llm.common import bundled, documents, lower_ascii, new_folder, unbundled
 from surveyspark.llm.exact import exact_dedup
 from surveyspark.llm.forest import near_duplicates
 from surveyspark.llm.ordinal import classify, ratings_of, train
@@ -15,15 +15,31 @@ from surveyspark.llm.packing import pack
 from surveyspark.llm.suffixes import remove_repeats
 
 
+def _slim(docs: DataFrame) -> DataFrame:
+    """Id, text, and all other columns as one, so that none of their names meets a name of the operators."""
+    return docs.select("doc_id", "text", bundled(_others(docs), "_others"))
+
+
+def _whole(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again, in their order."""
+    d = rows.select("doc_id", "text", *unbundled(_others(docs), "_others"))
+    return d.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _others(docs: DataFrame) -> list[str]:
+    return [c for c in docs.columns if c not in ("doc_id", "text")]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose chance of the top grade (sound and clean) is at least one half."""
-    model = train(docs, ratings_of(spark.read.parquet(f"{sf_dir}/labels.parquet")), grades=3)
-    return classify(docs, model, at_least=2).filter("kept").select(*docs.columns)
+    slim = _slim(docs)
+    model = train(slim, ratings_of(spark.read.parquet(f"{sf_dir}/labels.parquet")), grades=3)
+    return _whole(classify(slim, model, at_least=2).filter("kept"), docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that differ at most in the case of A-Z, the one with the smallest id."""
-    return exact_dedup(docs, lower_ascii(F.coalesce("text", F.lit("")))).filter("kept").select(*docs.columns)
+    return _whole(exact_dedup(_slim(docs), lower_ascii(F.coalesce("text", F.lit("")))).filter("kept"), docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,15 +48,16 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are judged one by one: a null id stays unless its shingles are those of a document with an id, and of rows that
     repeat an id each goes whose own shingles lead to a smaller id.
     """
-    return near_duplicates(docs, width=5, percent=80, carry=docs.columns)
+    return _whole(near_duplicates(_slim(docs), width=5, percent=80, carry=["doc_id", "text", "_others"]), docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the byte strings of 50 or more that a smaller id holds; those that had nothing else go."""
-    others = [c for c in docs.columns if c != "text"]
-    cut = remove_repeats(docs, carry=others, as_text="text").filter("n_removed = 0 or length(text) > 0")
-    cut = cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+    cut = remove_repeats(_slim(docs), carry=["doc_id", "_others"], as_text="text").filter("n_removed = 0 or length(text) > 0")
+    rest = _whole(cut, docs)
+    if "n_chars" in docs.columns:
+        rest = rest.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return rest.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
