@@ -13,6 +13,7 @@ from ..operators import regions
 from ..operators.ordered import neighbours, with_index
 from ..plans import detect as D
 from ..plans import segment as S
+from ..session import cut_lineage
 from ..sources.tables import SMALL, H, W, captures, directories, named_frames, pixels
 from .base import ORACLE, query, with_views
 from .baselines import _CONT, _MODAL, _TRIM, KEYS, hav_sql, hist, lagged, rounded
@@ -206,7 +207,7 @@ _RGBF = "(bf > 0.2 or sf > 0.1 or bm > 0.7)"
       {_RGBF} as rgb_glint from ({_RGBG})""",
 )
 def glint_rgb(spark, sf):
-    return rounded(GL.rgb_evidence(pixels(spark, sf), ["frame"]))
+    return rounded(GL.rgb_evidence(GL.summary(pixels(spark, sf), ["frame"]), ["frame"]))
 
 
 _TH = """select frame, coalesce(px,0)/n as pf, cf, case when coalesce(px,0)/n > 0.2 then 'plume_area' when ecc < 0.5 and big > 5 then 'round_plume' when cf > 0.2 then 'cold_area' end as why
@@ -230,16 +231,19 @@ _CONF = f"""select frame, (case when {_RGBF} then 4 else 0 end + case when why i
 
 
 def verdict(spark, sf):
+    """Votes of all frames: one read of the pixels for histogram and brightness, one for the plumes."""
     p = by_directory(spark, sf)
-    h = B.temp_hist(p, KEYS)
+    sums = cut_lineage(GL.summary(p, KEYS))
+    h = sums.select(*KEYS, "raw", "n")
     med = B.percentile_baseline(h, KEYS, 0.5, out="median")
     cont = B.continuity(med, ["media"])
     # Headings come from the capture log; the turn is taken between successive frames of a directory.
     hd = cont.select(*KEYS, "idx").join(directories(captures(spark, sf)).select(*KEYS, "heading"), KEYS)
     turns = neighbours(hd, ["media"], {"ph": lambda w: F.lag("heading").over(w)})
     turns = turns.withColumn("rapid", F.abs(geo.turn_deg(C("heading"), C("ph"))) > 15)
-    th = GL.infrared_evidence(h, D.detect(p, SMALL), KEYS, round_area=5)
-    return GL.confidence(GL.rgb_evidence(p, KEYS), th, cont, turns, KEYS)
+    plumes = D.detect(p, SMALL, base=B.BASELINES[SMALL.baseline](h, KEYS))
+    th = GL.infrared_evidence(h, plumes, KEYS, round_area=5)
+    return GL.confidence(GL.rgb_evidence(sums, KEYS), th, cont, turns, KEYS)
 
 
 @query("glint_confidence", f"select frame, tenths, tenths >= 5 as has_glint, tenths > 7 as veto from ({_CONF})")

@@ -70,6 +70,17 @@ def scan_infrared_raw(spark, sf):
     return S.to_pixels(S.decode_infrared(f, ["frame"], W, H), ["frame"], W)
 
 
+@query("scan_infrared_layouts", "select frame, y, x, raw, case frame % 3 when 0 then 'headed16' when 1 then 'trailed16' else 'float32' end as layout from px")
+def scan_infrared_layouts(spark, sf):
+    """Files of three layouts side by side; each one's is found from its readings."""
+    px = pixels(spark, sf, colocate=["frame"])
+    f = px.groupBy("frame").agg(F.array_sort(F.collect_set(F.struct((C("y") * W + C("x")).alias("p"), "raw"))).alias("c"))
+    kinds = F.array(F.lit("headed16"), F.lit("trailed16"), F.lit("float32"))
+    f = f.select("frame", F.transform("c", lambda e: e["raw"]).alias("raw"), F.get(kinds, (C("frame") % 3).cast("int")).alias("layout"))
+    d = S.probe_infrared(S.encode_infrared(f, ["frame"], bytes(64), bytes(range(32))), ["frame"], W, H)
+    return S.to_pixels(d.select("frame", "raw", "layout"), ["frame", "layout"], W).select("frame", "y", "x", "raw", "layout")
+
+
 @query("scan_rgb", "select frame, y, x, r, g, b from px")
 def scan_rgb(spark, sf):
     """Interleaved blue-green-red bytes, as the image source delivers them, to channel columns."""

@@ -10,15 +10,24 @@ from ..functions import colour
 C = F.col
 
 
-def rgb_evidence(px: DataFrame, keys: list[str], bright: float = 0.8, area: float = 0.2) -> DataFrame:
+def summary(px: DataFrame, keys: list[str], bright: float = 0.8) -> DataFrame:
+    """(keys, raw, n, bright, saturated, g_sum, g_squares, g_max) of the ocean: the histogram of counts with sums of
+    brightness. Everything the votes need from the pixels themselves, in one read and one partial aggregation."""
     g = colour.luminance(C("r"), C("g"), C("b"), "709") / 255.0
-    d = px.filter("ocean").withColumn("_g", g).groupBy(*keys).agg(
-        F.avg((C("_g") > bright).cast("int")).alias("bright_fraction"),
-        F.avg((C("_g") > 0.95).cast("int")).alias("saturated_fraction"),
-        F.avg("_g").alias("brightness_mean"),
-        F.stddev_pop("_g").alias("brightness_std"),
-        F.max("_g").alias("brightness_max"),
-    )
+    return px.filter("ocean").withColumn("_g", g).groupBy(*keys, "raw").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(C("_g") > bright, 1)).alias("bright"), F.count(F.when(C("_g") > 0.95, 1)).alias("saturated"),
+        F.sum("_g").alias("g_sum"), F.sum(C("_g") * C("_g")).alias("g_squares"), F.max("_g").alias("g_max"),
+    )
+
+
+def rgb_evidence(sums: DataFrame, keys: list[str], area: float = 0.2) -> DataFrame:
+    """Brightness of each frame from its ``summary``."""
+    n = F.sum("n")
+    mean = F.sum("g_sum") / n
+    d = sums.groupBy(*keys).agg(
+        (F.sum("bright") / n).alias("bright_fraction"), (F.sum("saturated") / n).alias("saturated_fraction"), mean.alias("brightness_mean"),
+        F.sqrt(F.greatest(F.sum("g_squares") / n - mean * mean, F.lit(0.0))).alias("brightness_std"), F.max("g_max").alias("brightness_max"),
+    )
     flag = (C("bright_fraction") > area) | (C("saturated_fraction") > 0.1) | (C("brightness_mean") > 0.7)
     return d.withColumn("rgb_glint", flag)
 

@@ -346,7 +346,7 @@ def merge_boxes(boxes: DataFrame, max_rounds: int = 200) -> DataFrame:
         g = _grid(C("_l"))
         d = d.withColumn("_l", lev)
         d = _union_of(d, ["_l", F.ceil(C("min_lon") / g).alias("_ax"), F.ceil(C("min_lat") / g).alias("_ay")])
-        d = cut_lineage(d.select(*_BOX, "n").withColumn("id", F.xxhash64(*_BOX)))
+        d = cut_lineage(d.select(*_BOX, "n").withColumn("id", F.monotonically_increasing_id()))
         links = overlapping_boxes(d, d.select("id", *_BOX)).filter("id <> other")
         low = cut_lineage(links.groupBy("id").agg(F.min("other").alias("m")))
         if low.isEmpty():

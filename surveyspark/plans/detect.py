@@ -117,7 +117,7 @@ _PIXELS = {"y": "int", "x": "int", "raw": "int", "region": "long", "distance": "
 
 
 def _cold(
-    batches: Iterator[pa.RecordBatch], keys: list[str], thresholds: list[float], include_waves: bool, connectivity: int, shape: tuple[int, int], as_pixels: bool
+    batches: Iterator[pa.RecordBatch], keys: list[str], thresholds: list[float], include_waves: bool, connectivity: int, shape: tuple[int, int], as_pixels: bool, least: float
 ) -> Iterator[pa.RecordBatch]:
     """The cold regions of each frame at each threshold, as sums or as their pixels with region (its smallest position)
     and distance to the shore; distances are NULL in frames without a shore."""
@@ -129,6 +129,8 @@ def _cold(
             counts[y, x], bits[y, x] = raw, surface
             ocean, land, waves = ((bits & bit) > 0 for bit in (1, 2, 4))
             ocean = ocean | waves if include_waves else ocean
+            if np.count_nonzero(ocean) < least * len(raw):
+                continue
             level = b.column("_level")[i].as_py()
             masks = [ocean & (counts < level - t * 10) for t in thresholds]
             any_ = np.logical_or.reduce(masks)
@@ -149,15 +151,18 @@ def _cold(
 
 
 def cold_regions(
-    frames: DataFrame, cfg: DetectConfig, thresholds: list[float] | None = None, keys: list[str] = KEYS, connectivity: int = 8, as_pixels: bool = False
-) -> DataFrame:
-    """(keys, baseline, threshold, sums of each cold region), or the pixels of these regions: no others become rows."""
+    frames: DataFrame, cfg: DetectConfig, thresholds: list[float] | None = None, keys: list[str] = KEYS, connectivity: int = 8, as_pixels: bool = False,
+    base: DataFrame | None = None,
+) -> DataFrame:
+    """(keys, baseline, threshold, sums of each cold region), or the pixels of these regions: no others become rows.
+
+    ``base`` (keys, baseline) spares the histograms where baselines are known."""
     thresholds, shape = thresholds or [cfg.threshold], (cfg.camera.height, cfg.camera.width)
-    j = frames.join(frame_baselines(frames, cfg, keys), keys).withColumn("_level", raw_level(C("baseline")))
+    j = frames.join(frame_baselines(frames, cfg, keys) if base is None else base, keys).withColumn("_level", raw_level(C("baseline")))
     j = j.select(*keys, "baseline", "_level", "y", "x", "raw", "surface")
     kinds = {k: j.schema[k].dataType.simpleString() for k in keys} | {"baseline": "double", "threshold": "double"} | (_PIXELS if as_pixels else _SUMS)
     return j.mapInArrow(
-        lambda it: _cold(it, keys, thresholds, cfg.include_waves, connectivity, shape, as_pixels), ", ".join(f"{k} {v}" for k, v in kinds.items())
+        lambda it: _cold(it, keys, thresholds, cfg.include_waves, connectivity, shape, as_pixels, cfg.min_ocean_fraction), ", ".join(f"{k} {v}" for k, v in kinds.items())
     )
 
 
@@ -206,9 +211,9 @@ def detect_frames(frames: DataFrame, cfg: DetectConfig, thresholds: list[float]
     return accept(measure(cold_regions(frames, cfg, thresholds, keys), cfg, keys), cfg)
 
 
-def detect(px: DataFrame, cfg: DetectConfig, keys: list[str] = KEYS) -> DataFrame:
+def detect(px: DataFrame, cfg: DetectConfig, keys: list[str] = KEYS, base: DataFrame | None = None) -> DataFrame:
     """Single-frame baseline."""
-    return accept(regions_of(px, replace(cfg, window=0), keys=keys), cfg)
+    return accept(measure(cold_regions(frames_of(px, keys), replace(cfg, window=0), None, keys, base=base), cfg, keys), cfg)
 
 
 def detect_moving(px: DataFrame, cfg: DetectConfig, keys: list[str] = KEYS) -> DataFrame:

@@ -52,6 +52,65 @@ def decode_infrared(files: DataFrame, keys: list[str], width: int = 640, height:
     return files.select(*keys, "content").mapInPandas(decode, schema)
 
 
+#: Degrees Celsius between which a sea scene's readings are plausible.
+PLAUSIBLE = (10.0, 40.0)
+
+
+def _layouts(content: bytes, n: int) -> dict[str, np.ndarray]:
+    """Every reading of the bytes as one raster of ``n`` pixels, in deci-kelvin: 16-bit after a header, 16-bit before a
+    trailer, 32-bit floats in degrees before a trailer."""
+    out = {}
+    if len(content) >= 2 * n:
+        out["headed16"] = np.frombuffer(content[len(content) - 2 * n:], "<u2").astype(np.int32)
+    if len(content) > 2 * n:
+        out["trailed16"] = np.frombuffer(content[:2 * n], "<u2").astype(np.int32)
+    if len(content) >= 4 * n:
+        degrees = np.frombuffer(content[:4 * n], "<f4").astype(float)
+        usable = np.isfinite(degrees) & (np.abs(degrees) < 1e5)
+        out["float32"] = np.where(usable, np.rint((np.where(usable, degrees, 0) + 273.15) * 10), -1).astype(np.int32)
+    return out
+
+
+def probe_infrared(files: DataFrame, keys: list[str], width: int = 640, height: int = 512) -> DataFrame:
+    """Raw files (keys, content) of unknown layout to (keys, raw array<int>, layout, plausible, error).
+
+    Each file takes the layout with the largest share of plausible readings (``plausible``; of equal ones the first of
+    headed16, trailed16, float32). A float that is no number reads as -1. A file shorter than one raster, or null, has
+    no raster, and says so in ``error``.
+    """
+    schema = ", ".join(f"{n} {t}" for n, t in files.select(*keys).dtypes) + ", raw array<int>, layout string, plausible double, error string"
+    n = width * height
+    low, high = ((t + 273.15) * 10 for t in PLAUSIBLE)
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for c in b["content"]:
+                found = _layouts(c, n) if c is not None else {}
+                share = {k: float(((v >= low) & (v <= high)).mean()) for k, v in found.items()}
+                best = max(share, key=share.get, default=None)
+                rows.append((found.get(best), best, share.get(best), None if best else f"{0 if c is None else len(c)} of {2 * n} bytes"))
+            b["raw"], b["layout"], b["plausible"], b["error"] = zip(*rows) if rows else ((), (), (), ())
+            yield b[[*keys, "raw", "layout", "plausible", "error"]]
+
+    return files.select(*keys, "content").mapInPandas(decode, schema)
+
+
+def encode_infrared(frames: DataFrame, keys: list[str], header: bytes = b"", trailer: bytes = b"") -> DataFrame:
+    """(keys, raw array<int>, layout) to (keys, content): the bytes that ``probe_infrared`` reads back."""
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["content"] = [
+                (np.asarray(r) / 10 - 273.15).astype("<f4").tobytes() + trailer if k == "float32" else header * (k == "headed16") + np.asarray(r, "<u2").tobytes() + trailer * (k != "headed16")
+                for r, k in zip(b["raw"], b["layout"])
+            ]
+            yield b[[*keys, "content"]]
+
+    schema = ", ".join(f"{n} {t}" for n, t in frames.select(*keys).dtypes) + ", content binary"
+    return frames.select(*keys, "raw", "layout").mapInPandas(encode, schema)
+
+
 def to_pixels(frames: DataFrame, keys: list[str], width: int = 640) -> DataFrame:
     """Arrays to pixel rows, hash-partitioned by the frame's keys while still compact."""
     p = frames.repartition(*keys).select(*keys, F.posexplode("raw").alias("pos", "raw"))

@@ -180,3 +180,23 @@ def test_pairs_as_they_land(spark, tmp_path):
     got = streams.run_to_parquet(streams.paired_frames(a, b, late="2 hours"), str(tmp_path / "work"))
     rows = sorted(tuple(r)[1:] for r in got.collect())
     assert rows == [(0, "rgb0", None), (1, "rgb1", "ir1"), (2, "rgb2", "ir2"), (3, None, "ir3"), (4, "rgb4", None), (100, "rgb100", "ir100")]
+
+
+def test_layouts_are_told_apart(spark):
+    import numpy as np
+
+    from surveyspark.sources import files
+
+    rng = np.random.default_rng(3)
+    raw = rng.integers(2850, 3100, 12)
+    halves = raw.astype("<u2").tobytes()
+    made = {
+        1: b"HEAD" * 2 + halves, 2: halves + b"\xff" * 8, 3: (raw / 10 - 273.15).astype("<f4").tobytes(), 4: halves, 5: b"short", 6: None,
+        7: b"\0" * 24 + halves,  # as long as floats would be
+        8: np.array([np.nan, np.inf, *(raw[2:] / 10 - 273.15)], "<f4").tobytes(),
+    }
+    d = spark.createDataFrame(list(made.items()), "frame int, content binary")
+    got = {r.frame: r for r in files.probe_infrared(d, ["frame"], 4, 3).collect()}
+    assert {k: r.layout for k, r in got.items()} == {1: "headed16", 2: "trailed16", 3: "float32", 4: "headed16", 5: None, 6: None, 7: "headed16", 8: "float32"}
+    assert all(got[k].raw == raw.tolist() and got[k].plausible == 1.0 and got[k].error is None for k in (1, 2, 3, 4, 7))
+    assert got[8].raw == [-1, -1, *raw[2:].tolist()] and got[5].raw is None and "5 of 24" in got[5].error and got[6].error == "0 of 24 bytes"

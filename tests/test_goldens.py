@@ -87,7 +87,7 @@ def test_glint_scene(spark, bright, tenths):
     cfg = DetectConfig(threshold=1.0, min_area=50, max_shore=200.0, window=0)
     p = detect.accept(detect.regions_of(px, cfg), cfg)
     cont = baseline.continuity(baseline.percentile_baseline(h, k, 0.5, out="median"), ["media"])
-    v = glint.confidence(glint.rgb_evidence(px, k), glint.infrared_evidence(h, p, k), cont, None, k).first()
+    v = glint.confidence(glint.rgb_evidence(glint.summary(px, k), k), glint.infrared_evidence(h, p, k), cont, None, k).first()
     assert (v.tenths, v.has_glint) == (tenths, bright)
 
 
