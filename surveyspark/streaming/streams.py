@@ -208,12 +208,13 @@ def released(rows: DataFrame, late: str, every: str = "1 hour", time: str = "ts"
 def paired_frames(rgb: DataFrame, infrared: DataFrame, within: str = "5 minutes", late: str = "1 hour") -> DataFrame:
     """(media, frame, rgb_path, infrared_path): frames whose two files have landed, and those whose other file has not
     come by the time the watermark rules it out. Each side has media, frame, ts and path."""
-    a = rgb.withWatermark("ts", late).filter("frame is not null").select("media", "frame", C("ts").alias("a_ts"), C("path").alias("rgb_path"))
-    b = infrared.withWatermark("ts", late).filter("frame is not null").select(C("media").alias("b_media"), C("frame").alias("b_frame"), C("ts").alias("b_ts"), C("path").alias("infrared_path"))
+    a = rgb.withWatermark("ts", late).select("media", "frame", C("ts").alias("a_ts"), C("path").alias("rgb_path"))
+    b = infrared.withWatermark("ts", late).select(C("media").alias("b_media"), C("frame").alias("b_frame"), C("ts").alias("b_ts"), C("path").alias("infrared_path"))
     same = (C("media") == C("b_media")) & (C("frame") == C("b_frame"))
     near = C("a_ts").between(C("b_ts") - F.expr(f"interval {within}"), C("b_ts") + F.expr(f"interval {within}"))
     j = a.join(b, same & near, "full_outer")
-    return j.select(F.coalesce("media", "b_media").alias("media"), F.coalesce("frame", "b_frame").alias("frame"), "rgb_path", "infrared_path")
+    # Rows without a frame go last: Spark would move the test below the watermark, which then missed their time.
+    return j.select(F.coalesce("media", "b_media").alias("media"), F.coalesce("frame", "b_frame").alias("frame"), "rgb_path", "infrared_path").filter("frame is not null")
 
 
 def dedup_locations(detections: DataFrame, folder: str, radius_m: float, late: str = "1 hour") -> int:

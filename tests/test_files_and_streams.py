@@ -182,6 +182,15 @@ def test_pairs_as_they_land(spark, tmp_path):
     assert rows == [(0, "rgb0", None), (1, "rgb1", "ir1"), (2, "rgb2", "ir2"), (3, None, "ir3"), (4, "rgb4", None), (100, "rgb100", "ir100")]
 
 
+def test_pairs_are_closed(spark, tmp_path):
+    """Closing marks carry no frame; they must still move the watermark, and frames without a partner come out."""
+    mk = lambda rows, side: spark.createDataFrame([(1, f, f"{side}{f}") for f in rows], "media int, frame long, path string").withColumn("ts", F.timestamp_seconds(F.coalesce("frame", F.lit(0)) * 60 + 1_700_000_000))
+    a = land(mk([0, 1, None], "rgb"), tmp_path / "a", [("x", "true")])
+    b = land(mk([1, 2], "ir"), tmp_path / "b", [("x", "true")])
+    got = streams.drain(lambda x, y: streams.paired_frames(x, y, late="3650 days"), [a, b], str(tmp_path / "work"))
+    assert sorted(tuple(r)[1:] for r in got.collect()) == [(0, "rgb0", None), (1, "rgb1", "ir1"), (2, None, "ir2")]
+
+
 def test_layouts_are_told_apart(spark):
     import numpy as np
 
