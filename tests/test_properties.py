@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from surveyspark.catalog import QUERIES
 from surveyspark.functions import geo, rings
 from surveyspark.operators import graph, ordered, raster, regions, spatial, state
 
@@ -138,6 +139,20 @@ def test_negative_radius_switches_folding_off(spark):
     assert rows(spatial.assign(d, -1.0), "ord", "location") == [(1, 1), (2, 2)]
 
 
+def test_repeats_of_a_location_may_count(spark):
+    d = spark.createDataFrame([(1, 1, 0.0, 0.0, 1.0), (2, 2, 0.0, 0.0, 5.0)], "ord long, frame long, lat double, lon double, area_m2 double")
+    cols = ["location", "detection_count", "area_m2", "geometry_frame"]
+    assert rows(spatial.fold_hashed(d, 5.0, 1.13), *cols) == [(1, 1, 1.0, 1)]
+    assert rows(spatial.fold_hashed(d, 5.0, 1.13, drop_repeats=False), *cols) == [(1, 2, 5.0, 2)]
+
+
+def test_the_hash_query_keeps_larger_repeats(spark, tmp_path):
+    """Positions repeat exactly after 4,161,200 events."""
+    e = spark.createDataFrame([(3, 1, "purchase", 1.0), (3 + 4161200, 1, "purchase", 5.0)], "event_id long, user_id long, event_type string, value double")
+    e.withColumns({"ts": F.current_timestamp(), "props": F.lit("{}")}).write.parquet(str(tmp_path / "events.parquet"))
+    assert rows(QUERIES["dedup_hash_distance"](spark, str(tmp_path)), "location", "area_m2", "geometry_frame") == [(3, 5.0, 3 + 4161200)]
+
+
 def test_upsert_equals_one_fold(spark):
     pts = [(o, o, la, lo, float(o * 37 % 11)) for o, la, lo in clustered(120, 5)]
     d = spark.createDataFrame(pts, "ord long, frame long, lat double, lon double, area_m2 double")
