@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import baseline as B
@@ -63,7 +66,8 @@ def stream_paired_frames(spark, sf):
     f = _state_folder(spark)
     rgb = landed(spark, listing(spark, sf, "MAX_%04d.JPG", "frame % 5 <> 0"), f"{f}/rgb")
     infrared = landed(spark, listing(spark, sf, "IRX_%04d.irg", "frame % 7 <> 0").withColumn("ts", C("ts") + F.expr("interval 2 seconds")), f"{f}/irx")
-    return S.drain(lambda a, b: S.paired_frames(numbered(a), numbered(b), late=ANY_ORDER), [rgb, infrared], f)
+    late = any_order(spark, f"{f}/rgb", f"{f}/irx")
+    return S.drain(lambda a, b: S.paired_frames(numbered(a), numbered(b), late=late), [rgb, infrared], f)
 
 
 def _win(width, slide):
@@ -99,8 +103,6 @@ def stream_skip_processed(spark, sf):
     return S.run_to_parquet(S.skip_processed(e.union(e)), _state_folder(spark)).select("frame")
 
 
-#: The files below land in no order at all, so the watermark waits for as long as a survey lasts.
-ANY_ORDER = "3650 days"
 FILES = 8
 
 
@@ -110,6 +112,14 @@ def landed(spark, d, folder):
     return S.read_frames(spark, folder, d.schema, files_per_trigger=1)
 
 
+def any_order(spark, *folders):
+    """The time between the first and the last row of landed files: they come in no order at all, so the watermark
+    waits for as long as the survey lasts."""
+    ends = [spark.read.parquet(f).agg(F.min("ts").alias("a"), F.max("ts").alias("z")) for f in folders]
+    r = functools.reduce(DataFrame.union, ends).agg(F.max(F.unix_timestamp("z")) - F.min(F.unix_timestamp("a"))).first()
+    return f"{(r[0] or 0) + 1} seconds"
+
+
 def timed(d):
     """Frames a minute apart."""
     return d.withColumn("ts", F.timestamp_seconds(C("frame") * 60 + 1_700_000_000))
@@ -121,7 +131,9 @@ def stream_moving_baseline(spark, sf):
     h = timed(h.select(*KEYS, F.transform("h", lambda e: e["raw"]).alias("raws"), F.transform("h", lambda e: e["n"]).alias("counts")))
     f = _state_folder(spark)
     with S.keyed_state(spark):
-        d = S.drain(lambda x: S.moving_baseline(x, 5, 8, ANY_ORDER), landed(spark, h, f"{f}/in"), f)
+        x = landed(spark, h, f"{f}/in")
+        late = any_order(spark, f"{f}/in")
+        d = S.drain(lambda x: S.moving_baseline(x, 5, 8, late), x, f)
     return d.withColumn("baseline", F.round("baseline", 6))
 
 
@@ -132,7 +144,9 @@ def stream_moving_baseline(spark, sf):
 def stream_glint_history(spark, sf):
     f = _state_folder(spark)
     with S.keyed_state(spark):
-        d = S.drain(lambda x: S.glint_history(x, stride=8, late=ANY_ORDER), landed(spark, timed(medians(spark, sf)), f"{f}/in"), f)
+        x = landed(spark, timed(medians(spark, sf)), f"{f}/in")
+        late = any_order(spark, f"{f}/in")
+        d = S.drain(lambda x: S.glint_history(x, stride=8, late=late), x, f)
     return d.select("media", "frame", F.round("temp_jump", 6).alias("temp_jump"), F.round("deviation", 6).alias("deviation"), "has_discontinuity")
 
 
@@ -140,5 +154,5 @@ def stream_glint_history(spark, sf):
 def stream_dedup_locations(spark, sf):
     f = _state_folder(spark)
     d = timed(TB.detections(spark, sf).select(C("frame").alias("ord"), "frame", "lat", "lon", "area_m2"))
-    v = S.dedup_locations(landed(spark, d, f"{f}/in"), f"{f}/set", R, ANY_ORDER)
+    v = S.dedup_locations(landed(spark, d, f"{f}/in"), f"{f}/set", R, any_order(spark, f"{f}/in"))
     return shown(state.read_version(spark, f"{f}/set", v))

@@ -156,6 +156,16 @@ def test_stream_dedup_in_any_order(spark, sf, tmp_path):
     assert key(state.read_version(spark, str(tmp_path / "set"), v)) == key(spatial.fold_locations(d.drop("ts"), 10.0))
 
 
+def test_delay_spans_long_surveys(spark, tmp_path):
+    """Seven million frames a minute apart take 13 years; the first ones come last and still count."""
+    from surveyspark.catalog.streams import any_order, timed
+
+    d = timed(spark.createDataFrame([(f, f, 0.01 * k, 0.0, 1.0) for k, f in enumerate((0, 1, 7_000_000))], "ord long, frame long, lat double, lon double, area_m2 double"))
+    s = land(d, tmp_path, [("b", "frame = 7000000"), ("a", "frame < 2")])
+    v = streams.dedup_locations(s, str(tmp_path / "set"), 10.0, any_order(spark, str(tmp_path / "in")))
+    assert sorted(r.location for r in state.read_version(spark, str(tmp_path / "set"), v).collect()) == [0, 1, 7_000_000]
+
+
 def test_frames_are_stepped_in_order_and_gaps_expire(spark, tmp_path):
     """Frames arrive backwards; 4 is lost, 9 arrives after the watermark has passed it. Medians differ by frame."""
     rows = [(7, f, f * 0.5) for f in (0, 1, 2, 3, 5, 6, 7, 8, 10)] + [(8, 0, 9.0), (8, 1, 9.5)]
