@@ -123,7 +123,8 @@ def by_temperature(px: DataFrame, keys: list[str], method: str = "temperature",
     if method == "temperature":
         return px.withColumn("land_mask", hot)
     if method in ("variance", "combined"):
-        d = normalised(local_variance(px, keys, 2, width, height), "variance", keys)
+        # In raw counts: another unit would only round the shares, which may lie exactly on the limit.
+        d = normalised(local_variance(px, keys, 2, width, height, 1), "variance", keys)
         rough = C("variance_norm") >= 0.3 if method == "variance" else (hot | (C("variance_norm") > 0.3))
         return d.withColumn("land_mask", rough)
     if method == "adaptive":
@@ -140,10 +141,11 @@ def normalised(d: DataFrame, column: str, keys: list[str], eps: float = 0.0) ->
     return d.withColumn(f"{column}_norm", minmax_norm(C(column), keys, eps))
 
 
-def local_variance(px: DataFrame, keys: list[str], r: int, width: int, height: int) -> DataFrame:
-    """Adds the mirrored-border variance of temperature, carrying every column of the pixel through the windows."""
+def local_variance(px: DataFrame, keys: list[str], r: int, width: int, height: int, unit: int = 100) -> DataFrame:
+    """Adds the mirrored-border variance of temperature (or of raw counts with ``unit`` 1), carrying every column of the
+    pixel through the windows."""
     s = raster.local_stats(px, "raw", keys, r, width, height, "reflect", 2950.0).drop("mean")
-    s = s.withColumn("variance", C("variance") / 100)
+    s = s.withColumn("variance", C("variance") / unit)
     return px.join(s, [*keys, "y", "x"])
 
 

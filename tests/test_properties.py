@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from surveyspark.catalog import QUERIES
 from surveyspark.functions import geo, rings
 from surveyspark.operators import graph, ordered, raster, regions, spatial, state
+from surveyspark.plans import segment
 
 
 def rows(d, *cols):
@@ -270,6 +271,17 @@ def test_rotation_and_area_invariants(spark):
     assert a == pytest.approx(b, rel=1e-5)
 
 
+def test_variance_exactly_on_the_limit_is_land(spark):
+    """The pixel's share of the variance range is 3/10 in whole numbers."""
+    v = [37, 53, 16, 55, 37, 59, 43, 63, 49, 63, 34, 45, 66, 52, 40, 74, 44, 57, 35, 72, 43, 49, 40, 53, 48, 75, 37, 49, 52, 46, 44, 70, 40, 20, 47, 45, 37, 31, 54, 55, 47, 66, 42, 57, 52, 45, 37, 50, 59, 38, 69, 47, 45, 40, 30, 56, 57, 36, 67, 40, 61, 35, 38, 36]
+    px = spark.createDataFrame([(0, i // 8, i % 8, 2900 + n) for i, n in enumerate(v)], "frame int, y int, x int, raw int")
+    d = segment.by_temperature(px, ["frame"], "variance", 22.0, 8, 8)
+    assert [r.land_mask for r in d.filter("y = 5 and x = 6").collect()] == [True]
+    k = np.pad(np.array(v).reshape(8, 8), 2, "symmetric")
+    n = np.array([[25 * (w * w).sum() - w.sum() ** 2 for x in range(8) for w in [k[y : y + 5, x : x + 5]]] for y in range(8)])
+    assert 10 * (n[5, 6] - n.min()) == 3 * (n.max() - n.min())
+
+
 def test_resampling_against_arrays(spark):
     """Non-integer ratios, both ways, against interpolation on whole arrays; a null needs all that touches it to be null."""
     rng = np.random.default_rng(6)
