@@ -93,6 +93,19 @@ def contains(ring: Column, lon: Column, lat: Column) -> Column:
     return F.aggregate(crossings, F.lit(0), lambda a, v: a + v) % 2 == 1
 
 
+def edges(ring: Column) -> Column:
+    """The sides of a closed ring, each with both its ends."""
+    n = F.size(ring)
+    side = lambda p, q: F.struct(p["lon"].alias("x0"), p["lat"].alias("y0"), q["lon"].alias("x1"), q["lat"].alias("y1"))
+    return F.zip_with(F.slice(ring, F.lit(1), n - 1), F.slice(ring, F.lit(2), n - 1), side)
+
+
+def crossings(sides: Column, lat: Column) -> Column:
+    """Where the ``edges`` of a ring cross a parallel, from west to east: ``contains`` counts those east of a point."""
+    at = lambda e: F.when((e["y0"] > lat) != (e["y1"] > lat), (e["x1"] - e["x0"]) * (lat - e["y0"]) / (e["y1"] - e["y0"]) + e["x0"])
+    return F.sort_array(F.array_compact(F.transform(sides, at)))
+
+
 def square(lon: Column, lat: Column, half: Column) -> Column:
     """Closed counter-clockwise square ring around a point."""
     signs = [(-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1)]

@@ -140,6 +140,19 @@ def test_negative_radius_switches_folding_off(spark):
     assert rows(spatial.assign(d, -1.0), "ord", "location") == [(1, 1), (2, 2)]
 
 
+def test_grid_cells_of_a_concave_ring(spark):
+    """A comb of three teeth; only cells are exchanged, not rings."""
+    from surveyspark.catalog.spatials import grid_cells
+
+    comb = [(0.0, 0.0), (9.3, 0.0), (9.1, 6.2), (7.4, 6.1), (7.2, 1.7), (5.3, 1.6), (5.1, 8.8), (4.2, 8.7), (3.9, 1.4), (1.8, 1.3), (1.5, 4.9), (0.2, 5.2), (0.0, 0.0)]
+    ring = F.array(*[geo.point(F.lit(x), F.lit(y)) for x, y in comb])
+    got = grid_cells(spark.range(2).select(ring.alias("ring")), [], 0.5, 0.0)
+    cells = spark.range(400).select(F.expr("id div 20").alias("gx"), (F.col("id") % 20).alias("gy"))
+    want = cells.filter(rings.contains(ring, (F.col("gx") + 0.5) * 0.5, (F.col("gy") + 0.5) * 0.5))
+    assert rows(got, "gx", "gy") == rows(want, "gx", "gy")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
 def test_repeats_of_a_location_may_count(spark):
     d = spark.createDataFrame([(1, 1, 0.0, 0.0, 1.0), (2, 2, 0.0, 0.0, 5.0)], "ord long, frame long, lat double, lon double, area_m2 double")
     cols = ["location", "detection_count", "area_m2", "geometry_frame"]
