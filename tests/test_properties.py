@@ -255,6 +255,25 @@ def test_concave_rings_and_holes(spark):
     assert all(r.found == any(inside([a, *(h or [])], r.lon, r.lat) for a, h in shapes) for r in got if r.lat is not None)
 
 
+def test_points_along_the_rim_of_many_rings(spark, monkeypatch):
+    """Cells where many points meet many rings are split until few pairs are left, without changing a result."""
+    rnd = random.Random(3)
+    crowds, crowded = [], spatial._crowded
+    monkeypatch.setattr(spatial, "PAIRS", 8)
+    monkeypatch.setattr(spatial, "_crowded", lambda a, b: crowds.append(crowded(a, b)) or crowds[-1])
+    frames = [(rnd.random() * 1e-4 - 27, rnd.random() * 1e-4 - 109, 300, i) for i in range(360)] + [(None, -109.0, 300, 5)]
+    f = spark.createDataFrame(frames, "lat double, lon double, altitude int, heading int")
+    f = f.select(geo.footprint_corners(F.col("lat"), F.col("lon"), F.col("altitude"), F.col("heading")).alias("ring"))
+    angles = [rnd.random() * 2 * math.pi for _ in range(600)]
+    pts = [(-27 + 0.00145 * math.sin(a) + rnd.gauss(0, 5e-5), -109 + 0.00162 * math.cos(a) + rnd.gauss(0, 5e-5)) for a in angles]
+    p = spark.createDataFrame(pts, "lat double, lon double")
+    got = spatial.in_any_polygon(p, f)
+    want = p.crossJoin(f).groupBy("lat", "lon").agg(F.max(rings.contains(F.col("ring"), F.col("lon"), F.col("lat"))).alias("found"))
+    assert rows(got, "lat", "lon", "found") == rows(want, "lat", "lon", "found")
+    assert 50 < got.filter("found").count() < 550
+    assert len(crowds) > 2 and not crowds[0].isEmpty() and crowds[-1].isEmpty()
+
+
 def test_distance_and_morphology(spark):
     rng = np.random.default_rng(2)
     m = rng.random((14, 19)) < 0.08
