@@ -19,6 +19,41 @@ _STRETCH = re.compile(r" *[^ \n]+| +|\n")
 _NEVER = np.int64(1 << 62)
 
 
+def _slot(key: np.ndarray, shift: np.uint64) -> np.ndarray:
+    return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> shift).astype(np.int64)
+
+
+def _table(entries: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.uint64, int]:
+    """Open-addressed table of keys and values, for whole arrays of lookups."""
+    bits = 20
+    while len(entries) > 1 << bits - 2:
+        bits += 1
+    shift, slots = np.uint64(64 - bits), 1 << bits
+    keys, values = np.full(slots, -1, np.int64), np.zeros(slots, np.int64)
+    left, value = np.array(list(entries), np.int64), np.array(list(entries.values()), np.int64)
+    at = _slot(left, shift)
+    while len(left):
+        free = keys[at] == -1
+        keys[at[free]], values[at[free]] = left[free], value[free]  # of several, the last stays
+        rest = keys[at] != left
+        left, value, at = left[rest], value[rest], (at[rest] + 1) % slots
+    return keys, values, shift, slots
+
+
+def _lookup(table: tuple[np.ndarray, np.ndarray, np.uint64, int], key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Value of each key, and whether the table has it."""
+    keys, values, shift, slots = table
+    slot = _slot(key, shift)
+    found = keys[slot]
+    other = np.nonzero((found != key) & (found != -1))
+    while len(other[0]):
+        slot[other] = (slot[other] + 1) % slots
+        now = keys[slot[other]]
+        go_on = (now != key[other]) & (now != -1)
+        other = tuple(x[go_on] for x in other)
+    return values[slot], keys[slot] == key
+
+
 class MergeEncoder:
     """Merge-type segmentation of a SentencePiece vocabulary; candidates are skipped by keyed hash.
 
@@ -53,9 +88,10 @@ class MergeEncoder:
                 a, b = self.ids.get(piece[:cut]), self.ids.get(piece[cut:])
                 if a is not None and b is not None:
                     pairs[a << 32 | b] = i
-        self._index(pairs)
+        self.pairs = _table(pairs)
         made = set(pairs.values())
-        self.merged, self.longest = {p: i for p, i in self.ids.items() if i in made}, max(map(len, self.ids))
+        self.merged = {p: i for p, i in self.ids.items() if i in made}
+        self._prefixes()
         self.of_char = np.full(0x110000, size, np.int64)
         for piece, i in self.ids.items():
             if len(piece) == 1:
@@ -66,54 +102,55 @@ class MergeEncoder:
         self.known: dict[tuple[str, int], bytes] = {}
         self.places: dict[str, np.ndarray | None] = {}
 
-    def _index(self, pairs: dict[int, int]) -> None:
-        """Open-addressed table of the pairs that form a piece, for whole arrays of lookups."""
-        bits = 20
-        while len(pairs) > 1 << bits - 2:
-            bits += 1
-        self.shift, self.slots = np.uint64(64 - bits), 1 << bits
-        self.keys, self.made = np.full(self.slots, -1, np.int64), np.zeros(self.slots, np.int64)
-        left = np.array(list(pairs), np.int64)
-        piece = np.array(list(pairs.values()), np.int64)
-        at = self._slot(left)
-        while len(left):
-            free = self.keys[at] == -1
-            self.keys[at[free]], self.made[at[free]] = left[free], piece[free]  # of several, the last stays
-            rest = self.keys[at] != left
-            left, piece, at = left[rest], piece[rest], (at[rest] + 1) % self.slots
-
-    def _slot(self, pair: np.ndarray) -> np.ndarray:
-        return (pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+    def _prefixes(self) -> None:
+        """A tree of the merged pieces: the table leads from a node and a character to the next node, if any."""
+        nodes: dict[int, int] = {}
+        piece_at = {}
+        for text, i in self.merged.items():
+            node = 0
+            for c in text:
+                node = nodes.setdefault(node << 21 | ord(c), len(nodes) + 1)
+            piece_at[node] = i
+        self.steps = _table(nodes)
+        self.piece_at = np.full(len(nodes) + 1, -1, np.int64)
+        self.piece_at[list(piece_at)] = list(piece_at.values())
 
     def _candidates(self, left: np.ndarray, right: np.ndarray, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece and agenda order of neighbours; the order is _NEVER where there is no piece or it is skipped."""
-        pair = left << 32 | right
-        slot = self._slot(pair)
-        found = self.keys[slot]
-        other = np.nonzero((found != pair) & (found != -1))
-        while len(other[0]):
-            slot[other] = (slot[other] + 1) % self.slots
-            now = self.keys[slot[other]]
-            go_on = (now != pair[other]) & (now != -1)
-            other = tuple(x[go_on] for x in other)
-        piece = self.made[slot]
-        ok = self.keys[slot] == pair
+        piece, ok = _lookup(self.pairs, left << 32 | right)
         if self.skip_below:
             ok &= mix(key ^ mix((at << 20 | piece).astype(np.uint64))) >= self.skip_below
         return piece, np.where(ok, self.rank[piece] << 32 | at, _NEVER)
 
-    def _possible(self, word: str) -> np.ndarray | None:
-        """All candidates (place and piece) that any order of merges can bring, or None if they are too many for a mask."""
-        if len(word) > self.wide:
-            return None
-        text = word.replace("▁", "\0") if self.keep_mark else word
-        text, n, out = text.replace(" ", "▁"), len(word), []
-        for a in range(n - 1):
-            for e in range(a + 2, min(n, a + self.longest) + 1):
-                piece = self.merged.get(text[a:e])
-                if piece is not None:
-                    out.append(a << 20 | piece)
-        return mix(np.array(out, np.uint64)) if len(out) <= 64 else None
+    def _possible(self, words: list[str]) -> list[np.ndarray | None]:
+        """Of each stretch all candidates (place and piece) that any order of merges can bring, or None if they are too many
+        for a mask. All places of all stretches walk the tree of pieces side by side."""
+        short = [w for w in words if len(w) <= self.wide]
+        length = np.array([len(w) for w in short], np.int64)
+        start = np.cumsum(length) - length
+        text = np.frombuffer("".join(short).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        if self.keep_mark:
+            text = np.where(text == 0x2581, 0, text)
+        text[text == 0x20] = 0x2581
+        word = np.repeat(np.arange(len(short)), length)
+        at, node, end, depth, found = np.arange(len(text)), np.zeros(len(text), np.int64), (start + length)[word], 0, []
+        while len(at):
+            node, ok = _lookup(self.steps, node << 21 | text[at + depth])
+            depth += 1
+            at, node, end = at[ok], node[ok], end[ok]
+            piece = self.piece_at[node]
+            full = piece >= 0
+            found.append((at[full], piece[full]))
+            more = at + depth < end
+            at, node, end = at[more], node[more], end[more]
+        places, pieces = (np.concatenate([f[i] for f in found] or [np.empty(0, np.int64)]) for i in (0, 1))
+        order = np.argsort(places, kind="stable")
+        places, pieces = places[order], pieces[order]
+        of = word[places]
+        made = mix(((places - start[of]) << 20 | pieces).astype(np.uint64))
+        ends = np.searchsorted(of, np.arange(len(short)), "right").tolist()
+        parts = iter([made[a:z] if z - a <= 64 else None for a, z in zip([0, *ends[:-1]], ends)])
+        return [next(parts) if len(w) <= self.wide else None for w in words]
 
     def _together(self, words: list[str], keys: np.ndarray | int) -> list[bytes]:
         """Agendas of many short stretches side by side: each round takes the best candidate of every stretch.
@@ -220,19 +257,18 @@ class MergeEncoder:
         if not words:
             return [b""] * len(counts)
         draw = mix(np.concatenate(own))
-        masks: list[int] = [0] * len(words)
-        free: list[int] = []  # stretches that are computed for themselves
+        masks = np.zeros(len(words), np.uint64)
+        number: dict[str, int] = {}
+        of = np.array([number.setdefault(w, len(number)) for w in words])
+        alone = np.zeros(len(words), bool)  # stretches that are computed for themselves
         if self.skip_below:
-            number: dict[str, int] = {}
-            of = np.array([number.setdefault(w, len(number)) for w in words])
             if len(self.places) > self.limit:
                 self.places = {}
-            for w in number:
-                if w not in self.places:
-                    self.places[w] = self._possible(w)
+            new_words = [w for w in number if w not in self.places]
+            self.places.update(zip(new_words, self._possible(new_words)))
             lists = [self.places[w] for w in number]
             n = np.array([-1 if x is None else len(x) for x in lists])
-            free = np.flatnonzero(n[of] < 0).tolist()
+            alone = n[of] < 0
             flat = np.concatenate([np.empty(0, np.uint64)] + [x for x in lists if x is not None])
             n = np.maximum(n, 0)
             start = np.cumsum(n) - n
@@ -245,18 +281,25 @@ class MergeEncoder:
                 if len(hit):
                     row = rows[hit]
                     first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-                    bits = np.bitwise_or.reduceat(np.uint64(1) << bit[hit].astype(np.uint64), first)
-                    for i, m in zip((row[first] + a).tolist(), bits.tolist()):
-                        masks[i] = m
-        pairs: list[tuple[str, int]] = list(zip(words, masks))
-        for i in free:
-            pairs[i] = (words[i], -1 - i)  # no other has these
-        new = {p: i for i, p in enumerate(pairs) if p not in self.known}
-        found = dict(zip(new, self._segment([p[0] for p in new], draw[list(new.values())]))) if new else {}
-        out = [found[p] if p in found else self.known[p] for p in pairs]
-        if len(self.known) + len(found) > self.limit:
-            self.known = {}
-        self.known.update((p, x) for p, x in found.items() if p[1] >= 0)
+                    masks[row[first] + a] = np.bitwise_or.reduceat(np.uint64(1) << bit[hit].astype(np.uint64), first)
+        # One entry for each stretch with the same skips, and one for each that is computed for itself.
+        order = np.lexsort((masks, of))
+        new = np.append(True, (of[order[1:]] != of[order[:-1]]) | (masks[order[1:]] != masks[order[:-1]]) | alone[order[1:]])
+        entry = np.empty(len(words), np.int64)
+        entry[order] = np.cumsum(new) - 1
+        one = order[new]
+        pairs = list(zip(map(words.__getitem__, one.tolist()), masks[one].tolist()))
+        own, found = alone[one], list(map(self.known.get, pairs))
+        missing = [i for i, (x, o) in enumerate(zip(found, own.tolist())) if o or x is None]
+        if missing:
+            made = self._segment([pairs[i][0] for i in missing], draw[one[missing]])
+            for i, x in zip(missing, made):
+                found[i] = x
+            fresh = {pairs[i]: x for i, x, o in zip(missing, made, own[missing].tolist()) if not o}
+            if len(self.known) + len(fresh) > self.limit:
+                self.known = {}
+            self.known.update(fresh)
+        out = list(map(found.__getitem__, entry.tolist()))
         ends = np.cumsum(counts).tolist()
         return [b"".join(out[e - c:e]) for e, c in zip(ends, counts)]
 

@@ -70,6 +70,21 @@ def test_merges(dropout):
     assert coder._together(words, 0) == [coder._alone(w, 0) for w in words]
 
 
+def test_candidates_of_many_stretches_at_once():
+    """All places of all stretches are looked up side by side; each has what a search of its substrings finds."""
+    coder = MergeEncoder("piece_bpe_32k.model", 0.1, 3, keep_mark=True)
+    words = [" the", " ", "", "   ", " Straße", " \U0001f600x", " in▁the", " " + "na" * 40, " internationalisation"]
+    got = coder._possible(words)
+    for w, x in zip(words, got):
+        text = w.replace("▁", "\0").replace(" ", "▁")
+        want = [a << 20 | coder.merged[text[a:e]] for a in range(len(w)) for e in range(a + 2, len(w) + 1) if text[a:e] in coder.merged]
+        if len(w) > coder.wide or len(want) > 64:
+            assert x is None
+        else:
+            assert sorted(x.tolist()) == sorted(mix(np.array(want, np.uint64)).tolist())
+    assert any(x is not None and len(x) > 5 for x in got)
+
+
 def test_each_occurrence_draws():
     coder = MergeEncoder("piece_bpe_32k.model", 0.1, 5, keep_mark=True)
     text = "wonderful " * 3000
