@@ -117,7 +117,7 @@ def training(spark, sf):
     d, cols = L.pixel_features(px)
     d = L.assemble(d.withColumn("target", L.class_index()).withColumn("key", C("frame") * 64 + C("y") * 8 + C("x")), cols)
     d = L.split_stratified(d.select("key", "label", "target", "features"), "key", "label")
-    d = L.guard_samples(cut_lineage(d.repartition(8, "key")))
+    d = L.guard_samples(cut_lineage(L.dealt(d, "key")))
     return d.filter("train"), d.filter("not train"), cols
 
 

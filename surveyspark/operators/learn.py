@@ -49,6 +49,11 @@ def sample_grid(px: DataFrame, step: int = 20, margin: int = 10, width: int = 64
     return px.filter(on("y", height) & on("x", width))
 
 
+def dealt(d: DataFrame, key: str) -> DataFrame:
+    """The rows in one partition a core: a fit passes over them hundreds of times, each time in one wave of tasks."""
+    return d.repartition(d.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def guard_samples(d: DataFrame, least: int = 40) -> DataFrame:
     if d.limit(least).count() < least:
         raise ValueError(f"at least {least} labelled samples are needed")

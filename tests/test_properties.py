@@ -274,6 +274,13 @@ def test_points_along_the_rim_of_many_rings(spark, monkeypatch):
     assert len(crowds) > 2 and not crowds[0].isEmpty() and crowds[-1].isEmpty()
 
 
+def test_training_rows_fill_every_core_once(spark):
+    from surveyspark.operators import learn
+
+    d = learn.dealt(spark.range(1000), "id")
+    assert d.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and d.count() == 1000
+
+
 def test_distance_and_morphology(spark):
     rng = np.random.default_rng(2)
     m = rng.random((14, 19)) < 0.08
