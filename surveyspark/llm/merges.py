@@ -6,6 +6,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,98 @@ def _lookup(table: tuple[np.ndarray, np.ndarray, np.uint64, int], key: np.ndarra
     return values[slot], keys[slot] == key
 
 
+def _room(a: np.ndarray, size: int) -> np.ndarray:
+    """The array, made longer if it has no room for ``size`` entries."""
+    return a if size <= len(a) else np.concatenate([a, np.zeros(max(size, len(a) * 3 // 2) - len(a), a.dtype)])
+
+
+class _Decisions:
+    """Trees of the decisions that lead from a stretch to its segmentation.
+
+    A node holds the hash of the candidate at the top of the agenda and has two edges, for merging and for skipping it. A
+    stretch's root is a node too, whose first edge leads to the first decision. An edge leads to a node, to a leaf
+    (-1 - its number) or nowhere yet (0, which no edge leads to, as node 0 is unused). Leaves list the ids of segmentations.
+    """
+
+    def __init__(self):
+        self.nodes, self.leaves, self.size = 1, 0, 0
+        self.seen = np.zeros(1 << 16, np.uint64)
+        self.to = np.zeros(1 << 17, np.int32)
+        self.flat, self.start, self.word = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.roots = _Numbers()
+        self.root = np.zeros(1 << 16, np.int32)
+
+    def _more(self, n: int) -> np.ndarray:
+        """Numbers of new nodes."""
+        self.nodes += n
+        self.seen, self.to = _room(self.seen, self.nodes), _room(self.to, 2 * self.nodes)
+        return np.arange(self.nodes - n, self.nodes)
+
+    def roots_of(self, words: list[str]) -> np.ndarray:
+        """First edge of each stretch."""
+        had = len(self.roots)
+        number = np.fromiter(map(self.roots.__getitem__, words), np.int64, len(words))
+        self.root = _room(self.root, len(self.roots))
+        self.root[had:len(self.roots)] = self._more(len(self.roots) - had)
+        return 2 * self.root[number].astype(np.int64)
+
+    def descend(self, rows: np.ndarray, edge: np.ndarray, depth: np.ndarray, draw: np.ndarray, skip_below: np.uint64, out: np.ndarray) -> np.ndarray:
+        """Follows the decisions of some rows from their edges on; gives the rows whose edge leads nowhere yet."""
+        open_, at, key, steps = [], edge[rows], draw[rows], 0
+        while len(rows):
+            to = self.to[at]
+            inner = to > 0
+            if not inner.all():
+                leaf, lost = to < 0, to == 0
+                out[rows[leaf]] = -1 - to[leaf]
+                r = rows[lost]
+                edge[r] = at[lost]
+                depth[r] += steps
+                open_.append(r)
+                rows, to, key = rows[inner], to[inner], key[inner]
+            at = 2 * to.astype(np.int64) + (mix(key ^ self.seen[to]) < skip_below)
+            steps += 1
+        return np.concatenate(open_) if open_ else rows
+
+    def grow(self, edge: np.ndarray, depth: np.ndarray, words: list[str], traced: tuple[np.ndarray, ...]) -> None:
+        """Puts the rest of each trace behind its edge, which is ``depth`` decisions below the root."""
+        ids, sizes, seen, skip, taken = traced
+        rest = np.arange(len(seen)) - np.repeat(np.cumsum(taken) - taken, taken) >= np.repeat(depth, taken)
+        seen, skip, n = seen[rest], skip[rest], taken - depth
+        node = self._more(len(seen))
+        self.seen[node] = seen
+        some, ends = n > 0, np.cumsum(n)
+        into = np.empty(len(node), np.int64)
+        into[1:] = 2 * node[:-1] + skip[:-1]
+        into[(ends - n)[some]] = edge[some]
+        self.to[into] = node
+        last = edge.copy()
+        last[some] = 2 * node[ends[some] - 1] + skip[ends[some] - 1]
+        first, self.leaves = self.leaves, self.leaves + len(edge)
+        self.to[last] = -1 - np.arange(first, self.leaves)
+        self.word = _room(self.word, self.leaves)
+        self.word[first:self.leaves] = [self.roots[w] for w in words]
+        self.start = _room(self.start, self.leaves + 1)
+        self.start[first + 1:self.leaves + 1] = self.size + np.cumsum(sizes)
+        self.flat = _room(self.flat, self.size + len(ids))
+        self.flat[self.size:self.size + len(ids)] = ids
+        self.size += len(ids)
+
+    def ids(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some leaves one after the other, and how many each has."""
+        start = self.start[leaf]
+        n = self.start[leaf + 1] - start
+        return self.flat[np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)], n
+
+
+class _Numbers(dict):
+    """Numbers strings as they are asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class MergeEncoder:
     """Merge-type segmentation of a SentencePiece vocabulary; candidates are skipped by keyed hash.
 
@@ -62,8 +155,9 @@ class MergeEncoder:
     document, number of the stretch, place, piece) falls below ``dropout``: it leaves the agenda, and only another merge
     beside it can bring a new candidate. Characters without a piece become their bytes, so decoding loses nothing.
 
-    Every occurrence draws for itself. Its segmentation depends on nothing but the stretch and which of all its possible
-    candidates are skipped, so what was computed for the same stretch and skips is used again, from a bounded table.
+    Every occurrence draws for itself. Its segmentation depends on nothing but the stretch and whether each candidate that
+    comes to the top of the agenda is skipped. These decisions form a tree for each stretch, kept in arrays of bounded size:
+    all occurrences go down their trees side by side, and the agenda runs only where a branch has not been seen yet.
     ``keep_mark``: U+2581 of a text becomes its bytes; by default it is a space, as the library has it.
     """
 
@@ -91,7 +185,6 @@ class MergeEncoder:
         self.pairs = _table(pairs)
         made = set(pairs.values())
         self.merged = {p: i for p, i in self.ids.items() if i in made}
-        self._prefixes()
         self.of_char = np.full(0x110000, size, np.int64)
         for piece, i in self.ids.items():
             if len(piece) == 1:
@@ -99,11 +192,17 @@ class MergeEncoder:
         self.of_char[ord(" ")] = self.of_char[0x2581]
         if keep_mark:
             self.of_char[0x2581] = size
-        self.known: dict[tuple[str, int], bytes] = {}
-        self.places: dict[str, np.ndarray | None] = {}
+        self.tree = _Decisions()
 
-    def _prefixes(self) -> None:
-        """A tree of the merged pieces: the table leads from a node and a character to the next node, if any."""
+    @property
+    def known(self) -> dict[tuple[str, int], bytes]:
+        """Segmentations found so far, by stretch and number."""
+        words, t = list(self.tree.roots), self.tree
+        return {(words[t.word[i]], i): t.ids(np.array([i]))[0].tobytes() for i in range(t.leaves)}
+
+    @cached_property
+    def _prefixes(self) -> tuple[tuple[np.ndarray, np.ndarray, np.uint64, int], np.ndarray]:
+        """A tree of the merged pieces: the table leads from a node and a character to the next node, if any; and each node's piece."""
         nodes: dict[int, int] = {}
         piece_at = {}
         for text, i in self.merged.items():
@@ -111,14 +210,14 @@ class MergeEncoder:
             for c in text:
                 node = nodes.setdefault(node << 21 | ord(c), len(nodes) + 1)
             piece_at[node] = i
-        self.steps = _table(nodes)
-        self.piece_at = np.full(len(nodes) + 1, -1, np.int64)
-        self.piece_at[list(piece_at)] = list(piece_at.values())
+        pieces = np.full(len(nodes) + 1, -1, np.int64)
+        pieces[list(piece_at)] = list(piece_at.values())
+        return _table(nodes), pieces
 
-    def _candidates(self, left: np.ndarray, right: np.ndarray, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Piece and agenda order of neighbours; the order is _NEVER where there is no piece or it is skipped."""
+    def _candidates(self, left: np.ndarray, right: np.ndarray, at: np.ndarray, key: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Piece and agenda order of neighbours; the order is _NEVER where there is no piece or the key skips it."""
         piece, ok = _lookup(self.pairs, left << 32 | right)
-        if self.skip_below:
+        if self.skip_below and key is not None:
             ok &= mix(key ^ mix((at << 20 | piece).astype(np.uint64))) >= self.skip_below
         return piece, np.where(ok, self.rank[piece] << 32 | at, _NEVER)
 
@@ -132,13 +231,14 @@ class MergeEncoder:
         if self.keep_mark:
             text = np.where(text == 0x2581, 0, text)
         text[text == 0x20] = 0x2581
+        steps, piece_at = self._prefixes
         word = np.repeat(np.arange(len(short)), length)
         at, node, end, depth, found = np.arange(len(text)), np.zeros(len(text), np.int64), (start + length)[word], 0, []
         while len(at):
-            node, ok = _lookup(self.steps, node << 21 | text[at + depth])
+            node, ok = _lookup(steps, node << 21 | text[at + depth])
             depth += 1
             at, node, end = at[ok], node[ok], end[ok]
-            piece = self.piece_at[node]
+            piece = piece_at[node]
             full = piece >= 0
             found.append((at[full], piece[full]))
             more = at + depth < end
@@ -152,13 +252,15 @@ class MergeEncoder:
         parts = iter([made[a:z] if z - a <= 64 else None for a, z in zip([0, *ends[:-1]], ends)])
         return [next(parts) if len(w) <= self.wide else None for w in words]
 
-    def _together(self, words: list[str], keys: np.ndarray | int) -> list[bytes]:
+    def _traced(self, words: list[str], keys: np.ndarray | int) -> tuple[np.ndarray, ...]:
         """Agendas of many short stretches side by side: each round takes the best candidate of every stretch.
 
         One row a stretch, one column a character; a merged symbol stays in its first column, ``after`` and ``before``
-        link the columns in use, and ``order`` holds the candidate that starts in each.
+        link the columns in use, and ``order`` holds the candidate that starts in each. Gives the ids of all stretches
+        and how many each has, then the hashes of the candidates that came to the top, whether they were skipped, and
+        how many each stretch had.
         """
-        n, length = len(words), np.array([len(w) for w in words])
+        n, length = len(words), np.fromiter(map(len, words), np.int64, len(words))
         wide = int(length.max())
         sym = np.full((n, wide + 1), self.none, np.int64)
         sym[np.arange(wide + 1) < length[:, None]] = self.of_char[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
@@ -166,34 +268,49 @@ class MergeEncoder:
         after, before = cols + 1, cols - 1
         alive = cols < length[:, None]
         key = np.broadcast_to(np.asarray(keys, np.uint64), n)
-        piece, order = self._candidates(sym[:, :-1], sym[:, 1:], cols[:, :-1], key[:, None])
-        rows = np.arange(n)
+        piece, order = self._candidates(sym[:, :-1], sym[:, 1:], cols[:, :-1])
+        rows, taken = np.arange(n), []
         while len(rows):
-            best = order[rows].argmin(1)
-            ready = order[rows, best] < _NEVER
+            part = order if len(rows) == n else order[rows]
+            best = part.argmin(1)
+            ready = part[np.arange(len(rows)), best] < _NEVER
             rows, best = rows[ready], best[ready]
-            gone = after[rows, best]
-            sym[rows, best] = piece[rows, best]
-            alive[rows, gone] = False
+            seen = mix((best << 20 | piece[rows, best]).astype(np.uint64))
+            skip = mix(key[rows] ^ seen) < self.skip_below
+            taken.append((rows, seen, skip))
+            order[rows[skip], best[skip]] = _NEVER
+            r, c = rows[~skip], best[~skip]
+            gone = after[r, c]
+            sym[r, c] = piece[r, c]
+            alive[r, gone] = False
             inside = gone < wide
-            order[rows[inside], gone[inside]] = _NEVER
-            then = after[rows, gone]
-            after[rows, best] = then
+            order[r[inside], gone[inside]] = _NEVER
+            then = after[r, gone]
+            after[r, c] = then
             more = then <= wide
-            before[rows[more], then[more]] = best[more]
-            for left, right in ((before[rows, best], best), (best, then)):  # only the merged symbol's neighbours have new candidates
-                ok = (left >= 0) & (right < length[rows])
-                r, s, t = rows[ok], left[ok], right[ok]
-                piece[r, s], order[r, s] = self._candidates(sym[r, s], sym[r, t], s, key[r])
-            end = then >= length[rows]
-            order[rows[end], best[end]] = _NEVER
-        flat = sym[alive].astype("<u4").tobytes()
-        ends = 4 * np.cumsum(alive.sum(1))
-        out = [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
-        for i in np.flatnonzero((alive & (sym == self.none)).any(1)).tolist():
-            at = np.flatnonzero(alive[i])
-            out[i] = self._bytes(sym[i, at].tolist(), at.tolist(), words[i])
-        return out
+            before[r[more], then[more]] = c[more]
+            for left, right in ((before[r, c], c), (c, then)):  # only the merged symbol's neighbours have new candidates
+                ok = (left >= 0) & (right < length[r])
+                i, s, t = r[ok], left[ok], right[ok]
+                piece[i, s], order[i, s] = self._candidates(sym[i, s], sym[i, t], s)
+            end = then >= length[r]
+            order[r[end], c[end]] = _NEVER
+        sizes, ids = alive.sum(1), sym[alive].astype("<u4")
+        odd = np.flatnonzero((alive & (sym == self.none)).any(1))
+        if len(odd):
+            parts = np.split(ids, np.cumsum(sizes)[:-1])
+            for i in odd.tolist():
+                at = np.flatnonzero(alive[i])
+                parts[i] = np.frombuffer(self._bytes(sym[i, at].tolist(), at.tolist(), words[i]), "<u4")
+                sizes[i] = len(parts[i])
+            ids = np.concatenate(parts)
+        row, seen, skip = (np.concatenate([t[i] for t in taken]) for i in range(3))
+        by = np.argsort(row, kind="stable")
+        return ids, sizes, seen[by], skip[by], np.bincount(row, minlength=n)
+
+    def _together(self, words: list[str], keys: np.ndarray | int) -> list[bytes]:
+        ids, sizes = self._traced(words, keys)[:2]
+        return [x.tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])]
 
     def _alone(self, word: str, key: int) -> bytes:
         """The agenda of one stretch as a heap over linked symbols, for long ones."""
@@ -231,18 +348,26 @@ class MergeEncoder:
 
     def _segment(self, words: list[str], keys: np.ndarray) -> list[bytes]:
         """Segmentation of each stretch with the skips of its key."""
-        out: list[bytes] = [b""] * len(words)
-        short: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            if len(w) > self.wide:
-                out[i] = self._alone(w, int(keys[i]))
-            else:
-                short.setdefault(-(-len(w) // 4), []).append(i)
-        for places in short.values():
-            for i in range(0, len(places), 4000):
-                part = places[i:i + 4000]
-                for j, ids in zip(part, self._together([words[j] for j in part], keys[part])):
-                    out[j] = ids
+        long = [len(w) > self.wide for w in words]
+        short = [w for w, x in zip(words, long) if not x]
+        found = iter(self._together(short, keys[~np.array(long)]) if short else [])
+        return [self._alone(w, int(k)) if x else next(found) for w, k, x in zip(words, keys, long)]
+
+    def _leaves(self, words: list[str], draw: np.ndarray) -> np.ndarray:
+        """Number of each short stretch's segmentation in the tree, which learns those it lacks."""
+        tree = self.tree
+        edge, out = tree.roots_of(words), np.empty(len(words), np.int64)
+        depth = np.zeros(len(words), np.int64)
+        todo = np.arange(len(words))
+        while len(todo):
+            todo = np.concatenate([tree.descend(todo[a:a + 20_000], edge, depth, draw, self.skip_below, out) for a in range(0, len(todo), 20_000)])
+            new = todo[np.unique(edge[todo], return_index=True)[1]]  # one stretch for each branch not seen yet
+            size = np.fromiter((len(words[i]) for i in new.tolist()), np.int64, len(new))
+            new = new[np.argsort(size, kind="stable")]
+            for a in range(0, len(new), 4000):
+                part = new[a:a + 4000]
+                some = [words[i] for i in part.tolist()]
+                tree.grow(edge[part], depth[part], some, self._traced(some, draw[part]))
         return out
 
     def encode(self, texts: Iterable[str], keys: Iterable[int]) -> list[bytes]:
@@ -257,51 +382,30 @@ class MergeEncoder:
         if not words:
             return [b""] * len(counts)
         draw = mix(np.concatenate(own))
-        masks = np.zeros(len(words), np.uint64)
-        number: dict[str, int] = {}
-        of = np.array([number.setdefault(w, len(number)) for w in words])
-        alone = np.zeros(len(words), bool)  # stretches that are computed for themselves
+        if self.tree.leaves > self.limit:
+            self.tree = _Decisions()
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        long, sizes = np.flatnonzero(size > self.wide), np.zeros(len(words), np.int64)
+        short = np.flatnonzero(size <= self.wide)
+        flat, sizes[short] = self.tree.ids(self._leaves([words[i] for i in short.tolist()] if len(long) else words, draw[short]))
         if self.skip_below:
-            if len(self.places) > self.limit:
-                self.places = {}
-            new_words = [w for w in number if w not in self.places]
-            self.places.update(zip(new_words, self._possible(new_words)))
-            lists = [self.places[w] for w in number]
-            n = np.array([-1 if x is None else len(x) for x in lists])
-            alone = n[of] < 0
-            flat = np.concatenate([np.empty(0, np.uint64)] + [x for x in lists if x is not None])
-            n = np.maximum(n, 0)
-            start = np.cumsum(n) - n
-            size = n[of]
-            for a in range(0, len(words), 20_000):
-                part = slice(a, a + 20_000)
-                rows = np.repeat(np.arange(len(of[part])), size[part])
-                bit = np.arange(len(rows)) - np.repeat(np.cumsum(size[part]) - size[part], size[part])
-                hit = np.flatnonzero(mix(draw[part][rows] ^ flat[start[of[part]][rows] + bit]) < self.skip_below)
-                if len(hit):
-                    row = rows[hit]
-                    first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-                    masks[row[first] + a] = np.bitwise_or.reduceat(np.uint64(1) << bit[hit].astype(np.uint64), first)
-        # One entry for each stretch with the same skips, and one for each that is computed for itself.
-        order = np.lexsort((masks, of))
-        new = np.append(True, (of[order[1:]] != of[order[:-1]]) | (masks[order[1:]] != masks[order[:-1]]) | alone[order[1:]])
-        entry = np.empty(len(words), np.int64)
-        entry[order] = np.cumsum(new) - 1
-        one = order[new]
-        pairs = list(zip(map(words.__getitem__, one.tolist()), masks[one].tolist()))
-        own, found = alone[one], list(map(self.known.get, pairs))
-        missing = [i for i, (x, o) in enumerate(zip(found, own.tolist())) if o or x is None]
-        if missing:
-            made = self._segment([pairs[i][0] for i in missing], draw[one[missing]])
-            for i, x in zip(missing, made):
-                found[i] = x
-            fresh = {pairs[i]: x for i, x, o in zip(missing, made, own[missing].tolist()) if not o}
-            if len(self.known) + len(fresh) > self.limit:
-                self.known = {}
-            self.known.update(fresh)
-        out = list(map(found.__getitem__, entry.tolist()))
-        ends = np.cumsum(counts).tolist()
-        return [b"".join(out[e - c:e]) for e, c in zip(ends, counts)]
+            alone = [self._alone(words[i], int(draw[i])) for i in long.tolist()]
+        else:
+            same = {w: self._alone(w, 0) for w in {words[i] for i in long.tolist()}}
+            alone = [same[words[i]] for i in long.tolist()]
+        ends = np.cumsum(sizes)
+        raw, cuts = flat.tobytes(), [0, *np.append(0, 4 * ends)[np.cumsum(counts)].tolist()]
+        if not alone:
+            return [raw[a:e] for a, e in zip(cuts, cuts[1:])]
+        out, at, of = [], 4 * ends[long], np.searchsorted(np.cumsum(counts), long, "right")
+        starts = np.searchsorted(of, np.arange(len(counts) + 1)).tolist()
+        for d, (a, e) in enumerate(zip(cuts, cuts[1:])):
+            parts = []
+            for i in range(starts[d], starts[d + 1]):
+                parts += [raw[a:at[i]], alone[i]]
+                a = int(at[i])
+            out.append(b"".join([*parts, raw[a:e]]))
+        return out
 
     def decode(self, ids: list[bytes]) -> list[str]:
         return self.sp.decode([np.frombuffer(x, "<u4").tolist() for x in ids], num_threads=1) if ids else []

@@ -100,6 +100,17 @@ def test_each_occurrence_draws():
     assert pieces == [coder._alone(" wonderful", int(k)) for k in keys]
 
 
+def test_only_decisions_that_matter_are_told_apart():
+    """A skipped candidate that never comes to the top changes nothing, so it needs no agenda of its own."""
+    coder = MergeEncoder("piece_bpe_32k.model", 0.1, 5, keep_mark=True)
+    text = "international " * 5000 + "x" * 50
+    ids = coder.encode([text, "x" * 60, ""], [1, 2, 3])
+    assert coder.decode(ids) == [text, "x" * 60, ""]
+    assert len([w for w, _ in coder.known if w == " international"]) < 1000
+    fresh = MergeEncoder("piece_bpe_32k.model", 0.1, 5, keep_mark=True)
+    assert fresh.encode(["x" * 60, text], [2, 1]) == ids[1::-1]
+
+
 def test_merge_rows(spark, odd):
     rows = decode_pieces(encode_pieces(odd, dropout=0.2, seed=3, carry=["doc_id", "text", "kept"])).collect()
     assert Counter((r["doc_id"], r["text"], r["kept"]) for r in rows) == Counter(ROWS)
