@@ -40,6 +40,26 @@ def test_cached_ids_equal_the_library(name):
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids for e in want]
 
 
+def test_words_are_learnt_once():
+    """A word goes to the library once, whatever marks and line ends stand around it."""
+    coder = CachedEncoder("byte_bpe_50k.json")
+    library, seen = coder.tokenizer, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **kw):
+            seen.extend(texts)
+            return library.encode_batch_fast(texts, **kw)
+
+    coder.tokenizer = Counting()
+    text = "".join(f" zanzibar{a}{b} zanzibar{a}\nzanzibar" for a in ".,;:!?" for b in ("", "!", "$$$", ")"))
+    (got,) = coder.encode([text.encode()])
+    assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert sum(t.count("zanzibar") for t in seen) == 2  # with a space and with a line feed before it
+    # were two stretches of one hash, the ids would not give the text, which then goes to the library whole
+    coder.flat = coder.flat[::-1].copy()
+    assert coder.encode([text.encode()]) == [got]
+
+
 def test_token_counts_and_cache(spark, odd):
     cache = new_folder(spark, "cache")
     first = token_counts(odd, cache).collect()
