@@ -152,7 +152,11 @@ class InducedSorter:
 
         def meet(pos: np.ndarray, lcp: np.ndarray, before: int | None) -> np.ndarray:
             lcp = lcp.copy()
-            lcp[0] = 0 if before is None else self.prefix(np.array([before]), pos[:1])[0]
+            if before is None:
+                lcp[0] = 0
+            else:
+                other = np.flatnonzero(self.text[before:before + self.depth] != self.text[pos[0]:pos[0] + self.depth])
+                lcp[0] = other[0] if len(other) else self.depth
             return lcp
 
         for c in range(256):

@@ -17,7 +17,8 @@ from .induced import classes
 #: Bytes of the grams whose least hash stands for a window.
 GRAM = 16
 _HELD = 1_000_000
-
+#: Bytes of text looked at together: their arrays stay in a core's caches.
+_SLICE = 1 << 17
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 
@@ -26,9 +27,13 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     """Hash of the GRAM bytes from each position on, by doubling."""
     a, width, power = _BYTE[data], 1, _P
     while width < GRAM:
-        a = a[:-width] * np.uint64(power) + a[width:]
-        power, width = power * power % 2**64, 2 * width
-    return mix(a)
+        next_ = a[:-width] * np.uint64(power)
+        next_ += a[width:]
+        a, power, width = next_, power * power % 2**64, 2 * width
+    a ^= a >> np.uint64(32)
+    a *= np.uint64(_P)
+    a ^= a >> np.uint64(29)
+    return a
 
 
 def routed(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -90,7 +95,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
             a = np.diff(a, prepend=0)
             a = np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8).T)  # byte planes
         out.append(a.tobytes())
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
+    return zstandard.ZstdCompressor(level=2).compress(b"".join(out))
 
 
 def _unpack(blob: bytes, *kinds) -> list[np.ndarray]:
@@ -149,7 +154,7 @@ def _grams(batches: Iterator[pa.RecordBatch], length: int, shards: int, groups:
         yield _rows(rows, ["shard", "grp", "blob"])
 
     size = 0
-    for b in slices(batches, "text"):
+    for b in slices(batches, "text", _SLICE):
         data, off = text_bytes(b.column("text"))
         _, _, doc, h = routed(data, off, length)
         held.append((h, b.column("d").to_numpy()[doc]))
@@ -204,7 +209,7 @@ def _short(h: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _texts(t: pa.Table) -> Iterator[pa.RecordBatch]:
-    return slices(iter(t.combine_chunks().to_batches()), "text")
+    return slices(iter(t.combine_chunks().to_batches()), "text", _SLICE)
 
 
 def _contexts(docs: pa.Table, info: pa.Table, length: int, shards: int) -> pa.Table:
@@ -214,7 +219,7 @@ def _contexts(docs: pa.Table, info: pa.Table, length: int, shards: int) -> pa.Ta
     """
     rows: list[tuple] = []
     if info.num_rows and docs.num_rows:
-        known = np.unique(np.concatenate([_unpack(x, np.int64)[0].view(np.uint64) for x in info.column("blob").to_pylist()]))
+        known = np.concatenate([_unpack(x, np.int64)[0].view(np.uint64) for x in info.column("blob").to_pylist()])
         known = np.unique(_short(known, shards))
         code, body, size, least, most, shard = ([] for _ in range(6))
         for b in _texts(docs):
@@ -249,11 +254,35 @@ def _contexts(docs: pa.Table, info: pa.Table, length: int, shards: int) -> pa.Ta
     return pa.Table.from_batches([_rows(rows, ["shard", "grp", "blob"])])
 
 
+def _joined(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte ranges one after another, and where each begins."""
+    at = np.cumsum(size) - size
+    return data[np.repeat(start - at, size) + np.arange(size.sum())], at
+
+
+def _windows(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Context of each window and its place there."""
+    of = np.repeat(np.arange(len(n)), n)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _twins(text: np.ndarray, at: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
+    """Contexts one of whose windows has the hash of another window; equal windows have equal hashes."""
+    w, inside = _windows(n)
+    h = hashes(text, at[w] + inside, at[w] + inside + length)
+    order = np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    out = np.zeros(len(n), bool)
+    out[w[order[1:][same]]] = out[w[order[:-1][same]]] = True
+    return out
+
+
 def _decide(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """For each context of a shard, runs of windows and the smallest document that holds each of them.
 
-    A gram with one context needs no sorting: all its windows are in all its documents. The contexts of the others are
-    suffix-sorted together; windows that share their first ``length`` bytes are neighbours in that order.
+    A gram with one context needs no sorting: all its windows are in all its documents. Nor does a context whose windows
+    all have hashes of their own. The others are suffix-sorted together; windows that share their first ``length`` bytes
+    are neighbours in that order.
     """
     for _, rows in _runs_of_key(batches, "shard"):
         parts = [_unpack(r["blob"], np.int64, np.int64, np.uint32, np.uint8) for r in rows]
@@ -262,29 +291,28 @@ def _decide(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         size, most = size.astype(np.int64), least + more
         start = np.cumsum(size) - size
         code = hashes(data, start, start + size)
-        gram = np.zeros(len(code), np.uint64)
-        for i in range(0, len(code), 100_000):  # the least gram of the first window is the least of all
-            j = slice(i, i + 100_000)
-            a, e = int(start[j][0]), int(start[j][-1] + size[j][-1])
-            gram[j] = gram_hashes(data[a:e])[(start[j] - a)[:, None] + np.arange(length - GRAM + 1)].min(1)
-        order = np.lexsort((code, gram))
-        new_gram = np.append(True, gram[order][1:] != gram[order][:-1])
-        new_code = new_gram | np.append(True, code[order][1:] != code[order][:-1])
+        order = np.argsort(code)
+        new = np.append(True, code[order][1:] != code[order][:-1])
         of = np.empty(len(code), np.int64)
-        of[order] = np.cumsum(new_code) - 1
-        first = order[new_code]  # one entry of each distinct context
-        low = np.minimum.reduceat(least[order], np.flatnonzero(new_code))
-        gram_of = np.cumsum(new_gram)[new_code] - 1
-        alone = np.bincount(gram_of)[gram_of] == 1
+        of[order] = np.cumsum(new) - 1
+        first = order[new]  # one entry of each distinct context
+        low = np.minimum.reduceat(least[order], np.flatnonzero(new))
+        gram = np.zeros(len(first), np.uint64)
+        for i in range(0, len(first), 50_000):  # the least gram of the first window is the least of all
+            j = first[i:i + 50_000]
+            head, _ = _joined(data, start[j], np.full(len(j), length))
+            gram[i:i + 50_000] = gram_hashes(head)[(np.arange(len(j)) * length)[:, None] + np.arange(length - GRAM + 1)].min(1)
+        _, gram_of, held = np.unique(gram, return_inverse=True, return_counts=True)
+        alone = held[gram_of] == 1
         n = size[first] - length + 1
+        if not alone.all():
+            many = np.flatnonzero(~alone)
+            alone[many] = ~_twins(*_joined(data, start[first[many]], size[first[many]]), n[many], length)
         ctx, lo, hi, who = [np.flatnonzero(alone)], [np.zeros(int(alone.sum()), np.int64)], [n[alone]], [low[alone]]
         if not alone.all():
             many = np.flatnonzero(~alone)
-            sizes = size[first[many]]
-            text_at = np.cumsum(sizes) - sizes
-            text = data[np.repeat(start[first[many]] - text_at, sizes) + np.arange(sizes.sum())]
-            w = np.repeat(np.arange(len(many)), n[many])
-            inside = np.arange(len(w)) - np.repeat(np.cumsum(n[many]) - n[many], n[many])
+            text, text_at = _joined(data, start[first[many]], size[first[many]])
+            w, inside = _windows(n[many])
             kind = classes(text, text_at[w] + inside, length)
             best = np.full(int(kind.max()) + 1, np.iinfo(np.int64).max)
             np.minimum.at(best, kind, low[many][w])
@@ -317,34 +345,38 @@ def _cut(docs: pa.Table, info: pa.Table, length: int, keep: list[str], as_text:
         code, who, run_lo, run_hi = (np.concatenate(x) for x in zip(*blobs))
         order = np.argsort(code.view(np.uint64), kind="stable")
         code, who, run_lo, run_hi = code.view(np.uint64)[order], who[order], run_lo[order].astype(np.int64), run_hi[order].astype(np.int64)
+        first = np.flatnonzero(np.append(True, code[1:] != code[:-1])[:len(code)])
+        each, code = np.diff(np.append(first, len(code))), code[first]
     for b in _texts(docs):
         data, off = text_bytes(b.column("text"))
         gone = np.zeros(len(data), bool)
-        if blobs:
+        if blobs and len(code):
             lo, n, doc, _ = routed(data, off, length)
             c = hashes(data, lo, lo + n + length - 1)
-            a, e = np.searchsorted(code, c, "left"), np.searchsorted(code, c, "right")
-            hits = e - a
-            place = np.repeat(np.arange(len(c)), hits)
+            at = np.minimum(np.searchsorted(code, c), len(code) - 1)
+            place = np.flatnonzero(code[at] == c)
+            hits, a = each[at[place]], first[at[place]]
             run = np.repeat(a - (np.cumsum(hits) - hits), hits) + np.arange(hits.sum())
+            place = np.repeat(place, hits)
             use = who[run] < b.column("d").to_numpy()[doc[place]]
             place, run = place[use], run[use]
-            edge = np.zeros(len(data) + 1, np.int64)
-            np.add.at(edge, lo[place] + run_lo[run], 1)
-            np.add.at(edge, lo[place] + run_hi[run] + length - 1, -1)
-            gone = np.cumsum(edge[:-1]) > 0
+            edge = np.zeros(len(data) + 1, np.int32)
+            np.add.at(edge, lo[place] + run_lo[run], np.int32(1))
+            np.add.at(edge, lo[place] + run_hi[run] + length - 1, np.int32(-1))
+            gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
         rises = gone & ~np.append(False, gone[:-1])
         rises[off[:-1][off[:-1] < len(data)]] = gone[off[:-1][off[:-1] < len(data)]]
-        count = lambda x: np.diff(np.append(0, np.cumsum(x))[off])
+        count = lambda x: np.diff(np.searchsorted(np.flatnonzero(x), off))
         raw = data[~gone].tobytes()
-        ends = np.append(0, np.cumsum(~gone))[off].tolist()
+        taken = count(gone)
+        ends = (off - np.append(0, np.cumsum(taken))).tolist()
         rest = [raw[i:j] for i, j in zip(ends[:-1], ends[1:])]
         out = {c: b.column(c) for c in keep}
         if as_text is not None:
             empty = b.column("text").is_null().to_pylist()
             out[as_text] = pa.array([None if x else r.decode("utf-8", "ignore") for r, x in zip(rest, empty)], pa.string())
         out |= {
-            "n_bytes": pa.array(np.diff(off)), "n_removed": pa.array(count(gone)), "n_spans": pa.array(count(rises)),
+            "n_bytes": pa.array(np.diff(off)), "n_removed": pa.array(taken), "n_spans": pa.array(count(rises)),
             "kept_sha256": pa.array([hashlib.sha256(r).hexdigest() for r in rest], pa.string()),
         }
         yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
@@ -359,8 +391,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     1. Each window belongs to its least 16-byte gram, so equal windows meet under one hash. Grams held by two documents are
        found by shards of the hash; each map task sends a gram at most once, however many of its documents hold it.
     2. Their contexts (the bytes of the windows) go to their shard, equal ones of a group of documents once, with the
-       least and largest id. A shard sorts the suffixes of all contexts of its disputed grams by external induced sorting
-       (``induced``): tuples of position and common prefix pass through queues that spill to disk; windows whose common
+       least and largest id. Of disputed grams, a shard sorts the suffixes of the contexts with a window whose hash occurs
+       again, by external induced sorting (``induced``): tuples of position and common prefix pass through queues that spill to disk; windows whose common
        prefix reaches ``length`` are one class, and its least id decides.
     3. Documents re-make their contexts, look up the runs decided for them and drop the bytes.
 

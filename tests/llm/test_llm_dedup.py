@@ -8,11 +8,12 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from surveyspark.llm import forest
+from surveyspark.llm import forest, suffixes
 from surveyspark.llm.bytesets import hashes, runs, NOT_SPACE
 from surveyspark.llm.common import lower_ascii
 from surveyspark.llm.exact import exact_dedup
@@ -202,6 +203,25 @@ def test_repeats(spark):
     assert [r[0] for r in spark.createDataFrame([(i,) for i in x], "a long").select(F.xxhash64("a")).collect()] == spark_hash(np.array(x)).tolist()
 
 
+def test_only_what_may_repeat_is_sorted(monkeypatch):
+    """A phrase stands in 300 texts among other letters each time; only two of them share more than the phrase."""
+    rng = random.Random(2)
+    some = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    phrase, tail = some(40), some(60)
+    rows = [(i, some(60) + phrase + some(60)) for i in range(300)] + [(i, some(60) + phrase + tail) for i in (300, 301)]
+    docs = pa.table({"d": [i for i, _ in rows], "text": [t for _, t in rows], "grp": [0] * len(rows)})
+    grams = pa.Table.from_batches(suffixes._grams(iter(docs.select(["d", "text"]).to_batches()), 50, 1, 1)).to_batches()
+    info = pa.Table.from_batches(suffixes._shared(iter(grams), 1, 1))
+    contexts = suffixes._contexts(docs, info, 50, 1)
+    sent = sum(len(suffixes._unpack(b, np.int64, np.int64, np.uint32, np.uint8)[3]) for b in contexts.column("blob").to_pylist())
+    sorted_, plain = [], suffixes.classes
+    monkeypatch.setattr(suffixes, "classes", lambda text, at, depth: sorted_.append(len(text)) or plain(text, at, depth))
+    decided = pa.Table.from_batches(suffixes._decide(iter(contexts.to_batches()), 50))
+    assert sent > 300 * 50 and 0 < sum(sorted_) < sent / 20
+    cut = pa.Table.from_batches(suffixes._cut(docs, decided, 50, ["d"], None))
+    assert Counter(map(tuple, (r.values() for r in cut.to_pylist()))) == removed(rows, 50)
+
+
 def test_best_fit():
     rng = np.random.default_rng(1)
     for window in (16, 100, 2048):
