@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import colour
@@ -117,11 +117,14 @@ def by_hsv_aligned(px: DataFrame) -> DataFrame:
     return with_hsv(px).withColumn("surface", F.coalesce(s, fill))
 
 
-def by_temperature(px: DataFrame, keys: list[str], method: str = "temperature", land_above: float = 19.0, width: int = 640, height: int = 512) -> DataFrame:
-    """Adds ``land_mask`` before morphological cleanup."""
+def by_temperature(px: DataFrame, keys: list[str], method: str = "temperature", land_above: float = 19.0, width: int = 640, height: int = 512, shares: bool = False) -> DataFrame:
+    """Adds ``land_mask`` before morphological cleanup. With ``shares``, the variance method compares rounded shares of the
+    variance range, which may put a pixel exactly on the limit on either side; else whole numbers, on the land's side."""
     hot = celsius(C("raw")) > land_above
     if method == "temperature":
         return px.withColumn("land_mask", hot)
+    if method == "variance" and not shares:
+        return px.join(rough_pixels(px, keys, 2, width, height), [*keys, "y", "x"])
     if method in ("variance", "combined"):
         # In raw counts: another unit would only round the shares, which may lie exactly on the limit.
         d = normalised(local_variance(px, keys, 2, width, height, 1), "variance", keys)
@@ -135,6 +138,19 @@ def by_temperature(px: DataFrame, keys: list[str], method: str = "temperature",
     raise ValueError(method)
 
 
+def rough_pixels(px: DataFrame, keys: list[str], r: int, width: int, height: int) -> DataFrame:
+    """(keys, y, x, land_mask): pixels from 3/10 of their frame's range of local variances on, all if it has none.
+
+    Nothing is divided: mirrored windows hold equally many pixels, and n * (sum of squares) - (sum)^2 of raw counts is whole.
+    """
+    v = C("raw") - F.lit(2950.0)
+    s = raster.box_sums(px, {"s": v, "ss": v * v}, keys, r, width, height)
+    s = s.select(*keys, "y", "x", (C("n") * C("ss") - C("s") * C("s")).alias("variance"))
+    w = Window.partitionBy(*keys)
+    lo, hi = F.min("variance").over(w), F.max("variance").over(w)
+    return s.select(*keys, "y", "x", ((C("variance") - lo) * 10 >= (hi - lo) * 3).alias("land_mask"))
+
+
 def normalised(d: DataFrame, column: str, keys: list[str], eps: float = 0.0) -> DataFrame:
     from ..functions.infrared import minmax_norm
 
@@ -189,7 +205,7 @@ def temperature_mask(
     size: int = 100, score_size: int = 1000, score_holes: int = 1000,
 ) -> DataFrame:
     """(keys, y, x, land_mask): any of the temperature methods, closed and without specks; the rest is ocean."""
-    d = by_temperature(px, keys, method, land_above, width, height).select(*keys, "y", "x", C("land_mask").alias("_l"))
+    d = by_temperature(px, keys, method, land_above, width, height, shares=True).select(*keys, "y", "x", C("land_mask").alias("_l"))
 
     def make(land):
         land = grids.cleaned_score(~land, score_size, score_holes) if method == "adaptive" else land

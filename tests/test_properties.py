@@ -321,6 +321,23 @@ def test_variance_exactly_on_the_limit_is_land(spark):
     assert 10 * (n[5, 6] - n.min()) == 3 * (n.max() - n.min())
 
 
+def test_all_variances_on_the_limit_are_land(spark):
+    """Shares of exactly 3/10 in frames where rounded ones fall short of it, and a frame without any range."""
+    rng = np.random.default_rng(11)
+    rows, want = [], set()
+    for f in range(3000):
+        v = rng.integers(0, 6, (8, 8)) if f else np.full((8, 8), 3)
+        k = np.lib.stride_tricks.sliding_window_view(np.pad(v, 2, "symmetric"), (5, 5)).reshape(8, 8, 25)
+        n = 25 * (k * k).sum(2) - k.sum(2) ** 2
+        on = 10 * (n - n.min()) - 3 * (n.max() - n.min())
+        if (on == 0).any():
+            rows += [(f, y, x, int(v[y, x]) + 2900) for y in range(8) for x in range(8)]
+            want |= {(f, y, x) for y, x in zip(*map(np.ndarray.tolist, np.nonzero(on >= 0)))}
+    px = spark.createDataFrame(rows, "frame int, y int, x int, raw int")
+    d = segment.by_temperature(px, ["frame"], "variance", 22.0, 8, 8)
+    assert {(r.frame, r.y, r.x) for r in d.filter("land_mask").collect()} == want and len(want) > 64
+
+
 def test_resampling_against_arrays(spark):
     """Non-integer ratios, both ways, against interpolation on whole arrays; a null needs all that touches it to be null."""
     rng = np.random.default_rng(6)
