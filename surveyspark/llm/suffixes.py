@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ GRAM = 16
 _HELD = 1_000_000
 #: Bytes of text looked at together: their arrays stay in a core's caches.
 _SLICE = 1 << 17
+#: Bytes of blobs that are cut by key together.
+_MERGED = 16 << 20
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 
@@ -126,11 +129,81 @@ def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "blob" else pa.int64()) for c, n in zip(cols, names)], names)
 
 
-def _grams(batches: Iterator[pa.RecordBatch], length: int, shards: int, groups: int) -> Iterator[pa.RecordBatch]:
-    """Distinct (gram, document) pairs of some megabytes of text, by shard of the gram.
+#: Columns of the blobs that travel, after the key: grams (document, hash, whether of several), hashes told to groups, contexts
+#: (group, least id, how much larger the largest, size, bytes), decided runs of windows (context, smallest id, from, to).
+_GRAM, _TOLD, _CONTEXT, _RUN = [np.int64, np.int64, np.uint8], [np.int64], [np.uint32, np.int64, np.int64, np.uint32, np.uint8], [np.int64, np.int64, np.uint32, np.uint32]
 
-    Grams of several documents here are known to be shared: they go back to those documents' groups at once (shard
-    rows with a group) and stand in their shard with one entry, so a gram in every document costs one entry a batch.
+
+class Keys(NamedTuple):
+    """Shards or groups: their number, and how many of them share a bucket.
+
+    Tasks cut their output by bucket, and a bucket is cut by key where it arrives. Buckets are bounded in number, so that
+    blobs grow with the bytes and not with groups times shards.
+    """
+
+    count: int
+    fan: int
+
+
+def _bucketed(key: np.ndarray, fan: int, *arrays: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(bucket, blob) of arrays with one entry a key; the blob tells the keys of a bucket apart."""
+    for bucket, i in _split(key // fan):
+        yield bucket, _pack((key[i] % fan).astype(np.uint32), *[a[i] for a in arrays])
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], fan: int, kinds: list, ragged: bool) -> Iterator[pa.RecordBatch]:
+    """Blobs of buckets cut into blobs of single keys; rows for a group pass. If ``ragged``, the last array holds as many
+    bytes an entry as the array before it says."""
+    held: list[list[np.ndarray]] = []
+    passed: list[tuple] = []
+    names: list[str] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        rows = list(passed)
+        if held:
+            key, *cols = (np.concatenate(x) for x in zip(*held))
+            if ragged:
+                *cols, body = cols
+                size = cols[-1].astype(np.int64)
+                start = np.cumsum(size) - size
+            for k, i in _split(key):
+                part = [c[i] for c in cols] + ([_joined(body, start[i], size[i])[0]] if ragged else [])
+                rows.append((k, *[-1] * (len(names) - 2), _pack(np.zeros(len(i), np.uint32), *part)))
+        held.clear()
+        passed.clear()
+        yield _rows(rows, names)
+
+    size = 0
+    for b in batches:
+        names = b.schema.names
+        for r in b.to_pylist():
+            if r.get("gb", -1) >= 0:
+                passed.append((r["key"] * fan, r["gb"], r["blob"]))
+                size += len(r["blob"])
+            else:
+                sub, *cols = _unpack(r["blob"], np.uint32, *kinds)
+                held.append([r["key"] * fan + sub.astype(np.int64), *cols])
+                size += sum(c.nbytes for c in held[-1])
+            if size >= _MERGED:
+                yield from flush()
+                size = 0
+    if size:
+        yield from flush()
+
+
+def _dealt(rows: DataFrame, fan: int, kinds: list, ragged: bool = False) -> DataFrame:
+    """Rows of buckets as rows of keys, all rows of a key in one partition."""
+    rows = rows.repartition("key")
+    if fan > 1:
+        rows = rows.sortWithinPartitions("key").mapInArrow(lambda it: _by_key(it, fan, kinds, ragged), rows.schema)
+    return rows
+
+
+def _grams(batches: Iterator[pa.RecordBatch], length: int, shards: Keys, groups: Keys) -> Iterator[pa.RecordBatch]:
+    """Distinct (gram, document) pairs of some megabytes of text, by bucket of the gram's shard.
+
+    Grams of several documents here are known to be shared: they go back to those documents' groups at once (rows with
+    a bucket ``gb`` of groups) and stand in their shard with one entry, so a gram in every document costs one entry a batch.
     """
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -143,15 +216,14 @@ def _grams(batches: Iterator[pa.RecordBatch], length: int, shards: int, groups:
         least = np.minimum.reduceat(d, at)
         many = least != np.maximum.reduceat(d, at)
         shared = np.repeat(many, np.diff(np.append(at, len(h))))
-        rows = []
-        for g, i in _split(_group(d[shared], groups)):
-            found = np.unique(h[shared][i])
-            rows.append((int(found[0] % np.uint64(shards)), g, _pack(found.view(np.int64))))
+        rows = [(g % -(-shards.count // shards.fan), g, blob) for g, blob in _told(d[shared], h[shared], groups)]
         h, d = h[at], least
-        for shard, i in _split((h % np.uint64(shards)).astype(np.int64)):
-            by = i[np.lexsort((h[i], d[i]))]
-            rows.append((shard, -1, _pack(d[by], (h[by] // np.uint64(shards)).view(np.uint8).reshape(-1, 8)[:, :6].ravel(), many[by].astype(np.uint8))))
-        yield _rows(rows, ["shard", "grp", "blob"])
+        order = np.lexsort((h, d))
+        h, d, many = h[order], d[order], many[order]
+        n = np.uint64(shards.count)
+        low = ((h // n) & np.uint64((1 << 48) - 1)).view(np.int64)  # 48 bits of the quotient are kept
+        rows += [(s, -1, blob) for s, blob in _bucketed((h % n).astype(np.int64), shards.fan, d, low, many.astype(np.uint8))]
+        yield _rows(rows, ["key", "gb", "blob"])
 
     size = 0
     for b in slices(batches, "text", _SLICE):
@@ -180,31 +252,34 @@ def _runs_of_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[
         yield now, rows
 
 
-def _shared(batches: Iterator[pa.RecordBatch], shards: int, groups: int) -> Iterator[pa.RecordBatch]:
+def _told(d: np.ndarray, h: np.ndarray, groups: Keys) -> Iterator[tuple[int, bytes]]:
+    """Distinct hashes for the groups of documents, by bucket of the group."""
+    g = _group(d, groups.count)
+    order = np.lexsort((h, g))
+    g, h = g[order], h[order]
+    new = np.append(True, (g[1:] != g[:-1]) | (h[1:] != h[:-1]))[:len(g)]
+    return _bucketed(g[new], groups.fan, h[new].view(np.int64))
+
+
+def _shared(batches: Iterator[pa.RecordBatch], shards: Keys, groups: Keys) -> Iterator[pa.RecordBatch]:
     """Hashes of grams that two documents hold, for the groups of all documents that hold them."""
-    for shard, rows in _runs_of_key(batches, "shard"):
-        out = [(r["grp"], r["blob"]) for r in rows if r["grp"] >= 0]
-        parts = [_unpack(r["blob"], np.int64, np.uint8, np.uint8) for r in rows if r["grp"] < 0]
+    for shard, rows in _runs_of_key(batches, "key"):
+        out = [(r["gb"], r["blob"]) for r in rows if r["gb"] >= 0]
+        parts = [_unpack(r["blob"], np.uint32, *_GRAM)[1:] for r in rows if r["gb"] < 0]
         if parts:
-            d, low, many = (np.concatenate(x) for x in zip(*parts))
-            wide = np.zeros((len(d), 8), np.uint8)
-            wide[:, :6] = low.reshape(-1, 6)
-            h = wide.view(np.uint64).ravel()
+            d, h, many = (np.concatenate(x) for x in zip(*parts))
             order = np.argsort(h)
             h, d, many = h[order], d[order], many[order]
             at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
             common = (np.minimum.reduceat(d, at) < np.maximum.reduceat(d, at)) | (np.maximum.reduceat(many, at) > 0)
             keep = np.repeat(common, np.diff(np.append(at, len(h)))) & (many == 0)  # the others are told already
-            h, d = h[keep], d[keep]
-            for g, i in _split(_group(d, groups)):
-                # 48 bits of the quotient are kept; the documents compare no more than these
-                out.append((g, _pack(np.unique(h[i] * np.uint64(shards) + np.uint64(shard)).view(np.int64))))
-        yield _rows(out, ["grp", "blob"])
+            out += _told(d[keep], h[keep].view(np.uint64) * np.uint64(shards.count) + np.uint64(shard), groups)
+        yield _rows(out, ["key", "blob"])
 
 
-def _short(h: np.ndarray, shards: int) -> np.ndarray:
+def _short(h: np.ndarray, shards: Keys) -> np.ndarray:
     """A gram's hash as its shard knows it."""
-    n = np.uint64(shards)
+    n = np.uint64(shards.count)
     return ((h // n) & np.uint64((1 << 48) - 1)) * n + h % n
 
 
@@ -212,15 +287,15 @@ def _texts(t: pa.Table) -> Iterator[pa.RecordBatch]:
     return slices(iter(t.combine_chunks().to_batches()), "text", _SLICE)
 
 
-def _contexts(docs: pa.Table, info: pa.Table, length: int, shards: int) -> pa.Table:
-    """Distinct contexts (all bytes of a run of windows) of shared grams in a group of documents, by shard.
+def _contexts(docs: pa.Table, info: pa.Table, length: int, shards: Keys) -> pa.Table:
+    """Distinct contexts (all bytes of a run of windows) of shared grams in a group of documents, by bucket of the shard.
 
     Each goes with the least and the largest id of the documents here that hold it.
     """
     rows: list[tuple] = []
     if info.num_rows and docs.num_rows:
-        known = np.concatenate([_unpack(x, np.int64)[0].view(np.uint64) for x in info.column("blob").to_pylist()])
-        known = np.unique(_short(known, shards))
+        known = np.concatenate([_unpack(x, np.uint32, *_TOLD)[1].view(np.uint64) for x in info.column("blob").to_pylist()])
+        known = np.sort(_short(known, shards))
         code, body, size, least, most, shard = ([] for _ in range(6))
         for b in _texts(docs):
             data, off = text_bytes(b.column("text"))
@@ -239,7 +314,7 @@ def _contexts(docs: pa.Table, info: pa.Table, length: int, shards: int) -> pa.Ta
                 least.append(d[i])
                 most.append(np.maximum.reduceat(d[order], first))
                 size.append(n[i] + length - 1)
-                shard.append((h[i] % np.uint64(shards)).astype(np.int64))
+                shard.append((h[i] % np.uint64(shards.count)).astype(np.int64))
                 raw = data.tobytes()
                 body += [raw[a:e] for a, e in zip(lo[i].tolist(), (lo + n + length - 1)[i].tolist())]
         if code:
@@ -247,11 +322,12 @@ def _contexts(docs: pa.Table, info: pa.Table, length: int, shards: int) -> pa.Ta
             order = np.lexsort((least, code))
             first = np.flatnonzero(np.append(True, code[order][1:] != code[order][:-1]))
             most, i = np.maximum.reduceat(most[order], first), order[first]
-            for s, j in _split(shard[i]):
+            fan, grp = shards.fan, docs.column("grp")[0].as_py()
+            for bucket, j in _split(shard[i] // fan):
                 j = j[np.argsort(least[i[j]], kind="stable")]
                 k = i[j]
-                rows.append((s, docs.column("grp")[0].as_py(), _pack(least[k], most[j] - least[k], size[k].astype(np.uint32), np.frombuffer(b"".join([body[x] for x in k.tolist()]), np.uint8))))
-    return pa.Table.from_batches([_rows(rows, ["shard", "grp", "blob"])])
+                rows.append((bucket, _pack((shard[k] % fan).astype(np.uint32), np.full(len(k), grp, np.uint32), least[k], most[j] - least[k], size[k].astype(np.uint32), np.frombuffer(b"".join([body[x] for x in k.tolist()]), np.uint8))))
+    return pa.Table.from_batches([_rows(rows, ["key", "blob"])])
 
 
 def _joined(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -277,18 +353,17 @@ def _twins(text: np.ndarray, at: np.ndarray, n: np.ndarray, length: int) -> np.n
     return out
 
 
-def _decide(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """For each context of a shard, runs of windows and the smallest document that holds each of them.
+def _decide(batches: Iterator[pa.RecordBatch], length: int, groups: Keys) -> Iterator[pa.RecordBatch]:
+    """For each context of a shard, runs of windows and the smallest document that holds each of them, by bucket of the group.
 
     A gram with one context needs no sorting: all its windows are in all its documents. Nor does a context whose windows
     all have hashes of their own. The others are suffix-sorted together; windows that share their first ``length`` bytes
     are neighbours in that order.
     """
-    for _, rows in _runs_of_key(batches, "shard"):
-        parts = [_unpack(r["blob"], np.int64, np.int64, np.uint32, np.uint8) for r in rows]
-        grp = np.repeat([r["grp"] for r in rows], [len(p[0]) for p in parts])
-        least, more, size, data = (np.concatenate(x) for x in zip(*parts))
-        size, most = size.astype(np.int64), least + more
+    for _, rows in _runs_of_key(batches, "key"):
+        parts = [_unpack(r["blob"], np.uint32, *_CONTEXT)[1:] for r in rows]
+        grp, least, more, size, data = (np.concatenate(x) for x in zip(*parts))
+        grp, size, most = grp.astype(np.int64), size.astype(np.int64), least + more
         start = np.cumsum(size) - size
         code = hashes(data, start, start + size)
         order = np.argsort(code)
@@ -331,16 +406,15 @@ def _decide(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         run = np.repeat(ptr[of] - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())
         use = who[run] < most[entry]
         entry, run = entry[use], run[use]
-        out = []
-        for g, i in _split(grp[entry]):
-            i = i[np.argsort(code[entry[i]], kind="stable")]
-            out.append((g, _pack(code[entry[i]].view(np.int64), who[run[i]], lo[run[i]].astype(np.uint32), hi[run[i]].astype(np.uint32))))
-        yield _rows(out, ["grp", "blob"])
+        order = np.lexsort((code[entry], grp[entry]))
+        entry, run = entry[order], run[order]
+        out = list(_bucketed(grp[entry], groups.fan, code[entry].view(np.int64), who[run], lo[run].astype(np.uint32), hi[run].astype(np.uint32)))
+        yield _rows(out, ["key", "blob"])
 
 
 def _cut(docs: pa.Table, info: pa.Table, length: int, keep: list[str], as_text: str | None) -> Iterator[pa.RecordBatch]:
     """The documents of a group without what their contexts' runs name a smaller document for."""
-    blobs = [_unpack(x, np.int64, np.int64, np.uint32, np.uint32) for x in (info.column("blob").to_pylist() if info.num_rows else [])]
+    blobs = [_unpack(x, np.uint32, *_RUN)[1:] for x in (info.column("blob").to_pylist() if info.num_rows else [])]
     if blobs:
         code, who, run_lo, run_hi = (np.concatenate(x) for x in zip(*blobs))
         order = np.argsort(code.view(np.uint64), kind="stable")
@@ -382,7 +456,7 @@ def _cut(docs: pa.Table, info: pa.Table, length: int, keep: list[str], as_text:
         yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, as_text: str | None = None, shard_bytes: int = 4 << 20, group_bytes: int = 4 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, as_text: str | None = None, shard_bytes: int = 4 << 20, group_bytes: int = 4 << 20, buckets: int = 256) -> DataFrame:
     """Columns ``carry`` of every row (the id by default), n_bytes, n_removed, n_spans, kept_sha256 and, named by ``as_text``, the rest.
 
     Every byte goes that lies in a ``length``-byte string which also starts in a document with a smaller id; strings are
@@ -396,7 +470,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
        prefix reaches ``length`` are one class, and its least id decides.
     3. Documents re-make their contexts, look up the runs decided for them and drop the bytes.
 
-    Work and tables grow with the bytes; groups, shards and batches are bounded, and no document but the longest sets a
+    Work and tables grow with the bytes, since a task cuts its output for at most ``buckets`` (``Keys``); groups, shards and batches are bounded, and no document but the longest sets a
     task's memory. Hashes of contexts have 64 bits: two different contexts of one hash would be taken for equal.
     Null text counts as empty (its rest stays null). Rows that repeat an id never count as smaller than one another; a
     null id counts as larger than all. In ``as_text`` a character that lost part of its bytes is dropped. Of a
@@ -406,18 +480,23 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     new = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *([as_text] if as_text is not None else [])]
     keep = carried([id_col] if carry is None else carry, new)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    shards, groups = size // shard_bytes + 1, size // group_bytes + 1
+    shards, groups = (Keys(n, -(-n // buckets)) for n in (size // shard_bytes + 1, size // group_bytes + 1))
     d = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
     extra = [c.alias(f"_{i}") for i, c in enumerate(named(keep))]
-    rows = docs.select(d.alias("d"), F.pmod(F.xxhash64(d), F.lit(groups)).alias("grp"), F.col(text_col).alias("text"), *extra)
+    rows = docs.select(d.alias("d"), F.pmod(F.xxhash64(d), F.lit(groups.count)).alias("grp"), F.col(text_col).alias("text"), *extra)
     plain = rows.select("d", "grp", "text")
 
-    grams = plain.select("d", "text").mapInArrow(lambda it: _grams(it, length, shards, groups), "shard long, grp long, blob binary")
-    grams = grams.repartition("shard").sortWithinPartitions("shard")
-    info = grams.mapInArrow(lambda it: _shared(it, shards, groups), "grp long, blob binary")
-    contexts = plain.groupBy("grp").cogroup(info.groupBy("grp")).applyInArrow(lambda a, b: _contexts(a, b, length, shards), "shard long, grp long, blob binary")
-    contexts = contexts.repartition("shard").sortWithinPartitions("shard")
-    decided = written(contexts.mapInArrow(lambda it: _decide(it, length), "grp long, blob binary"), "decided")
+    def to_groups(rows: DataFrame, kinds: list) -> DataFrame:
+        """Rows for buckets of groups as rows for groups; what joins them moves them again."""
+        return (_dealt(rows, groups.fan, kinds) if groups.fan > 1 else rows).select(F.col("key").alias("grp"), "blob")
+
+    grams = plain.select("d", "text").mapInArrow(lambda it: _grams(it, length, shards, groups), "key long, gb long, blob binary")
+    grams = _dealt(grams, shards.fan, _GRAM).sortWithinPartitions("key")
+    info = to_groups(grams.mapInArrow(lambda it: _shared(it, shards, groups), "key long, blob binary"), _TOLD)
+    contexts = plain.groupBy("grp").cogroup(info.groupBy("grp")).applyInArrow(lambda a, b: _contexts(a, b, length, shards), "key long, blob binary")
+    contexts = _dealt(contexts, shards.fan, _CONTEXT, ragged=True).sortWithinPartitions("key")
+    decided = contexts.mapInArrow(lambda it: _decide(it, length, groups), "key long, blob binary")
+    decided = written(to_groups(decided, _RUN), "decided")
     release(spark)
 
     made = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"

@@ -209,19 +209,38 @@ def test_only_what_may_repeat_is_sorted(monkeypatch):
     some = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
     phrase, tail = some(40), some(60)
     rows = [(i, some(60) + phrase + some(60)) for i in range(300)] + [(i, some(60) + phrase + tail) for i in (300, 301)]
+    one = suffixes.Keys(1, 1)
     docs = pa.table({"d": [i for i, _ in rows], "text": [t for _, t in rows], "grp": [0] * len(rows)})
-    grams = pa.Table.from_batches(suffixes._grams(iter(docs.select(["d", "text"]).to_batches()), 50, 1, 1)).to_batches()
-    info = pa.Table.from_batches(suffixes._shared(iter(grams), 1, 1))
-    contexts = suffixes._contexts(docs, info, 50, 1)
-    sent = sum(len(suffixes._unpack(b, np.int64, np.int64, np.uint32, np.uint8)[3]) for b in contexts.column("blob").to_pylist())
+    grams = pa.Table.from_batches(suffixes._grams(iter(docs.select(["d", "text"]).to_batches()), 50, one, one)).to_batches()
+    info = pa.Table.from_batches(suffixes._shared(iter(grams), one, one))
+    contexts = suffixes._contexts(docs, info, 50, one)
+    sent = sum(len(suffixes._unpack(b, np.uint32, *suffixes._CONTEXT)[-1]) for b in contexts.column("blob").to_pylist())
     sorted_, plain = [], suffixes.classes
     monkeypatch.setattr(suffixes, "classes", lambda text, at, depth: sorted_.append(len(text)) or plain(text, at, depth))
-    decided = pa.Table.from_batches(suffixes._decide(iter(contexts.to_batches()), 50))
+    decided = pa.Table.from_batches(suffixes._decide(iter(contexts.to_batches()), 50, one))
     assert sent > 300 * 50 and 0 < sum(sorted_) < sent / 20
     cut = pa.Table.from_batches(suffixes._cut(docs, decided, 50, ["d"], None))
     assert Counter(map(tuple, (r.values() for r in cut.to_pylist()))) == removed(rows, 50)
 
 
+def test_blobs_grow_with_the_text(spark):
+    """Sixteen times the text in shards and groups of one size makes sixteen times the blobs, not 256 times; results stay."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(500)]
+    passages = [" ".join(rng.choices(words, k=30)) for _ in range(40)]
+    rows = [(i, " ".join(rng.choices(words, k=30)) + " " + rng.choice(passages)) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert Counter(map(tuple, remove_repeats(df, shard_bytes=2000, group_bytes=3000, buckets=4).collect())) == removed(rows, 50)
+    shards, groups = suffixes.Keys(600, 150), suffixes.Keys(400, 100)
+    docs = pa.table({"d": [i for i, _ in rows], "text": [t for _, t in rows]})
+    grams = pa.Table.from_batches(suffixes._grams(iter(docs.to_batches()), 50, shards, groups)).to_pylist()
+    assert len(grams) <= 4 + 4 and {r["key"] for r in grams} <= set(range(4))
+    cut = pa.Table.from_batches(suffixes._by_key(iter(pa.Table.from_pylist(grams).to_batches()), 150, suffixes._GRAM, False))
+    assert max(cut.column("key").to_pylist()) < 600 and len(set(cut.column("key").to_pylist())) > 300
+    told = [r for r in cut.to_pylist() if r["gb"] >= 0]
+    assert sorted((r["gb"], r["blob"]) for r in told) == sorted((r["gb"], r["blob"]) for r in grams if r["gb"] >= 0)
+
+
 def test_best_fit():
     rng = np.random.default_rng(1)
     for window in (16, 100, 2048):
